@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +25,11 @@ PATTERN = (
 #: No pair; larger than any rank and position.
 NONE = 1 << 62
 #: Chunks and pieces of at most so many characters are remembered, so many of each at once in a worker.
-CACHE_CHARS, CACHE_PIECES = 48, 500_000
-#: Texts whose unknown pieces are merged together, and the most bytes of pieces that are.
-TEXTS, MANY = 512, 64
+CACHE_CHARS, CACHE_PIECES = 48, 1_000_000
+#: Texts that are encoded together, and the most bytes of pieces that are merged together.
+TEXTS, MANY = 4096, 64
+#: What makes a text unusual: NUL, white space other than spaces and line ends, or two in a row.
+ODD = r"[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|[ \n]\z"
 
 
 def byte_symbols() -> list[str]:
@@ -116,14 +119,16 @@ class PairTable:
         return out
 
 
-def merge_many(rows: list[list[int]], table: PairTable, merged: np.ndarray) -> list[list[int]]:
-    """``merge_pairs`` for many short rows at once: a segment tree for each row, each step merges in all of them."""
-    w, size = len(rows), 1 << (max(map(len, rows)) - 1).bit_length()
-    n = np.fromiter(map(len, rows), np.int64, w)
-    start = np.cumsum(n) - n
-    place = np.repeat(np.arange(w) * size - start, n) + np.arange(n.sum())
+def merge_many(symbols: np.ndarray, lengths: np.ndarray, table: PairTable, merged: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``merge_pairs`` for many short rows at once, in (all symbols, length of each row) and out alike.
+
+    There is a segment tree for each row, as in ``merge_pairs``; each step makes the next merge in every row.
+    """
+    w, size = len(lengths), 1 << max(1, int(lengths.max() - 1).bit_length())
+    n = lengths.astype(np.int64)
+    place = np.repeat(np.arange(w) * size - (np.cumsum(n) - n), n) + np.arange(len(symbols))
     ids = np.full(w * size, -1, np.int64)
-    ids[place] = np.fromiter((i for r in rows for i in r), np.int64, len(place))
+    ids[place] = symbols
     grid = ids.reshape(w, size)
     tree = np.full((w, 2 * size), NONE, np.int64)
     value = table.get(np.maximum(grid[:, :-1], 0), np.maximum(grid[:, 1:], 0)) | np.arange(size - 1)
@@ -151,35 +156,34 @@ def merge_many(rows: list[list[int]], table: PairTable, merged: np.ndarray) -> l
         after[base + i] = k
         more = k < n[live]
         before[(base + k)[more]] = i[more]
-        right = np.where(more, table.get(own, ids[base + np.where(more, k, 0)]) | i, NONE)
+        right = table.get(own, ids[base + np.where(more, k, 0)]) | i
         h = before[base + i]
-        any_left = h >= 0
-        left = table.get(ids[base + np.maximum(h, 0)], own) | h
+        before_it = h >= 0
+        h = np.maximum(h, 0)
+        left = table.get(ids[base + h], own) | h
         tree[root + size + j] = NONE
         tree[root + size + i] = np.where(more, right, NONE)
-        tree[(root + size + h)[any_left]] = left[any_left]
-        for at in (size + j, size + i, size + np.maximum(h, 0)):
-            while True:
+        tree[(root + size + h)[before_it]] = left[before_it]
+        for at in (size + j, size + i, size + h):
+            for _ in range(size.bit_length() - 1):
                 at = at >> 1
-                if not at[0]:
-                    break
-                np.minimum(tree[root + 2 * at], tree[root + 2 * at + 1], out=(got := np.empty(len(at), np.int64)))
-                tree[root + at] = got
+                tree[root + at] = np.minimum(tree[root + 2 * at], tree[root + 2 * at + 1])
     kept = ids >= 0
-    flat = ids[kept].tolist()
-    ends = np.cumsum(kept.reshape(w, size).sum(axis=1)).tolist()
-    return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return ids[kept], kept.reshape(w, size).sum(axis=1)
 
 
-Value = tuple[str, int, bytes]
+def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each row, one row after another."""
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary file; it remembers what chunks and pieces of text become.
+    """Encoder and decoder of one vocabulary file; it remembers the ids of chunks and pieces.
 
     A chunk begins at a line end or at a space before anything but white space. No piece of the pre-tokenizer reaches
-    over such a place, so chunks are encoded one by one; keys leave out the space. What a run of texts has of unknown
-    pieces is merged together. Values: ids as text, their number, their bytes.
+    over such a place, so chunks are encoded one by one. Arrow cuts a batch of texts into chunks and finds the
+    different ones; those not known yet are cut into pieces, whose merges are made together; ids are then gathered for
+    all chunks of the batch. A chunk's key leaves out its first space; a text's first chunk begins with NUL instead.
     """
 
     def __init__(self, path: str):
@@ -194,90 +198,118 @@ class Codec:
         self.merged = [vocab[a + b] for a, b in pairs]
         self.table, self.merged_array = PairTable(self.ranks), np.array(self.merged, np.int64)
         symbols = byte_symbols()
-        self.first = [vocab[s] for s in symbols]
+        self.first = np.array([vocab[s] for s in symbols], np.int64)
         back = {s: b for b, s in enumerate(symbols)}
-        self.bytes = {i: bytes(back[c] for c in s) for s, i in vocab.items()}
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.bytes |= {i: s.encode() for s, i in self.added.items()}
+        self.bytes = {i: bytes(back[c] for c in s) for s, i in vocab.items()} | {i: s.encode() for s, i in self.added.items()}
+        every = range(max(self.bytes) + 1)
+        self.token_bytes = pa.array([self.bytes.get(i, b"") for i in every], pa.large_binary())
+        self.token_text = pa.array([b"%d," % i for i in every], pa.large_binary())
         self.pieces = regex.compile(PATTERN).findall
-        self.odd = re.compile(r"\s\s|[^\S \n]|\0").search
         longest = sorted(self.added, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, longest)) + ")").split if longest else None
-        self.known: dict[str, Value] = {}
-        self.chunks: dict[str, Value] = {}
-
-    def value(self, ids: list[int]) -> Value:
-        return ",".join(map(str, ids)), len(ids), b"".join([self.bytes[i] for i in ids])
-
-    def learn(self, pieces: set[str]) -> dict[str, Value]:
-        """The values of ``pieces`` that are not known yet; short ones are remembered."""
-        by_size: dict[int, list[str]] = {}
-        out: dict[str, Value] = {}
-        first = self.first
-        for p in pieces:
-            n = len(p.encode())
-            if n > MANY:
-                out[p] = self.value(merge_pairs([first[b] for b in p.encode()], self.ranks, self.merged))
-            else:
-                by_size.setdefault(max(2, 1 << (n - 1).bit_length()), []).append(p)
-        for group in by_size.values():
-            for at in range(0, len(group), 8192):
-                part = group[at : at + 8192]
-                for p, ids in zip(part, merge_many([[first[b] for b in p.encode()] for p in part], self.table, self.merged_array), strict=True):
-                    out[p] = self.value(ids)
-        if len(self.known) + len(out) > CACHE_PIECES:
-            self.known.clear()
-        self.known.update((p, v) for p, v in out.items() if len(p) <= CACHE_CHARS)
+        self.odd = "|".join([ODD, *map(re.escape, longest)])
+        self.forget()
+
+    def forget(self) -> None:
+        self.chunks: dict[str, int] = {"\0": 0}
+        self.known: dict[str, int] = {}
+        self.start, self.length, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.empty(0, np.int32)
+
+    def store(self, ids: np.ndarray, length: np.ndarray) -> int:
+        """Keep rows of ids; gives the number of the first."""
+        n = len(self.start)
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        return n
+
+    def learn(self, pieces: list[str]) -> dict[str, int]:
+        """Numbers of different pieces that are not known yet."""
+        out: dict[str, int] = {}
+        raw = [p.encode() for p in pieces]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        level = np.ceil(np.log2(np.maximum(size, 2))).astype(int)
+        for k in np.unique(level):
+            group = np.flatnonzero(level == k)
+            for at in range(0, len(group), 16384):
+                part = group[at : at + 16384]
+                if 1 << k > MANY:
+                    rows = [merge_pairs(self.first[np.frombuffer(raw[g], np.uint8)].tolist(), self.ranks, self.merged) for g in part]
+                    ids, length = np.array([i for r in rows for i in r], np.int64), np.array(list(map(len, rows)), np.int64)
+                else:
+                    ids, length = merge_many(self.first[np.frombuffer(b"".join([raw[g] for g in part]), np.uint8)], size[part], self.table, self.merged_array)
+                out.update(zip([pieces[g] for g in part], range(n := self.store(ids, length), n + len(part)), strict=True))
+        self.known.update((p, n) for p, n in out.items() if len(p) <= CACHE_CHARS)
         return out
 
-    def split(self, text: str) -> list[str | tuple[str, int]]:
-        """Keys of chunks of a text in order, and (text, id) of added tokens, whose strings stand for themselves.
+    def numbers(self, keys: list[str]) -> np.ndarray:
+        """The rows of ids of different chunks."""
+        if len(self.chunks) + len(self.known) > CACHE_PIECES:
+            self.forget()
+        chunks, known = self.chunks, self.known
+        new = [c for c in keys if c not in chunks]
+        cut: list[list[str]] = []
+        for c in new:
+            if c.isalpha():
+                cut.append([" " + c])
+            else:
+                cut.append(self.pieces(c[1:] if c[:1] == "\0" else c if c[:1] == "\n" else " " + c))
+        fresh = self.learn(list({p for ps in cut for p in ps if p not in known}))
+        of = lambda p: n if (n := fresh.get(p)) is not None else known[p]
+        extra: dict[str, int] = {}
+        several = [i for i, ps in enumerate(cut) if len(ps) != 1]
+        parts = np.fromiter((of(p) for i in several for p in cut[i]), np.int64)
+        count = np.fromiter((len(cut[i]) for i in several), np.int64, len(several))
+        sizes = self.length[parts]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(count)])]
+        base = self.store(self.ids[ragged(self.start[parts], sizes)], np.diff(ends)) if several else 0
+        at = dict(zip(several, range(base, base + len(several)), strict=True))
+        for i, c in enumerate(new):
+            n = at[i] if i in at else of(cut[i][0])
+            if len(c) <= CACHE_CHARS:
+                chunks[c] = n
+            else:
+                extra[c] = n
+        if extra:
+            return np.fromiter((n if (n := extra.get(c)) is not None else chunks[c] for c in keys), np.int64, len(keys))
+        return np.fromiter(map(chunks.__getitem__, keys), np.int64, len(keys))
 
-        Texts with unusual white space (two in a row, or other than spaces and line ends) are one chunk: such keys, and
-        that of what comes before the first space, begin with a mark of their own, NUL; so texts that hold one are one chunk, too.
-        """
-        out: list[str | tuple[str, int]] = []
+    def whole(self, text: str) -> list[int]:
+        """Ids of a text with added tokens, whose strings stand for themselves, or with unusual white space."""
+        out: list[int] = []
         for k, part in enumerate(self.special(text) if self.special else [text]):
             if k % 2:
-                out.append((part, self.added[part]))
-            elif part and self.odd(part):
-                out.append("\0" + part)
-            elif part:
-                first, *rest = part.replace("\n", " \n").split(" ")
-                if first:
-                    out.append("\0" + first)
-                out += rest
+                out.append(self.added[part])
+                continue
+            for p in self.pieces(part):
+                n = self.known.get(p)
+                n = self.learn([p])[p] if n is None else n
+                out += self.ids[self.start[n] : self.start[n] + self.length[n]].tolist()
         return out
 
-    def encoded(self, texts: list[str]) -> list[list[Value]]:
-        """The values of the chunks of each text."""
-        keys = [self.split(t) for t in texts]
-        chunks = self.chunks
-        own = set().union(*keys)
-        new = own.difference(chunks)
-        if len(chunks) + len(new) > CACHE_PIECES:
-            chunks.clear()
-            new = own
-        cut = {c: self.pieces(c[1:] if c[:1] == "\0" else c if c[:1] == "\n" else f" {c}") for c in new if isinstance(c, str)}
-        known = self.known
-        fresh = self.learn({p for ps in cut.values() for p in ps if p not in known})
-        extra: dict[str | tuple[str, int], Value] = {}
-        for c in new:
-            if not isinstance(c, str):
-                extra[c] = str(c[1]), 1, self.bytes[c[1]]
-                continue
-            got = [fresh.get(p) or known.get(p) or self.learn({p})[p] for p in cut[c]]
-            v = got[0] if len(got) == 1 else (",".join([x[0] for x in got]), sum([x[1] for x in got]), b"".join([x[2] for x in got]))
-            if len(c) <= CACHE_CHARS:
-                chunks[c] = v
-            else:
-                extra[c] = v
-        if extra:
-            return [[extra.get(c) or chunks[c] for c in row] for row in keys]
-        return [list(map(chunks.__getitem__, row)) for row in keys]
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of each text's); null texts have none."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
+        rows = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), plain, pa.scalar("", pa.large_string())), "\n", " \n"), " ")
+        words = rows.flatten().dictionary_encode()
+        number = self.numbers(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy()]
+        size = self.length[number]
+        ids = self.ids[ragged(self.start[number], size)]
+        edges = rows.offsets.to_numpy() - rows.offsets[0].as_py()
+        through = np.concatenate([[0], np.cumsum(size)])[edges]
+        count = np.diff(through)
+        if not odd.any():
+            return ids, count
+        out = np.split(ids, through[1:-1])
+        for i in np.flatnonzero(odd):
+            out[i] = np.array(self.whole(texts[i].as_py()), np.int32)
+        return np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for p in self.encoded([text])[0] for i in p[0].split(",")]
+        return self.encode_batch(pa.array([text], pa.string()))[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Bytes that are no UTF-8 become U+FFFD."""
@@ -289,6 +321,14 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def joined(table: pa.Array, ids: np.ndarray, count: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The entries of ``ids`` in one buffer, and where in it each text begins; the last place is the end."""
+    got = table.take(pa.array(ids))
+    offsets = np.frombuffer(got.buffers()[1], np.int64)[got.offset : got.offset + len(got) + 1] if len(got) else np.zeros(1, np.int64)
+    data = memoryview(got.buffers()[2] or b"") if len(got) else memoryview(b"")
+    return data, offsets[np.concatenate([[0], np.cumsum(count)])]
+
+
 def encode_documents(docs: DataFrame, vocabulary: str, *, keep_ids: bool = False) -> DataFrame:
     """Encode each whole text and decode the ids again, one row for each row of ``docs``, without a shuffle.
 
@@ -305,25 +345,21 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, keep_ids: bool = False
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
         sha = hashlib.sha256
-        for batch in batches:
-            n, ids_sha, dec_sha, ids, decoded = [], [], [], [], []
-            for at in range(0, batch.num_rows, TEXTS):
-                for got in c.encoded([t or "" for t in batch.column(1).slice(at, TEXTS).to_pylist()]):
-                    texts, counts, pieces = zip(*(got or [("", 0, b"")]), strict=True)
-                    n.append(sum(counts))
-                    numbers = ",".join(texts)
-                    ids_sha.append(sha(numbers.encode()).hexdigest())
-                    back = b"".join(pieces).decode("utf-8", "replace")
-                    dec_sha.append(sha(back.encode()).hexdigest())
-                    if keep_ids:
-                        ids.append([int(i) for i in numbers.split(",") if i])
-                        decoded.append(back)
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(dec_sha, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_ids:
-                columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
+                ids, count = c.encode_batch(batch.column(1))
+                text, begin = joined(c.token_text, ids, count)
+                ids_sha = [sha(text[a : max(a, b - 1)]).hexdigest() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+                data, begin = joined(c.token_bytes, ids, count)
+                decoded = [bytes(data[a:b]).decode("utf-8", "replace") for a, b in zip(begin[:-1], begin[1:], strict=True)]
+                dec_sha = [sha(t.encode()).hexdigest() for t in decoded]
+                columns = [batch.column(0), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(dec_sha, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if keep_ids:
+                    columns += [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(ids, pa.int32())), pa.array(decoded, pa.string())]
+                    names += ["ids", "decoded"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, kind)
 
