@@ -58,7 +58,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends there and outlives executors."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

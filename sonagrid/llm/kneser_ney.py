@@ -107,9 +107,8 @@ def block_grams(docs: DataFrame, order: int) -> DataFrame:
         for batch in batches:
             grams.add([t or "" for t in batch.column(0).to_pylist()], [bool(t) for t in batch.column(1).to_pylist()])
         block = TaskContext.get().partitionId()
-        for at in range(0, len(grams.texts), 100_000):
-            part = grams.texts[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int32()), pa.array(part, pa.string()), pa.array(grams.counts[at : at + 100_000], pa.int64())], names=["block", "gram", "n"])
+        table = pa.table({"block": pa.array(np.full(len(grams.texts), block, np.int32)), "gram": pa.array(grams.texts, pa.string()), "n": pa.array(grams.counts, pa.int64())})
+        yield from table.sort_by("gram").to_batches(max_chunksize=100_000)  # in order they take half the room
 
     return docs.select("text", "trusted").mapInArrow(run, "block int, gram string, n long")
 
@@ -153,7 +152,7 @@ def log_probabilities(grams: DataFrame, order: int) -> DataFrame:
         out = out.withColumns({"total": F.lit(total), "back": F.lit(back)}) if k == 1 else out.join(ctx, "ctx", "left")
         p = F.coalesce(F.col("own") / F.col("total"), F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * F.col("p")
         out = out.select("gram", p.alias("p"))
-    return out.select("gram", F.log("p").alias("logp"))
+    return out.select("gram", F.log("p").cast("float").alias("logp"))
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -161,7 +160,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId()
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 sink = pa.BufferOutputStream()
@@ -203,7 +202,7 @@ def perplexities(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     def run(blocks: pa.Table, model: pa.Table) -> pa.Table:
         code = codes_of("".join(model.column("gram").to_pylist()), order)[::order] if model.num_rows else np.zeros(1, np.uint64)
-        value = model.column("logp").to_numpy() if model.num_rows else np.full(1, np.nan)
+        value = model.column("logp").to_numpy().astype(float) if model.num_rows else np.full(1, np.nan)
         rank = np.argsort(code, kind="stable")
         code, value = code[rank], value[rank]
         out = []
