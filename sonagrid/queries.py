@@ -1,15 +1,914 @@
-"""All queries of the library over the test tables, and their SQL."""
+"""All queries of the library over the test tables, and their SQL.
+
+The tables hold no audio, so each operator runs on one of like structure: events are labelled intervals of a recording
+(the user), embeddings are voice vectors, line items give trials, conversations are transcripts, pages give paths.
+Values are rounded to six places, as sums of doubles depend on their order.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import scalars, vectors
+from .operators import der, intervals, labels, manifests, tracks, transcripts, trials
+from .sources import text_tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+ORIGIN = "2024-01-01 00:00:00"
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a query under its function's name, with the SQL that gives the same rows."""
+
+    def register(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns to six places; a zero loses its sign."""
+    return df.withColumns({c: F.round(F.col(c), 6) + 0.0 for c in columns})
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rec, seq, st, ed, label): events as intervals of a user, in order."""
+    e = table(spark, sf_dir, "events")
+    st = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(ORIGIN).cast("timestamp"))) / 1e6
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return e.select(F.col("user_id").alias("rec"), seq.alias("seq"), st.alias("st"), (st + F.col("value") * 60).alias("ed"), F.col("event_type").alias("label"), "event_id", "value")
+
+
+SEG = """WITH seg AS (SELECT user_id AS rec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq,
+  (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 1e6 AS st,
+  (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 1e6 + value * 60 AS ed, event_type AS label, event_id, value FROM events)"""
+
+
+def voices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("utt_id"), vectors.doubles("embedding").alias("embedding"), "label")
+
+
+def trial_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(enrol, test, label): different pairs of supplier and quantity, both of which are vec_ids; same label: target."""
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("enrol"), F.col("l_quantity").cast("long").alias("test")).distinct()
+    of = lambda n: voices(spark, sf_dir).select(F.col("utt_id").alias(n), F.col("label").alias(f"_{n}"))
+    rows = pairs.join(of("enrol"), "enrol").join(of("test"), "test")
+    return rows.select("enrol", "test", (F.col("_enrol") == F.col("_test")).cast("int").alias("label"))
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = voices(spark, sf_dir)
+    return trials.score_trials(trial_list(spark, sf_dir), v, v)
+
+
+SCORED = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
+  pairs AS (SELECT DISTINCT l_suppkey AS enrol, l_quantity::BIGINT AS test FROM lineitem),
+  sc AS (SELECT enrol, test, (a.label = b.label)::INT AS label, list_cosine_similarity(a.e, b.e) AS score
+    FROM pairs JOIN v a ON a.vec_id = enrol JOIN v b ON b.vec_id = test)"""
+CURVE = SCORED + """, tot AS (SELECT sum(label) AS nt, sum(1 - label) AS ni FROM sc),
+  cum AS (SELECT row_number() OVER w AS rn, enrol, test, score, sum(label) OVER w * 1.0::DOUBLE / nt AS fnr,
+    1 - sum(1 - label) OVER w * 1.0::DOUBLE / ni AS fpr FROM sc, tot
+    WINDOW w AS (ORDER BY score, enrol, test ROWS UNBOUNDED PRECEDING))"""
+
+
+# --- trials and metrics ---------------------------------------------------------------------------------------------
+
+
+@query(SCORED + " SELECT enrol, test, label, round(score, 6) + 0.0 AS score FROM sc")
+def trial_scores(spark, sf_dir):
+    return rounded(scored(spark, sf_dir), "score").select("enrol", "test", "label", "score")
+
+
+@query(CURVE + " SELECT rn, round(fnr, 6) + 0.0 AS fnr, round(fpr, 6) + 0.0 AS fpr FROM cum")
+def det_points(spark, sf_dir):
+    return rounded(trials.det_curve(scored(spark, sf_dir), "score", "label", "enrol", "test"), "fnr", "fpr").select("rn", "fnr", "fpr")
+
+
+@query(CURVE + """, x AS (SELECT min(CASE WHEN fnr - fpr >= 0 THEN rn END) AS x1, max(CASE WHEN fnr - fpr < 0 THEN rn END) AS x2 FROM cum),
+  e AS (SELECT a.fnr + (a.fnr - a.fpr) / (b.fpr - a.fpr - (b.fnr - a.fnr)) * (b.fnr - a.fnr) AS eer, a.score AS threshold
+    FROM x JOIN cum a ON a.rn = x1 JOIN cum b ON b.rn = x2)
+  SELECT round(eer, 6) AS eer, round(threshold, 6) AS threshold,
+    (SELECT round(min(fnr * 0.01 + fpr * 0.99) / 0.01, 6) FROM cum) AS min_dcf,
+    (SELECT nt::BIGINT FROM tot) AS n_target, (SELECT ni::BIGINT FROM tot) AS n_nontarget FROM e""")
+def trial_eer(spark, sf_dir):
+    rows = scored(spark, sf_dir)
+    curve = trials.det_curve(rows, "score", "label", "enrol", "test")
+    n = rows.agg(F.sum("label").alias("n_target"), F.sum(1 - F.col("label")).alias("n_nontarget"))
+    out = trials.eer(curve).crossJoin(trials.min_dcf(curve).select("min_dcf")).crossJoin(n)
+    return rounded(out, "eer", "threshold", "min_dcf")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trial_eer(spark, sf_dir)
+
+
+@query(CURVE + """ SELECT p AS p_target, round(min(fnr * p + fpr * (1 - p)), 6) AS cost, round(min(fnr * p + fpr * (1 - p)) / least(p, 1 - p), 6) AS min_dcf
+  FROM cum, (SELECT unnest([0.01, 0.05, 0.5])::DOUBLE AS p) GROUP BY p""")
+def min_dcf_sweep(spark, sf_dir):
+    curve = trials.det_curve(scored(spark, sf_dir), "score", "label", "enrol", "test").select("fnr", "fpr", F.explode(F.array(*[F.lit(p) for p in (0.01, 0.05, 0.5)])).alias("p"))
+    cost = F.min(F.col("fnr") * F.col("p") + F.col("fpr") * (1 - F.col("p")))
+    return rounded(curve.groupBy(F.col("p").alias("p_target")).agg(cost.alias("cost")).withColumn("min_dcf", F.col("cost") / F.least(F.col("p_target"), 1 - F.col("p_target"))), "cost", "min_dcf")
+
+
+@query()
+def det_probit(spark, sf_dir):
+    return trials.det_probit(trials.det_curve(scored(spark, sf_dir), "score", "label", "enrol", "test"))
+
+
+@query(SCORED + """ SELECT least(19, floor((score + 1) / 2 * 20))::INT AS bin, round(count(*) * 1.0::DOUBLE / sum(count(*)) OVER (), 6) AS share,
+  round(sum(count(*)) OVER (ORDER BY least(19, floor((score + 1) / 2 * 20))::INT) * 1.0::DOUBLE / sum(count(*)) OVER (), 6) AS cumulative FROM sc GROUP BY 1""")
+def score_histogram(spark, sf_dir):
+    return rounded(trials.norm_counts(scored(spark, sf_dir), "score", -1.0, 1.0, 20), "share", "cumulative")
+
+
+@query(SCORED + """ SELECT enrol, label, count(*) AS n, round(sum(w), 6) AS weight FROM
+  (SELECT enrol, label, (CASE WHEN label = 1 THEN 10.0::DOUBLE ELSE 100.0::DOUBLE END) / count(*) OVER (PARTITION BY enrol, label) AS w FROM sc) GROUP BY ALL""")
+def equalized_weights(spark, sf_dir):
+    rows = trials.equalised_weights(scored(spark, sf_dir), "label", ["enrol"], 10.0, 100.0)
+    return rounded(rows.groupBy("enrol", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight")), "weight")
+
+
+@query(SCORED + """, c AS (SELECT sum(label) OVER w AS tp, row_number() OVER w AS rn, (SELECT sum(label) FROM sc) AS nt FROM sc
+    WINDOW w AS (ORDER BY score DESC, enrol, test ROWS UNBOUNDED PRECEDING)),
+  e AS (SELECT rn, tp * 1.0::DOUBLE / nt AS r, max(tp * 1.0::DOUBLE / rn) OVER (ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS p FROM c),
+  f AS (SELECT r - coalesce(lag(r) OVER (ORDER BY rn), 0) AS d, p FROM e)
+  SELECT round(sum(d * p), 6) AS ap FROM f""")
+def avg_precision(spark, sf_dir):
+    return rounded(trials.average_precision(scored(spark, sf_dir), "score", "label", "enrol", "test"), "ap")
+
+
+@query(SCORED + """ SELECT enrol, test, round(score, 6) + 0.0 AS score, k FROM (SELECT *, row_number() OVER (PARTITION BY enrol ORDER BY round(score, 9) DESC, test) AS k FROM sc) WHERE k <= 3""")
+def score_topk(spark, sf_dir):
+    rank = F.row_number().over(Window.partitionBy("enrol").orderBy(F.round("score", 9).desc(), "test"))
+    return rounded(scored(spark, sf_dir).withColumn("k", rank).where("k <= 3").select("enrol", "test", "score", "k"), "score")
+
+
+@query(SCORED + " SELECT enrol || ' ' || test || ' ' || label || ' ' || printf('%.3f', round(score, 3) + 0.0) AS value FROM sc")
+def score_writer(spark, sf_dir):
+    return scored(spark, sf_dir).select(F.concat_ws(" ", "enrol", "test", "label", F.format_string("%.3f", F.round("score", 3) + 0.0)).alias("value"))
+
+
+JUDGED = "WITH j AS (SELECT d.lang AS truth, CASE WHEN l.quality = 1 THEN d.lang ELSE 'en' END AS pred, l.quality, l.toxic, d.n_chars, d.doc_id FROM documents d JOIN labels l USING (doc_id))"
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rows = d.select("doc_id", "lang", "n_chars").join(l, "doc_id")
+    return rows.select(F.col("lang").alias("truth"), F.when(F.col("quality") == 1, F.col("lang")).otherwise("en").alias("pred"), "quality", "toxic", "n_chars", "doc_id")
+
+
+@query(JUDGED + " SELECT round(avg((truth = pred)::INT), 6) AS accuracy, count(*) AS n FROM j")
+def accuracy(spark, sf_dir):
+    return rounded(judged(spark, sf_dir).agg(F.avg((F.col("truth") == F.col("pred")).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n")), "accuracy")
+
+
+@query(JUDGED + " SELECT truth, pred, count(*) AS n FROM j GROUP BY CUBE (truth, pred)")
+def confusion(spark, sf_dir):
+    return trials.confusion(judged(spark, sf_dir), "truth", "pred")
+
+
+@query(JUDGED + """, s AS (SELECT truth AS c, 1 AS t, 0 AS p, (truth = pred)::INT AS h FROM j UNION ALL SELECT pred, 0, 1, 0 FROM j),
+  a AS (SELECT c, sum(t) AS t, sum(p) AS p, sum(h) AS h FROM s GROUP BY c HAVING sum(t) > 0),
+  b AS (SELECT c, t, h / (t + 1e-10) AS r, h / (p + 1e-10) AS q FROM a)
+  SELECT c AS class, t::BIGINT AS support, round(r, 6) AS recall, round(q, 6) AS precision, round(2 * r * q / (r + q + 1e-10), 6) AS f1 FROM b""")
+def prf(spark, sf_dir):
+    return rounded(trials.prf(judged(spark, sf_dir), "truth", "pred"), "recall", "precision", "f1")
+
+
+BINARY = JUDGED + """, c AS (SELECT sum((quality = 1 AND toxic = 1)::INT) * 1.0::DOUBLE AS tp, sum(toxic) AS pp, sum(quality) AS tt, avg((quality = toxic)::INT) AS acc FROM j)"""
+
+
+@query(BINARY + " SELECT round(acc, 6) AS accuracy, round(tp / pp, 6) AS precision, round(tp / tt, 6) AS recall, round(2 * tp / (pp + tt), 6) AS f1 FROM c")
+def binary_prf(spark, sf_dir):
+    return rounded(trials.binary_scores(judged(spark, sf_dir), "quality", "toxic"), "accuracy", "precision", "recall", "f1")
+
+
+@query(BINARY + " SELECT round(acc, 6) AS accuracy, round(tp / tt, 6) AS precision, round(tp / pp, 6) AS recall, round(2 * tp / (pp + tt), 6) AS f1 FROM c")
+def binary_prf_swapped(spark, sf_dir):
+    return rounded(trials.binary_scores(judged(spark, sf_dir), "quality", "toxic", swap=True), "accuracy", "precision", "recall", "f1")
+
+
+@query("""WITH x AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+  r AS (SELECT x.vec_id, (SELECT count(*) FROM (SELECT unnest(e[1:10]) AS v, unnest(range(10)) AS i) WHERE v > e[label + 1] OR (v = e[label + 1] AND i < label)) AS pos FROM x)
+  SELECT k, round(avg((pos < k)::INT), 6) AS accuracy FROM r, (SELECT unnest([1, 3, 5]) AS k) GROUP BY k""")
+def topk_accuracy(spark, sf_dir):
+    rows = voices(spark, sf_dir).select(F.slice("embedding", 1, 10).alias("logits"), "label")
+    return rounded(trials.topk_accuracy(rows, "logits", "label", [1, 3, 5]), "accuracy")
+
+
+# --- intervals ------------------------------------------------------------------------------------------------------
+
+
+@query(SEG + """, a AS (SELECT *, max(ed) OVER (PARTITION BY rec ORDER BY st, ed ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM seg),
+  b AS (SELECT *, sum((m IS NULL OR m < st)::INT) OVER (PARTITION BY rec ORDER BY st, ed ROWS UNBOUNDED PRECEDING) AS g FROM a)
+  SELECT rec, round(min(st), 6) AS st, round(max(ed), 6) AS ed FROM b GROUP BY rec, g""")
+def intervals_merge_max(spark, sf_dir):
+    return rounded(intervals.merge_intervals(segments(spark, sf_dir), ["rec"], "max"), "st", "ed")
+
+
+LAST = """, a AS (SELECT *, lag(ed) OVER (PARTITION BY rec ORDER BY st, seq) AS m FROM {src}),
+  b AS (SELECT *, sum((m IS NULL OR st > m)::INT) OVER (PARTITION BY rec ORDER BY st, seq ROWS UNBOUNDED PRECEDING) AS g FROM a)
+  SELECT rec, round(min(st), 6) AS st, round(arg_max(ed, seq), 6) AS ed FROM b GROUP BY rec, g"""
+
+
+@query(SEG + LAST.format(src="seg"))
+def intervals_merge_last(spark, sf_dir):
+    return rounded(intervals.merge_intervals(segments(spark, sf_dir), ["rec"], "last"), "st", "ed")
+
+
+@query(SEG + LAST.format(src="(SELECT * FROM seg QUALIFY lead(seq) OVER (PARTITION BY rec ORDER BY st, seq) IS NOT NULL)"))
+def intervals_merge_last_drop(spark, sf_dir):
+    return rounded(intervals.merge_intervals(segments(spark, sf_dir), ["rec"], "last_drop"), "st", "ed")
+
+
+COMPRESS = """, a AS (SELECT *, lag(ed) OVER w AS pe, lag(label) OVER w AS pc, lead(st) OVER w AS ns, lead(label) OVER w AS nc FROM seg WINDOW w AS (PARTITION BY rec ORDER BY seq)),
+  b AS (SELECT rec, seq, label, CASE WHEN pc <> label AND st < pe THEN (pe + st) / 2 ELSE st END AS s2,
+    CASE WHEN nc <> label AND ns < ed THEN (ed + ns) / 2 ELSE ed END AS e2, (pc IS NULL OR pc <> label OR st > pe)::INT AS f FROM a),
+  c AS (SELECT *, sum(f) OVER (PARTITION BY rec ORDER BY seq ROWS UNBOUNDED PRECEDING) AS g FROM b),
+  comp AS (SELECT rec, arg_min(s2, seq) AS st, arg_max(e2, seq) AS ed, label FROM c GROUP BY rec, g, label)"""
+
+
+@query(SEG + COMPRESS + " SELECT rec, round(st + 1e-7, 6) AS st, round(ed + 1e-7, 6) AS ed, label FROM comp")
+def compress_labels(spark, sf_dir):
+    out = intervals.compress_labels(segments(spark, sf_dir), ["rec"])
+    return rounded(out.withColumns({"st": F.col("st") + 1e-7, "ed": F.col("ed") + 1e-7}), "st", "ed")  # times are halves of 1e-6
+
+
+@query(SEG + COMPRESS + " SELECT 'SPEAKER ' || rec || ' 0 ' || printf('%.3f', st + 1e-7) || ' ' || printf('%.3f', ed - st + 1e-7) || ' <NA> <NA> ' || label || ' <NA> <NA>' AS value FROM comp")
+def rttm_lines(spark, sf_dir):
+    out = intervals.compress_labels(segments(spark, sf_dir), ["rec"])
+    return text_tables.rttm_lines(out.withColumns({"st": F.col("st") + 1e-7, "ed": F.col("ed") + 2e-7}), "rec", "st", "ed", "label")
+
+
+@query(SEG + """, u AS (SELECT rec, seq, floor(st) AS st, floor(st) + value / 10 AS ed FROM seg)
+  SELECT rec, seq, k::INT AS k, round(st + k * 0.75, 6) AS st, round(least(st + k * 0.75 + 1.5, ed), 6) AS ed
+  FROM u, unnest(range(0, greatest(0, ceil((ed - st - 0.75) / 0.75)::BIGINT + 1) + 1)) AS t(k) WHERE st + k * 0.75 + 1.5 < ed + 0.75""")
+def subsegments(spark, sf_dir):
+    u = segments(spark, sf_dir).select("rec", "seq", F.floor("st").cast("double").alias("st"), (F.floor("st") + F.col("value") / 10).alias("ed"))
+    return rounded(intervals.sliding_chunks(u).select("rec", "seq", "k", "st", "ed"), "st", "ed")
+
+
+@query("""SELECT l_orderkey, l_linenumber, k::INT AS k, k * 3.0::DOUBLE AS start, least(k * 3.0::DOUBLE + 3, l_quantity) AS stop
+  FROM lineitem, unnest(range(0, greatest(1, floor(l_quantity / 3)::BIGINT))) AS t(k)""")
+def training_chunks(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return intervals.fixed_chunks(rows, "l_quantity", 3.0).select("l_orderkey", "l_linenumber", "k", "start", "stop")
+
+
+@query("""SELECT l_orderkey, l_linenumber, k::INT AS k, k * 3.0::DOUBLE AS start, k * 3.0::DOUBLE + 5 AS stop
+  FROM lineitem, unnest(range(0, greatest(0, ceil((l_quantity - 5) / 3)::BIGINT) + 2)) AS t(k) WHERE k * 3.0 < l_quantity - 5""")
+def noise_clips(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return intervals.stepped_clips(rows, "l_quantity").select("l_orderkey", "l_linenumber", "k", "start", "stop")
+
+
+FRAMES = ", fr AS (SELECT rec, seq, st AS t, label, (value > 20)::INT AS n, value / 100 AS act FROM seg)"
+
+
+def frame_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments(spark, sf_dir).select("rec", "seq", F.col("st").alias("t"), "label", (F.col("value") > 20).cast("int").alias("n"), (F.col("value") / 100).alias("act"))
+
+
+@query(SEG + FRAMES + """, a AS (SELECT *, lead(t) OVER w AS nt, lag(n) OVER w AS pn, max(seq) OVER (PARTITION BY rec) AS z FROM fr WINDOW w AS (PARTITION BY rec ORDER BY seq)),
+  b AS (SELECT *, sum((n > 0 AND coalesce(pn, 0) = 0)::INT) OVER (PARTITION BY rec ORDER BY seq ROWS UNBOUNDED PRECEDING) AS g FROM a)
+  SELECT rec, round(min(t), 6) AS st, round(arg_max(coalesce(nt, t), seq), 6) AS ed FROM b WHERE n > 0 GROUP BY rec, g HAVING min(seq) < max(z)""")
+def valid_field(spark, sf_dir):
+    return rounded(intervals.active_runs(frame_table(spark, sf_dir), ["rec"], "seq", "t", "n"), "st", "ed")
+
+
+@query(SEG + FRAMES + """, a AS (SELECT *, lead(t) OVER w AS nt, (act > 0.2)::INT AS o FROM fr WHERE act <> 0.2 WINDOW w AS (PARTITION BY rec ORDER BY seq)),
+  p AS (SELECT *, lag(o) OVER (PARTITION BY rec ORDER BY seq) AS po FROM a),
+  b AS (SELECT *, sum((o = 1 AND coalesce(po, 0) = 0)::INT) OVER (PARTITION BY rec ORDER BY seq ROWS UNBOUNDED PRECEDING) AS g FROM p)
+  SELECT rec, round(min(t), 3) AS st, round(arg_max(coalesce(nt, t), seq), 3) AS ed FROM b WHERE o = 1 GROUP BY rec, g""")
+def frames_to_segments(spark, sf_dir):
+    rows = frame_table(spark, sf_dir).where("act <> 0.2")  # the SQL tells frames at the threshold apart by leaving them out
+    return intervals.frames_to_segments(rows, ["rec"], "seq", "t", "act", 0.2)
+
+
+@query(SEG + """, a AS (SELECT *, lag(st) OVER w AS pt, lag(label) OVER w AS pl FROM seg WINDOW w AS (PARTITION BY rec ORDER BY st)),
+  b AS (SELECT *, sum((pt IS NULL OR pl <> label OR st - pt > 3600 + 1e-4)::INT) OVER (PARTITION BY rec ORDER BY st ROWS UNBOUNDED PRECEDING) AS g FROM a),
+  c AS (SELECT rec, g, label, min(st) AS s, max(st) AS e, max(g) OVER (PARTITION BY rec) AS z FROM b GROUP BY rec, g, label)
+  SELECT rec, round(s, 6) AS st, round(e, 6) AS ed, label FROM c WHERE e - s >= 1e-4 OR g = z""")
+def visual_label_runs(spark, sf_dir):
+    return rounded(intervals.label_runs(segments(spark, sf_dir), ["rec"], "st", "label", 3600.0), "st", "ed")
+
+
+HALVES = """, au AS (SELECT rec, st, ed, label FROM seg WHERE event_id % 2 = 0), vi AS (SELECT rec, st, ed, label, seq FROM seg WHERE event_id % 2 = 1)"""
+
+
+def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two annotations of the same recordings: events with even ids and with odd ids."""
+    s = segments(spark, sf_dir)
+    return s.where(F.col("event_id") % 2 == 0), s.where(F.col("event_id") % 2 == 1)
+
+
+@query(SEG + HALVES + """, tot AS (SELECT rec, label AS vlabel, sum(ed - st) AS dur FROM vi GROUP BY ALL),
+  o AS (SELECT a.rec, a.label, v.label AS vlabel, sum(least(a.ed, v.ed) - greatest(a.st, v.st)) AS ov FROM au a JOIN vi v ON a.rec = v.rec AND a.ed > v.st AND v.ed > a.st GROUP BY ALL)
+  SELECT rec, label, vlabel, round(ov, 5) AS ov FROM o JOIN tot USING (rec, vlabel) WHERE ov > least(0.5 * dur, 0.5)""")
+def overlap_speakers(spark, sf_dir):
+    a, v = halves(spark, sf_dir)
+    return intervals.overlap_speakers(a, v, ["rec"]).withColumn("ov", F.round("ov", 5))
+
+
+REFSYS = """, ref AS (SELECT rec, st, ed, label AS spk FROM seg), sys AS (SELECT rec, st + 20 AS st, ed + 20 AS ed, CASE WHEN event_id % 7 = 0 THEN 'other' ELSE label END AS spk FROM seg)"""
+ATOMS = REFSYS + """, ext AS (SELECT rec, min(st) AS ub, max(ed) AS ue FROM ref GROUP BY rec),
+  pts AS (SELECT DISTINCT rec, t FROM (SELECT rec, st AS t FROM ref UNION ALL SELECT rec, ed FROM ref UNION ALL SELECT rec, st FROM sys UNION ALL SELECT rec, ed FROM sys) JOIN ext USING (rec) WHERE t BETWEEN ub AND ue),
+  pc AS (SELECT rec, t AS st, lead(t) OVER (PARTITION BY rec ORDER BY t) AS ed FROM pts QUALIFY ed - st > 1e-8),
+  act AS (SELECT DISTINCT a.rec, a.st, a.ed, 'R' AS src, s.spk FROM pc a JOIN ref s ON s.rec = a.rec AND s.st < a.ed AND s.ed > a.st
+    UNION SELECT DISTINCT a.rec, a.st, a.ed, 'S', s.spk FROM pc a JOIN sys s ON s.rec = a.rec AND s.st < a.ed AND s.ed > a.st),
+  cnt AS (SELECT a.rec, a.st, a.ed, count(*) FILTER (src = 'R') AS nr, count(*) FILTER (src = 'S') AS ns FROM pc a LEFT JOIN act USING (rec, st, ed) GROUP BY ALL)"""
+
+
+def ref_sys(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    s = segments(spark, sf_dir)
+    other = F.when(F.col("event_id") % 7 == 0, "other").otherwise(F.col("label"))
+    return s.select("rec", "st", "ed", F.col("label").alias("speaker")), s.select("rec", (F.col("st") + 20).alias("st"), (F.col("ed") + 20).alias("ed"), other.alias("speaker"))
+
+
+def der_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref, sys = ref_sys(spark, sf_dir)
+    return intervals.atoms(intervals.extent(ref, ["rec"]), ref, sys, ["rec"])
+
+
+@query(SEG + ATOMS + """ SELECT rec, round(sum((ed - st) * nr), 4) AS scored, round(sum((ed - st) * greatest(0, nr - ns)), 4) AS miss,
+  round(sum((ed - st) * greatest(0, ns - nr)), 4) AS fa, round(sum((ed - st) * least(nr, ns)), 4) AS both FROM cnt GROUP BY rec""")
+def der_atoms(spark, sf_dir):
+    d, r, s = F.col("ed") - F.col("st"), F.col("n_ref"), F.col("n_sys")
+    of = lambda c, n: F.round(F.sum(d * c), 4).alias(n)
+    return der_pieces(spark, sf_dir).groupBy("rec").agg(of(r, "scored"), of(F.greatest(F.lit(0), r - s), "miss"), of(F.greatest(F.lit(0), s - r), "fa"), of(F.least(r, s), "both"))
+
+
+@query(SEG + ATOMS + """ SELECT r.rec, r.spk AS ref, s.spk AS sys, round(sum(r.ed - r.st), 4) AS ov FROM act r JOIN act s USING (rec, st, ed) WHERE r.src = 'R' AND s.src = 'S' GROUP BY ALL""")
+def speaker_overlap(spark, sf_dir):
+    return der.co_occurrence(der_pieces(spark, sf_dir), ["rec"]).withColumn("ov", F.round("ov", 4))
+
+
+@query()
+def speaker_mapping(spark, sf_dir):
+    return der.best_mapping(der.co_occurrence(der_pieces(spark, sf_dir), ["rec"]), ["rec"])
+
+
+@query()
+def der_by_recording(spark, sf_dir):
+    ref, sys = ref_sys(spark, sf_dir)
+    return rounded(der.der(ref, sys, ["rec"]), "scored", "ms", "fa", "ser", "der")
+
+
+@query()
+def der_collar_no_overlap(spark, sf_dir):
+    ref, sys = ref_sys(spark, sf_dir)
+    return rounded(der.der(ref, sys, ["rec"], collar=0.25, ignore_overlap=True), "scored", "ms", "fa", "ser", "der")
+
+
+@query(SEG + REFSYS + ", e AS (SELECT rec, min(st) AS st, max(ed) AS ed FROM ref GROUP BY rec) SELECT rec, round(st, 6) AS st, round(ed, 6) AS ed FROM e")
+def default_uem(spark, sf_dir):
+    return rounded(intervals.extent(ref_sys(spark, sf_dir)[0], ["rec"]), "st", "ed")
+
+
+HOLES = """, e AS (SELECT rec, t, sum(step) AS step FROM ({events}) GROUP BY rec, t),
+  d AS (SELECT rec, t, sum(step) OVER (PARTITION BY rec ORDER BY t) AS depth, lead(t) OVER (PARTITION BY rec ORDER BY t) AS nt FROM e)
+  SELECT rec, round(sum(nt - t) + 1e-7, 4) AS kept, round(min(t) + 1e-7, 4) AS first, round(max(nt) + 1e-7, 4) AS last FROM d WHERE {test} AND nt IS NOT NULL GROUP BY rec"""
+
+
+@query(SEG + REFSYS + ", x AS (SELECT rec, min(st) AS st, max(ed) AS ed FROM ref GROUP BY rec)" + HOLES.format(events="SELECT rec, st AS t, 1000000 AS step FROM x UNION ALL SELECT rec, ed, -1000000 FROM x UNION ALL SELECT rec, b - 5, -1 FROM (SELECT rec, st AS b FROM ref UNION ALL SELECT rec, ed FROM ref) UNION ALL SELECT rec, b + 5, 1 FROM (SELECT rec, st AS b FROM ref UNION ALL SELECT rec, ed FROM ref)", test="depth = 1000000"))
+def collar_uem(spark, sf_dir):
+    ref, _ = ref_sys(spark, sf_dir)
+    out = intervals.subtract_collars(intervals.extent(ref, ["rec"]), ref, ["rec"], 5.0)
+    return out.groupBy("rec").agg(F.round(F.sum(F.col("ed") - F.col("st")) + 1e-7, 4).alias("kept"), F.round(F.min("st") + 1e-7, 4).alias("first"), F.round(F.max("ed") + 1e-7, 4).alias("last"))
+
+
+@query(SEG + REFSYS + HOLES.format(events="SELECT rec, st AS t, 1 AS step FROM ref UNION ALL SELECT rec, ed, -1 FROM ref", test="depth <= 1"))
+def no_overlap_uem(spark, sf_dir):
+    ref, _ = ref_sys(spark, sf_dir)
+    out = intervals.subtract_overlap(intervals.extent(ref, ["rec"]), ref, ["rec"])
+    return out.groupBy("rec").agg(F.round(F.sum(F.col("ed") - F.col("st")) + 1e-7, 4).alias("kept"), F.round(F.min("st") + 1e-7, 4).alias("first"), F.round(F.max("ed") + 1e-7, 4).alias("last"))
+
+
+@query(SEG + REFSYS + """ SELECT r.label AS ref_type, s.label AS sys_type, count(*) AS n, round(sum(r.value), 4) AS weight FROM seg r JOIN seg s ON r.rec = s.rec AND r.seq + 1 = s.seq GROUP BY ALL""")
+def type_confusion(spark, sf_dir):
+    s = segments(spark, sf_dir)
+    n = s.select("rec", (F.col("seq") - 1).alias("seq"), F.col("label").alias("sys_type"))
+    return s.join(n, ["rec", "seq"]).groupBy(F.col("label").alias("ref_type"), "sys_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("weight"))
+
+
+@query(SEG + " SELECT rec, label, count(*) AS n, round(sum(ed - st), 4) AS dur FROM seg GROUP BY GROUPING SETS ((rec), (label), (rec, label), ())")
+def grouping_totals(spark, sf_dir):
+    s = segments(spark, sf_dir).withColumn("d", F.col("ed") - F.col("st"))
+    return s.groupingSets([["rec"], ["label"], ["rec", "label"], []], "rec", "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("d"), 4).alias("dur"))
+
+
+# --- labels and vectors -----------------------------------------------------------------------------------------------
+
+
+CENT = """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+  lg AS (SELECT vec_id, label, unnest(e) AS x, unnest(range(len(e))) AS i FROM v)"""
+
+
+def long_form(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    """Arrays as rows (i, columns rounded)."""
+    z = F.arrays_zip(*columns)
+    keep = [c for c in df.columns if c not in columns]
+    return df.select(*keep, F.posexplode(z).alias("i", "z")).select(*keep, "i", *[(F.round(F.col(f"z.{c}"), places) + 0.0).alias(c) for c in columns])
+
+
+@query(CENT + " SELECT label, i::INT AS i, round(avg(x), 6) + 0.0 AS centroid FROM lg GROUP BY label, i")
+def centroids(spark, sf_dir):
+    return long_form(vectors.mean_vectors(voices(spark, sf_dir), ["label"], "embedding"), "centroid")
+
+
+CENTROIDS = CENT + """, m AS (SELECT label, i, avg(x) AS m FROM lg GROUP BY label, i), c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY label)"""
+
+
+@query(CENTROIDS + """, s AS (SELECT vec_id, c.label AS nearest, list_cosine_similarity(e, c) AS s FROM v, c)
+  SELECT vec_id AS utt_id, arg_max(nearest, s) AS nearest, round(max(s), 6) AS cosine FROM s GROUP BY vec_id""")
+def nearest_centroid(spark, sf_dir):
+    v = voices(spark, sf_dir)
+    c = vectors.mean_vectors(v, ["label"], "embedding")
+    return rounded(labels.nearest_centroid(v.drop("label"), c, []).select("utt_id", "nearest", "cosine"), "cosine")
+
+
+@query("""WITH v AS (SELECT vec_id, CASE WHEN vec_id % 97 < 3 THEN 100 + (vec_id % 97)::INT ELSE label END AS label, label AS g, embedding::DOUBLE[] AS e FROM embeddings),
+  n AS (SELECT label, count(*) AS n FROM v GROUP BY label), lim AS (SELECT max(n) / 3 AS k FROM n),
+  r AS (SELECT v.*, n, n > k AS big FROM v JOIN n USING (label), lim),
+  lg AS (SELECT label, unnest(e) AS x, unnest(range(len(e))) AS i FROM r WHERE big),
+  m AS (SELECT label, i, avg(x) AS m FROM lg GROUP BY label, i), c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY label),
+  s AS (SELECT vec_id, arg_max(c.label, list_cosine_similarity(e, c)) AS label FROM r, c WHERE NOT big GROUP BY vec_id)
+  SELECT vec_id AS utt_id, label FROM r WHERE big UNION ALL SELECT vec_id, label FROM s""")
+def minor_cluster(spark, sf_dir):
+    v = voices(spark, sf_dir).withColumn("label", F.when(F.col("utt_id") % 97 < 3, (100 + F.col("utt_id") % 97).cast("int")).otherwise(F.col("label")))
+    n = v.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") / 3).alias("k")).first()["k"]
+    return labels.absorb_minor(v.withColumn("rec", F.lit(0)), ["rec"], "label", "embedding", n).select("utt_id", "label")
+
+
+@query("""WITH f AS (SELECT label, min(vec_id) AS p0 FROM embeddings GROUP BY label), c AS (SELECT label, row_number() OVER (ORDER BY p0) - 1 AS code FROM f)
+  SELECT vec_id AS utt_id, code::INT AS label FROM embeddings JOIN c USING (label)""")
+def arrange_labels(spark, sf_dir):
+    v = labels.arrange_labels(voices(spark, sf_dir).withColumn("rec", F.lit(0)), ["rec"], "utt_id", "label")
+    return v.select("utt_id", F.col("label").cast("int").alias("label"))
+
+
+@query("""SELECT event_id, (dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) - 1)::INT AS code FROM events""")
+def densify_labels(spark, sf_dir):
+    s = segments(spark, sf_dir).select("rec", "event_id", "label")
+    return labels.sorted_labels(s, ["rec"], "label").select("event_id", F.col("label").cast("int").alias("code"))
+
+
+@query("""WITH f AS (SELECT event_type, min(event_id) AS p0 FROM events GROUP BY 1), c AS (SELECT event_type, row_number() OVER (ORDER BY p0) - 1 AS code, count(*) OVER () AS n FROM f)
+  SELECT event_id, (code + n * (event_id % 3))::BIGINT AS code FROM events JOIN c USING (event_type)""")
+def speed_classes(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("event_id") % 3).alias("speed"))
+    return labels.encode_labels(e, "event_type", "event_id", speed="speed").select("event_id", "code")
+
+
+@query(SCORED + """, r AS (SELECT *, row_number() OVER (PARTITION BY enrol ORDER BY round(score, 9), test) AS k, count(*) OVER (PARTITION BY enrol) AS n FROM sc)
+  SELECT enrol AS i, test AS j, CASE WHEN k <= least(floor(0.98 * n), n - 6) THEN 0 ELSE round(score, 6) END + 0.0 AS sim FROM r""")
+def p_prune(spark, sf_dir):
+    sims = scored(spark, sf_dir).select(F.col("enrol").alias("i"), F.col("test").alias("j"), F.round("score", 9).alias("sim"))
+    return rounded(labels.p_prune(sims, []), "sim").select("i", "j", "sim")
+
+
+@query(SEG + """, h AS (SELECT rec, floor(st / 86400)::BIGINT AS day, label, sum(value) AS act FROM seg GROUP BY ALL), n AS (SELECT rec, day, count(*) % 3 + 1 AS c FROM h GROUP BY ALL)
+  SELECT rec, day, label, round(act, 6) AS act FROM (SELECT *, row_number() OVER (PARTITION BY rec, day ORDER BY act DESC, label) AS k FROM h JOIN n USING (rec, day)) WHERE k <= c AND act > 0""")
+def top_active_speakers(spark, sf_dir):
+    h = segments(spark, sf_dir).groupBy("rec", F.floor(F.col("st") / 86400).alias("day"), "label").agg(F.sum("value").alias("act"))
+    n = h.groupBy("rec", "day").agg((F.count(F.lit(1)) % 3 + 1).alias("c"))
+    return rounded(labels.top_active(h.join(n, ["rec", "day"]), ["rec", "day"], "act", "label", "c"), "act").select("rec", "day", "label", "act")
+
+
+@query(CENT + " SELECT label, i::INT AS i, round(avg(x), 6) + 0.0 AS mean, round(sqrt(var_samp(x) + 1e-8), 6) AS std FROM lg GROUP BY label, i")
+def pool_mean_std(spark, sf_dir):
+    return long_form(vectors.pooled(voices(spark, sf_dir), ["label"], "embedding"), "mean", "std")
+
+
+@query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, 1.0::DOUBLE / count(*) OVER (PARTITION BY label) AS a FROM embeddings),
+  lg AS (SELECT label, a, unnest(e) AS x, unnest(range(len(e))) AS i FROM v), s AS (SELECT label, i, sum(a * x) AS m, sum(a * x * x) AS q FROM lg GROUP BY label, i)
+  SELECT label, i::INT AS i, round(m, 6) + 0.0 AS mean, round(sqrt(greatest(q - m * m, 1e-10)), 6) AS std FROM s""")
+def attentive_pool(spark, sf_dir):
+    v = voices(spark, sf_dir).withColumn("a", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("label")))
+    return long_form(vectors.attentive(v, ["label"], "embedding", "a"), "mean", "std")
+
+
+@query(CENT + " SELECT vec_id AS utt_id, i::INT AS i, round(x - avg(x) OVER (PARTITION BY label, i), 5) + 0.0 AS embedding FROM lg")
+def mean_normalise(spark, sf_dir):
+    out = vectors.mean_normalised(voices(spark, sf_dir), ["label"], "embedding").select("utt_id", "embedding")
+    return long_form(out, "embedding", places=5)
+
+
+def vector_query(expression: Callable, *names: str) -> Callable:
+    """A query that maps each vector to an array and gives its sum, size and first and last item."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        x = voices(spark, sf_dir).select("utt_id", expression(F.col("embedding")).alias("x"))
+        at = lambda k: F.round(F.element_at("x", k), 6) + 0.0
+        return x.select("utt_id", F.size("x").cast("long").alias("n"), (F.round(vectors.total(F.col("x")), 5) + 0.0).alias("total"), at(1).alias("first"), at(-1).alias("last"))
+
+    return run
+
+
+def vector_sql(expression: str) -> str:
+    return f"WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), t AS (SELECT vec_id, {expression} AS x FROM v) SELECT vec_id AS utt_id, len(x) AS n, round(list_sum(x), 5) + 0.0 AS total, round(x[1], 6) + 0.0 AS first, round(x[-1], 6) + 0.0 AS last FROM t"
+
+
+VECTOR_QUERIES = {
+    "l2norm": (vectors.l2_normalised, "[y / sqrt(list_sum([z * z for z in e])) for y in e]"),
+    "softmax": (lambda x: vectors.softmax(x, 0.5), "[exp((y - list_max(e)) / 0.5) / list_sum([exp((z - list_max(e)) / 0.5) for z in e]) for y in e]"),
+    "sharpen": (lambda x: vectors.sharpen(vectors.softmax(x), 0.5), "[exp(2 * y) / list_sum([exp(2 * z) for z in e]) for y in e]"),
+    "circle_pad": (lambda x: vectors.circle_pad(x, 100), "[e[i % len(e) + 1] for i in range(100)]"),
+    "circular_chunks": (lambda x: F.flatten(vectors.circular_chunks(x, 24)), "[e[i % len(e) + 1] for i in range((24 * ceil(len(e) / 24.0))::BIGINT)]"),
+    "framing": (lambda x: F.flatten(vectors.frames(x, 16, 8)), "flatten([e[i * 8 + 1 : i * 8 + 16] for i in range(1 + (len(e) - 16) // 8)])"),
+    "pre_emphasis": (vectors.pre_emphasis, "[e[i] - 0.97 * e[greatest(1, i - 1)] for i in range(1, len(e) + 1)]"),
+    "remove_dc": (vectors.without_mean, "[y - list_avg(e) for y in e]"),
+    "lfr": (lambda x: F.flatten(vectors.lfr(F.transform(x, lambda v: F.array(v)), 7, 6)), "flatten([[e[greatest(1, least(len(e), k * 6 + j - 3 + 1))] for j in range(7)] for k in range(ceil(len(e) / 6.0)::BIGINT)])"),
+    "global_cmvn": (lambda x: vectors.cmvn(x, F.transform(x, lambda v: F.lit(0.5)), F.transform(x, lambda v: F.lit(2.0))), "[(y + 0.5) * 2 for y in e]"),
+    "spectrogram_mask": (lambda x: vectors.mask(x, 10, 20), "[CASE WHEN i >= 10 AND i < 20 THEN 0 ELSE e[i + 1] END for i in range(len(e))]"),
+    "one_hot": (lambda x: vectors.one_hot((F.size(x) % 7), 10, 0.01, 0.91), "[CASE WHEN i = len(e) % 7 THEN 0.91 ELSE 0.01 END::DOUBLE for i in range(10)]"),
+    "hanning": (lambda x: F.zip_with(x, vectors.window("hanning", 64), lambda a, b: a * b), "[e[i + 1] * (0.5 - 0.5 * cos(2 * pi() * i / 63)) for i in range(64)]"),
+    "hamming": (lambda x: F.zip_with(x, vectors.window("hamming", 64), lambda a, b: a * b), "[e[i + 1] * (0.54 - 0.46 * cos(2 * pi() * i / 63)) for i in range(64)]"),
+    "povey": (lambda x: F.zip_with(x, vectors.window("povey", 64), lambda a, b: a * b), "[e[i + 1] * pow(0.5 - 0.5 * cos(2 * pi() * i / 63), 0.85) for i in range(64)]"),
+    "sine": (lambda x: F.zip_with(x, vectors.window("sine", 64), lambda a, b: a * b), "[e[i + 1] * sin(pi() * i / 63) for i in range(64)]"),
+    "blackman": (lambda x: F.zip_with(x, vectors.window("blackman", 64), lambda a, b: a * b), "[e[i + 1] * (0.42 - 0.5 * cos(2 * pi() * i / 63) + 0.08 * cos(4 * pi() * i / 63)) for i in range(64)]"),
+    "ema": (lambda x: F.array(scalars.ema(x, 0.9)), "[list_reduce(e, lambda s, y: s * 0.9 + y * (1 - 0.9))]"),
+    "power_db": (lambda x: F.array(vectors.power_db(x)), "[10 * log10(list_avg([z * z for z in e]) + 1e-6)]"),
+    "angular_margin": (lambda x: F.transform(x, lambda v: scalars.angular_margin(v, 0.2)), "[CASE WHEN y > cos(pi() - 0.2) THEN y * cos(0.2) - sqrt(greatest(0, 1 - y * y)) * sin(0.2) ELSE y - (1 + cos(pi() - 0.2)) END for y in e]"),
+    "snr_mix": (lambda x: vectors.mix_at_snr(x, F.reverse(x), F.lit(10.0)), "[(e[i] + pow(10, -0.5) * e[len(e) + 1 - i]) / (list_max([abs(e[j] + pow(10, -0.5) * e[len(e) + 1 - j]) for j in range(1, len(e) + 1)]) + 1e-6) for i in range(1, len(e) + 1)]"),
+}
+for _name, (_expression, _sql) in VECTOR_QUERIES.items():
+    QUERIES[_name], SQL[_name] = vector_query(_expression), vector_sql(_sql)
+
+
+@query(CENT + """, c AS (SELECT a.i AS i, b.i AS j, covar_samp(a.x, b.x) AS c FROM lg a JOIN lg b USING (vec_id) GROUP BY a.i, b.i)
+  SELECT i::INT AS i, round(sum(CASE WHEN i <> j THEN c * c ELSE 0 END), 6) AS penalty, round(max(CASE WHEN i = j THEN greatest(0, 1 - sqrt(c + 1e-4)) END), 6) AS hinge FROM c GROUP BY i""")
+def covariance_penalty(spark, sf_dir):
+    lg = voices(spark, sf_dir).select("utt_id", F.posexplode("embedding").alias("i", "x"))
+    other = lg.select("utt_id", F.col("i").alias("j"), F.col("x").alias("y"))
+    c = lg.join(other, "utt_id").groupBy("i", "j").agg(F.covar_samp("x", "y").alias("c"))
+    own = F.max(F.when(F.col("i") == F.col("j"), F.greatest(F.lit(0.0), 1 - F.sqrt(F.col("c") + 1e-4))))
+    return rounded(c.groupBy("i").agg(F.sum(F.when(F.col("i") != F.col("j"), F.col("c") * F.col("c")).otherwise(0.0)).alias("penalty"), own.alias("hinge")), "penalty", "hinge")
+
+
+@query(SCORED + """, p AS (SELECT enrol, test, exp(score / 0.1) / sum(exp(score / 0.1)) OVER (PARTITION BY enrol) AS p, label FROM sc) SELECT enrol, round(sum(p * label), 6) AS p FROM p GROUP BY enrol""")
+def soft_nearest(spark, sf_dir):
+    e = F.exp(F.col("score") / 0.1)
+    p = scored(spark, sf_dir).withColumn("p", e / F.sum(e).over(Window.partitionBy("enrol")))
+    return rounded(p.groupBy("enrol").agg(F.sum(F.col("p") * F.col("label")).alias("p")), "p")
+
+
+@query(SCORED + """, m AS (SELECT enrol, max(CASE WHEN enrol <> test THEN score END) AS s FROM sc GROUP BY enrol) SELECT round(-avg(ln(sqrt(greatest(0, 2 - 2 * s)) + 1e-8)), 6) AS koleo FROM m""")
+def koleo_entropy(spark, sf_dir):
+    m = scored(spark, sf_dir).where("enrol <> test").groupBy("enrol").agg(F.max("score").alias("s"))
+    return rounded(m.agg((-F.avg(F.log(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("s"))) + 1e-8))).alias("koleo")), "koleo")
+
+
+def _sinkhorn_sql(n: int) -> str:
+    parts = ["q0 AS (SELECT enrol AS r, test AS c, exp(score / 0.5) AS q FROM sc)"]
+    for k in range(n):
+        parts.append(f"a{k} AS (SELECT r, c, q / sum(q) OVER (PARTITION BY c) AS q FROM q{k}), q{k + 1} AS (SELECT r, c, q / sum(q) OVER (PARTITION BY r) AS q FROM a{k})")
+    return SCORED + ", " + ", ".join(parts) + f" SELECT r, c, round(q, 6) AS q FROM q{n}"
+
+
+@query(_sinkhorn_sql(3))
+def sinkhorn(spark, sf_dir):
+    q = scored(spark, sf_dir).select(F.col("enrol").alias("r"), F.col("test").alias("c"), F.exp(F.col("score") / 0.5).alias("q"))
+    for _ in range(3):
+        for side in ("c", "r"):
+            q = q.withColumn("q", F.col("q") / F.sum("q").over(Window.partitionBy(side)))
+    return rounded(q, "q")
+
+
+@query()
+def cluster_ahc(spark, sf_dir):
+    v = voices(spark, sf_dir).withColumnRenamed("label", "rec")
+    return labels.cluster_embeddings(v, ["rec"], "utt_id", "embedding", "ahc", cluster_line=1 << 30)
+
+
+@query()
+def cluster_spectral(spark, sf_dir):
+    v = voices(spark, sf_dir).withColumnRenamed("label", "rec")
+    return labels.cluster_embeddings(v, ["rec"], "utt_id", "embedding", "spectral", mer_cos=0.8)
+
+
+@query()
+def merge_close_labels(spark, sf_dir):
+    return labels.merge_by_cosine(voices(spark, sf_dir).withColumn("rec", F.lit(0)), ["rec"], "label", "embedding", 0.3).select("utt_id", "label")
+
+
+@query()
+def joint_av_labels(spark, sf_dir):
+    s = segments(spark, sf_dir).join(voices(spark, sf_dir).select(F.col("utt_id").alias("event_id"), "embedding"), "event_id")
+    a, v = s.where(F.col("event_id") % 2 == 0), s.where(F.col("event_id") % 2 == 1)
+    return labels.joint_labels(a, v, ["rec"]).select("rec", "seq", "label", "joint")
+
+
+@query()
+def overlap_refinement(spark, sf_dir):
+    s = segments(spark, sf_dir)
+    minute = lambda c: F.floor(F.col(c) / 600).cast("int")
+    seg = s.select("rec", minute("st").alias("st"), (minute("ed") + 1).alias("ed"), F.col("label").alias("speaker"))
+    frames = seg.select("rec", F.explode(F.sequence(F.col("st"), F.col("ed") - 1)).alias("frame"), "speaker")
+    local = frames.select("rec", F.floor(F.col("frame") / 60).cast("int").alias("chunk"), "frame", F.pmod(F.hash("speaker"), F.lit(3)).alias("class"), F.lit(1.0).alias("active")).distinct()
+    counts = frames.groupBy("rec", "frame").agg(F.countDistinct("speaker").alias("n"))
+    return labels.refine_overlap(seg, local, counts, ["rec"])
+
+
+# --- transcripts ------------------------------------------------------------------------------------------------------
+
+
+ENDS = ".?!"
+TALK = """WITH s AS (SELECT conv_id, turn, role, unnest(regexp_extract_all(text, '[^.?!]*[.?!]|[^.?!]+$')) AS sentence, unnest(range(len(regexp_extract_all(text, '[^.?!]*[.?!]|[^.?!]+$')))) AS k FROM conversations)"""
+
+
+def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.regexp_replace("text", "\n", " ").alias("text"))
+    return transcripts.split_sentences(c, "text", ENDS).withColumn("seq", F.col("turn") * 100_000 + F.col("k"))
+
+
+@query(TALK.replace("text", "replace(text, chr(10), ' ')") + " SELECT conv_id, turn, k::INT AS k, role, sentence FROM s")
+def sentence_split(spark, sf_dir):
+    return talk(spark, sf_dir).select("conv_id", "turn", "k", "role", F.col("text").alias("sentence"))
+
+
+@query()
+def dialogue_windows(spark, sf_dir):
+    return transcripts.dialogue_windows(talk(spark, sf_dir), "conv_id", "seq", "role", "text")
+
+
+@query()
+def turn_windows(spark, sf_dir):
+    return transcripts.turn_windows(talk(spark, sf_dir), "conv_id", "seq", "role", "text")
+
+
+@query("""WITH n AS (SELECT conv_id, turn, role, text, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations)
+  SELECT conv_id, turn, CASE WHEN length(text) > 0 AND contains('.,?!', right(text, 1)) THEN text ELSE text || CASE WHEN nx IS NULL OR nx <> role THEN '.' ELSE ',' END END AS text FROM n""")
+def punct_repair(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return transcripts.repair_punctuation(c, ["conv_id"], "turn", "role", "text", ".", ",", ".,?!").select("conv_id", "turn", "text")
+
+
+@query("""SELECT conv_id, turn, [CASE WHEN list_contains([5, 20], i + 1) THEN 1 WHEN contains('.,?!', substr(text, (i + 1)::BIGINT, 1)) THEN 0 ELSE -100 END for i in range(least(length(text), 64))] AS labels FROM conversations WHERE length(text) > 0""")
+def change_point_labels(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where(F.length("text") > 0)
+    return c.select("conv_id", "turn", transcripts.change_labels(F.col("text"), F.array(F.lit(5), F.lit(20)), ".,?!", 64).alias("labels"))
+
+
+@query("""SELECT conv_id, turn, list_aggregate([substr(text, (i + 1)::BIGINT, 1) || CASE WHEN i IN (4, 19) THEN '|' ELSE '' END for i in range(length(text))], 'string_agg', '') AS text FROM conversations WHERE length(text) > 0""")
+def change_point_text(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where(F.length("text") > 0)
+    points = transcripts.change_labels(F.col("text"), F.array(F.lit(5), F.lit(20)), "", 64)
+    return c.select("conv_id", "turn", transcripts.with_bars(F.col("text"), points).alias("text"))
+
+
+WORDS = """, wd AS (SELECT rec, (seq // 3)::BIGINT AS sentence, seq AS word, st, st + 30 AS ed, substr(label, 1, 2) AS text FROM seg WHERE event_id % 2 = 0),
+  sg AS (SELECT rec, seq, st, ed, label AS speaker FROM seg WHERE event_id % 2 = 1)"""
+
+
+def words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    a, b = halves(spark, sf_dir)
+    w = a.select("rec", F.floor(F.col("seq") / 3).alias("sentence"), F.col("seq").alias("word"), "st", (F.col("st") + 30).alias("ed"), F.substring("label", 1, 2).alias("text"))
+    return w, b.select("rec", "seq", "st", "ed", F.col("label").alias("speaker"))
+
+
+ATTRIBUTED = SEG + WORDS + """, sn AS (SELECT rec, sentence, min(st) AS st, max(ed) AS ed FROM wd GROUP BY ALL),
+  so AS (SELECT a.rec, a.sentence, b.speaker, sum(least(a.ed, b.ed) - greatest(a.st, b.st)) AS ov, min(b.seq) AS f FROM sn a JOIN sg b ON a.rec = b.rec AND a.ed > b.st AND b.ed > a.st GROUP BY ALL),
+  sm AS (SELECT * FROM so QUALIFY row_number() OVER (PARTITION BY rec, sentence ORDER BY round(ov, 6) DESC, f) = 1),
+  wo AS (SELECT a.rec, a.sentence, a.word, b.speaker, sum(least(a.ed, b.ed) - greatest(a.st, b.st)) AS ov, min(b.seq) AS f FROM wd a JOIN sg b ON a.rec = b.rec AND a.ed > b.st AND b.ed > a.st GROUP BY ALL),
+  ws AS (SELECT wo.rec, wo.sentence, word, wo.speaker AS own FROM wo LEFT JOIN sm USING (rec, sentence) QUALIFY row_number() OVER (PARTITION BY wo.rec, wo.sentence, word ORDER BY (wo.speaker = sm.speaker)::INT DESC, round(wo.ov, 6) DESC, wo.f) = 1),
+  al AS (SELECT wd.*, own FROM wd LEFT JOIN ws USING (rec, sentence, word)),
+  lw AS (SELECT rec, sentence, arg_max({own}, word) AS x FROM al GROUP BY ALL),
+  cf AS (SELECT rec, sentence, last_value(nullif(x, '') IGNORE NULLS) OVER (PARTITION BY rec ORDER BY sentence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS carried FROM lw),
+  aw AS (SELECT al.rec, al.sentence, word, st, ed, text, coalesce(own, carried, '0') AS speaker FROM al JOIN cf USING (rec, sentence))""".format(own="coalesce(own, '')")
+
+
+@query(ATTRIBUTED + " SELECT rec, sentence, word, speaker FROM aw")
+def word_attribution(spark, sf_dir):
+    return transcripts.attribute_words(*words(spark, sf_dir), ["rec"]).select("rec", "sentence", "word", "speaker")
+
+
+@query(ATTRIBUTED + """, g AS (SELECT *, lag(speaker) OVER w AS ps, lag(ed) OVER w AS pe FROM aw WINDOW w AS (PARTITION BY rec ORDER BY word)),
+  h AS (SELECT *, sum((ps IS NULL OR ps <> speaker OR st >= pe + 600)::INT) OVER (PARTITION BY rec ORDER BY word ROWS UNBOUNDED PRECEDING) AS i FROM g)
+  SELECT rec, speaker, round(min(st), 6) AS st, round(max(ed), 6) AS ed, string_agg(text, '' ORDER BY word) AS text FROM h GROUP BY rec, i, speaker""")
+def speaker_merge(spark, sf_dir):
+    w = transcripts.attribute_words(*words(spark, sf_dir), ["rec"])
+    return rounded(transcripts.merge_words(w, ["rec"], "word", max_gap=600.0), "st", "ed")
+
+
+@query(SEG + """, a AS (SELECT rec, seq, value, max(seq) OVER (PARTITION BY rec) AS z FROM seg)
+  SELECT rec, seq, round(avg(CASE WHEN seq < z THEN value END) OVER (PARTITION BY rec ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS smoothed FROM a""")
+def smoothed_scores(spark, sf_dir):
+    return rounded(transcripts.smoothed_scores(segments(spark, sf_dir), ["rec"], "seq", "value").select("rec", "seq", "smoothed"), "smoothed")
+
+
+@query("""WITH o AS (SELECT user_id, 2 * row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS f, value FROM events),
+  p AS (SELECT user_id AS rec, f AS f0, value AS v0, lead(f) OVER w AS f1, lead(value) OVER w AS v1 FROM o WINDOW w AS (PARTITION BY user_id ORDER BY f)),
+  x AS (SELECT rec, f0 + k AS frame, v0 + k * 1.0::DOUBLE / (f1 - f0) * (v1 - v0) AS v, v0 FROM p, unnest(range(0, coalesce(f1 - f0, 1))) AS t(k))
+  SELECT rec, frame, round(coalesce(v, v0), 6) AS value FROM x""")
+def filled_track(spark, sf_dir):
+    frame = 2 * F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("rec"), frame.alias("frame"), "value")
+    return rounded(transcripts.filled_track(e, ["rec"], "frame", "value"), "value")
+
+
+@query(SEG + " SELECT label || ': [' || printf('%.3f', st + 1e-7) || ' ' || printf('%.3f', ed + 1e-7) || '] ' || rec AS value FROM seg")
+def transcript_lines(spark, sf_dir):
+    s = segments(spark, sf_dir).withColumns({"t": F.col("rec").cast("string"), "st": F.col("st") + 1e-7, "ed": F.col("ed") + 1e-7})
+    return text_tables.said_lines(s, "label", "st", "ed", "t")
+
+
+@query("SELECT role || ' ' || printf('%.3f', turn * 1.5) || ' ' || printf('%.3f', turn * 1.5 + 1) || ' ' || replace(replace(text, chr(10), ''), chr(13), '') AS value FROM conversations")
+def trans7time_lines(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("role", (F.col("turn") * 1.5).alias("st"), (F.col("turn") * 1.5 + 1).alias("ed"), "text")
+    return text_tables.trans_lines(c, "role", "st", "ed", "text")
+
+
+# --- manifests --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_custkey AS spk, min(o_orderkey) AS first, list(o_orderkey ORDER BY o_orderkey) AS utts FROM orders GROUP BY 1")
+def spk2utt(spark, sf_dir):
+    return manifests.spk2utt(table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey", "o_orderkey").withColumnRenamed("o_custkey", "spk")
+
+
+@query("SELECT o_orderkey AS utt_id, o_custkey AS spk FROM orders")
+def utt2spk(spark, sf_dir):
+    return manifests.utt2spk(spk2utt(spark, sf_dir), "spk", "utts").select("utt_id", "spk")
+
+
+@query("""WITH m AS (SELECT o_orderkey AS u, o_custkey AS s, o_totalprice / 10000 AS d FROM orders), c AS (SELECT u, s, d, k FROM m, unnest(range(0, greatest(1, floor(d / 3)::BIGINT))) AS t(k)),
+  a AS (SELECT *, sum(3.0::DOUBLE) OVER (PARTITION BY s) AS al FROM c)
+  SELECT u || '_' || printf('%.1f', k * 3.0) || '_' || printf('%.1f', least(k * 3.0 + 3, d)) AS "ID", round(d, 6) AS dur, 'w/' || u AS path, k * 3.0::DOUBLE AS start, round(least(k * 3.0 + 3, d), 6) AS stop, s AS spk FROM a WHERE al > 30""")
+def segment_table(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    m = o.select(F.col("o_orderkey").alias("utt_id"), F.concat(F.lit("w/"), F.col("o_orderkey").cast("string")).alias("path"), (F.col("o_totalprice") / 10000).alias("dur"))
+    s = o.select(F.col("o_orderkey").alias("utt_id"), F.col("o_custkey").alias("spk_id"))
+    return rounded(manifests.segment_table(m, s, 3.0, 30.0), "dur", "stop")
+
+
+@query("SELECT l_suppkey AS spk, round(sum(l_quantity), 6) AS dur FROM lineitem GROUP BY 1 HAVING sum(l_quantity) > 100")
+def min_spkdur(spark, sf_dir):
+    return rounded(table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("spk")).agg(F.sum("l_quantity").alias("dur")).where("dur > 100"), "dur")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def semi_join(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(o, "c_custkey", "left_semi")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def missing_partners(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return manifests.without_done(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), o, "c_custkey")
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+def duplicate_keys(spark, sf_dir):
+    return manifests.duplicates(table(spark, sf_dir, "orders"), "o_custkey")
+
+
+@query("SELECT o_custkey AS utt_id, max(o_orderkey) AS path FROM orders GROUP BY 1")
+def last_duplicate_wins(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("utt_id"), F.col("o_orderkey").alias("path"), F.col("o_orderkey").alias("pos"))
+    return manifests.last_wins(o, ["utt_id"], "pos").select("utt_id", "path")
+
+
+@query("SELECT event_id, event_id % 4 AS rank, event_id // 4 % 3 AS worker FROM events")
+def two_level_shards(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", (F.col("event_id") % 4).alias("rank"), (F.floor(F.col("event_id") / 4) % 3).alias("worker"))
+
+
+@query("SELECT event_id FROM events WHERE event_id % 4 = 1")
+def round_robin_shard(spark, sf_dir):
+    return manifests.shard(table(spark, sf_dir, "events").select("event_id"), "event_id", 1, 4)
+
+
+@query("SELECT c_custkey AS key, c_name AS name FROM customer UNION ALL SELECT -s_suppkey - 1, s_name FROM supplier")
+def disjoint_union(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    s = table(spark, sf_dir, "supplier").select((-F.col("s_suppkey") - 1).alias("key"), F.col("s_name").alias("name"))
+    return manifests.disjoint_union(c, s, "key")
+
+
+@query("""SELECT page_id, array_to_string(list_slice(string_split(url, '/'), greatest(1, len(string_split(url, '/')) - 1), len(string_split(url, '/'))), '/') AS last2,
+  string_split(url, '/')[3] AS host, regexp_replace(string_split(url, '/')[-1], '(.)\\.[^.]*$', '\\1') AS stem FROM pages""")
+def path_parts(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", scalars.last_parts(F.col("url"), 2).alias("last2"), F.split("url", "/")[2].alias("host"), scalars.stem(F.col("url")).alias("stem"))
+
+
+@query("SELECT enrol || ' ' || test || ' ' || CASE WHEN label = 0 THEN 'nontarget' ELSE 'target' END AS value FROM (" + SCORED + " SELECT * FROM sc)")
+def trial_recode(spark, sf_dir):
+    return trial_list(spark, sf_dir).select(F.concat_ws(" ", "enrol", "test", F.when(F.col("label") == 0, "nontarget").otherwise("target")).alias("value"))
+
+
+@query(SEG + " SELECT rec || '_' || printf('%.2f', st + 1e-7) || '_' || printf('%.2f', ed + 1e-7) AS segid, rec::VARCHAR AS rec FROM seg")
+def segment_ids(spark, sf_dir):
+    s = segments(spark, sf_dir).select(scalars.segment_id(F.col("rec"), F.col("st") + 1e-7, F.col("ed") + 1e-7).alias("segid"))
+    return s.select("segid", scalars.recording_of(F.col("segid")).alias("rec"))
+
+
+@query("SELECT p_partkey, p_name, replace(p_type, ' ', '_') AS lang FROM part WHERE NOT contains(p_name, 'red')")
+def grep_filter(spark, sf_dir):
+    return table(spark, sf_dir, "part").where(~F.col("p_name").contains("red")).select("p_partkey", "p_name", F.replace("p_type", F.lit(" "), F.lit("_")).alias("lang"))
+
+
+@query("SELECT page_id, replace(replace(replace(html, '<b>', ''), '<p>', ''), '</p>', '') AS html FROM pages")
+def marker_clean(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", scalars.without_markers(F.col("html"), ["<b>", "<p>", "</p>"]).alias("html"))
+
+
+@query("SELECT event_id, props::JSON ->> '$.k' AS k FROM events")
+def json_field(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("SELECT user_id, round(sum(value * event_id) / sum(event_id), 6) AS mean, arg_max(value, event_id) AS last, count(*) AS n FROM events GROUP BY 1")
+def running_means(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return rounded(e.groupBy("user_id").agg((F.sum(F.col("value") * F.col("event_id")) / F.sum("event_id")).alias("mean"), F.max_by("value", "event_id").alias("last"), F.count(F.lit(1)).alias("n")), "mean")
+
+
+@query("""SELECT event_id, round(avg(value) OVER w, 6) AS mean, max(value) OVER w AS most FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
+def smoothed_values(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-19, 0)
+    return rounded(table(spark, sf_dir, "events").select("event_id", F.avg("value").over(w).alias("mean"), F.max("value").over(w).alias("most")), "mean")
+
+
+@query("""SELECT event_id, round(CASE WHEN event_id < 100 THEN 0.1 * event_id / 100 ELSE 1e-5 + 0.5 * (0.1 - 1e-5) * (1 + cos(pi() * (event_id - 100) / 900)) END, 6) + 0.0 AS lr,
+  round(0.1 * pow(0.5, event_id // 100), 6) + 0.0 AS step_lr, round(CASE WHEN event_id < 200 THEN 0 WHEN event_id >= 800 THEN 0.3 ELSE 0.3 + (0 - 0.3) * exp(ln(1e-3) * (event_id - 200) / 600) END, 6) + 0.0 AS margin FROM events""")
+def schedules(spark, sf_dir):
+    s = F.col("event_id")
+    out = table(spark, sf_dir, "events").select("event_id", scalars.warmup_cosine(s, 100, 1000, 0.1, 1e-5).alias("lr"), scalars.step_rate(s, 100, 0.1, 0.5).alias("step_lr"), scalars.margin_schedule(s, 200, 800, 0.0, 0.3).alias("margin"))
+    return rounded(out, "lr", "step_lr", "margin")
+
+
+BOX = "[l_quantity, l_tax * 100, l_quantity + 10, l_tax * 100 + 10]"
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity AS x, l_tax * 100 AS y FROM lineitem),
+  p AS (SELECT a.l_orderkey, a.l_linenumber, greatest(0, least(a.x, b.x) + 10 - greatest(a.x, b.x)) * greatest(0, least(a.y, b.y) + 10 - greatest(a.y, b.y)) AS i
+    FROM b a JOIN b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)
+  SELECT l_orderkey, l_linenumber, round(i / (200 - i), 6) AS iou FROM p""")
+def box_iou(spark, sf_dir):
+    x, y = F.col("l_quantity"), F.col("l_tax") * 100
+    b = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array(x, y, x + 10, y + 10).alias("box"))
+    n = b.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("box").alias("other"))
+    return rounded(b.join(n, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", scalars.iou(F.col("box"), F.col("other")).alias("iou")), "iou")
+
+
+@query()
+def nms_boxes(spark, sf_dir):
+    x, y = F.col("l_quantity"), F.col("l_tax") * 100
+    b = table(spark, sf_dir, "lineitem").select("l_suppkey", F.array(x, y, x + 10, y + 10).alias("box"), F.col("l_extendedprice").alias("score"))
+    return tracks.nms(b, ["l_suppkey"], "box", "score")
+
+
+@query()
+def face_tracks(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("rec"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("frame"), F.array(*[F.lit(float(i)) + F.col("value") / 100 for i in (0, 0, 50, 50)]).alias("box"))
+    return tracks.track_boxes(e, ["rec"], "frame", "box")
+
+
+@query()
+def length_batches(spark, sf_dir):
+    e = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    return tracks.length_batches(e, ["source"], "n_chars", "n_chars", 50_000)
+
+
+@query()
+def event_alignment(spark, sf_dir):
+    a, b = halves(spark, sf_dir)
+    return tracks.align_events(a, b, ["rec"])
+
+
+@query()
+def alignment_errors(spark, sf_dir):
+    return tracks.alignment_errors(event_alignment(spark, sf_dir), ["rec"])
+
+
+@query("SELECT DISTINCT event_type FROM events")
+def distinct_labels(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_type").distinct()
+
+
+@query("SELECT doc_id, text FROM (SELECT doc_id, lang AS text FROM documents) WHERE length(text) > 0")
+def non_empty(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("text")).where(F.length("text") > 0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
