@@ -70,5 +70,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+OP1 = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, strlen(h) AS n, sha256(h) AS s FROM p),
+  f AS (SELECT *, min(page_id) OVER (PARTITION BY s) AS first FROM d), r AS (SELECT *, n >= 100 AND page_id <> first AS again FROM f)
+  SELECT page_id, n AS payload_bytes, s AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to,
+    CASE WHEN again THEN 1 ELSE greatest(1, (n + 1048575) // 1048576) END::INT AS n_chunks, true AS digest_ok FROM r"""
+
+OP7 = r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS place FROM documents),
+  s AS (SELECT source, sum(size)::BIGINT AS held, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source),
+  k AS (SELECT *, row_number() OVER (ORDER BY 2 * held / w, source NULLS LAST) AS k FROM s),
+  l AS (SELECT *, (1.5 * sum(held) OVER () - coalesce(sum(2 * held) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+      / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM k),
+  t AS (SELECT source, held, CASE WHEN k < (SELECT min(k) FROM l WHERE level <= 2 * held / w) THEN 2.0::DOUBLE * held ELSE w * (SELECT arg_min(level, k) FROM l WHERE level <= 2 * held / w) END AS target FROM l),
+  g AS (SELECT *, least(round(target)::BIGINT, 2 * held) AS given FROM t),
+  q AS (SELECT *, CASE WHEN held = 0 THEN 0 ELSE given // held END AS passes, CASE WHEN held = 0 THEN 0 ELSE given % held END AS rest FROM g),
+  c AS (SELECT d.*, q.* EXCLUDE (source), sum(size) OVER (PARTITION BY d.source ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS through FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+  u AS (SELECT source, max(CASE WHEN through <= rest THEN place END) AS upto, max(rest) - coalesce(max(CASE WHEN through <= rest THEN through END), 0) AS missing FROM c GROUP BY source),
+  x AS (SELECT c.source, arg_min(place, (abs(missing - size), place)) AS extra FROM c JOIN u ON c.source IS NOT DISTINCT FROM u.source WHERE place > coalesce(upto, '') AND size > 0 AND size < 2 * missing GROUP BY c.source)
+  SELECT doc_id, size, held AS source_size, target, (size * (passes + coalesce(place <= upto, false)::INT + coalesce(place = extra, false)::INT))::BIGINT AS taken
+  FROM c JOIN u ON c.source IS NOT DISTINCT FROM u.source LEFT JOIN x ON c.source IS NOT DISTINCT FROM x.source"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": OP1, "op7_mixing": OP7}
