@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions import scalars, vectors
 from .operators import der, intervals, labels, manifests, tracks, transcripts, trials
 from .sources import text_tables
+from .streaming import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -906,6 +907,16 @@ def non_empty(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("text")).where(F.length("text") > 0)
 
 
+@query("""WITH a AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d, event_id FROM events),
+  b AS (SELECT user_id, ts, sum((d IS NULL OR d >= INTERVAL 30 MINUTE)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM a)
+  SELECT user_id, epoch_us(min(ts)) AS st, epoch_us(max(ts)) + 1800000000 AS ed, count(*) AS n FROM b GROUP BY user_id, g""")
+def session_merge(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    zero = F.unix_micros(F.lit("1970-01-01 00:00:00").cast("timestamp"))
+    out = sessions.merged_sessions(e, "user_id", "ts")
+    return out.select("user_id", (F.unix_micros("st") - zero).alias("st"), (F.unix_micros("ed") - zero).alias("ed"), "n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
