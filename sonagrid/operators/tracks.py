@@ -102,7 +102,7 @@ def align_events(ref: DataFrame, sys: DataFrame, key: list[str], scorer: Callabl
     """
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        r, s = (list(x.sort_values(["st", "seq"])[["seq", "st", "ed"]].itertuples(index=False, name=None)) if len(x) else [] for x in (a, b))
+        r, s = (sorted(((e["seq"], e["st"], e["ed"]) for e in x["event"]), key=lambda e: (e[1], e[0])) if len(x) else [] for x in (a, b))
         own = (a if len(a) else b).iloc[0]
         best = np.zeros((len(r) + 1, len(s) + 1))
         step = np.zeros((len(r) + 1, len(s) + 1), int)
@@ -123,7 +123,7 @@ def align_events(ref: DataFrame, sys: DataFrame, key: list[str], scorer: Callabl
             i, j = i - (k != 2), j - (k != 1)
         return pd.DataFrame(out[::-1], columns=[*key, "ref_seq", "sys_seq", "score"]).astype({"ref_seq": "Int64", "sys_seq": "Int64", "score": "float"})
 
-    cols = [*key, "seq", "st", "ed"]
+    cols = [*key, F.struct("seq", "st", "ed").alias("event")]
     return ref.select(*cols).groupBy(*key).cogroup(sys.select(*cols).groupBy(*key)).applyInPandas(run, f"{kinds(ref, key)}ref_seq long, sys_seq long, score double")
 
 
