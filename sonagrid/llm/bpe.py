@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, prepare
+from .common import pick, prepare, released
 
 #: The pre-tokenizer pattern of byte-level BPE files.
 PATTERN = (
@@ -25,9 +25,9 @@ PATTERN = (
 #: No pair; larger than any rank and position.
 NONE = 1 << 62
 #: Chunks and pieces of at most so many characters are remembered, so many of each at once in a worker.
-CACHE_CHARS, CACHE_PIECES = 48, 1_000_000
+CACHE_CHARS, CACHE_PIECES = 48, 400_000
 #: Texts that are encoded together, and the most bytes of pieces that are merged together.
-TEXTS, MANY = 4096, 64
+TEXTS, MANY = 2048, 64
 #: What makes a text unusual: NUL, white space other than spaces and line ends, or two in a row.
 ODD = r"[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|[ \n]\z"
 
@@ -342,6 +342,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, keep_ids: bool = False
     if keep_ids:
         kind += ", ids array<int>, decoded string"
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
         sha = hashlib.sha256
@@ -368,6 +369,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id and the text of its ids; null ids give an empty text, an unknown id is an error."""
     prepare(encoded.sparkSession)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
         for batch in batches:

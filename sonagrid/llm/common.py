@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +20,30 @@ BROADCAST_ROWS = 1_000_000
 #: Bytes of one Arrow batch handed to Python, so that long texts do not add up to a whole partition.
 BATCH_BYTES = 16 << 20
 
+_LIBC = ctypes.CDLL(None)
 _OWN_ROOT: list[str] = []
 _STORED: list[str] = []
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, a function over a task's batches, with what it freed given back at the end."""
+
+    def inner(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return inner
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Exactly the columns ``names``, whatever else the table carries.
 

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, pick, prepare, small, stored
+from .common import BROADCAST_ROWS, pick, prepare, released, small, stored, trim
 
 ORDER = 5
 #: Marks before and after a text.
@@ -102,6 +102,7 @@ class Grams:
 def block_grams(docs: DataFrame, order: int) -> DataFrame:
     """block, gram, n: the distinct n-grams of each partition of ``docs`` (text, trusted), with trusted counts."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(order)
         for batch in batches:
@@ -158,6 +159,7 @@ def log_probabilities(grams: DataFrame, order: int) -> DataFrame:
 def packed(docs: DataFrame) -> DataFrame:
     """block, ids, texts: an Arrow batch of each partition of ``docs`` in one compressed row."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId()
         press = zstandard.ZstdCompressor(level=6)
@@ -215,6 +217,7 @@ def perplexities(docs: DataFrame, order: int = ORDER) -> DataFrame:
                         raise RuntimeError("a block holds n-grams that it has not asked for: its rows changed between two scans")
                     same = [part.column(n) for n in ("doc_id", "lang", "trusted", "held_out")]
                     out.append(pa.RecordBatch.from_arrays([*same, pa.array([len(t) for t in texts], pa.int64()), pa.array(np.exp(-mean), pa.float64())], schema=kind))
+        trim()
         return pa.Table.from_batches(out, schema=kind)
 
     result = "doc_id long, lang string, trusted boolean, held_out boolean, n_chars long, perplexity double"

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, prepare, stored
+from .common import pick, prepare, released, stored
 
 #: Kinds in their order, and the base patterns. A run of AKIA's or hex's class that is too short holds no
 #: long enough match, so their least lengths stand in the pattern; that of assign must be tested on the match.
@@ -139,6 +139,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """Base spans and candidates of each whole text, one row for each row of ``docs``, without a shuffle."""
     prepare(docs.sparkSession)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bases, cands = [], []
@@ -198,6 +199,7 @@ def redact(docs: DataFrame, *, rate: float = 0.05, mark: str = "[SECRET]") -> Da
             last = max(last, e)
         return "".join([*out, text[last:]])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = list(batch.columns)

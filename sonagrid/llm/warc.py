@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, prepare
+from .common import pick, prepare, released
 
 SEP = b"\r\n\r\n"
 CHUNK = 1 << 20
@@ -85,6 +85,7 @@ def write_warc(pages: DataFrame, path: str, *, chunk: int = CHUNK, least: int =
     """
     prepare(pages.sparkSession)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[bytes] = []
@@ -193,6 +194,7 @@ def read_warc(spark: SparkSession, path: str, *, chunk: int = CHUNK, payloads: b
     """
     prepare(spark)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(chunk)
         schema = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("chunk_no", pa.int32()), ("chunk", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("last", pa.bool_()), ("digest_ok", pa.bool_())])

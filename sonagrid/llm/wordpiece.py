@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols
-from .common import pick, prepare
+from .common import pick, prepare, released
 
 #: Words of at most so many bytes are remembered, so many of them at once in a worker.
 CACHE_BYTES, CACHE_WORDS = 48, 400_000
@@ -115,6 +115,7 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """
     prepare(docs.sparkSession)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = counter(vocabulary).__getitem__
         for batch in batches:
