@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, prepare, small, stored
+from .common import pick, prepare, released, small, stored
 
 #: Words of a shingle; links need 100 * intersection >= PERCENT * union.
 WIDTH, PERCENT = 5, 75
@@ -93,6 +93,7 @@ def signatures(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS) -> Data
     """doc_id, n_shingles, same (digest of the words, equal for copies) and keys (of the bands) for each row."""
     prepare(docs.sparkSession)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Words()
         for batch in batches:
@@ -113,6 +114,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id and its full shingle set for the documents in ``ids`` (one column, id)."""
     prepare(docs.sparkSession)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Words()
         for batch in batches:
@@ -123,13 +125,19 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return flat.join(small(ids, ids.count()), "id", "left_semi").mapInArrow(run, "id long, shingles array<long>")
 
 
+def parts_for(rows: int, each: int) -> int:
+    """Tasks for a table of so many rows; small tables needn't be written in as many as there are shuffle partitions."""
+    return max(12, -(-rows // each))
+
+
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full shingle sets are similar enough."""
-    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    ids = stored(ids.coalesce(parts_for(pairs.count(), 500_000)), "ids")
     sets = shingle_sets(docs, ids)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * common >= PERCENT * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
+    return both.where(100 * common >= PERCENT * (F.size("sa") + F.size("sb") - common)).select("a", "b").coalesce(parts_for(pairs.count(), 5_000))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -138,13 +146,14 @@ def components(links: DataFrame) -> DataFrame:
     Each step takes the least root among neighbours and then the root's root; both are joins with map-side minima.
     """
     edges = stored(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "labels")
+    parts = parts_for(edges.count(), 500_000)
+    labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")).coalesce(parts), "labels")
     while True:
         near = edges.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("n")).agg(F.min("root").alias("near"))
         step = labels.join(near, F.col("node") == F.col("n"), "left").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = labels.select(F.col("node").alias("k"), F.col("root").alias("far"))
         step = step.join(jump, F.col("root") == F.col("k"), "left").select("node", "old", F.least("root", "far").alias("root"))
-        step = stored(step, "labels")
+        step = stored(step.coalesce(parts), "labels")
         labels = step.select("node", "root")
         if step.where("old <> root").isEmpty():
             return labels
@@ -187,7 +196,8 @@ def near_duplicates(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS) ->
         ranked = open_rows.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("id"))).where(F.col("rank") <= upto)
         pivots = ranked.where(F.col("rank") > done).select("bucket", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("root").alias("proot"))
         pairs = open_rows.join(pivots, "bucket").where((F.col("id") > F.col("pivot")) & (F.col("root") != F.col("proot")) & alike)
-        pairs = stored(pairs.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+        pairs = pairs.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+        pairs = stored(pairs.coalesce(parts_for(open_rows.count(), 200_000)), "pairs")
         found = stored(verified(docs, pairs), "links")
         if not found.isEmpty():
             links = links.union(found)
