@@ -17,6 +17,9 @@ from .common import pick, prepare, released, small, stored
 WIDTH, PERCENT = 5, 75
 #: A pair at the threshold shares one of 48 bands of 6 with probability 0.9999, a pair at 0.3 with 0.034.
 BANDS, ROWS = 48, 6
+#: Coordinates whose lowest bits make a sketch, and the most bits in which two sketches of a candidate pair differ: at
+#: the threshold 32 do at the mean, and more than 60 once in ten million times.
+SKETCH, APART = 256, 60
 CACHE_WORDS = 300_000
 BLOCK = 256
 
@@ -89,25 +92,33 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketch(sig: np.ndarray) -> np.ndarray:
+    """The lowest bits of the first coordinates in four longs."""
+    return np.packbits((sig[:SKETCH] & np.uint32(1)).astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, same (digest of the words, equal for copies) and keys (of the bands) for each row."""
+    """doc_id, n_shingles, same (digest of the words, equal for copies), keys (of the bands) and sketch for each row."""
     prepare(docs.sparkSession)
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Words()
         for batch in batches:
-            sizes, same, keys = [], [], []
+            sizes, same, keys, bits = [], [], [], []
             for value in batch.column(1):
                 words = words_of(value.as_buffer().to_pybytes()) if value.is_valid else []
                 s = shingle_set(words, look)
                 sizes.append(len(s))
                 same.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
-                keys.append(band_keys(signature(s, bands * rows), bands) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "same", "keys"])
+                sig = signature(s, max(SKETCH, bands * rows)) if len(s) else None
+                keys.append(None if sig is None else band_keys(sig[: bands * rows], bands))
+                bits.append(None if sig is None else sketch(sig))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array(keys, longs), pa.array(bits, longs)], names=["doc_id", "n_shingles", "same", "keys", "sketch"])
 
     flat = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    return flat.mapInArrow(run, "doc_id long, n_shingles long, same binary, keys array<long>")
+    return flat.mapInArrow(run, "doc_id long, n_shingles long, same binary, keys array<long>, sketch array<long>")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -168,7 +179,7 @@ def near_duplicates(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS) ->
     part: its component is null and it is kept. Other columns are ignored; an empty table gives no rows.
 
     Copies are first put down to the smallest doc_id of their text. In each band's bucket the smallest member, the
-    pivot, is compared with all others; where a bucket still joins several components, the next 3, 12, 48, ... members
+    pivot, is compared with all others (pairs whose sizes or sketches are too far apart leave within the join); where a bucket still joins several components, the next 3, 12, 48, ... members
     are pivots too, each compared with what lies in other components, until all members have been. So a group of n near
     copies costs about n comparisons a band and no link that banding proposes is lost, whatever a bucket's size.
     """
@@ -179,23 +190,27 @@ def near_duplicates(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS) ->
     chosen = base.join(reps.select("same", F.col("rep").alias("doc_id")), ["same", "doc_id"], "left_semi")
     rows_of = chosen.select(F.explode("keys").alias("bucket"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
     shared = rows_of.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("members")).where("least < most")
-    held = stored(rows_of.join(shared.select("bucket", "members"), "bucket"), "buckets")
-    alike = 100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn")
-    pivots = held.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("p")).select("bucket", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"))
-    pairs = held.join(pivots, "bucket").where((F.col("id") != F.col("pivot")) & alike).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    sketches = chosen.select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"])
+    held = rows_of.join(shared.select("bucket", "members"), "bucket").distinct().join(sketches, "id")
+    held = stored(held.select("bucket", "id", "n", "members", "sketch"), "buckets")
+    apart = sum((F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("psketch", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+    alike = (100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn")) & (apart <= APART)
+    pivots = held.groupBy("bucket").agg(F.min(F.struct("id", "n", "sketch")).alias("p")).select("bucket", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.sketch").alias("psketch"))
+    pairs = held.alias("h").join(pivots.alias("p"), (F.col("h.bucket") == F.col("p.bucket")) & (F.col("id") != F.col("pivot")) & alike).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     links = stored(verified(docs, stored(pairs, "pairs")), "links")
     roots = components(links)
     done = 1
     while True:
-        at = held.join(roots, F.col("id") == F.col("node"), "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root"), "members")
+        at = held.join(roots, F.col("id") == F.col("node"), "left").select("bucket", "id", "n", "sketch", F.coalesce("root", "id").alias("root"), "members")
         mixed = at.where(F.col("members") > done + 1).groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("bucket")
         open_rows = stored(at.join(mixed, "bucket", "left_semi"), "open")
         if open_rows.isEmpty():
             break
         upto = done * 4
         ranked = open_rows.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("id"))).where(F.col("rank") <= upto)
-        pivots = ranked.where(F.col("rank") > done).select("bucket", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("root").alias("proot"))
-        pairs = open_rows.join(pivots, "bucket").where((F.col("id") > F.col("pivot")) & (F.col("root") != F.col("proot")) & alike)
+        pivots = ranked.where(F.col("rank") > done).select("bucket", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("root").alias("proot"), F.col("sketch").alias("psketch"))
+        meet = (F.col("h.bucket") == F.col("p.bucket")) & (F.col("id") > F.col("pivot")) & (F.col("root") != F.col("proot")) & alike
+        pairs = open_rows.alias("h").join(pivots.alias("p"), meet)
         pairs = pairs.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
         pairs = stored(pairs.coalesce(parts_for(open_rows.count(), 200_000)), "pairs")
         found = stored(verified(docs, pairs), "links")
