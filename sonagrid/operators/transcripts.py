@@ -109,11 +109,15 @@ def turn_windows(df: DataFrame, utt: str, seq: str, speaker: str, text: str, len
     return _grouped(df.select(utt, seq, speaker, text), utt, run, f"`{utt}` {kind}, window int, sentence string, change_points array<int>, n_speakers int, speaker_labels array<int>")
 
 
-def change_labels(text: Column, points: Column, marks: str, length: int) -> Column:
-    """A label for each of the first ``length`` characters: 1 before a change point, else 0 at a mark, else -100."""
-    n = F.least(F.length(text), F.lit(length))
-    at = lambda i: F.when(F.array_contains(points, (i + 1).cast("int")), 1).when(F.instr(F.lit(marks), F.substring(text, i + 1, F.lit(1))) > 0, 0).otherwise(-100)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), at)).otherwise(F.array().cast("array<int>"))
+def change_labels(text: Column, points: Column, marks: str, length: int | None = None) -> Column:
+    """A label for each character, or each of the first ``length``: 1 before a change point, else 0 at a mark, else -100.
+
+    The text is cut into characters once, so that a long text costs in proportion to its length.
+    """
+    chars = F.split(text, "")
+    chars = chars if length is None else F.slice(chars, 1, length)
+    at = lambda c, i: F.when(F.array_contains(points, (i + 1).cast("int")), 1).when(F.instr(F.lit(marks), c) > 0, 0).otherwise(-100)
+    return F.when(F.length(text) > 0, F.transform(chars, at)).otherwise(F.array().cast("array<int>"))
 
 
 def with_bars(text: Column, labels: Column) -> Column:

@@ -662,6 +662,12 @@ def change_point_labels(spark, sf_dir):
     return c.select("conv_id", "turn", transcripts.change_labels(F.col("text"), F.array(F.lit(5), F.lit(20)), ".,?!", 64).alias("labels"))
 
 
+@query("""SELECT conv_id, turn, [CASE WHEN list_contains([5, 20], i + 1) THEN 1 WHEN contains('.,?!', substr(text, (i + 1)::BIGINT, 1)) THEN 0 ELSE -100 END for i in range(length(text))] AS labels FROM conversations WHERE length(text) > 0""")
+def change_point_labels_whole(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where(F.length("text") > 0)
+    return c.select("conv_id", "turn", transcripts.change_labels(F.col("text"), F.array(F.lit(5), F.lit(20)), ".,?!").alias("labels"))
+
+
 @query("""SELECT conv_id, turn, list_aggregate([substr(text, (i + 1)::BIGINT, 1) || CASE WHEN i IN (4, 19) THEN '|' ELSE '' END for i in range(length(text))], 'string_agg', '') AS text FROM conversations WHERE length(text) > 0""")
 def change_point_text(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where(F.length("text") > 0)
