@@ -604,9 +604,16 @@ def merge_close_labels(spark, sf_dir):
     return labels.merge_by_cosine(voices(spark, sf_dir).withColumn("rec", F.lit(0)), ["rec"], "label", "embedding", 0.3).select("utt_id", "label")
 
 
+def voiced_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All segments, each with the vector whose place by utt_id is event_id modulo the number of vectors."""
+    v = trials.running(voices(spark, sf_dir), "utt_id", {}).select((F.col("rn") - 1).alias("place"), "embedding")
+    n = table(spark, sf_dir, "embeddings").count()
+    return segments(spark, sf_dir).withColumn("place", F.pmod("event_id", F.lit(max(1, n)))).join(v, "place").drop("place")
+
+
 @query()
 def joint_av_labels(spark, sf_dir):
-    s = segments(spark, sf_dir).join(voices(spark, sf_dir).select(F.col("utt_id").alias("event_id"), "embedding"), "event_id")
+    s = voiced_segments(spark, sf_dir)
     a, v = s.where(F.col("event_id") % 2 == 0), s.where(F.col("event_id") % 2 == 1)
     return labels.joint_labels(a, v, ["rec"]).select("rec", "seq", "label", "joint")
 

@@ -5,6 +5,7 @@ import test_library as library
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from sonagrid import queries
 from sonagrid.operators import transcripts
 
 SF = library.SF
@@ -23,3 +24,14 @@ def test_every_character_has_a_label(spark):
     df = spark.createDataFrame([("é.😀" + "x" * 70 + "!",), ("",)], "t string")
     labels = [r[0] for r in df.select(transcripts.change_labels(F.col("t"), F.array(F.lit(1)), ".!")).collect()]
     assert labels == [[1, 0, *[-100] * 71, 0], []]
+
+
+def test_every_event_takes_part(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    voiced = queries.voiced_segments(spark, SF)
+    assert voiced.count() == events.count() == voiced.select("event_id").distinct().count()
+    vectors = {r["vec_id"]: [float(x) for x in r["embedding"]] for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    place = sorted(vectors)
+    assert all(r["embedding"] == vectors[place[r["event_id"] % len(place)]] for r in voiced.collect())
+    got = {(r["rec"], r["seq"]) for r in __spark_entry__.queries()["joint_av_labels"](spark, SF).collect()}
+    assert got == {(r["rec"], r["seq"]) for r in queries.segments(spark, SF).where("event_id % 2 = 0").collect()}
