@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +36,65 @@ def score_trials(trials: DataFrame, enrol: DataFrame, test: DataFrame, *, strict
     return both.withColumn("score", score).drop("_enrol", "_test", "_n_enrol", "_n_test")
 
 
+def in_blocks(vecs: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, rows: int = 16384, least: int = 4) -> DataFrame:
+    """What ``run`` gives for each block of ``vecs`` (utt_id, embedding, label) against each block: all against all.
+
+    Blocks come from a hash of utt_id and have about ``rows`` rows, but there are at least ``least``; each row is sent
+    once for each block, on either side. The work is the square of the rows, shared out by pairs of blocks.
+    """
+    n = max(least, -(-vecs.count() // rows))
+    own = vecs.select("utt_id", "embedding", "label", F.pmod(F.xxhash64("utt_id"), F.lit(n)).cast("int").alias("_own"))
+    each = F.sequence(F.lit(0), F.lit(n - 1))
+    sides = F.concat(*[F.transform(each, lambda k: F.struct(c(k).alias("cell"), F.lit(i).alias("side"))) for i, c in enumerate((lambda k: F.col("_own") * n + k, lambda k: k * n + F.col("_own")))])  # noqa: B023
+    dealt = own.withColumn("_s", F.explode(sides)).select("utt_id", "embedding", "label", F.col("_s.cell").alias("_cell"), F.col("_s.side").alias("_side"))
+    return dealt.groupBy("_cell").applyInPandas(lambda g: run(g[g["_side"] == 0], g[g["_side"] == 1]), schema)
+
+
+def slabs(a: pd.DataFrame, b: pd.DataFrame, rows: int = 512) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of a, their unit vectors, those of b, cosines) for some rows of ``a`` at a time; a zero vector stays zero."""
+    if not len(a) or not len(b):
+        return
+    x, y = (np.stack(t["embedding"].to_numpy()).astype(np.float64) for t in (a, b))
+    x, y = (m / np.where((s := np.sqrt((m * m).sum(1, keepdims=True))) > 0, s, 1) for m in (x, y))
+    for k in range(0, len(x), rows):
+        yield slice(k, k + rows), x[k : k + rows], y, x[k : k + rows] @ y.T
+
+
+def nearest_apart(vecs: DataFrame) -> DataFrame:
+    """(utt_id, apart): each row's distance to the nearest of all other rows, vectors taken at length 1; none if alone."""
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out, ids = [], b["utt_id"].to_numpy()
+        for at, x, y, s in slabs(a, b):
+            mine = a["utt_id"].to_numpy()[at]
+            far = (y * y).sum(1) - 2 * s
+            far[mine[:, None] == ids[None, :]] = np.inf
+            best = far.argmin(1)
+            apart = np.sqrt(((x - y[best]) ** 2).sum(1))
+            some = np.isfinite(far[np.arange(len(best)), best])
+            out.append(pd.DataFrame({"utt_id": mine[some], "apart": apart[some]}))
+        return pd.concat(out) if out else pd.DataFrame({"utt_id": a["utt_id"].to_numpy()[:0], "apart": np.empty(0)})
+
+    kind = vecs.schema["utt_id"].dataType.simpleString()
+    return in_blocks(vecs, run, f"utt_id {kind}, apart double").groupBy("utt_id").agg(F.min("apart").alias("apart"))
+
+
+def soft_labels(vecs: DataFrame, temperature: float = 0.1) -> DataFrame:
+    """(utt_id, p): the share of the softmax over the cosines with all rows, its own too, that falls to the row's label."""
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out, theirs = [], b["label"].to_numpy()
+        for at, _, _, s in slabs(a, b):
+            e = np.exp((s - 1) / temperature)
+            same = a["label"].to_numpy()[at][:, None] == theirs[None, :]
+            out.append(pd.DataFrame({"utt_id": a["utt_id"].to_numpy()[at], "good": (e * same).sum(1), "all": e.sum(1)}))
+        return pd.concat(out) if out else pd.DataFrame({"utt_id": a["utt_id"].to_numpy()[:0], "good": np.empty(0), "all": np.empty(0)})
+
+    kind = vecs.schema["utt_id"].dataType.simpleString()
+    sums = in_blocks(vecs, run, f"utt_id {kind}, good double, all double").groupBy("utt_id").agg(F.sum("good").alias("good"), F.sum("all").alias("all"))
+    return sums.select("utt_id", (F.col("good") / F.col("all")).alias("p"))
+
+
 def running(df: DataFrame, value: str, sums: dict[str, Column], *tie: str, ascending: bool = True, bins: int = BINS) -> DataFrame:
     """``df`` with running sums, in order of ``value`` then ``tie``, and ``rn``, the row's number, without one global sort.
 

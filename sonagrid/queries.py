@@ -63,11 +63,30 @@ def voices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trial_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(enrol, test, label): different pairs of supplier and quantity, both of which are vec_ids; same label: target."""
     pairs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("enrol"), F.col("l_quantity").cast("long").alias("test")).distinct()
-    of = lambda n: voices(spark, sf_dir).select(F.col("utt_id").alias(n), F.col("label").alias(f"_{n}"))
+    return with_targets(pairs, voices(spark, sf_dir))
+
+
+def with_targets(pairs: DataFrame, v: DataFrame) -> DataFrame:
+    of = lambda n: v.select(F.col("utt_id").alias(n), F.col("label").alias(f"_{n}"))
     rows = pairs.join(of("enrol"), "enrol").join(of("test"), "test")
     return rows.select("enrol", "test", (F.col("_enrol") == F.col("_test")).cast("int").alias("label"))
 
 
+def whole_trial_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(enrol, test, label): different pairs whose sides both range over all vectors, by place in order of vec_id."""
+    v = voices(spark, sf_dir)
+    n = F.lit(max(1, v.count()))
+    place = trials.running(v, "utt_id", {}).select((F.col("rn") - 1).alias("place"), "utt_id")
+    of = lambda n: place.select(F.col("place").alias(f"_{n}"), F.col("utt_id").alias(n))
+    keys = table(spark, sf_dir, "lineitem").select(F.pmod("l_orderkey", n).alias("_enrol"), F.pmod(F.col("l_orderkey") + F.col("l_partkey"), n).alias("_test")).distinct()
+    return with_targets(keys.join(of("enrol"), "_enrol").join(of("test"), "_test").select("enrol", "test"), v)
+
+
+def whole_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = voices(spark, sf_dir)
+    return trials.score_trials(whole_trial_list(spark, sf_dir), v, v)
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = voices(spark, sf_dir)
     return trials.score_trials(trial_list(spark, sf_dir), v, v)
@@ -77,6 +96,10 @@ SCORED = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embed
   pairs AS (SELECT DISTINCT l_suppkey AS enrol, l_quantity::BIGINT AS test FROM lineitem),
   sc AS (SELECT enrol, test, (a.label = b.label)::INT AS label, list_cosine_similarity(a.e, b.e) AS score
     FROM pairs JOIN v a ON a.vec_id = enrol JOIN v b ON b.vec_id = test)"""
+WHOLE_SCORED = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label, row_number() OVER (ORDER BY vec_id) - 1 AS place, count(*) OVER () AS n FROM embeddings),
+  keys AS (SELECT DISTINCT l_orderkey % n AS x, (l_orderkey + l_partkey) % n AS y FROM lineitem, (SELECT max(n) AS n FROM v)),
+  sc AS (SELECT a.vec_id AS enrol, b.vec_id AS test, (a.label = b.label)::INT AS label, list_cosine_similarity(a.e, b.e) AS score
+    FROM keys JOIN v a ON a.place = x JOIN v b ON b.place = y)"""
 CURVE = SCORED + """, tot AS (SELECT sum(label) AS nt, sum(1 - label) AS ni FROM sc),
   cum AS (SELECT row_number() OVER w AS rn, enrol, test, score, sum(label) OVER w * 1.0::DOUBLE / nt AS fnr,
     1 - sum(1 - label) OVER w * 1.0::DOUBLE / ni AS fpr FROM sc, tot
@@ -103,13 +126,26 @@ def det_points(spark, sf_dir):
     (SELECT round(min(fnr * 0.01 + fpr * 0.99) / 0.01, 6) FROM cum) AS min_dcf,
     (SELECT nt::BIGINT FROM tot) AS n_target, (SELECT ni::BIGINT FROM tot) AS n_nontarget FROM e""")
 def trial_eer(spark, sf_dir):
-    rows = scored(spark, sf_dir)
+    return eer_of(scored(spark, sf_dir))
+
+
+def eer_of(rows: DataFrame) -> DataFrame:
     curve = trials.det_curve(rows, "score", "label", "enrol", "test")
     n = rows.agg(F.sum("label").alias("n_target"), F.sum(1 - F.col("label")).alias("n_nontarget"))
     out = trials.eer(curve).crossJoin(trials.min_dcf(curve).select("min_dcf")).crossJoin(n)
     return rounded(out, "eer", "threshold", "min_dcf")
 
 
+@query(WHOLE_SCORED + SQL["trial_scores"].removeprefix(SCORED))
+def trial_scores_whole(spark, sf_dir):
+    return rounded(whole_scored(spark, sf_dir), "score").select("enrol", "test", "label", "score")
+
+
+@query(WHOLE_SCORED + SQL["trial_eer"].removeprefix(SCORED))
+def trial_eer_whole(spark, sf_dir):
+    return eer_of(whole_scored(spark, sf_dir))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trial_eer(spark, sf_dir)
 
@@ -571,6 +607,18 @@ def koleo_entropy(spark, sf_dir):
     return rounded(m.agg((-F.avg(F.log(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("s"))) + 1e-8))).alias("koleo")), "koleo")
 
 
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), sc AS (SELECT a.vec_id AS enrol, exp(list_cosine_similarity(a.e, b.e) / 0.1) AS x, (a.label = b.label)::INT AS label FROM v a, v b)
+  SELECT enrol, round(sum(x * label) / sum(x), 6) AS p FROM sc GROUP BY enrol""")
+def soft_nearest_whole(spark, sf_dir):
+    return rounded(trials.soft_labels(voices(spark, sf_dir)).withColumnRenamed("utt_id", "enrol"), "p")
+
+
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), u AS (SELECT vec_id, [x / sqrt(list_dot_product(e, e)) for x in e] AS e FROM v),
+  m AS (SELECT a.vec_id, min(list_distance(a.e, b.e)) AS d FROM u a JOIN u b ON a.vec_id <> b.vec_id GROUP BY a.vec_id) SELECT round(-avg(ln(d + 1e-8)), 6) AS koleo FROM m""")
+def koleo_entropy_whole(spark, sf_dir):
+    return rounded(trials.nearest_apart(voices(spark, sf_dir)).agg((-F.avg(F.log(F.col("apart") + 1e-8))).alias("koleo")), "koleo")
+
+
 def _sinkhorn_sql(n: int) -> str:
     parts = ["q0 AS (SELECT enrol AS r, test AS c, exp(score / 0.5) AS q FROM sc)"]
     for k in range(n):

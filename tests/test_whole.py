@@ -1,17 +1,18 @@
 """Queries that do the whole job where an older one, whose SQL stays as it is, takes a part."""
 
+import numpy as np
 import pytest
 import test_library as library
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from sonagrid import queries
-from sonagrid.operators import transcripts
+from sonagrid.operators import transcripts, trials
 
 SF = library.SF
 
 
-@pytest.mark.parametrize("name", ["change_point_labels", "change_point_labels_whole"])
+@pytest.mark.parametrize("name", ["change_point_labels", "change_point_labels_whole", "trial_scores_whole", "trial_eer_whole", "trial_eer", "soft_nearest_whole", "koleo_entropy_whole"])
 def test_whole_queries_equal_sql(spark, name):
     library.test_queries_equal_sql(spark, name)
 
@@ -35,3 +36,21 @@ def test_every_event_takes_part(spark):
     assert all(r["embedding"] == vectors[place[r["event_id"] % len(place)]] for r in voiced.collect())
     got = {(r["rec"], r["seq"]) for r in __spark_entry__.queries()["joint_av_labels"](spark, SF).collect()}
     assert got == {(r["rec"], r["seq"]) for r in queries.segments(spark, SF).where("event_id % 2 = 0").collect()}
+
+
+def test_trials_reach_all_vectors(spark):
+    ids = {r["vec_id"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()}
+    rows = queries.whole_trial_list(spark, SF).select("enrol", "test").collect()
+    assert {r["enrol"] for r in rows} == ids and {r["test"] for r in rows} == ids
+
+
+def test_nearest_of_all(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(60, 8))
+    x[7] = 2 * x[50]  # a copy but for its length
+    df = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "utt_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    far = np.linalg.norm(u[:, None] - u[None], axis=2) + np.diag([9.0] * 60)
+    got = {r["utt_id"]: r["apart"] for r in trials.nearest_apart(df).collect()}
+    assert [got[i] for i in range(60)] == pytest.approx(list(far.min(1)), abs=1e-12)
+    assert trials.nearest_apart(df.where("utt_id = 1")).count() == 0
