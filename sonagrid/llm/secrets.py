@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +32,12 @@ ENCODINGS = (
     (re.compile(r""), {c: i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")} | {"-": 62, "_": 63}, 64),
 )
 #: Cells of the statistic, its width, and the largest value that the battery still takes for random.
-CELLS, WIDTH, LARGEST = 64, 0.5, 16.8  # the 99 % point of chi-squared with 6 degrees of freedom
+CELLS, WIDTH, LARGEST = 512, 0.5, 16.8  # the 99 % point of chi-squared with 6 degrees of freedom
+NEAR = int(LARGEST / WIDTH) + 1  # cells of what may be random
+#: Lengths from here on count as one. What words look like before any is seen: letters by their frequency in English,
+#: as so many words; a word's statistic spreads at least this much (of its logarithm); lengths up to this ratio are pooled.
+LONGEST, PRIOR, LEAST_SPREAD, ALIKE = 128, 400, 0.35, 1.2
+LETTERS = dict(zip("etaoinshrdlcumwfgypbvkjxqz", (127, 91, 82, 75, 70, 67, 63, 61, 60, 43, 40, 28, 28, 24, 24, 22, 20, 20, 19, 15, 10, 8, 1.5, 1.5, 1, 0.7), strict=True))
 
 
 def _upper(z: float) -> float:
@@ -77,8 +84,15 @@ def battery(token: str) -> float:
 
 
 def length_bin(n: int) -> int:
-    """Half octaves of length."""
-    return int(2 * math.log2(n))
+    return min(n, LONGEST)
+
+
+@cache
+def word_moments(length: int) -> tuple[float, float]:
+    """Mean and mean square of the logarithm of the statistic of ``PRIOR`` words of so many letters, always the same."""
+    draw = random.Random(length)
+    x = [math.log(battery("".join(draw.choices(list(LETTERS), list(LETTERS.values()), k=length)))) for _ in range(PRIOR)]
+    return sum(x) / PRIOR, sum(v * v for v in x) / PRIOR
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -97,6 +111,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     """(start, end, length bin, cell of the statistic, decoy) of runs that touch no base span.
 
     Decoys are runs that are plainly words; they are never reported and tell how often ordinary text looks random.
+    Cells from NEAR on are too far from random to be reported.
     """
     out, k, reach = [], 0, -1
     for m in CANDIDATE.finditer(text):
@@ -107,27 +122,48 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         if reach > s:
             continue
         t = battery(m[0])
-        if t <= LARGEST:
-            out.append((s, e, length_bin(e - s), min(CELLS - 1, int(t / WIDTH)), bool(WORDLIKE.fullmatch(m[0]))))
+        cell = int(t / WIDTH) if t <= LARGEST else max(NEAR, int(min(t / WIDTH, CELLS - 1)))
+        out.append((s, e, length_bin(e - s), cell, bool(WORDLIKE.fullmatch(m[0]))))
     return out
 
 
+def p_values(length: int, decoys: dict[tuple[int, int], int]) -> list[float]:
+    """For each cell below NEAR how often a word of this length is at most that far from random.
+
+    The statistic's logarithm is taken as normal, with moments from ``PRIOR`` fixed words and the decoys (by length and
+    cell) of like lengths; where more decoys are that near, their share counts. So no number of decoys is needed.
+    """
+    alike = [(c, n) for (b, c), n in decoys.items() if length / ALIKE <= b <= length * ALIKE]
+    total = sum(n for _, n in alike)
+    mean, square = (PRIOR * x for x in word_moments(length))
+    for c, n in alike:
+        x = math.log((c + 0.5) * WIDTH)
+        mean, square = mean + n * x, square + n * x * x
+    mean, square = mean / (PRIOR + total), square / (PRIOR + total)
+    spread = max(LEAST_SPREAD, math.sqrt(max(0.0, square - mean * mean)))
+    seen = [sum(n for c, n in alike if c <= cell) / max(1, total) for cell in range(NEAR)]
+    return [max(0.5 * math.erfc((mean - math.log((cell + 1) * WIDTH)) / spread / math.sqrt(2)), seen[cell]) for cell in range(NEAR)]
+
+
 def thresholds(found: DataFrame, rate: float) -> dict[int, int]:
-    """For each length bin the largest cell up to which the estimated false-discovery rate stays within ``rate``.
+    """For each length the largest cell that Benjamini and Hochberg's procedure reports at false-discovery rate ``rate``.
 
-    The estimate is (1 + decoys) / others among the runs at most that far from random. All runs of the corpus are
-    counted; what comes to the driver is one row for each length bin and cell (some 60 lengths by 64 cells at most).
+    Each run that is no decoy is a test; its p-value is that of its length and cell. All runs of the corpus are counted;
+    what comes to the driver is one row for each length and cell (some 110 lengths by 512 cells at most).
     """
     cells = found.select(F.explode("candidates").alias("c")).groupBy("c.bin", "c.cell").agg(F.sum(F.col("c.decoy").cast("long")).alias("decoys"), F.count(F.lit(1)).alias("n"))
-    out: dict[int, int] = {}
-    sums: dict[int, list[int]] = {}
-    for r in sorted(cells.collect(), key=lambda r: (r["bin"], r["cell"])):
-        s = sums.setdefault(r["bin"], [0, 0])
-        s[0] += r["decoys"]
-        s[1] += r["n"] - r["decoys"]
-        if 1 + s[0] <= rate * s[1]:
-            out[r["bin"]] = r["cell"]
-    return out
+    rows = cells.collect()
+    decoys = {(r["bin"], r["cell"]): r["decoys"] for r in rows if r["decoys"]}
+    others = {(r["bin"], r["cell"]): r["n"] - r["decoys"] for r in rows if r["n"] > r["decoys"]}
+    tests = sum(others.values())
+    ps = {b: p_values(b, decoys) for b in {b for b, c in others if c < NEAR}}
+    upto, before = -1.0, 0
+    for p, n in sorted((ps[b][c], n) for (b, c), n in others.items() if c < NEAR):
+        before += n
+        if p <= rate * before / tests:
+            upto = p
+    limit = {b: sum(p <= upto for p in ps[b]) - 1 for b in ps}
+    return {b: c for b, c in limit.items() if c >= 0}
 
 
 SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
@@ -157,7 +193,8 @@ def find_secrets(docs: DataFrame, *, rate: float = 0.05) -> DataFrame:
     """Secrets of each whole text, one row for each row of ``docs``.
 
     Needs doc_id and text. Returns doc_id, base and spans: arrays of (start, kind's place in KINDS, end) in code points,
-    end exclusive, by start, then kind; spans holds base and what the battery adds at false-discovery rate ``rate``. A
+    end exclusive, by start, then kind; spans holds base and what the battery adds at false-discovery rate ``rate``
+    (over all runs of the table, so a doubtful run's verdict can hang on other rows; one clear run is enough). A
     null text counts as empty and has none. Null or repeated doc_ids and rows are kept as they come; other columns are
     ignored. The scan's small rows are stored once, so that texts are read once.
     """
