@@ -96,11 +96,15 @@ def smooth(values: list[float], radius: int = 2) -> list[float]:
     return out
 
 
-def cluster(values: list[float], factor: float = 0.5) -> list[bool]:
-    """Content or not: over ``factor`` times the standard deviation, or over the mean if all are much alike."""
+def limit_of(values: list[float], factor: float = 0.5) -> float:
     mean = sum(values) / len(values)
     spread = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
-    limit = min(factor * spread, mean)
+    return min(factor * spread, mean)
+
+
+def cluster(values: list[float], factor: float = 0.5) -> list[bool]:
+    """Content or not: over ``factor`` times the standard deviation, or over the mean if all are much alike."""
+    limit = limit_of(values, factor)
     return [v >= limit for v in values]
 
 
@@ -109,8 +113,12 @@ def extract(html: str) -> str:
 
     Lines come from block elements; each has its text-to-tag ratio, which is smoothed over neighbours and clustered by
     a threshold. The characters of content lines vote for the regions around them. The main region is the article or
-    main element with most votes, if one has any, else the smallest region with nearly all votes; all its lines count,
-    short ones too, but in the body as a whole only those from the first content line to the last.
+    main element with most votes, if one has any; all its lines count, short ones too.
+
+    Else the main regions are the smallest one with nearly all votes and, so that no part of a split text is lost, those
+    right around lines that are content by their own ratio, not only by their neighbours', and the smallest one around
+    all of these. All their lines count, and so do those between the first and the last of them. The body as a whole is
+    no main region: if none has nearly all votes, lines from the first content line to the last count instead of it.
     """
     parser = Lines()
     parser.feed(html)
@@ -119,7 +127,9 @@ def extract(html: str) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    content = cluster(smooth([len(t) / max(1, n) for t, n, _ in lines]))
+    ratios = [len(t) / max(1, n) for t, n, _ in lines]
+    smoothed = smooth(ratios)
+    content = cluster(smoothed)
     votes: dict[int, int] = {}
     total = 0
     for (text, _, path), good in zip(lines, content, strict=True):
@@ -131,13 +141,20 @@ def extract(html: str) -> str:
     if articles:
         best = max(articles, key=lambda r: (votes[r], -r))
         best = max((r for r in articles if votes[r] == votes[best]), default=best)
-    else:
-        most = [r for r, v in votes.items() if v >= 0.8 * total]
-        best = max(most, default=-1)
-    if best >= 0 and parser.kinds[best] != "body":
         return " ".join(t for t, _, path in lines if best in path)
-    good = [i for i, x in enumerate(content) if x]
-    return " ".join(t for t, _, _ in lines[good[0] : good[-1] + 1]) if good else ""
+    if not total:
+        return ""
+    inner = lambda path: [r for r in path if parser.kinds[r] != "body"]
+    limit = limit_of(smoothed)
+    firm = [x and v >= limit for x, v in zip(content, ratios, strict=True)]
+    around = [inner(path) for (_, _, path), x in zip(lines, firm, strict=True) if x]
+    main = max((r for r, v in votes.items() if v >= 0.8 * total and parser.kinds[r] != "body"), default=-1)
+    chosen = {path[-1] for path in around if path} | {main}
+    if around:
+        chosen.add(max(set.intersection(*map(set, around)), default=-1))
+    alone = content if main < 0 else firm
+    kept = [i for i, (x, (_, _, path)) in enumerate(zip(alone, lines, strict=True)) if x or not chosen.isdisjoint(path)]
+    return " ".join(t for t, _, _ in lines[kept[0] : kept[-1] + 1])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import string
 
 import pytest
 
-from sonagrid.llm import secrets
+from sonagrid.llm import htmltext, secrets
 
 
 def key(seed, n):
@@ -30,3 +30,27 @@ def test_single_key_is_found(spark, n):
 def test_words_are_not_reported(spark):
     rows = [(i, " ".join(["theinternationalrepresentation", "another_ordinary_name_of_a_thing"])) for i in range(50)]
     assert all(not g["spans"] for g in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+LINE = "A paragraph of the article with quite enough words in it to be taken for its content, number"
+
+
+@pytest.mark.parametrize("wrap", ["<div id=content>{}</div>", "{}"])
+def test_article_split_over_siblings(wrap):
+    """85 and 15 percent of the article in two divs, without article or main around them."""
+    parts = [f"{LINE} {i}." for i in range(20)]
+    html = "<ul><li><a>x</a></li></ul>" + wrap.format("<div><h2>Top</h2>" + "".join(f"<p>{t}</p>" for t in parts[:17]) + "</div><div>" + "".join(f"<p>{t}</p>" for t in parts[17:]) + "</div>")
+    assert htmltext.extract(f"<body>{html}</body>") == " ".join(["Top", *parts])
+
+
+def test_short_lines_of_the_main_region_stay():
+    parts = [f"{LINE} {i}." for i in range(20)]
+    main = "<div>" + "".join(f"<p>{t}</p>" for t in parts[3:]) + "".join(f"<p>{t}</p>" for t in "abcde") + "</div>"
+    html = "<div>" + "".join(f"<p>{t}</p>" for t in parts[:3]) + "</div>" + main
+    assert htmltext.extract(f"<body>{html}</body>") == " ".join([*parts, *"abcde"])
+
+
+def test_split_article_keeps_its_short_end():
+    parts = [f"{LINE} {i}." for i in range(20)]
+    div = lambda x: "<div>" + "".join(f"<p>{t}</p>" for t in x) + "</div>"
+    assert htmltext.extract(f"<body>{div(parts[:17])}{div([*parts[17:], *'abcd'])}<div><a>z</a></div></body>") == " ".join([*parts, *"abcd"])
