@@ -333,6 +333,15 @@ def frames_to_segments(spark, sf_dir):
     return intervals.frames_to_segments(rows, ["rec"], "seq", "t", "act", 0.2)
 
 
+@query(SEG + FRAMES + """, a AS (SELECT *, lead(t) OVER (PARTITION BY rec ORDER BY seq) AS nt,
+    coalesce(last_value(CASE WHEN act > 0.2 THEN 1 WHEN act < 0.2 THEN 0 END IGNORE NULLS) OVER (PARTITION BY rec ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS o FROM fr),
+  p AS (SELECT *, lag(o) OVER (PARTITION BY rec ORDER BY seq) AS po FROM a),
+  b AS (SELECT *, sum((o = 1 AND coalesce(po, 0) = 0)::INT) OVER (PARTITION BY rec ORDER BY seq ROWS UNBOUNDED PRECEDING) AS g FROM p)
+  SELECT rec, round(min(t), 3) AS st, round(arg_max(coalesce(nt, t), seq), 3) AS ed FROM b WHERE o = 1 GROUP BY rec, g""")
+def frames_to_segments_whole(spark, sf_dir):
+    return intervals.frames_to_segments(frame_table(spark, sf_dir), ["rec"], "seq", "t", "act", 0.2)
+
+
 @query(SEG + """, a AS (SELECT *, lag(st) OVER w AS pt, lag(label) OVER w AS pl FROM seg WINDOW w AS (PARTITION BY rec ORDER BY st)),
   b AS (SELECT *, sum((pt IS NULL OR pl <> label OR st - pt > 3600 + 1e-4)::INT) OVER (PARTITION BY rec ORDER BY st ROWS UNBOUNDED PRECEDING) AS g FROM a),
   c AS (SELECT rec, g, label, min(st) AS s, max(st) AS e, max(g) OVER (PARTITION BY rec) AS z FROM b GROUP BY rec, g, label)

@@ -1,5 +1,6 @@
 """Queries that do the whole job where an older one, whose SQL stays as it is, takes a part."""
 
+import duckdb
 import numpy as np
 import pytest
 import test_library as library
@@ -12,7 +13,7 @@ from sonagrid.operators import transcripts, trials
 SF = library.SF
 
 
-@pytest.mark.parametrize("name", ["change_point_labels", "change_point_labels_whole", "trial_scores_whole", "trial_eer_whole", "trial_eer", "soft_nearest_whole", "koleo_entropy_whole"])
+@pytest.mark.parametrize("name", ["change_point_labels", "change_point_labels_whole", "frames_to_segments_whole", "trial_scores_whole", "trial_eer_whole", "trial_eer", "soft_nearest_whole", "koleo_entropy_whole"])
 def test_whole_queries_equal_sql(spark, name):
     library.test_queries_equal_sql(spark, name)
 
@@ -54,3 +55,14 @@ def test_nearest_of_all(spark):
     got = {r["utt_id"]: r["apart"] for r in trials.nearest_apart(df).collect()}
     assert [got[i] for i in range(60)] == pytest.approx(list(far.min(1)), abs=1e-12)
     assert trials.nearest_apart(df.where("utt_id = 1")).count() == 0
+
+
+def test_frames_at_the_threshold_stay(spark, tmp_path):
+    """A third of all frames exactly at the threshold: the query equals its SQL, the one that leaves them out doesn't."""
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.withColumn("value", F.when(F.col("event_id") % 3 == 0, 20.0).otherwise(F.col("value"))).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.execute(__spark_entry__.oracle_sql()["frames_to_segments_whole"]).fetchall())
+    of = lambda name: sorted(tuple(r) for r in __spark_entry__.queries()[name](spark, str(tmp_path)).select("rec", "st", "ed").collect())
+    assert of("frames_to_segments_whole") == want and of("frames_to_segments") != want
