@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars, vectors
+from .llm.common import stored
 from .operators import der, intervals, labels, manifests, tracks, transcripts, trials
 from .sources import text_tables
 from .streaming import sessions
@@ -143,7 +144,7 @@ def trial_scores_whole(spark, sf_dir):
 
 @query(WHOLE_SCORED + SQL["trial_eer"].removeprefix(SCORED))
 def trial_eer_whole(spark, sf_dir):
-    return eer_of(whole_scored(spark, sf_dir))
+    return eer_of(stored(whole_scored(spark, sf_dir), "trials"))  # read by many branches
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
