@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,11 +19,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a table of a few plain columns may be broadcast; with more, the same join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of one Arrow batch handed to Python, so that long texts do not add up to a whole partition.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 _LIBC = ctypes.CDLL(None)
 _OWN_ROOT: list[str] = []
-_STORED: list[str] = []
+_STORED: set[str] = set()
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns called c0, c1, ... and their names, which may repeat or differ in case only."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), list(df.columns)
 
 
 def trim() -> None:
@@ -49,8 +55,8 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
     Other columns may repeat a name or differ from one in case only; the first exact match counts.
     """
-    flat = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    return flat.select(*[flat[f"c{df.columns.index(n)}"].alias(n) for n in names])
+    flat, own = numbered(df)
+    return flat.select(*[flat[f"c{own.index(n)}"].alias(n) for n in names])
 
 
 def prepare(spark: SparkSession) -> None:
@@ -66,14 +72,19 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that the driver and all executors share (spark.checkpoint.dir)."""
+    """A new path in the folder that the driver and all executors share (spark.checkpoint.dir).
+
+    Where none is set, a local master gets a temporary folder; on a cluster that is an error.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN_ROOT:
             _OWN_ROOT.append(tempfile.mkdtemp(prefix="sonagrid-"))
         root = f"file://{_OWN_ROOT[0]}"
     path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    _STORED.append(path)
+    _STORED.add(path)
     return path
 
 
@@ -82,15 +93,36 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _STORED.discard(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` gave and that nothing reads any longer."""
+    for df in tables:
+        _delete(df.sparkSession, df.stored_at)
+
+
+def step(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What ``make`` returns, stored; the tables that it stored on the way are deleted."""
+    before = set(_STORED)
+    out = stored(make(), label)
+    for path in _STORED - before - {out.stored_at}:
+        _delete(out.sparkSession, path)
+    return out
 
 
 def purge(spark: SparkSession) -> None:
     """Delete what ``stored`` wrote in this process; results that still read it must be written out before."""
-    jvm = spark.sparkContext._jvm
-    while _STORED:
-        target = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    for path in list(_STORED):
+        _delete(spark, path)
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -18,13 +18,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, pick, prepare, released, small, stored, trim
+from .common import BROADCAST_ROWS, numbered, pick, prepare, released, small, stored, trim
 
 ORDER = 5
 #: Marks before and after a text.
 BEGIN, END = "\x02", "\x03"
 #: Characters handled at once.
-PART = 1 << 20
+PART = 1 << 18
 #: One in so many trusted documents is left out of training and sets the thresholds instead.
 HELD_OUT = 5
 #: Quantile of a language's held-out perplexities up to which documents are kept, and the room beyond it.
@@ -252,7 +252,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, order: int = ORDER, quantile
     out_of = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(HELD_OUT)) == 0
     trusted = F.col("good").isNotNull() & (F.coalesce(F.col("text"), F.lit("")) != "")
     rows = rows.select("doc_id", "lang", "text", trusted.alias("trusted"), F.coalesce(out_of, F.lit(False)).alias("held_out"))
-    if labelled > BROADCAST_ROWS:
+    if labelled > BROADCAST_ROWS or "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
         rows = stored(rows, "documents")  # after a shuffle the two scans could differ
     scored = stored(perplexities(rows, order), "scored")
     probe = scored.where("trusted and held_out")
@@ -271,8 +271,11 @@ def classify(docs: DataFrame, labels: DataFrame, *, order: int = ORDER, quantile
 def filtered(docs: DataFrame, labels: DataFrame, **how: float) -> DataFrame:
     """``docs`` without the documents that ``classify`` rejects; all columns are kept.
 
-    A document goes if every row of its doc_id is rejected; rows with a null doc_id stay.
+    A document goes if every row of its doc_id is rejected; rows with a null doc_id stay. Names of other columns may
+    repeat or differ in case only.
     """
     got = stored(classify(docs, labels, **how).select("doc_id", "kept"), "classes")
     gone = got.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("gone"))
-    return docs.join(small(gone, gone.count()), docs["doc_id"] == F.col("gone"), "left_anti")
+    gone = stored(gone, "gone")
+    flat, names = numbered(docs)
+    return flat.join(small(gone, gone.count()), F.col(f"c{names.index('doc_id')}").cast("long") == F.col("gone"), "left_anti").toDF(*names)

@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, prepare, released, small, stored
+from .common import forget, numbered, pick, prepare, released, small, stored
 
 #: Words of a shingle; links need 100 * intersection >= PERCENT * union.
 WIDTH, PERCENT = 5, 75
@@ -20,7 +20,9 @@ BANDS, ROWS = 48, 6
 #: Coordinates whose lowest bits make a sketch, and the most bits in which two sketches of a candidate pair differ: at
 #: the threshold 32 do at the mean, and more than 60 once in ten million times.
 SKETCH, APART = 256, 60
-CACHE_WORDS = 300_000
+#: Members up to which an open group is compared by pair.
+DIRECT = 64
+CACHE_WORDS = 100_000
 BLOCK = 256
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -122,18 +124,20 @@ def signatures(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS) -> Data
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and its full shingle set for the documents in ``ids`` (one column, id)."""
+    """id and its full shingle set for the documents in ``ids`` (one column, id); stored, as both ends of pairs read it."""
     prepare(docs.sparkSession)
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Words()
         for batch in batches:
-            sets = [shingle_set(words_of(v.as_buffer().to_pybytes()) if v.is_valid else [], look).view(np.int64) for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [shingle_set(words_of(v.as_buffer().to_pybytes()) if v.is_valid else [], look).view(np.int64) for v in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
     flat = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("id"), "text")
-    return flat.join(small(ids, ids.count()), "id", "left_semi").mapInArrow(run, "id long, shingles array<long>")
+    return stored(flat.join(small(ids, ids.count()), "id", "left_semi").mapInArrow(run, "id long, shingles array<long>"), "sets")
 
 
 def parts_for(rows: int, each: int) -> int:
@@ -141,14 +145,34 @@ def parts_for(rows: int, each: int) -> int:
     return max(12, -(-rows // each))
 
 
+def sets_of_pairs(docs: DataFrame, pairs: DataFrame) -> tuple[DataFrame, int]:
+    """(sets, number of pairs): the full shingle sets of all documents in ``pairs`` (a, b)."""
+    count = pairs.count()
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().coalesce(parts_for(count, 500_000)), "ids")
+    sets = shingle_sets(docs, ids)
+    forget(ids)
+    return sets, count
+
+
+def with_sets(pairs: DataFrame, sets: DataFrame, once: bool = False) -> DataFrame:
+    """``pairs`` with the sets sa and sb and the size of their intersection, common; once: one set for each a."""
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+    if once:
+        left = left.dropDuplicates(["a"])
+    both = pairs.join(left, "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    return both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
+
+
+def linked(common: Column | str, n: Column | str, m: Column | str) -> Column:
+    return (100 + PERCENT) * F.col(common) >= PERCENT * (n + m)
+
+
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full shingle sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    ids = stored(ids.coalesce(parts_for(pairs.count(), 500_000)), "ids")
-    sets = shingle_sets(docs, ids)
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * common >= PERCENT * (F.size("sa") + F.size("sb") - common)).select("a", "b").coalesce(parts_for(pairs.count(), 5_000))
+    sets, count = sets_of_pairs(docs, pairs)
+    links = stored(with_sets(pairs, sets).where(linked("common", F.size("sa"), F.size("sb"))).select("a", "b").coalesce(parts_for(count, 5_000)), "links")
+    forget(sets)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -165,9 +189,101 @@ def components(links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("k"), F.col("root").alias("far"))
         step = step.join(jump, F.col("root") == F.col("k"), "left").select("node", "old", F.least("root", "far").alias("root"))
         step = stored(step.coalesce(parts), "labels")
-        labels = step.select("node", "root")
+        forget(labels)
+        labels = step
         if step.where("old <> root").isEmpty():
-            return labels
+            forget(edges)
+            return labels.select("node", "root")
+
+
+def open_groups(held: DataFrame, roots: DataFrame) -> DataFrame:
+    """g (which is its hub), id and score of what lies in buckets that still join several components.
+
+    A bucket's hub is its member with the highest score, or a higher one that leads another bucket of some member: so
+    the buckets of one family of texts mostly share one hub. A hub need not lie in the bucket.
+    """
+    at = held.join(roots.select("node", "root"), F.col("id") == F.col("node"), "left").select("bucket", "id", "score", "members", F.coalesce("root", "id").alias("root"))
+    top = lambda: F.max(F.struct(F.col("score"), (-F.col("id")).alias("minus")))
+    mixed = at.where("members > 2").groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), top().alias("hub")).where("r0 < r1").select("bucket", "hub")
+    rows = stored(at.join(mixed, "bucket").select("bucket", "id", "score", "hub"), "open")
+    best = rows.groupBy("id").agg(F.max("hub").alias("best"))
+    hubs = rows.join(best, "id").groupBy("bucket").agg((-F.max("best")["minus"]).alias("g"))
+    groups = rows.join(hubs, "bucket").select("g", "id", "score").distinct()
+    out = stored(groups, "groups")
+    forget(rows)
+    return out
+
+
+def faced(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a: pivot, b) compared on full sets: a, b, n, pn (sizes), linked, rest, probes and cap.
+
+    rest: shingles of b outside the pivot, in order. Say b isn't linked to the pivot. Whatever x of at least m shingles
+    is linked to b has PERCENT / (100 + PERCENT) * (n + m) in common with it; at most ``common`` of these lie within the
+    pivot, so the others are in both rests, one of them among the first ``probes`` of b's. If the least such m (by b's
+    own size and the smallest set beside it) asks for none, all of rest are probes, and x may also share none of them;
+    then x has at most ``cap`` shingles, less than the pivot. So links that a pivot doesn't see are found by the shingles
+    that it lacks, which in a group of near copies are few, and no pair is looked at that shares none.
+    """
+    sets, count = sets_of_pairs(docs, pairs)
+    both = with_sets(pairs, sets, once=True)
+    both = both.select("a", "b", F.size("sb").alias("n"), F.size("sa").alias("pn"), "common", F.sort_array(F.array_except("sb", "sa")).alias("rest"))
+    both = stored(both.withColumn("linked", linked("common", F.col("n"), F.col("pn"))), "faced")
+    forget(sets)
+    whole = 100 + PERCENT
+    least = both.groupBy("a").agg(F.min("n").alias("least"))
+    both = both.join(least, "a")
+    smallest = F.greatest(F.col("least"), F.ceil(PERCENT * F.col("n") / 100))
+    asked = F.ceil(PERCENT * (F.col("n") + F.least("pn", smallest)) / whole) - F.col("common")
+    probes = F.when(F.col("linked"), 0).when(asked >= 1, F.size("rest") - asked + 1).otherwise(F.size("rest"))
+    cap = F.when(~F.col("linked") & (asked < 1), F.floor(whole * F.col("common") / PERCENT) - F.col("n"))
+    return both.select("a", "b", "n", "pn", "linked", "rest", F.greatest(probes, F.lit(0)).cast("int").alias("probes"), cap.alias("cap"))
+
+
+def settled(docs: DataFrame, groups: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
+    """Components once all links within ``groups`` (g, the pivot; id; score) are found too.
+
+    In each round every group's pivot is compared with all its members. What that leaves open is dealt into smaller
+    groups: one for each shingle outside the pivot, with a member that may have a link there, and one for sets smaller
+    than the pivot's. Groups without such a member or of one component are settled; of the others, those up to DIRECT
+    members are compared by pair, larger ones get a pivot of their own. Members of a group always lie in the group
+    before it, whose pivot has gone, so this ends.
+    """
+    groups = groups.select("g", "id", "score", F.col("g").alias("pivot"))
+    while True:
+        pairs = stored(groups.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+        if pairs.isEmpty():
+            forget(pairs)
+            return roots
+        met = stored(faced(docs, pairs), "met")
+        forget(pairs)
+        found = met.where("linked").select("a", "b").distinct()
+        links = stored(links.select("a", "b").union(found), "links")
+        roots = components(links)
+        own = roots.select("node", "root")
+        rows = groups.join(met, (F.col("pivot") == F.col("a")) & (F.col("id") == F.col("b")))
+        rows = rows.join(own, F.col("id") == F.col("node"), "left").select("g", "id", "score", "n", "pn", "linked", "rest", "probes", "cap", F.coalesce("root", "id").alias("root"))
+        by_shingle = rows.select("g", "id", "score", "root", "probes", F.posexplode("rest").alias("at", "x"))
+        by_shingle = by_shingle.select(F.xxhash64("g", "x").alias("g"), "id", "score", "root", (F.col("at") < F.col("probes")).alias("asks"))
+        low = rows.groupBy("g").agg(F.max("cap").alias("most"), F.min(F.when(F.col("n") < F.col("pn"), F.col("n"))).alias("least")).where("least <= most")
+        low = rows.join(low, "g").where("cap >= least or (n < pn and n <= most)")
+        low = low.select(F.xxhash64("g", F.lit("low")).alias("g"), "id", "score", "root", F.coalesce(F.col("cap") >= F.col("least"), F.lit(False)).alias("asks"))
+        next_ = stored(by_shingle.union(low).groupBy("g", "id").agg(F.first("score").alias("score"), F.first("root").alias("root"), F.max("asks").alias("asks")), "rest")
+        state = next_.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("asks").alias("any"), F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("top"))
+        state = state.where("any and r0 < r1").select("g", "members", (-F.col("top.minus")).alias("pivot"))
+        live = stored(next_.join(state, "g"), "live")
+        forget(next_, met, groups) if hasattr(groups, "stored_at") else forget(next_, met)
+        few = live.where(F.col("members") <= DIRECT)
+        asks = few.where("asks").select("g", F.col("id").alias("a"), F.col("root").alias("ra"))
+        direct = asks.join(few.select("g", F.col("id").alias("b"), F.col("root").alias("rb")), "g").where("ra <> rb")
+        direct = stored(direct.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        if not direct.isEmpty():
+            more = verified(docs, direct)
+            if not more.isEmpty():
+                links = stored(links.union(more), "links")
+                roots = components(links)
+            forget(more)
+        groups = stored(live.where(F.col("members") > DIRECT).select("g", "id", "score", "pivot"), "groups")
+        forget(live, direct)
 
 
 def near_duplicates(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -178,10 +294,11 @@ def near_duplicates(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS) ->
     only, has no shingles and is linked with nothing. Rows that share a doc_id are one node. A null doc_id takes no
     part: its component is null and it is kept. Other columns are ignored; an empty table gives no rows.
 
-    Copies are first put down to the smallest doc_id of their text. In each band's bucket the smallest member, the
-    pivot, is compared with all others (pairs whose sizes or sketches are too far apart leave within the join); where a bucket still joins several components, the next 3, 12, 48, ... members
-    are pivots too, each compared with what lies in other components, until all members have been. So a group of n near
-    copies costs about n comparisons a band and no link that banding proposes is lost, whatever a bucket's size.
+    Copies are first put down to the smallest doc_id of their text. In each band's bucket the hub, the member that
+    meets most others over all its bands, is compared with all others (pairs whose sizes or sketches are too far apart
+    leave within the join). ``settled`` finds the other links of buckets that then still join several components. So a
+    group of n near copies costs about n comparisons a band and no link that banding proposes is lost, whatever a
+    bucket's size.
     """
     base = stored(signatures(docs, bands=bands, rows=rows), "signatures")
     narrow = base.select("doc_id", "n_shingles", "same")
@@ -190,35 +307,23 @@ def near_duplicates(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS) ->
     chosen = base.join(reps.select("same", F.col("rep").alias("doc_id")), ["same", "doc_id"], "left_semi")
     rows_of = chosen.select(F.explode("keys").alias("bucket"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
     shared = rows_of.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("members")).where("least < most")
-    sketches = chosen.select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"])
-    held = rows_of.join(shared.select("bucket", "members"), "bucket").distinct().join(sketches, "id")
-    held = stored(held.select("bucket", "id", "n", "members", "sketch"), "buckets")
+    plain = stored(rows_of.join(shared.select("bucket", "members"), "bucket").distinct(), "shared")
+    about = plain.groupBy("id").agg(F.sum("members").alias("score")).join(chosen.select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"]), "id")
+    held = stored(plain.join(about, "id").select("bucket", "id", "n", "members", "score", "sketch"), "buckets")
+    forget(plain, base)
     apart = sum((F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("psketch", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
     alike = (100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn")) & (apart <= APART)
-    pivots = held.groupBy("bucket").agg(F.min(F.struct("id", "n", "sketch")).alias("p")).select("bucket", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.sketch").alias("psketch"))
-    pairs = held.alias("h").join(pivots.alias("p"), (F.col("h.bucket") == F.col("p.bucket")) & (F.col("id") != F.col("pivot")) & alike).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(verified(docs, stored(pairs, "pairs")), "links")
+    top = F.max(F.struct("score", (-F.col("id")).alias("minus"), "n", "sketch")).alias("p")
+    pivots = held.groupBy("bucket").agg(top).select("bucket", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("pn"), F.col("p.sketch").alias("psketch"))
+    pairs = held.alias("h").join(pivots.alias("p"), (F.col("h.bucket") == F.col("p.bucket")) & (F.col("id") != F.col("pivot")) & alike)
+    pairs = stored(pairs.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct(), "pairs")
+    links = verified(docs, pairs)
+    forget(pairs)
     roots = components(links)
-    done = 1
-    while True:
-        at = held.join(roots, F.col("id") == F.col("node"), "left").select("bucket", "id", "n", "sketch", F.coalesce("root", "id").alias("root"), "members")
-        mixed = at.where(F.col("members") > done + 1).groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("bucket")
-        open_rows = stored(at.join(mixed, "bucket", "left_semi"), "open")
-        if open_rows.isEmpty():
-            break
-        upto = done * 4
-        ranked = open_rows.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("id"))).where(F.col("rank") <= upto)
-        pivots = ranked.where(F.col("rank") > done).select("bucket", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("root").alias("proot"), F.col("sketch").alias("psketch"))
-        meet = (F.col("h.bucket") == F.col("p.bucket")) & (F.col("id") > F.col("pivot")) & (F.col("root") != F.col("proot")) & alike
-        pairs = open_rows.alias("h").join(pivots.alias("p"), meet)
-        pairs = pairs.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-        pairs = stored(pairs.coalesce(parts_for(open_rows.count(), 200_000)), "pairs")
-        found = stored(verified(docs, pairs), "links")
-        if not found.isEmpty():
-            links = links.union(found)
-            roots = components(links)
-        done = upto
-    out = member.join(roots, F.col("rep") == F.col("node"), "left")
+    groups = open_groups(held, roots)
+    forget(held)
+    roots = settled(docs, groups, links, roots)
+    out = member.join(roots.select("node", "root"), F.col("rep") == F.col("node"), "left")
     root = F.coalesce("root", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), root).alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
 
@@ -226,15 +331,20 @@ def near_duplicates(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS) ->
 def deduplicated(docs: DataFrame, **how: int) -> DataFrame:
     """``docs`` with one row for each class of near duplicates: the one with the smallest doc_id.
 
-    Of rows that share a doc_id one stays. Rows with a null doc_id stay. All columns are kept.
+    Of rows that share a doc_id one stays, the first by its columns as JSON text. Rows with a null doc_id stay. All
+    columns are kept, also those whose names repeat or differ in case only.
     """
     got = stored(near_duplicates(docs, **how).select("doc_id", "kept"), "classes")
-    gone = got.where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(small(gone, gone.count()), docs["doc_id"] == F.col("gone"), "left_anti")
-    again = got.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("again"))
+    gone = stored(got.where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    again = stored(got.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("again")), "again")
+    flat, names = numbered(docs)
+    doc_id = F.col(f"c{names.index('doc_id')}").cast("long")
+    kept = flat.join(small(gone, gone.count()), doc_id == F.col("gone"), "left_anti")
     times = again.count()
     if not times:
-        return kept
+        return kept.toDF(*names)
     again = small(again, times)
-    once = kept.join(again, kept["doc_id"] == F.col("again"), "left_anti")
-    return once.unionByName(kept.join(again, kept["doc_id"] == F.col("again"), "left_semi").dropDuplicates(["doc_id"]))
+    once = kept.join(again, doc_id == F.col("again"), "left_anti")
+    row = F.struct(*kept.columns)
+    first = kept.join(again, doc_id == F.col("again")).groupBy("again").agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return once.union(first.select("row.*")).toDF(*names)

@@ -7,7 +7,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, pick, small, stored
+from .common import WORD, numbered, pick, small, stored
 
 #: Weights of the sources in order, repeating; the share of all words that the mix takes; the most copies of a document.
 WEIGHTS, SHARE, COPIES = (3, 1, 2), 1.5, 2
@@ -106,11 +106,17 @@ def place(doc_id: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
 
 
+def pattern(rows: DataFrame, source: str) -> Column:
+    """The sorted sources of a row, without repeats; a column that is no array is one source, which may be null."""
+    if rows.schema[source].dataType.typeName() == "array":
+        return F.sort_array(F.array_distinct(F.col(source).cast("array<string>")), asc=True)
+    return F.array(F.col(source).cast("string"))
+
+
 def sized(docs: DataFrame, seed: str, source: str = "source") -> DataFrame:
     """doc_id, sources (sorted array; of one, which may be null, if the column is no array), size and place."""
     rows = pick(docs, "doc_id", source, "text")
-    kind = rows.schema[source].dataType.typeName()
-    sources = F.sort_array(F.array_distinct(F.col(source)), asc=True) if kind == "array" else F.array(F.col(source).cast("string"))
+    sources = pattern(rows, source)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     return rows.select(F.col("doc_id").cast("long"), sources.alias("sources"), size.alias("size"), place(F.col("doc_id").cast("long"), seed).alias("place"))
 
@@ -184,12 +190,14 @@ def mix(docs: DataFrame, *, seed: str = SEED, weights: tuple[float, ...] = WEIGH
 
 
 def mixed(docs: DataFrame, *, seed: str = SEED, **how: object) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; all columns are kept, texts are not shuffled."""
+    """``docs`` with each row as often as the mix takes it; all columns are kept, texts are not shuffled.
+
+    source may be an array of overlapping sources, as in ``plan``; an empty or null array belongs to none and isn't taken.
+    """
     rows = stored(sized(docs, seed), "sizes")
     take, _ = plan(rows, **how)
-    names = docs.columns
-    flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    source, doc_id = (F.col(f"c{names.index(n)}") for n in ("source", "doc_id"))
-    flat = flat.withColumn("sources", F.array(source.cast("string"))).withColumn("place", place(doc_id.cast("long"), seed))
+    flat, names = numbered(docs)
+    source, doc_id = (f"c{names.index(n)}" for n in ("source", "doc_id"))
+    flat = flat.withColumn("sources", pattern(flat, source)).withColumn("place", place(F.col(doc_id).cast("long"), seed))
     dealt = copies(flat, take).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return dealt.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, prepare, released, stored
+from .common import forget, numbered, pick, prepare, released, stored
 
 #: Kinds in their order, and the base patterns. A run of AKIA's or hex's class that is too short holds no
 #: long enough match, so their least lengths stand in the pattern; that of assign must be tested on the match.
@@ -219,12 +219,16 @@ def spans_text(spans: str) -> F.Column:
 def redact(docs: DataFrame, *, rate: float = 0.05, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret in text replaced by ``mark`` and n_chars, if there is one, set to the new length.
 
-    Spans that overlap become one mark. Texts without secrets, null ones too, stay as they are, as do rows and columns.
+    Spans that overlap become one mark. Texts without secrets, null ones too, stay as they are, as do rows and columns;
+    names of other columns may repeat or differ in case only.
     The texts are scanned twice (for the false-discovery threshold, then to replace), so that they need no shuffle.
     """
-    limit = thresholds(stored(scan(docs).select("candidates"), "secrets"), rate)
-    at = docs.columns.index("text")
-    count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    found = stored(scan(docs).select("candidates"), "secrets")
+    limit = thresholds(found, rate)
+    forget(found)
+    flat, names = numbered(docs)
+    at = names.index("text")
+    count = names.index("n_chars") if "n_chars" in names else None
 
     def clean(text: str) -> str:
         base = base_spans(text)
@@ -248,10 +252,8 @@ def redact(docs: DataFrame, *, rate: float = 0.05, mark: str = "[SECRET]") -> Da
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return flat.mapInArrow(run, flat.schema).toDF(*names)
 
 
 def digest(spans: str) -> F.Column:
     return F.sha2(spans_text(spans).cast("binary"), 256)
-
-
