@@ -196,22 +196,10 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "root")
 
 
-def open_groups(held: DataFrame, roots: DataFrame) -> DataFrame:
-    """g (which is its hub), id and score of what lies in buckets that still join several components.
-
-    A bucket's hub is its member with the highest score, or a higher one that leads another bucket of some member: so
-    the buckets of one family of texts mostly share one hub. A hub need not lie in the bucket.
-    """
-    at = held.join(roots.select("node", "root"), F.col("id") == F.col("node"), "left").select("bucket", "id", "score", "members", F.coalesce("root", "id").alias("root"))
-    top = lambda: F.max(F.struct(F.col("score"), (-F.col("id")).alias("minus")))
-    mixed = at.where("members > 2").groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), top().alias("hub")).where("r0 < r1").select("bucket", "hub")
-    rows = stored(at.join(mixed, "bucket").select("bucket", "id", "score", "hub"), "open")
-    best = rows.groupBy("id").agg(F.max("hub").alias("best"))
-    hubs = rows.join(best, "id").groupBy("bucket").agg((-F.max("best")["minus"]).alias("g"))
-    groups = rows.join(hubs, "bucket").select("g", "id", "score").distinct()
-    out = stored(groups, "groups")
-    forget(rows)
-    return out
+def top(*more: str, among: Column | None = None) -> Column:
+    """The member with the highest score, of several the one with the smallest id, and ``more`` of it."""
+    one = F.struct(F.col("score"), (-F.col("id")).alias("minus"), *more)
+    return F.max(one if among is None else F.when(among, one)).alias("top")
 
 
 def faced(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -239,51 +227,63 @@ def faced(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("a", "b", "n", "pn", "linked", "rest", F.greatest(probes, F.lit(0)).cast("int").alias("probes"), cap.alias("cap"))
 
 
-def settled(docs: DataFrame, groups: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
-    """Components once all links within ``groups`` (g, the pivot; id; score) are found too.
+def joined(links: DataFrame, roots: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and components once more those of ``found`` (a, b) count that join two components."""
+    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    at = found.select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
+    new = stored(at.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").coalesce(12), "links")
+    if new.isEmpty():
+        return links, roots
+    links = links.select("a", "b").union(new)
+    return links, components(links)
 
-    In each round every group's pivot is compared with all its members. What that leaves open is dealt into smaller
-    groups: one for each shingle outside the pivot, with a member that may have a link there, and one for sets smaller
-    than the pivot's. Groups without such a member or of one component are settled; of the others, those up to DIRECT
-    members are compared by pair, larger ones get a pivot of their own. Members of a group always lie in the group
-    before it, whose pivot has gone, so this ends.
+
+def settled(docs: DataFrame, groups: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
+    """Components once all links within ``groups`` (g, id, n, score, sketch, asks) are found too.
+
+    A link matters if one end asks. Groups without a member that asks or of one component are settled. Of the others,
+    those up to a limit are compared by pair, of which only those with near enough sizes and sketches leave the join. In
+    larger ones all members are compared with a pivot, the one that meets most others; groups with the same pivot become
+    one. What that leaves open is dealt into smaller groups: one for each shingle outside the pivot, with members that
+    may have a link there, and one for sets smaller than the pivot's. The limit is DIRECT and grows fourfold from round
+    to round, so this ends; what is left then is texts of similarities about the threshold that have much in common.
     """
-    groups = groups.select("g", "id", "score", F.col("g").alias("pivot"))
+    limit = DIRECT
     while True:
-        pairs = stored(groups.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-        if pairs.isEmpty():
-            forget(pairs)
+        at = groups.join(roots, F.col("id") == F.col("node"), "left").select("g", "id", "n", "score", "sketch", "asks", F.coalesce("root", "id").alias("root"))
+        state = at.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("asks").alias("any"), top())
+        state = state.where("any and r0 < r1").select("g", "members", (-F.col("top.minus")).alias("pivot"))
+        live = stored(at.join(state, "g"), "live")
+        few = live.where(F.col("members") <= limit)
+        asks = few.where("asks").select("g", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("root").alias("proot"), F.col("sketch").alias("psketch"))
+        near = asks.join(few.select("g", "id", "n", "root", "sketch"), "g").where((F.col("root") != F.col("proot")) & alike())
+        near = stored(near.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct(), "pairs")
+        if not near.isEmpty():
+            links, roots = joined(links, roots, verified(docs, near))
+        rows = stored(live.where(F.col("members") > limit).select("pivot", "id", "n", "score", "sketch").distinct(), "groups")
+        forget(near, live)
+        if rows.isEmpty():
             return roots
+        pairs = stored(rows.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
         met = stored(faced(docs, pairs), "met")
-        forget(pairs)
-        found = met.where("linked").select("a", "b").distinct()
-        links = stored(links.select("a", "b").union(found), "links")
-        roots = components(links)
-        own = roots.select("node", "root")
-        rows = groups.join(met, (F.col("pivot") == F.col("a")) & (F.col("id") == F.col("b")))
-        rows = rows.join(own, F.col("id") == F.col("node"), "left").select("g", "id", "score", "n", "pn", "linked", "rest", "probes", "cap", F.coalesce("root", "id").alias("root"))
-        by_shingle = rows.select("g", "id", "score", "root", "probes", F.posexplode("rest").alias("at", "x"))
-        by_shingle = by_shingle.select(F.xxhash64("g", "x").alias("g"), "id", "score", "root", (F.col("at") < F.col("probes")).alias("asks"))
-        low = rows.groupBy("g").agg(F.max("cap").alias("most"), F.min(F.when(F.col("n") < F.col("pn"), F.col("n"))).alias("least")).where("least <= most")
-        low = rows.join(low, "g").where("cap >= least or (n < pn and n <= most)")
-        low = low.select(F.xxhash64("g", F.lit("low")).alias("g"), "id", "score", "root", F.coalesce(F.col("cap") >= F.col("least"), F.lit(False)).alias("asks"))
-        next_ = stored(by_shingle.union(low).groupBy("g", "id").agg(F.first("score").alias("score"), F.first("root").alias("root"), F.max("asks").alias("asks")), "rest")
-        state = next_.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("asks").alias("any"), F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("top"))
-        state = state.where("any and r0 < r1").select("g", "members", (-F.col("top.minus")).alias("pivot"))
-        live = stored(next_.join(state, "g"), "live")
-        forget(next_, met, groups) if hasattr(groups, "stored_at") else forget(next_, met)
-        few = live.where(F.col("members") <= DIRECT)
-        asks = few.where("asks").select("g", F.col("id").alias("a"), F.col("root").alias("ra"))
-        direct = asks.join(few.select("g", F.col("id").alias("b"), F.col("root").alias("rb")), "g").where("ra <> rb")
-        direct = stored(direct.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        if not direct.isEmpty():
-            more = verified(docs, direct)
-            if not more.isEmpty():
-                links = stored(links.union(more), "links")
-                roots = components(links)
-            forget(more)
-        groups = stored(live.where(F.col("members") > DIRECT).select("g", "id", "score", "pivot"), "groups")
-        forget(live, direct)
+        links, roots = joined(links, roots, met.where("linked"))
+        rows = rows.withColumnRenamed("n", "own").join(met, (F.col("pivot") == F.col("a")) & (F.col("id") == F.col("b")))
+        kept = ["id", F.col("own").alias("n"), "score", "sketch"]
+        by_shingle = rows.select("pivot", *kept, "probes", F.posexplode("rest").alias("at", "x"))
+        by_shingle = by_shingle.select(F.xxhash64("pivot", "x").alias("g"), "id", "n", "score", "sketch", (F.col("at") < F.col("probes")).alias("asks"))
+        low = rows.groupBy("pivot").agg(F.max("cap").alias("most"), F.min(F.when(F.col("n") < F.col("pn"), F.col("n"))).alias("least")).where("least <= most")
+        low = rows.join(low, "pivot").where("cap >= least or (n < pn and n <= most)")
+        low = low.select(F.xxhash64("pivot", F.lit("low")).alias("g"), *kept, F.coalesce(F.col("cap") >= F.col("least"), F.lit(False)).alias("asks"))
+        rest = by_shingle.union(low).groupBy("g", "id").agg(*[F.first(x).alias(x) for x in ("n", "score", "sketch")], F.max("asks").alias("asks"))
+        groups = stored(rest, "rest")
+        forget(pairs, met)
+        limit *= 4
+
+
+def alike() -> Column:
+    """Sizes and sketches of a document (n, sketch) and a pivot (pn, psketch) allow for a link."""
+    apart = sum((F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("psketch", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+    return (100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn")) & (apart <= APART)
 
 
 def near_duplicates(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -311,19 +311,16 @@ def near_duplicates(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS) ->
     about = plain.groupBy("id").agg(F.sum("members").alias("score")).join(chosen.select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"]), "id")
     held = stored(plain.join(about, "id").select("bucket", "id", "n", "members", "score", "sketch"), "buckets")
     forget(plain, base)
-    apart = sum((F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("psketch", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
-    alike = (100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn")) & (apart <= APART)
-    top = F.max(F.struct("score", (-F.col("id")).alias("minus"), "n", "sketch")).alias("p")
-    pivots = held.groupBy("bucket").agg(top).select("bucket", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("pn"), F.col("p.sketch").alias("psketch"))
-    pairs = held.alias("h").join(pivots.alias("p"), (F.col("h.bucket") == F.col("p.bucket")) & (F.col("id") != F.col("pivot")) & alike)
+    pivots = held.groupBy("bucket").agg(top("n", "sketch")).select("bucket", (-F.col("top.minus")).alias("pivot"), F.col("top.n").alias("pn"), F.col("top.sketch").alias("psketch"))
+    pairs = held.alias("h").join(pivots.alias("p"), (F.col("h.bucket") == F.col("p.bucket")) & (F.col("id") != F.col("pivot")) & alike())
     pairs = stored(pairs.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct(), "pairs")
     links = verified(docs, pairs)
     forget(pairs)
     roots = components(links)
-    groups = open_groups(held, roots)
-    forget(held)
+    groups = held.where("members > 2").select(F.col("bucket").alias("g"), "id", "n", "score", "sketch", F.lit(True).alias("asks"))
     roots = settled(docs, groups, links, roots)
-    out = member.join(roots.select("node", "root"), F.col("rep") == F.col("node"), "left")
+    forget(held)
+    out = member.join(roots, F.col("rep") == F.col("node"), "left")
     root = F.coalesce("root", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), root).alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
 
