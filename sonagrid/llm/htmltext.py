@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -17,9 +19,31 @@ BLOCKS = frozenset("address article aside blockquote body br caption center dd d
 REGIONS = frozenset("article main section div td body".split())
 NOT_TEXT = frozenset("script style noscript template head title nav footer aside form button select textarea iframe object svg canvas audio video map menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of class, id and role that mark what is no main text.
-MARKS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies consent gdpr notice alert popup modal overlay menu menubar nav navbar navigation breadcrumb breadcrumbs sidebar widget footer header masthead comment comments reply replies respond disqus related share sharing social newsletter subscribe subscription signup login search contentinfo complementary".split())
+#: Elements whose end tag may be left out, what a new one ends, and what such an end doesn't reach over.
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+SCOPES = frozenset("ul ol menu dl table select html".split())
+#: Elements beyond which an end tag ends nothing.
+WALLS = frozenset("html table td th caption object template".split())
+#: Roles, and words of class and id, that mark what is no main text wherever they stand in a name.
+ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alertdialog alert form".split())
+MARKS = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promotion cookie cookies consent gdpr popup modal nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar newsletter disqus".split())
+READERS = frozenset("comment comments commentlist reply replies respond".split())
+#: Words that mark it only in names made of nothing but them and the plain words.
+WEAK = frozenset("header footer masthead banner search notice notices alert overlay widget widgets related share sharing social subscribe subscription signup login toolbar".split())
+PLAIN = frozenset("site page global top bottom left right main form box list section bar links link buttons button area wrap wrapper container block inner outer primary secondary js the".split())
 ARTICLES = ("article", "main")
+SPLIT = re.compile(r"[-_:]+|(?<=[a-z])(?=[A-Z])").split
+
+
+@lru_cache(4096)
+def marked(name: str, within: str) -> bool:
+    """Whether a class or id says that the element isn't main text; an article is left out as a reader's comment only."""
+    words = [w.lower() for w in SPLIT(name) if w]
+    if within == "article":
+        return len(words) == 1 and words[0] in READERS
+    if any(w in MARKS or w in READERS for w in words):
+        return True
+    return any(w in WEAK for w in words) and all(w in WEAK or w in PLAIN or w.isdigit() for w in words)
 
 
 class Lines(HTMLParser):
@@ -39,22 +63,42 @@ class Lines(HTMLParser):
             self.tags = 0
         self.text = []
 
+    def shut(self, at: int) -> None:
+        """End the open elements from place ``at`` on."""
+        for _, _, left in self.open[at:]:
+            self.out -= left
+        del self.open[at:]
+        self.path = tuple(n for _, n, _ in self.open if n >= 0)
+
+    def left_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        if tag in NOT_TEXT:
+            return True
+        if tag in ("html", "body", "main"):
+            return False
+        if tag == "header" and not any(x[0] in ARTICLES for x in self.open):
+            return True
+        for k, v in attrs:
+            if v and k in ("class", "id") and any(marked(name, tag) for name in v.split()):
+                return True
+            if v and k == "role" and tag != "article" and v.strip().lower() in ROLES:
+                return True
+        return False
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
+            if tag != "br" and self.open:
+                self.implied(tag)
         if tag in VOID:
             return
-        if tag in ("body", *ARTICLES) and any(x[0] == "head" for x in self.open):
-            self.handle_endtag("head")  # it was never closed
-        left = tag in NOT_TEXT
-        if not left and tag not in ("html", "body", "article", "main"):
-            words = " ".join(v for k, v in attrs if v and k in ("class", "id", "role")).lower().replace("-", " ").replace("_", " ").split()
-            left = not MARKS.isdisjoint(words)
-        if tag == "header" and not any(x[0] in ARTICLES for x in self.open):
-            left = True
-        if not left and tag not in REGIONS:
-            return
+        if tag in ("body", "main", "article"):
+            # a head never ends inside the page, nor does main stand within what is left out: an end tag is missing
+            for k, (name, _, left) in enumerate(self.open):
+                if name == "head" or tag == "main" and left:
+                    self.shut(k)
+                    break
+        left = self.left_out(tag, attrs)
         number = -1
         if tag in REGIONS and not left:
             number = len(self.kinds)
@@ -63,17 +107,34 @@ class Lines(HTMLParser):
         self.open.append((tag, number, left))
         self.out += left
 
+    def implied(self, tag: str) -> None:
+        """End what a block that begins ends by itself: an open paragraph, the list item or table cell before it."""
+        ends = ENDS.get(tag, ())
+        for k in range(len(self.open) - 1, -1, -1):
+            name = self.open[k][0]
+            if name == "p" or name in ends:
+                self.shut(k)
+                if name == "p":
+                    if ends:
+                        self.implied(tag)
+                    return
+                if tag != "tr" or name == "tr":
+                    return
+            elif name in SCOPES or name in BLOCKS and (not ends or name in WALLS and tag != "tr"):
+                return
+
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if tag in BLOCKS:
+        block = tag in BLOCKS
+        if block:
             self.flush()
         for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                for _, _, left in self.open[k:]:
-                    self.out -= left
-                del self.open[k:]
-                self.path = tuple(n for _, n, _ in self.open if n >= 0)
+            name = self.open[k][0]
+            if name == tag:
+                self.shut(k)
                 return
+            if name in WALLS and tag not in WALLS | SCOPES | {"tr", "body", "tbody", "tfoot", "thead"} or not block and name in BLOCKS:
+                return  # an end tag without its beginning
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -112,8 +173,9 @@ def extract(html: str) -> str:
     """Main text of one page, empty if none.
 
     Lines come from block elements; each has its text-to-tag ratio, which is smoothed over neighbours and clustered by
-    a threshold. The characters of content lines vote for the regions around them. The main region is the article or
-    main element with most votes, if one has any; all its lines count, short ones too.
+    a threshold. The characters of content lines vote for the regions around them. If an article or main element has at
+    least half of all votes, the one with most is the main region, or an inner one with at least half of its votes that
+    no other article stands beside; all its lines count, short ones too.
 
     Else the main regions are the smallest one with nearly all votes and, so that no part of a split text is lost, those
     right around lines that are content by their own ratio, not only by their neighbours', and the smallest one around
@@ -137,10 +199,12 @@ def extract(html: str) -> str:
             total += len(text)
             for region in path:
                 votes[region] = votes.get(region, 0) + len(text)
-    articles = [r for r in votes if parser.kinds[r] in ARTICLES]
+    articles = [r for r in votes if parser.kinds[r] in ARTICLES and 2 * votes[r] >= total]
     if articles:
-        best = max(articles, key=lambda r: (votes[r], -r))
-        best = max((r for r in articles if votes[r] == votes[best]), default=best)
+        best = max(articles, key=lambda r: (votes[r], r))
+        within = {r for _, _, path in lines if best in path for r in path[path.index(best) + 1 :] if parser.kinds[r] in ARTICLES}
+        if len(within) == 1 and 2 * votes.get(one := within.pop(), 0) >= votes[best]:
+            best = one
         return " ".join(t for t, _, path in lines if best in path)
     if not total:
         return ""
