@@ -109,7 +109,8 @@ def place(doc_id: Column, seed: str) -> Column:
 def pattern(rows: DataFrame, source: str) -> Column:
     """The sorted sources of a row, without repeats; a column that is no array is one source, which may be null."""
     if rows.schema[source].dataType.typeName() == "array":
-        return F.sort_array(F.array_distinct(F.col(source).cast("array<string>")), asc=True)
+        own = F.coalesce(F.col(source).cast("array<string>"), F.array().cast("array<string>"))
+        return F.sort_array(F.array_distinct(own), asc=True)
     return F.array(F.col(source).cast("string"))
 
 

@@ -26,7 +26,7 @@ def op2_vamana(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.fingerprints(table(spark, sf_dir, "documents")).drop("code")
+    return simhash.with_neighbours(table(spark, sf_dir, "documents")).drop("code")
 
 
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

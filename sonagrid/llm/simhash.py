@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, small, stored
 
 BITS = 64
 #: Terms weigh by their length, up to this: short words are mostly function words that all texts share.
@@ -129,8 +129,22 @@ def near_fingerprints(codes: DataFrame, *, radius: int = 3, blocks: int = 6) ->
     distinct = pick(codes, "code").where("code is not null").distinct()
     keyed = distinct.select("code", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("t", "mask"))
     keyed = keyed.select("code", "t", F.col("code").bitwiseAND(F.col("mask")).alias("key"))
-    pairs = keyed.alias("a").join(keyed.alias("b"), (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.code") < F.col("b.code")))
     apart = F.col("a.code").bitwiseXOR(F.col("b.code"))
-    pairs = pairs.select(F.col("a.code").alias("a"), F.col("b.code").alias("b"), F.col("a.t").alias("t"), F.bit_count(apart).alias("distance"), apart.alias("apart"))
-    earliest = F.array_position(F.transform(F.array(*[F.lit(m) for m in masks]), lambda m: m.bitwiseAND(F.col("apart")) == 0), True) - 1
-    return pairs.where((F.col("distance") <= radius) & (earliest == F.col("t"))).select("a", "b", "distance")
+    earliest = F.array_position(F.transform(F.array(*[F.lit(m) for m in masks]), lambda m: m.bitwiseAND(apart) == 0), True) - 1
+    meet = (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.code") < F.col("b.code"))
+    pairs = keyed.alias("a").join(keyed.alias("b"), meet & (F.bit_count(apart) <= radius) & (earliest == F.col("a.t")))
+    return pairs.select(F.col("a.code").alias("a"), F.col("b.code").alias("b"), F.bit_count(apart).alias("distance"))
+
+
+def neighbours(codes: DataFrame, *, radius: int = 3, blocks: int = 6) -> DataFrame:
+    """code and n_near, the number of different other fingerprints within ``radius`` bits, for codes that have any."""
+    pairs = near_fingerprints(codes, radius=radius, blocks=blocks)
+    return pairs.select(F.explode(F.array("a", "b")).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n_near"))
+
+
+def with_neighbours(docs: DataFrame, *, radius: int = 3, blocks: int = 6) -> DataFrame:
+    """``fingerprints`` and n_near, the number of other fingerprints of the table within ``radius`` bits of the row's."""
+    got = stored(fingerprints(docs), "fingerprints")
+    near = stored(neighbours(got, radius=radius, blocks=blocks).withColumnRenamed("code", "_code"), "neighbours")
+    out = got.join(small(near, near.count()), F.col("code") == F.col("_code"), "left").drop("_code")
+    return out.withColumn("n_near", F.coalesce("n_near", F.lit(0)))

@@ -13,7 +13,7 @@ from .common import pick, prepare, stored
 SHARD, DEGREE, BUILD_BEAM, BEAM, PASSES = 4096, 32, 64, 96, (1.0, 1.2)
 #: Points that are inserted at once, and queries of one search task.
 BATCH, QUERIES = 256, 4096
-INDEX = "dim int, shard int, node int, ids array<long>, vector array<float>, edges array<int>, entry boolean"
+INDEX = "dim int, shard int, node int, ids array<long>, vector {}, edges array<int>, entry boolean"
 
 
 def beam_search(x: np.ndarray, edges: np.ndarray, entry: int, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -137,9 +137,17 @@ def unit(vectors: list[np.ndarray]) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def scaled(vectors: list[np.ndarray]) -> np.ndarray:
+    """Doubles with the largest component of each below 1; powers of two keep cosines exactly as they were."""
+    x = np.stack(vectors).astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def valid_vectors(embeddings: DataFrame) -> DataFrame:
     """vec_id, vector and dim of the rows that take part, one for each vec_id (of several the least vector)."""
-    rows = pick(embeddings, "vec_id", "embedding").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("vector"))
+    rows = pick(embeddings, "vec_id", "embedding")
+    kind = "array<float>" if rows.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind).alias("vector"))
     finite = ~F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).where(finite & F.exists("vector", lambda v: v != 0))
     return rows.groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
@@ -167,7 +175,7 @@ def build_index(vectors: DataFrame, k: int, *, shard: int = SHARD, degree: int =
         group["entry"] = group["node"] == entry
         return group[["dim", "shard", "node", "ids", "vector", "edges", "entry"]]
 
-    return nodes.groupBy("dim", "shard").applyInPandas(run, INDEX), shards
+    return nodes.groupBy("dim", "shard").applyInPandas(run, INDEX.format(nodes.schema["vector"].dataType.simpleString())), shards
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int, shards: int, *, beam: int = BEAM) -> DataFrame:
@@ -186,7 +194,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, shards: int, *, b
         if nodes.empty or asked.empty:
             return empty
         nodes = nodes.sort_values("node", ignore_index=True)
-        raw = np.stack(list(nodes["vector"])).astype(np.float64)
+        raw, least = scaled(list(nodes["vector"])), nodes["ids"].str[0].to_numpy()
         edges = np.full((len(nodes), max(1, max(map(len, nodes["edges"])))), -1, np.int32)
         for i, e in enumerate(nodes["edges"]):
             edges[i, : len(e)] = e
@@ -195,12 +203,12 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, shards: int, *, b
         out: list[tuple[int, int, float]] = []
         for at in range(0, len(asked), BATCH):
             part = asked.iloc[at : at + BATCH]
-            q = np.stack(list(part["vector"])).astype(np.float64)
+            q = scaled(list(part["vector"]))
             found, _, _ = beam_search(x, edges, entry, unit(list(part["vector"])), max(beam, k + 1))
             dot = np.einsum("qd,qkd->qk", q, raw[found])
             score = np.where(found < 0, -np.inf, dot / (np.sqrt((q * q).sum(axis=1))[:, None] * norm[found]))
             for own, row, values in zip(part["vec_id"], found, score, strict=True):
-                best = np.argsort(-values, kind="stable")[: 2 * k + 2]
+                best = np.lexsort((least[row], -values))[: k + 1]
                 hits = [(values[b], i) for b in best if row[b] >= 0 for i in nodes["ids"][row[b]] if i != own]
                 out += [(own, i, s) for s, i in sorted(hits, key=lambda h: (-h[0], h[1]))[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]) if out else empty
@@ -222,5 +230,3 @@ def nearest(embeddings: DataFrame, *, k: int = 5, every: int = 50, beam: int = B
     vectors = stored(valid_vectors(embeddings), "vectors")
     index, shards = build_index(vectors, k, shard=shard)
     return search_index(stored(index, "graph"), vectors.where(F.col("vec_id") % every == 0), k, shards, beam=beam)
-
-
