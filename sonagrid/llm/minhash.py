@@ -252,15 +252,14 @@ def settled(docs: DataFrame, groups: DataFrame, links: DataFrame, roots: DataFra
     while True:
         at = groups.join(roots, F.col("id") == F.col("node"), "left").select("g", "id", "n", "score", "sketch", "asks", F.coalesce("root", "id").alias("root"))
         state = at.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("asks").alias("any"), top())
-        state = state.where("any and r0 < r1").select("g", "members", (-F.col("top.minus")).alias("pivot"))
-        live = stored(at.join(state, "g"), "live")
+        live = stored(at.join(state.where("any and r0 < r1").select("g", "members", "top"), "g"), "live")
         few = live.where(F.col("members") <= limit)
         asks = few.where("asks").select("g", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("root").alias("proot"), F.col("sketch").alias("psketch"))
         near = asks.join(few.select("g", "id", "n", "root", "sketch"), "g").where((F.col("root") != F.col("proot")) & alike())
         near = stored(near.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct(), "pairs")
         if not near.isEmpty():
             links, roots = joined(links, roots, verified(docs, near))
-        rows = stored(live.where(F.col("members") > limit).select("pivot", "id", "n", "score", "sketch").distinct(), "groups")
+        rows = stored(by_pivot(live.where(F.col("members") > limit)), "groups")
         forget(near, live)
         if rows.isEmpty():
             return roots
@@ -275,11 +274,24 @@ def settled(docs: DataFrame, groups: DataFrame, links: DataFrame, roots: DataFra
         low = rows.join(low, "pivot").where("cap >= least or (n < pn and n <= most)")
         low = low.select(F.xxhash64("pivot", F.lit("low")).alias("g"), *kept, F.coalesce(F.col("cap") >= F.col("least"), F.lit(False)).alias("asks"))
         rest = by_shingle.union(low).groupBy("g", "id").agg(*[F.first(x).alias(x) for x in ("n", "score", "sketch")], F.max("asks").alias("asks"))
-        groups = stored(rest, "rest")
+        rest = stored(rest, "rest")
+        crowds = rest.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.max("asks").alias("any")).where("members > 1 and any")
+        groups = rest.join(crowds, "g", "left_semi")
         forget(pairs, met)
         limit *= 4
 
 
+def by_pivot(large: DataFrame) -> DataFrame:
+    """pivot, id, n, score and sketch of the members of ``large`` groups (with top, their best member).
+
+    The pivot is the best member of the group or, if better, of another large group of one of its members; so groups of
+    one family of texts mostly become one. A pivot need not lie in the group.
+    """
+    best = large.groupBy("id").agg(F.max("top").alias("best"))
+    pivots = large.select("g", "id").join(best, "id").groupBy("g").agg((-F.max("best")["minus"]).alias("pivot"))
+    return large.join(pivots, "g").select("pivot", "id", "n", "score", "sketch").distinct()
+
+
 def alike() -> Column:
     """Sizes and sketches of a document (n, sketch) and a pivot (pn, psketch) allow for a link."""
     apart = sum((F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("psketch", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
