@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,11 @@ def doubles(x: Column | str) -> Column:
     return (F.col(x) if isinstance(x, str) else x).cast("array<double>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body or a function within it uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
 
@@ -33,21 +39,25 @@ def cosine(a: Column, b: Column, eps: float = 0.0) -> Column:
 
 
 def l2_normalised(x: Column) -> Column:
-    n = norm(x)
-    return F.transform(doubles(x), lambda v: F.when(n == 0, 0.0).otherwise(v / n))
+    return let(norm(x), lambda n: F.transform(doubles(x), lambda v: F.when(n == 0, 0.0).otherwise(v / n)))
+
+
+def shares(x: Column) -> Column:
+    """Items over their sum."""
+    return let(x, lambda e: let(total(e), lambda all_: F.transform(e, lambda v: v / all_)))
 
 
 def softmax(x: Column, temperature: float = 1.0) -> Column:
-    top = F.array_max(doubles(x))
-    e = F.transform(doubles(x), lambda v: F.exp((v - top) / temperature))
-    all_ = total(e)
-    return F.transform(e, lambda v: v / all_)
+    return let(F.array_max(doubles(x)), lambda top: shares(F.transform(doubles(x), lambda v: F.exp((v - top) / temperature))))
 
 
 def sharpen(p: Column, temperature: float) -> Column:
-    e = F.transform(doubles(p), lambda v: F.pow(v, F.lit(1 / temperature)))
-    all_ = total(e)
-    return F.transform(e, lambda v: v / all_)
+    return shares(F.transform(doubles(p), lambda v: F.pow(v, F.lit(1 / temperature))))
+
+
+def argmax(x: Column) -> Column:
+    """The place, from 0, of the first of the largest items."""
+    return F.array_position(x, F.array_max(x)) - 1
 
 
 def one_hot(label: Column, classes: int, off: float = 0.0, on: float = 1.0) -> Column:
@@ -77,14 +87,11 @@ def frames(x: Column, length: int, shift: int) -> Column:
 
 def pre_emphasis(x: Column, coefficient: float = 0.97) -> Column:
     """x[i] - c * x[i - 1]; the first item takes itself as the one before."""
-    v = doubles(x)
-    return F.transform(v, lambda y, i: y - coefficient * F.element_at(v, F.greatest(i, F.lit(1)).cast("int")))
+    return let(doubles(x), lambda v: F.transform(v, lambda y, i: y - coefficient * F.element_at(v, F.greatest(i, F.lit(1)).cast("int"))))
 
 
 def without_mean(x: Column) -> Column:
-    v = doubles(x)
-    m = total(v) / F.size(v)
-    return F.transform(v, lambda y: y - m)
+    return let(total(doubles(x)) / F.size(x), lambda m: F.transform(doubles(x), lambda y: y - m))
 
 
 def window(kind: str, n: int) -> Column:
@@ -121,9 +128,8 @@ def mask(x: Column, first: int, last: int) -> Column:
 def mix_at_snr(wav: Column, noise: Column, snr: Column) -> Column:
     """``wav`` with ``noise`` scaled to ``snr`` dB below it, over the peak if that is above 1."""
     scale = F.pow(F.lit(10.0), (power_db(wav) - power_db(noise) - snr) / 20)
-    both = F.zip_with(doubles(wav), doubles(noise), lambda a, b: a + scale * b)
-    peak = F.array_max(F.transform(both, lambda v: F.abs(v))) + 1e-6
-    return F.transform(both, lambda v: v / peak)
+    both = let(scale, lambda k: F.zip_with(doubles(wav), doubles(noise), lambda a, b: a + k * b))
+    return let(both, lambda x: let(F.array_max(F.transform(x, lambda v: F.abs(v))) + 1e-6, lambda peak: F.transform(x, lambda v: v / peak)))
 
 
 def mean_vectors(df: DataFrame, key: list[str], emb: str, *, weight: str | None = None) -> DataFrame:

@@ -51,9 +51,10 @@ def nearest_centroid(df: DataFrame, centroids: DataFrame, key: list[str], emb: s
     unit = centroids.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("label", vectors.l2_normalised(F.col("centroid")).alias("c")))).alias("_cs"))
     joined = df.join(unit, key) if key else df.crossJoin(F.broadcast(unit))
     own = vectors.l2_normalised(F.col(emb))
-    scored = joined.withColumn("_own", own).withColumn("_s", F.transform("_cs", lambda c: F.struct(vectors.dot(F.col("_own"), c["c"]).alias("s"), c["label"].alias("label"))))
-    best = F.aggregate(F.slice("_s", F.lit(2), F.greatest(F.size("_s") - 1, F.lit(0))), F.get("_s", F.lit(0)), lambda a, b: F.when(b["s"] > a["s"], b).otherwise(a))
-    return scored.withColumn("_b", best).withColumns({"nearest": F.col("_b.label"), "cosine": F.col("_b.s")}).drop("_cs", "_own", "_s", "_b")
+    scores = vectors.let(own, lambda x: F.transform("_cs", lambda c: F.struct(vectors.dot(x, c["c"]).alias("s"), c["label"].alias("label"))))
+    larger = lambda a, b: F.when(b["s"] > a["s"], b).otherwise(a)
+    best = vectors.let(scores, lambda s: F.aggregate(F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))), F.get(s, F.lit(0)), larger))
+    return joined.withColumn("_b", best).withColumns({"nearest": F.col("_b.label"), "cosine": F.col("_b.s")}).drop("_cs", "_b")
 
 
 def absorb_minor(df: DataFrame, key: list[str], label: str = "label", emb: str = "embedding", min_size: int = 4) -> DataFrame:

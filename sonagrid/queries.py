@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars, vectors
-from .llm.common import stored
 from .operators import der, intervals, labels, manifests, tracks, transcripts, trials
+from .shared import stored
 from .sources import text_tables
 from .streaming import sessions
 
