@@ -38,10 +38,21 @@ def strict_pairs(spark: SparkSession, path: str, names: tuple[str, str], suffix:
 
 def segment_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with header and unique ID."""
-    rows = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).csv(path)
+    rows = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("escape", '"').csv(path)
     return assert_unique(rows, "ID")
 
 
+def write_segment_csv(df: DataFrame, path: str) -> None:
+    """A CSV with header; fields are quoted where they need it, quotes doubled, as ``segment_csv`` reads them."""
+    df.write.option("header", True).option("escape", '"').csv(path)
+
+
+def json_objects(spark: SparkSession, path: str) -> DataFrame:
+    """``json_segments`` of files with one object to a line, which Spark can split."""
+    kind = "map<string,struct<file:string,start:double,stop:double>>"
+    return spark.read.text(path).select(F.explode(F.from_json("value", kind)).alias("segid", "s")).select("segid", "s.*")
+
+
 def json_segments(spark: SparkSession, path: str) -> DataFrame:
     """(segid, file, start, stop) of an object of objects."""
     kind = "map<string,struct<file:string,start:double,stop:double>>"
