@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import stored
 from . import intervals
 
 
@@ -100,15 +101,15 @@ def der(ref: DataFrame, sys: DataFrame, key: list[str], uem: DataFrame | None =
     """Miss, false-alarm, speaker and total error in percent for each key and, with null keys, over all.
 
     ``ref`` and ``sys``: key..., st, ed, speaker. Without ``uem`` each key's reference extent is scored; keys that only
-    ``sys`` has are left out.
+    ``sys`` has are left out. Pieces, and the times of each key, are stored once, as several sums read them.
     """
     scored = uem if uem is not None else intervals.extent(ref, key)
     if collar:
         scored = intervals.subtract_collars(scored, ref, key, collar)
     if ignore_overlap:
         scored = intervals.subtract_overlap(scored, ref, key)
-    pieces = intervals.atoms(scored, ref, sys, key)
+    pieces = stored(intervals.atoms(scored, ref, sys, key), "pieces")
     mapped = best_mapping(co_occurrence(pieces, key), key)
-    times = error_times(pieces, mapped, key)
+    times = stored(error_times(pieces, mapped, key), "times")
     whole = times.agg(*[F.sum(c).alias(c) for c in ("scored", "miss", "fa", "error")])
     return rates(times, key).unionByName(rates(whole, []), allowMissingColumns=True)

@@ -89,8 +89,9 @@ def whole_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores are stored once: curves and metrics read them in several branches."""
     v = voices(spark, sf_dir)
-    return trials.score_trials(trial_list(spark, sf_dir), v, v)
+    return stored(trials.score_trials(trial_list(spark, sf_dir), v, v), "trials")
 
 
 SCORED = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
@@ -131,7 +132,7 @@ def trial_eer(spark, sf_dir):
 
 
 def eer_of(rows: DataFrame) -> DataFrame:
-    curve = trials.det_curve(rows, "score", "label", "enrol", "test")
+    curve = stored(trials.det_curve(rows, "score", "label", "enrol", "test"), "curve")
     n = rows.agg(F.sum("label").alias("n_target"), F.sum(1 - F.col("label")).alias("n_nontarget"))
     out = trials.eer(curve).crossJoin(trials.min_dcf(curve).select("min_dcf")).crossJoin(n)
     return rounded(out, "eer", "threshold", "min_dcf")
