@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sonagrid.llm import bpe, kneser_ney, minhash, mixing, secrets
-from sonagrid.llm.common import stored, table
+from sonagrid.llm.common import step, table
 from sonagrid.llm.queries import VOCABULARY
 
 
@@ -41,10 +41,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another; each reads what the one before it wrote."""
+    """The stages one after another; each reads what the one before it wrote.
+
+    What a stage stored on its way is deleted once its result is written. Nulls, empty and long texts, repeated rows and
+    clashing column names fare in each stage as its operator says; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = step(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

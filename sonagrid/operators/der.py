@@ -55,10 +55,12 @@ def best_mapping(pairs: DataFrame, key: list[str], weight: str = "ov") -> DataFr
     kinds = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in key)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        table = group.pivot_table(index="ref", columns="sys", values=weight, aggfunc="sum", fill_value=0.0).sort_index().sort_index(axis=1)
-        gain = table.to_numpy(float)
+        (r, refs), (c, others) = (pd.factorize(group[x], sort=True) for x in ("ref", "sys"))
+        some = (r >= 0) & (c >= 0)
+        gain = np.zeros((len(refs), len(others)))
+        np.add.at(gain, (r[some], c[some]), group[weight].to_numpy(float)[some])
         hits = hungarian(gain)
-        out = pd.DataFrame({"ref": [table.index[r] for r, _ in hits], "sys": [table.columns[c] for _, c in hits], weight: [gain[r, c] for r, c in hits]})
+        out = pd.DataFrame({"ref": [refs[a] for a, _ in hits], "sys": [others[b] for _, b in hits], weight: [gain[a, b] for a, b in hits]})
         for k in key:
             out[k] = group[k].iloc[0]
         return out[[*key, "ref", "sys", weight]]
