@@ -36,7 +36,7 @@ def segment_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(got.withColumns({c: F.col(c).cast("double") for c in ("dur", "start", "stop")}), "dur", "start", "stop")
 
 
-@query(SEG + "SELECT rec::VARCHAR AS name, printf('%.3f', st)::DOUBLE AS tbeg, printf('%.3f', ed - st)::DOUBLE AS tdur, label AS spkr FROM seg")
+@query(SEG + "SELECT rec::VARCHAR AS name, round(st::DECIMAL(18, 6), 3)::DOUBLE AS tbeg, round((ed - st)::DECIMAL(18, 6), 3)::DOUBLE AS tdur, label AS spkr FROM seg")
 def rttm_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = written_lines(tt.rttm_lines(segments(spark, sf_dir), "rec", "st", "ed", "label"), "rttm")
     return tt.rttm(spark, path).select("name", "tbeg", "tdur", "spkr")
@@ -192,7 +192,7 @@ def word_index_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
   w AS (SELECT *, last_value(t IGNORE NULLS) OVER b AS pt, last_value(CASE WHEN t IS NOT NULL THEN seq END IGNORE NULLS) OVER b AS pi,
     first_value(t IGNORE NULLS) OVER f AS nt, first_value(CASE WHEN t IS NOT NULL THEN seq END IGNORE NULLS) OVER f AS ni FROM k
     WINDOW b AS (PARTITION BY rec ORDER BY seq ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY rec ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-  SELECT rec, seq, round(coalesce(t, pt + (nt - pt) * (seq - pi) / (ni - pi), pt, nt), 4) AS aligned FROM w""")
+  SELECT rec, seq, coalesce(t, pt + (nt - pt) * (seq - pi) / (ni - pi), pt, nt) AS aligned FROM w""")
 def anchor_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = segments(spark, sf_dir).withColumn("t", F.when(F.col("label") == "purchase", F.col("st")))
-    return regions.between_anchors(s, ["rec"], "seq", "t").select("rec", "seq", F.round("aligned", 4).alias("aligned"))
+    return regions.between_anchors(s, ["rec"], "seq", "t").select("rec", "seq", "aligned")
