@@ -84,3 +84,36 @@ def margin_schedule(step: Column, first: int, last: int, low: float, high: float
 def ema(values: Column, momentum: float) -> Column:
     """Exponential moving average after the last of ``values``, begun with the first."""
     return F.aggregate(F.slice(values, 2, F.greatest(F.lit(0), F.size(values) - 1)), F.get(values, F.lit(0)).cast("double"), lambda s, v: s * momentum + v * (1 - momentum))
+
+
+def python_round(x: Column, digits: int = 2) -> Column:
+    """``x`` to ``digits`` places as Python does it: the binary value decides, exact halves go to the even neighbour.
+
+    The product's own rounding error, from both factors' halves, says on which side of a half it lies.
+    """
+    m, split = float(10**digits), float(2**27 + 1)
+    a = F.abs(x)
+    p = a * m
+    ah, mh = a * split - (a * split - a), m * split - (m * split - m)
+    al, ml = a - ah, m - mh
+    lost = ((ah * mh - p) + ah * ml + al * mh) + al * ml
+    k = F.floor(p).cast("double")
+    past = p - k - 0.5
+    up = (past > 0) | ((past == 0) & ((lost > 0) | ((lost == 0) & (k % 2 == 1))))
+    size = (k + F.when(up, 1.0).otherwise(0.0)) / m
+    return F.when(p >= float(2**52), x).when(x < 0, -size).otherwise(size)
+
+
+def python_text(x: Column, digits: int = 2) -> Column:
+    """A number rounded to ``digits`` places, of less than 1e13, as Python writes it: without zeros at the end, but one."""
+    return F.regexp_replace(F.format_string(f"%.{digits}f", x), r"(\.\d+?)0+$", "$1")
+
+
+def python_segment_id(rec: Column, st: Column, ed: Column, digits: int = 2) -> Column:
+    """rec_start_stop with times as Python rounds and writes them."""
+    return F.concat_ws("_", rec.cast("string"), *[python_text(python_round(t, digits), digits) for t in (st, ed)])
+
+
+def nth_field(line: Column, n: int) -> Column:
+    """The ``n``-th field between blanks, from 1; null if there are fewer."""
+    return F.get(F.split(F.trim(line), r"\s+"), F.lit(n - 1))

@@ -186,3 +186,42 @@ def filled_track(df: DataFrame, key: list[str], frame: str, value: str) -> DataF
 
 def running_depth(df: DataFrame, key: list[str], time: str, step: str) -> DataFrame:
     return df.withColumn("depth", F.sum(step).over(upto(key, time)))
+
+
+#: Fixed value: each of these characters ends or joins clauses.
+CLAUSE_MARKS = r'[,.!?;:"\-—…、，。！？；：“”‘’]'
+
+
+def pieces_of(text: str, words: list[str]) -> list[dict]:
+    """The parts of ``text`` that belong to ``words``, each with the blanks and marks behind it; none if they don't fit."""
+    out, at, sentence = [], 0, 0
+    for word in words:
+        want, begin, got = word.lower(), at, ""
+        while at < len(text) and len(got) < len(want):
+            got += text[at].lower() if text[at] != " " else ""
+            at += 1
+        if got != want or not want:
+            return []
+        while at < len(text) and (text[at] == " " or text[at] in CLAUSE_MARKS):
+            at += 1
+        out.append({"piece": text[begin:at], "sentence": sentence})
+        sentence += text[at - 1] in CLAUSE_MARKS
+    return out
+
+
+def realigned(df: DataFrame, text: str, raw: str, times: str | None = None) -> DataFrame:
+    """A row for each word of ``raw`` (blanks between): its ``idx``, ``piece`` of ``text``, ``sentence`` and, of ``times``, its item.
+
+    ``text`` is the same words with capitals and marks. Rows whose words don't fit the text, or whose times aren't as many
+    as their words, give none; so do nulls. A sentence ends with a piece whose last character is a mark.
+    """
+
+    @F.pandas_udf("array<struct<piece string, sentence int>>")
+    def parts(texts: pd.Series, raws: pd.Series) -> pd.Series:
+        return pd.Series([pieces_of(t, r.split()) if t is not None and r is not None else None for t, r in zip(texts, raws, strict=True)])
+
+    rows = df.withColumn("_p", parts(text, raw))
+    if times:
+        rows = rows.where(F.size("_p") == F.size(times)).withColumn("_p", F.zip_with("_p", times, lambda p, t: F.struct(p["piece"].alias("piece"), p["sentence"].alias("sentence"), t.alias("time"))))
+    keep = [c for c in df.columns if c not in (text, raw, times)]
+    return rows.select(*keep, F.posexplode("_p").alias("idx", "_p")).select(*keep, "idx", "_p.*")
