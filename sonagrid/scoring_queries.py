@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import draws, scalars
 from .operators import der, scoring, transcripts
-from .queries import ATOMS, REFSYS, SEG, der_pieces, long_form, query, rounded, segments, table
+from .queries import ATOMS, SEG, der_pieces, long_form, query, segments, table
 
 NUMBERS = "SELECT l_orderkey, l_linenumber, l_orderkey % 4001 / 8.0::DOUBLE AS half, l_extendedprice::DOUBLE * 1.005::DOUBLE / l_quantity AS ratio FROM lineitem"
 
@@ -101,12 +101,12 @@ EXTEND = 7200.0
   s AS (SELECT rec, run, CASE WHEN pz IS NULL OR ps IS NOT NULL THEN CASE WHEN lex > 0 THEN b ELSE greatest(bound, b - {EXTEND}) END WHEN b > pz + {2 * EXTEND} THEN b - {EXTEND} END AS st,
     CASE WHEN shut IS NOT NULL THEN least(z + {EXTEND}, shut) WHEN nb IS NULL THEN 1e12 WHEN nb > z + {2 * EXTEND} THEN z + {EXTEND} END AS ed FROM q),
   k AS (SELECT *, count(st) OVER (PARTITION BY rec ORDER BY run ROWS UNBOUNDED PRECEDING) AS zone FROM s)
-  SELECT rec, round(min(st), 4)::DOUBLE AS st, round(least(max(ed), 1e12), 4)::DOUBLE AS ed FROM k GROUP BY rec, zone""")
+  SELECT rec, min(st)::DOUBLE AS st, least(max(ed), 1e12)::DOUBLE AS ed FROM k GROUP BY rec, zone""")
 def noscore_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views are words, clicks turns, purchases and errors what isn't scored."""
     kind = F.when(F.col("label").isin("purchase", "error"), "NSZ").when(F.col("label") == "view", "LEX").when(F.col("label") == "click", "SEG")
     zones = scoring.noscore_zones(segments(spark, sf_dir).withColumn("kind", kind), ["rec"], EXTEND)
-    return zones.select("rec", F.round("st", 4).alias("st"), F.round(F.least("ed", F.lit(1e12)), 4).alias("ed"))
+    return zones.select("rec", "st", F.least("ed", F.lit(1e12)).alias("ed"))
 
 
 #: The marks, blank and the marks' brackets, as a class of a pattern.
