@@ -157,19 +157,27 @@ def minor_absorbed(label: np.ndarray, x: np.ndarray, least: int) -> np.ndarray:
     return np.where(np.isin(label, big), label, near)
 
 
-def cosine_merged(label: np.ndarray, x: np.ndarray, threshold: float) -> np.ndarray:
-    """The closest pair of centroids is merged, the smaller label kept, until none reaches ``threshold``."""
-    label = label.copy()
-    while True:
-        ids = np.unique(label)
-        if len(ids) < 2:
-            return label
-        sim = np.triu(cosine_matrix(np.stack([x[label == i].mean(axis=0) for i in ids])), 1)
-        sim[np.tril_indices(len(ids))] = -np.inf
+def merged_rows(sums: np.ndarray, threshold: float) -> np.ndarray:
+    """For each row of ``sums`` the first row it ends up with: the closest two are added up until none reaches ``threshold``."""
+    into, total, left = np.arange(len(sums)), sums.astype(float), list(range(len(sums)))
+    while len(left) > 1:
+        sim = cosine_matrix(total[left])
+        sim[np.tril_indices(len(left))] = -np.inf
         i, j = np.unravel_index(sim.argmax(), sim.shape)
         if sim[i, j] < threshold:
-            return label
-        label[label == ids[j]] = ids[i]
+            break
+        total[left[i]] += total[left[j]]
+        into[into == left[j]] = left[i]
+        left.pop(j)
+    return into
+
+
+def cosine_merged(label: np.ndarray, x: np.ndarray, threshold: float) -> np.ndarray:
+    """The closest pair of centroids is merged, the smaller label kept, until none reaches ``threshold``."""
+    ids, of = np.unique(label, return_inverse=True)
+    sums = np.zeros((len(ids), x.shape[1]))
+    np.add.at(sums, of, x)
+    return ids[merged_rows(sums, threshold)][of]
 
 
 def cluster_embeddings(df: DataFrame, key: list[str], seq: str, emb: str, method: str = "spectral", *, cluster_line: int = 40, mer_cos: float | None = None, min_cluster_size: int = 4, **how: object) -> DataFrame:
@@ -198,13 +206,23 @@ def cluster_embeddings(df: DataFrame, key: list[str], seq: str, emb: str, method
 
 
 def merge_by_cosine(df: DataFrame, key: list[str], label: str, emb: str, threshold: float) -> DataFrame:
-    """``df`` with labels whose centroids are close merged, the smaller kept."""
+    """``df`` with labels whose centroids are close merged, the smaller kept.
+
+    Only a key's sums, one vector for each label, meet in a task; rows get their new label by a join. Rows with a null
+    key or label keep it.
+    """
+    by = [*key, label]
+    n = df.groupBy(*by).agg(F.count(emb).alias("_n"))
+    sums = vectors.mean_vectors(df, by, emb).join(n, by).select(*by, F.transform("centroid", lambda v: v * F.col("_n")).alias("_s"))
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.asarray(v, float) for v in group[emb]])
-        return group.assign(**{label: cosine_merged(group[label].to_numpy(), x, threshold)})
+        group = group.sort_values(label, ignore_index=True)
+        into = merged_rows(np.stack([np.asarray(v, float) for v in group["_s"]]), threshold)
+        return group[by].assign(_to=group[label].to_numpy()[into])
 
-    return df.groupBy(*key).applyInPandas(run, df.schema)
+    to = sums.groupBy(*key).applyInPandas(run, f"{kinds}, `_to` {df.schema[label].dataType.simpleString()}")
+    return df.join(to, by, "left").withColumn(label, F.coalesce("_to", label)).select(*df.columns)
 
 
 def refine_overlap(segments: DataFrame, local: DataFrame, counts: DataFrame, key: list[str]) -> DataFrame:

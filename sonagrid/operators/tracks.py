@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -72,21 +72,38 @@ def track_boxes(df: DataFrame, key: list[str], frame: str, box: str, max_gap: in
     return df.select(*key, frame, box).groupBy(*key).applyInPandas(run, f"{kinds(df, key)}track int, `{frame}` int, `{box}` array<double>")
 
 
-def length_batches(df: DataFrame, key: list[str], order: str, length: str, budget: int) -> DataFrame:
-    """``df`` with ``batch``: rows in order, cut so that a batch has as many as its first row's length goes into budget."""
+def length_batches(df: DataFrame, key: list[str], length: str, ties: list[str], budget: int) -> DataFrame:
+    """``df`` with ``batch``, from 0: rows by falling length, cut so that a batch has as many as its first length goes into budget.
+
+    A task gets a key's number of rows of each length only: between two lengths batches are of one size, so where the
+    first one begins there says where all do. A row's place is counted among rows of its key and length, in the order of
+    ``ties``. A null length is 0; a batch has a row at least.
+    """
+    own = {k: f"_k{i}" for i, k in enumerate(key)}
+    rows = df.withColumn("_l", F.greatest(F.coalesce(F.col(length), F.lit(0)), F.lit(0)).cast("long"))
+    counts = rows.groupBy(*[F.col(k).alias(v) for k, v in own.items()], "_l").agg(F.count(F.lit(1)).alias("_n"))
+    kept = [*own.values(), "_l"]
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order, ascending=False, kind="stable", ignore_index=True)
-        sizes, batch, at = g[length].to_numpy(), np.zeros(len(g), np.int32), 0
-        number = 0
-        while at < len(g):
-            end = at + max(1, int(budget // max(1, sizes[at])))
-            batch[at:end] = number
-            at, number = end, number + 1
-        return g.assign(batch=batch)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.groupBy(*key).applyInPandas(run, f"{schema}, batch int")
+        out, place, at, number = [], 0, 0, 0
+        g = g.sort_values("_l", ascending=False, ignore_index=True)
+        for long, n in zip(g["_l"].tolist(), g["_n"].tolist(), strict=True):
+            size = max(1, budget // max(1, long))
+            out.append((place, at, number, size))
+            place += n
+            begun = -(-(place - at) // size) if at < place else 0
+            at, number = at + begun * size, number + begun
+        return pd.concat([g[kept], pd.DataFrame(out, columns=["_first", "_at", "_batch", "_size"])], axis=1)
+
+    kinds_ = ", ".join(f"`{c}` {counts.schema[c].dataType.simpleString()}" for c in kept)
+    starts = counts.groupBy(*own.values()).applyInPandas(run, f"{kinds_}, _first long, _at long, _batch long, _size long").withColumnRenamed("_l", "_of")
+    same = F.col("_l") == F.col("_of")
+    for k, v in own.items():
+        same = same & F.col(k).eqNullSafe(F.col(v))
+    place = F.col("_first") + F.row_number().over(Window.partitionBy(*key, "_l").orderBy(*ties)) - 1
+    ahead = place - F.col("_at")
+    batch = F.col("_batch") + F.when(ahead < 0, -1).otherwise(F.floor(ahead / F.col("_size")))
+    return rows.join(starts, same).withColumn("batch", batch.cast("int")).select(*df.columns, "batch")
 
 
 def overlap_score(ref: tuple[float, float], sys: tuple[float, float]) -> float | None:

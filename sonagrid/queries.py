@@ -952,10 +952,12 @@ def face_tracks(spark, sf_dir):
     return tracks.track_boxes(e, ["rec"], "frame", "box")
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) - 1 AS pos FROM documents),
+  b AS (SELECT DISTINCT source, 0::BIGINT AS start, 0 AS batch FROM d UNION ALL SELECT b.source, b.start + greatest(1, 50000 // greatest(1, n_chars)), batch + 1 FROM b JOIN d ON d.source = b.source AND d.pos = b.start)
+  SELECT d.source, doc_id, n_chars, batch FROM d ASOF JOIN b ON d.source = b.source AND d.pos >= b.start""")
 def length_batches(spark, sf_dir):
     e = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    return tracks.length_batches(e, ["source"], "n_chars", "n_chars", 50_000)
+    return tracks.length_batches(e, ["source"], "n_chars", ["doc_id"], 50_000)
 
 
 @query()

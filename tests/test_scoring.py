@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 import test_library as library
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from sonagrid import queries, scoring_queries
 from sonagrid.functions import draws, scalars
-from sonagrid.operators import scoring, transcripts
+from sonagrid.operators import labels, scoring, tracks, transcripts
 
 NAMES = sorted(n for n, f in queries.queries().items() if f.__module__ == scoring_queries.__name__)
 
@@ -104,3 +105,36 @@ def test_draws(spark):
     n = spark.range(4000).groupBy(draws.augmentation("s", F.col("id"), 0.5, ["a", "b"]).alias("x")).count()
     got = {r["x"]: r["count"] for r in n.collect()}
     assert abs(got[None] - 2000) < 200 and abs(got["a"] - 1000) < 150
+
+
+def test_length_batches(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", None]), i, rng.choice([None, 0, 1, 3, 3, 7, 20])) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, i int, n int")
+    got = {r["i"]: r["batch"] for r in tracks.length_batches(df, ["k"], "n", ["i"], 12).collect()}
+    for key in ("a", None):
+        left = sorted((-(n or 0), i) for k, i, n in rows if k == key)
+        number = 0
+        while left:
+            size = max(1, 12 // max(1, -left[0][0]))
+            assert {got[i] for _, i in left[:size]} == {number}
+            left, number = left[size:], number + 1
+    assert len(got) == 300 and tracks.length_batches(df.where("false"), ["k"], "n", ["i"], 12).count() == 0
+
+
+def test_merge_by_cosine(spark):
+    rng = np.random.default_rng(2)
+    x, label = rng.normal(size=(60, 3)), rng.integers(0, 9, 60)
+    want = label.copy()
+    while True:  # centroids of rows, made anew after each merge
+        ids = np.unique(want)
+        c = np.stack([x[want == i].mean(axis=0) for i in ids])
+        c /= np.linalg.norm(c, axis=1, keepdims=True)
+        best = max((float(c[i] @ c[j]), i, j) for i in range(len(ids)) for j in range(i + 1, len(ids))) if len(ids) > 1 else (-2.0, 0, 0)
+        if best[0] < 0.5:
+            break
+        want[want == ids[best[2]]] = ids[best[1]]
+    assert (labels.cosine_merged(label, x, 0.5) == want).all()
+    df = spark.createDataFrame([(1, i, int(label[i]), x[i].tolist()) for i in range(60)] + [(1, 60, None, [1.0, 0.0, 0.0])], "k int, i int, label int, e array<double>")
+    got = {r["i"]: r["label"] for r in labels.merge_by_cosine(df, ["k"], "label", "e", 0.5).collect()}
+    assert got.pop(60) is None and got == {i: int(v) for i, v in enumerate(want)}
