@@ -15,18 +15,18 @@ def cells(st: Column, ed: Column, cell: float) -> Column:
     return F.explode(F.sequence(F.floor(st / cell), F.floor(ed / cell)))
 
 
-def in_region(events: DataFrame, regions: DataFrame, key: str, st: str, ed: str, *, slack: float = 1e-8, cell: float = CELL) -> DataFrame:
-    """Events that lie within one of the regions (key, rst, red), give or take ``slack``."""
+def in_region(events: DataFrame, regions: DataFrame, key: str, st: str, ed: str, *, slack: float = 1e-8, cell: float = CELL, outside: bool = False) -> DataFrame:
+    """Events that lie within one of the regions (key, rst, red), give or take ``slack``; with ``outside``, all others."""
     dealt = regions.select(key, "rst", "red", cells(F.col("rst") - slack, F.col("red") + slack, cell).alias("_c"))
     at = F.floor(F.col(st) / cell)
     inside = (F.col("rst") - slack <= F.col(st)) & (F.col(ed) <= F.col("red") + slack)
     r = dealt.withColumnRenamed(key, "_k")
-    return events.join(r, (F.col(key) == F.col("_k")) & (at == F.col("_c")) & inside, "left_semi")
+    return events.join(r, (F.col(key) == F.col("_k")) & (at == F.col("_c")) & inside, "left_anti" if outside else "left_semi")
 
 
-def midpoint_in_region(words: DataFrame, regions: DataFrame, key: str, mid: str, *, cell: float = CELL) -> DataFrame:
-    """Words whose middle lies in one of the regions, ends included."""
-    return in_region(words.withColumn("_m", F.col(mid)), regions, key, "_m", "_m", slack=0.0, cell=cell).drop("_m")
+def midpoint_in_region(words: DataFrame, regions: DataFrame, key: str, mid: str, *, cell: float = CELL, outside: bool = False) -> DataFrame:
+    """Words whose middle lies in one of the regions, ends included; with ``outside``, all others."""
+    return in_region(words.withColumn("_m", F.col(mid)), regions, key, "_m", "_m", slack=0.0, cell=cell, outside=outside).drop("_m")
 
 
 def word_ranges(events: DataFrame, words: DataFrame, key: str, event: str, *, cell: float = CELL) -> DataFrame:

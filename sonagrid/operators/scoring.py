@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import intervals
+from . import intervals, regions
 
 MISS, FALSE_ALARM = "MISS", "FALSE ALARM"
 
@@ -100,3 +100,18 @@ def noscore_zones(tokens: DataFrame, key: list[str], extend: float = 0.5) -> Dat
 def without_noscore(uem: DataFrame, tokens: DataFrame, key: list[str], extend: float = 0.5) -> DataFrame:
     """``uem`` (key..., st, ed) without the zones of ``tokens`` that aren't scored."""
     return intervals.subtract(uem.select(*key, "st", "ed"), noscore_zones(tokens, key, extend), key)
+
+
+def without_subtype(ref: DataFrame, sys: DataFrame, key: str, type_: str, subtype: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides without what a subtype of events that isn't scored takes along.
+
+    ``ref``: key, st, ed, type, subtype. ``sys``: key, mid, type, partner (its reference partner's subtype, null if it
+    has none). The reference loses the subtype's events; the system loses events of the type whose partner has the
+    subtype, and those without a partner whose middle lies in such an event, ends included. Nulls elsewhere stay.
+    """
+    gone = F.coalesce((F.col("type") == type_) & (F.col("subtype") == subtype), F.lit(False))
+    of_type = F.coalesce(F.col("type") == type_, F.lit(False))
+    spans = ref.where(gone).select(key, F.col("st").alias("rst"), F.col("ed").alias("red"))
+    alone = regions.midpoint_in_region(sys.where(of_type & F.col("partner").isNull()), spans, key, "mid", outside=True)
+    rest = sys.where(~of_type | (F.col("partner") != subtype))
+    return ref.where(~gone), rest.unionByName(alone)

@@ -109,6 +109,20 @@ def noscore_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zones.select("rec", "st", F.least("ed", F.lit(1e12)).alias("ed"))
 
 
+@query(SEG + """, r AS (SELECT rec, seq, st, st + (ed - st) * 600 AS ed, label, 's' || event_id % 3 AS sub FROM seg WHERE seq % 2 = 1),
+  s AS (SELECT rec, seq, (st + ed) / 2 AS mid, label, CASE WHEN event_id % 4 > 0 THEN 's' || event_id % 3 END AS partner FROM seg WHERE seq % 2 = 0)
+  SELECT 'ref' AS side, rec, seq FROM r WHERE NOT (label = 'purchase' AND sub = 's1')
+  UNION ALL SELECT 'sys', rec, seq FROM s WHERE label <> 'purchase' OR partner <> 's1' OR (partner IS NULL AND NOT EXISTS (SELECT 1 FROM r WHERE r.rec = s.rec AND r.label = 'purchase' AND r.sub = 's1' AND s.mid BETWEEN r.st AND r.ed))""")
+def discarded_subtype(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd events are the reference's, even ones the system's."""
+    s = segments(spark, sf_dir)
+    sub = F.concat(F.lit("s"), (F.col("event_id") % 3).cast("string"))
+    ref = s.where("seq % 2 = 1").select("rec", "seq", "st", (F.col("st") + (F.col("ed") - F.col("st")) * 600).alias("ed"), F.col("label").alias("type"), sub.alias("subtype"))
+    sys = s.where("seq % 2 = 0").select("rec", "seq", ((F.col("st") + F.col("ed")) / 2).alias("mid"), F.col("label").alias("type"), F.when(F.col("event_id") % 4 > 0, sub).alias("partner"))
+    left, right = scoring.without_subtype(ref, sys, "rec", "purchase", "s1")
+    return left.select(F.lit("ref").alias("side"), "rec", "seq").union(right.select(F.lit("sys"), "rec", "seq"))
+
+
 #: The marks, blank and the marks' brackets, as a class of a pattern.
 MARK = r'\[\]\\,.!?;:"—…、，。！？；：“”‘’-'
 SPACED = "regexp_replace(regexp_replace(text, '[ \\t\\n\\f\\r\\x0b\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+', ' ', 'g'), '^[ " + MARK + "]+', '')"

@@ -138,3 +138,11 @@ def test_merge_by_cosine(spark):
     df = spark.createDataFrame([(1, i, int(label[i]), x[i].tolist()) for i in range(60)] + [(1, 60, None, [1.0, 0.0, 0.0])], "k int, i int, label int, e array<double>")
     got = {r["i"]: r["label"] for r in labels.merge_by_cosine(df, ["k"], "label", "e", 0.5).collect()}
     assert got.pop(60) is None and got == {i: int(v) for i, v in enumerate(want)}
+
+
+def test_without_subtype(spark):
+    ref = spark.createDataFrame([(1, 0.0, 9000.0, "FILLER", "x"), (1, 2.0, 3.0, "FILLER", "y"), (1, 0.0, 1.0, None, None)], "k int, st double, ed double, type string, subtype string")
+    sys = spark.createDataFrame([(1, 9000.0, "FILLER", None), (1, 9001.0, "FILLER", None), (1, 1.0, "FILLER", "y"), (1, 9500.0, "FILLER", "x"), (1, 1.0, None, None), (1, None, "FILLER", None)], "k int, mid double, type string, partner string")
+    left, right = scoring.without_subtype(ref, sys, "k", "FILLER", "x")
+    assert sorted(str(r["subtype"]) for r in left.collect()) == ["None", "y"]
+    assert sorted((str(r["mid"]), str(r["type"])) for r in right.collect()) == [("1.0", "FILLER"), ("1.0", "None"), ("9001.0", "FILLER"), ("None", "FILLER")]
