@@ -117,3 +117,16 @@ def python_segment_id(rec: Column, st: Column, ed: Column, digits: int = 2) -> C
 def nth_field(line: Column, n: int) -> Column:
     """The ``n``-th field between blanks, from 1; null if there are fewer."""
     return F.get(F.split(F.trim(line), r"\s+"), F.lit(n - 1))
+
+
+def crop_box(box: Column, scale: float = 0.4) -> Column:
+    """What is cut for a face in box [x1, y1, x2, y2]: pad, then top, bottom, left, right in the padded frame.
+
+    Half the longer side, s, reaches up once, down 1 + 2 * scale times, and 1 + scale times to either side.
+    """
+    x1, y1, x2, y2 = (F.get(box, F.lit(i)) for i in range(4))
+    s = F.greatest(y2 - y1, x2 - x1) / 2
+    pad = (s * (1 + 2 * scale)).cast("int")
+    y, x = (y1 + y2) / 2 + pad, (x1 + x2) / 2 + pad
+    edges = {"top": y - s, "bottom": y + s * (1 + 2 * scale), "left": x - s * (1 + scale), "right": x + s * (1 + scale)}
+    return F.struct(pad.alias("pad"), *[e.cast("int").alias(name) for name, e in edges.items()])

@@ -115,3 +115,34 @@ def without_subtype(ref: DataFrame, sys: DataFrame, key: str, type_: str, subtyp
     alone = regions.midpoint_in_region(sys.where(of_type & F.col("partner").isNull()), spans, key, "mid", outside=True)
     rest = sys.where(~of_type | (F.col("partner") != subtype))
     return ref.where(~gone), rest.unionByName(alone)
+
+
+def word_weight(word: Column, kind: Column, *, without: tuple[str, ...] = ("non-lex", "misc"), single: tuple[str, ...] = ("mm-hmm", "uh-huh", "um-hmm")) -> Column:
+    """How many words a token counts for: hyphenated ones two, those ``single`` and all others one, kinds ``without`` none.
+
+    Hyphens at the ends don't count, a token of nothing else is two, a null one none; a null kind is none of ``without``.
+    """
+    bare = F.regexp_replace(word, "^-+|-+$", "")
+    none = word.isNull() | F.coalesce(kind.isin(*without), F.lit(False))
+    return F.when(none, 0).when(bare.rlike("^[^-]+$") | bare.isin(*single), 1).otherwise(2)
+
+
+def word_deltas(events: DataFrame, words: DataFrame, key: str) -> DataFrame:
+    """``events`` (key, place, ref, sys, ...) with ``delta``: the scored words by which the system's boundary is late.
+
+    ``words`` (key, idx from 0 without gaps, scored). An END stands after its word, a BEG before it; places beyond the
+    words are at their ends. A difference of running counts, so no event visits the words between. A null place of a
+    word or kind of boundary gives null; a key without words gives 0.
+    """
+    order = Window.partitionBy(key).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    counted = words.select(F.col(key).alias("_k"), F.col("idx").alias("_i"), F.count_if(F.col("scored")).over(order).alias("_n"))
+    last = words.groupBy(F.col(key).alias("_lk")).agg(F.max("idx").alias("_last"))
+    out = events.join(last, F.col(key) == F.col("_lk"), "left").drop("_lk")
+    before = F.when(F.col("place") == "END", 0).when(F.col("place") == "BEG", 1)
+    for side in ("ref", "sys"):
+        out = out.withColumn("_at", F.when(F.col("_last").isNotNull(), F.least(F.col(side) - before, F.col("_last"))))
+        at = counted.select("_k", "_i", F.col("_n").alias(f"_{side}"))
+        out = out.join(at, (F.col(key) == F.col("_k")) & (F.col("_at") == F.col("_i")), "left").drop("_k", "_i", "_at")
+    known = before.isNotNull() & F.col("ref").isNotNull() & F.col("sys").isNotNull()
+    delta = F.when(known, F.coalesce("_sys", F.lit(0)) - F.coalesce("_ref", F.lit(0)))
+    return out.withColumn("delta", delta).drop("_ref", "_sys", "_last")

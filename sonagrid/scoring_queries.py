@@ -135,3 +135,32 @@ def realigned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     spaced = F.regexp_replace("text", r"[ \t\n\f\r\x0b\x1c-\x1f\x85\p{Z}]+", " ")
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace(spaced, f"^[ {MARK}]+", "").alias("text"))
     return transcripts.realigned(c.withColumn("raw", F.lower(F.regexp_replace("text", f"[ {MARK}]+", " "))), "text", "raw")
+
+
+@query("""WITH w AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '-' || o_orderstatus || '-' WHEN o_orderkey % 5 = 1 THEN 'mm-hmm' ELSE o_orderpriority END AS word, o_orderstatus = 'P' AS misc FROM orders)
+  SELECT o_orderkey, CASE WHEN misc THEN 0 WHEN word = 'mm-hmm' OR instr(trim(word, '-'), '-') = 0 THEN 1 ELSE 2 END AS weight FROM w""")
+def word_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status, key = F.col("o_orderstatus"), F.col("o_orderkey")
+    word = F.when(key % 5 == 0, F.concat(F.lit("-"), status, F.lit("-"))).when(key % 5 == 1, "mm-hmm").otherwise(F.col("o_orderpriority"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", scoring.word_weight(word, F.when(status == "P", "misc").otherwise("lex")).alias("weight"))
+
+
+@query(SEG + """, e AS (SELECT rec, seq, event_id % 2 = 0 AS after, seq - 1 AS ref, seq + event_id % 9 - 5 AS sys FROM seg)
+  SELECT e.rec, e.seq, count(w.seq) * CASE WHEN any_value(sys) > any_value(ref) THEN 1 ELSE -1 END AS delta FROM e LEFT JOIN seg w ON w.rec = e.rec AND w.label <> 'error'
+    AND w.seq - 1 BETWEEN least(ref, sys) + after::INT AND greatest(ref, sys) - 1 + after::INT GROUP BY e.rec, e.seq""")
+def boundary_word_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event is a word and has a boundary, which the system puts up to four words away."""
+    s = segments(spark, sf_dir)
+    words = s.select("rec", (F.col("seq") - 1).alias("idx"), (F.col("label") != "error").alias("scored"))
+    place = F.when(F.col("event_id") % 2 == 0, "END").otherwise("BEG")
+    events = s.select("rec", "seq", place.alias("place"), (F.col("seq") - 1).alias("ref"), (F.col("seq") + F.col("event_id") % 9 - 5).alias("sys"))
+    return scoring.word_deltas(events, words, "rec").select("rec", "seq", "delta")
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS x1, l_suppkey::DOUBLE AS y1, l_quantity::DOUBLE + l_linenumber * 10 AS x2, l_suppkey::DOUBLE + l_orderkey % 83 AS y2 FROM lineitem),
+  s AS (SELECT *, greatest(y2 - y1, x2 - x1) / 2 AS s FROM b), p AS (SELECT *, trunc(s * 1.8::DOUBLE)::INT AS pad FROM s), c AS (SELECT *, (y1 + y2) / 2 + pad AS y, (x1 + x2) / 2 + pad AS x FROM p)
+  SELECT l_orderkey, l_linenumber, pad, trunc(y - s)::INT AS top, trunc(y + s * 1.8::DOUBLE)::INT AS bottom, trunc(x - s * 1.4::DOUBLE)::INT AS "left", trunc(x + s * 1.4::DOUBLE)::INT AS "right" FROM c""")
+def face_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = F.col("l_quantity").cast("double"), F.col("l_suppkey").cast("double")
+    box = F.array(x, y, x + F.col("l_linenumber") * 10, y + F.col("l_orderkey") % 83)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scalars.crop_box(box).alias("c")).select("l_orderkey", "l_linenumber", "c.*")

@@ -146,3 +146,27 @@ def test_without_subtype(spark):
     left, right = scoring.without_subtype(ref, sys, "k", "FILLER", "x")
     assert sorted(str(r["subtype"]) for r in left.collect()) == ["None", "y"]
     assert sorted((str(r["mid"]), str(r["type"])) for r in right.collect()) == [("1.0", "FILLER"), ("1.0", "None"), ("9001.0", "FILLER"), ("None", "FILLER")]
+
+
+def test_word_weight(spark):
+    rows = [("well", "lex", 1), ("well-known", "lex", 2), ("-cut-", None, 1), ("mm-hmm", "lex", 1), ("um", "misc", 0), (None, "lex", 0), ("--", "lex", 2), ("", None, 2)]
+    got = spark.createDataFrame(rows, "w string, k string, n int").select("n", scoring.word_weight(F.col("w"), F.col("k")).alias("got"))
+    assert all(r["n"] == r["got"] for r in got.collect())
+
+
+def test_word_deltas(spark):
+    flags = [True, False, None, True, True]
+    words = spark.createDataFrame([(1, i, f) for i, f in enumerate(flags)], "k int, idx int, scored boolean")
+    cases = [(1, p, a, b) for p in ("BEG", "END") for a in range(-2, 8) for b in range(-2, 8)]
+    extra = [(2, "END", 0, 3), (1, None, 0, 3), (1, "END", None, 3)]
+    got = {tuple(r)[:4]: r["delta"] for r in scoring.word_deltas(spark.createDataFrame(cases + extra, "k int, place string, ref int, sys int"), words, "k").collect()}
+    for k, p, a, b in cases:
+        passed = range(min(a, b) + (p == "END"), max(a, b) + (p == "END"))
+        n = sum(bool(flags[i]) for i in passed if 0 <= i < len(flags))
+        assert got[k, p, a, b] == (n if b > a else -n)
+    assert [got[e] for e in extra] == [0, None, None]
+
+
+def test_crop_box(spark):
+    got = spark.createDataFrame([([10.0, 20.0, 30.0, 60.0],), (None,)], "b array<double>").select(scalars.crop_box(F.col("b"), 0.5).alias("c")).select("c.*").collect()
+    assert tuple(got[0]) == (40, 60, 120, 30, 90) and got[1]["pad"] is None
