@@ -1,9 +1,7 @@
-"""Boxes in frames: suppression, tracking, batches; and event alignment. Greedy by nature, so grouped pandas."""
+"""Boxes in frames: suppression, tracking, batches. Greedy by nature, so grouped pandas."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -104,48 +102,3 @@ def length_batches(df: DataFrame, key: list[str], length: str, ties: list[str],
     ahead = place - F.col("_at")
     batch = F.col("_batch") + F.when(ahead < 0, -1).otherwise(F.floor(ahead / F.col("_size")))
     return rows.join(starts, same).withColumn("batch", batch.cast("int")).select(*df.columns, "batch")
-
-
-def overlap_score(ref: tuple[float, float], sys: tuple[float, float]) -> float | None:
-    """Shared time over the longer of two events; None if they share none."""
-    both = min(ref[1], sys[1]) - max(ref[0], sys[0])
-    return both / max(ref[1] - ref[0], sys[1] - sys[0]) if both > 0 else None
-
-
-def align_events(ref: DataFrame, sys: DataFrame, key: list[str], scorer: Callable = overlap_score) -> DataFrame:
-    """(key..., ref_seq, sys_seq, score): the order-keeping alignment of events (key..., seq, st, ed) with most score.
-
-    Events without a partner come with a null on the other side. ``scorer`` rates a pair or says None.
-    """
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        r, s = (sorted(((e["seq"], e["st"], e["ed"]) for e in x["event"]), key=lambda e: (e[1], e[0])) if len(x) else [] for x in (a, b))
-        own = (a if len(a) else b).iloc[0]
-        best = np.zeros((len(r) + 1, len(s) + 1))
-        step = np.zeros((len(r) + 1, len(s) + 1), int)
-        for i in range(len(r) + 1):
-            for j in range(len(s) + 1):
-                if i + j == 0:
-                    continue
-                options = [(best[i - 1, j], 1)] if i else []
-                if j:
-                    options.append((best[i, j - 1], 2))
-                if i and j and (x := scorer(r[i - 1][1:], s[j - 1][1:])) is not None:
-                    options.append((best[i - 1, j - 1] + x, 3))
-                best[i, j], step[i, j] = max(options)
-        i, j, out = len(r), len(s), []
-        while i or j:
-            k = step[i, j]
-            out.append((*[own[x] for x in key], r[i - 1][0] if k != 2 else None, s[j - 1][0] if k != 1 else None, scorer(r[i - 1][1:], s[j - 1][1:]) if k == 3 else None))
-            i, j = i - (k != 2), j - (k != 1)
-        return pd.DataFrame(out[::-1], columns=[*key, "ref_seq", "sys_seq", "score"]).astype({"ref_seq": "Int64", "sys_seq": "Int64", "score": "float"})
-
-    cols = [*key, F.struct("seq", "st", "ed").alias("event")]
-    return ref.select(*cols).groupBy(*key).cogroup(sys.select(*cols).groupBy(*key)).applyInPandas(run, f"{kinds(ref, key)}ref_seq long, sys_seq long, score double")
-
-
-def alignment_errors(aligned: DataFrame, key: list[str]) -> DataFrame:
-    """(key..., ref, del, ins, matched) of an alignment."""
-    n = lambda c: F.sum(c.cast("long"))
-    r, s = F.col("ref_seq").isNotNull(), F.col("sys_seq").isNotNull()
-    return aligned.groupBy(*key).agg(n(r).alias("ref"), n(r & ~s).alias("del"), n(s & ~r).alias("ins"), n(r & s).alias("matched"))

@@ -960,17 +960,6 @@ def length_batches(spark, sf_dir):
     return tracks.length_batches(e, ["source"], "n_chars", ["doc_id"], 50_000)
 
 
-@query()
-def event_alignment(spark, sf_dir):
-    a, b = halves(spark, sf_dir)
-    return tracks.align_events(a, b, ["rec"])
-
-
-@query()
-def alignment_errors(spark, sf_dir):
-    return tracks.alignment_errors(event_alignment(spark, sf_dir), ["rec"])
-
-
 @query("SELECT DISTINCT event_type FROM events")
 def distinct_labels(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_type").distinct()
