@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
 
@@ -24,10 +25,16 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 SCOPES = frozenset("ul ol menu dl table select html".split())
 #: Elements beyond which an end tag ends nothing.
 WALLS = frozenset("html table td th caption object template".split())
+#: End tags that reach beyond walls, and what begins a tag.
+UNWALLED = WALLS | SCOPES | {"tr", "body", "tbody", "tfoot", "thead"}
+UNFINISHED = re.compile("<[a-zA-Z/!?]")
 #: Roles, and words of class and id, that mark what is no main text wherever they stand in a name.
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alertdialog alert form".split())
 MARKS = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promotion cookie cookies consent gdpr popup modal nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar newsletter disqus".split())
 READERS = frozenset("comment comments commentlist reply replies respond".split())
+#: Words that also mean something else: beside words that are neither of these nor of the next line, they mark nothing.
+DOUBTFUL = frozenset("ad consent menu".split())
+BESIDE = frozenset("banner bar dropdown google header footer item items label leaderboard mobile desktop nav rectangle slot space sub toggle unit widget zone".split())
 #: Words that mark it only in names made of nothing but them and the plain words.
 WEAK = frozenset("header footer masthead banner search notice notices alert overlay widget widgets related share sharing social subscribe subscription signup login toolbar".split())
 PLAIN = frozenset("site page global top bottom left right main form box list section bar links link buttons button area wrap wrapper container block inner outer primary secondary js the".split())
@@ -41,41 +48,61 @@ def marked(name: str, within: str) -> bool:
     words = [w.lower() for w in SPLIT(name) if w]
     if within == "article":
         return len(words) == 1 and words[0] in READERS
-    if any(w in MARKS or w in READERS for w in words):
+    known = all(w in MARKS or w in WEAK or w in PLAIN or w in BESIDE or w.isdigit() for w in words)
+    if any(w in READERS or w in MARKS and (known or w not in DOUBTFUL) for w in words):
         return True
     return any(w in WEAK for w in words) and all(w in WEAK or w in PLAIN or w.isdigit() for w in words)
 
 
 class Lines(HTMLParser):
-    """Turns parser events into lines: (text, number of tags, path of open regions); left-out elements give none."""
+    """Turns parser events into lines: (text, number of tags, innermost open region or -1); left-out elements give none.
+
+    Regions are numbered as they begin, so a region's inner ones have the numbers from its own to ``ends`` of it. The
+    places of open elements are kept by name: no event walks through open elements, but to end them.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.kinds: dict[int, str] = {}
-        self.open: list[tuple[str, int, bool]] = []  # name, region's number or -1, left out
-        self.out, self.text, self.tags, self.path = 0, [], 0, ()
+        self.lines: list[tuple[str, int, int]] = []
+        self.kinds: list[str] = []
+        self.parents: list[int] = []
+        self.ends: list[int] = []
+        self.open: list[tuple[str, int, bool]] = []  # name, the innermost region before it, left out
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
+        self.out, self.text, self.tags, self.region = 0, [], 0, -1
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.path))
+            self.lines.append((text, self.tags, self.region))
             self.tags = 0
         self.text = []
 
+    def sorts(self, tag: str, left: bool) -> list[str]:
+        """Under which names an open element's place is kept: its own, and what it is for others."""
+        return [tag, *(k for k, x in (("(block)", tag in BLOCKS), ("(stop)", tag in BLOCKS or tag in SCOPES), ("(wall)", tag in WALLS), ("(left)", left)) if x)]
+
+    def nearest(self, names: Iterable[str]) -> int:
+        """The innermost open element with one of the names, or -1."""
+        return max((self.places[n][-1] for n in names if self.places[n]), default=-1)
+
     def shut(self, at: int) -> None:
         """End the open elements from place ``at`` on."""
-        for _, _, left in self.open[at:]:
+        for tag, region, left in reversed(self.open[at:]):
             self.out -= left
+            for name in self.sorts(tag, left):
+                self.places[name].pop()
+            while self.region != region:
+                self.ends[self.region] = len(self.kinds) - 1
+                self.region = self.parents[self.region]
         del self.open[at:]
-        self.path = tuple(n for _, n, _ in self.open if n >= 0)
 
     def left_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in NOT_TEXT:
             return True
         if tag in ("html", "body", "main"):
             return False
-        if tag == "header" and not any(x[0] in ARTICLES for x in self.open):
+        if tag == "header" and self.nearest(ARTICLES) < 0:
             return True
         for k, v in attrs:
             if v and k in ("class", "id") and any(marked(name, tag) for name in v.split()):
@@ -94,33 +121,30 @@ class Lines(HTMLParser):
             return
         if tag in ("body", "main", "article"):
             # a head never ends inside the page, nor does main stand within what is left out: an end tag is missing
-            for k, (name, _, left) in enumerate(self.open):
-                if name == "head" or tag == "main" and left:
-                    self.shut(k)
-                    break
+            first = [self.places[n][0] for n in ("head", *["(left)"] * (tag == "main")) if self.places[n]]
+            if first:
+                self.shut(min(first))
         left = self.left_out(tag, attrs)
-        number = -1
-        if tag in REGIONS and not left:
-            number = len(self.kinds)
-            self.kinds[number] = tag
-            self.path = (*self.path, number)
-        self.open.append((tag, number, left))
+        for name in self.sorts(tag, left):
+            self.places[name].append(len(self.open))
+        self.open.append((tag, self.region, left))
         self.out += left
+        if tag in REGIONS and not left:
+            self.kinds.append(tag)
+            self.parents.append(self.region)
+            self.ends.append(-1)
+            self.region = len(self.kinds) - 1
 
     def implied(self, tag: str) -> None:
         """End what a block that begins ends by itself: an open paragraph, the list item or table cell before it."""
         ends = ENDS.get(tag, ())
-        for k in range(len(self.open) - 1, -1, -1):
+        stops = ("p", *ends, *SCOPES, *((WALLS & BLOCKS) if tag != "tr" else ())) if ends else ("(stop)",)
+        while (k := self.nearest(stops)) >= 0:
             name = self.open[k][0]
-            if name == "p" or name in ends:
-                self.shut(k)
-                if name == "p":
-                    if ends:
-                        self.implied(tag)
-                    return
-                if tag != "tr" or name == "tr":
-                    return
-            elif name in SCOPES or name in BLOCKS and (not ends or name in WALLS and tag != "tr"):
+            if name != "p" and name not in ends:
+                return
+            self.shut(k)
+            if not ends or name != "p" and (tag != "tr" or name == "tr"):
                 return
 
     def handle_endtag(self, tag: str) -> None:
@@ -128,13 +152,10 @@ class Lines(HTMLParser):
         block = tag in BLOCKS
         if block:
             self.flush()
-        for k in range(len(self.open) - 1, -1, -1):
-            name = self.open[k][0]
-            if name == tag:
-                self.shut(k)
-                return
-            if name in WALLS and tag not in WALLS | SCOPES | {"tr", "body", "tbody", "tfoot", "thead"} or not block and name in BLOCKS:
-                return  # an end tag without its beginning
+        at = self.nearest((tag,))
+        between = [*["(wall)"] * (tag not in UNWALLED), *["(block)"] * (not block)]
+        if at >= 0 and self.nearest(between) <= at:
+            self.shut(at)  # else an end tag without its beginning
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -169,6 +190,18 @@ def cluster(values: list[float], factor: float = 0.5) -> list[bool]:
     return [v >= limit for v in values]
 
 
+def read_lines(html: str) -> Lines:
+    """The parsed page. A tag that the page's end cuts off is no text; the parser would look for its end again and again."""
+    rest = html.rfind(">") + 1
+    cut = UNFINISHED.search(html, rest)
+    parser = Lines()
+    parser.feed(html[: cut.start()] if cut else html)
+    parser.close()
+    parser.flush()
+    parser.shut(0)
+    return parser
+
+
 def extract(html: str) -> str:
     """Main text of one page, empty if none.
 
@@ -181,43 +214,53 @@ def extract(html: str) -> str:
     right around lines that are content by their own ratio, not only by their neighbours', and the smallest one around
     all of these. All their lines count, and so do those between the first and the last of them. The body as a whole is
     no main region: if none has nearly all votes, lines from the first content line to the last count instead of it.
+
+    Time and memory grow with the page, however deep its elements are nested.
     """
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    lines = parser.lines
+    parser = read_lines(html)
+    lines, kinds, parents, ends = parser.lines, parser.kinds, parser.parents, parser.ends
     if not lines:
         return ""
     ratios = [len(t) / max(1, n) for t, n, _ in lines]
     smoothed = smooth(ratios)
     content = cluster(smoothed)
-    votes: dict[int, int] = {}
-    total = 0
-    for (text, _, path), good in zip(lines, content, strict=True):
-        if good:
-            total += len(text)
-            for region in path:
-                votes[region] = votes.get(region, 0) + len(text)
-    articles = [r for r in votes if parser.kinds[r] in ARTICLES and 2 * votes[r] >= total]
+    votes, held = [0] * (len(kinds) + 1), [0] * (len(kinds) + 1)  # of regions and what is in them; the last is no region
+    for (text, _, region), good in zip(lines, content, strict=True):
+        votes[region] += good * len(text)
+        held[region] += 1
+    total = sum(votes)
+    for r in range(len(kinds) - 1, -1, -1):
+        votes[parents[r]] += votes[r] if parents[r] >= 0 else 0
+        held[parents[r]] += held[r] if parents[r] >= 0 else 0
+    regions = range(len(kinds))
+    articles = [r for r in regions if votes[r] and kinds[r] in ARTICLES and 2 * votes[r] >= total]
     if articles:
         best = max(articles, key=lambda r: (votes[r], r))
-        within = {r for _, _, path in lines if best in path for r in path[path.index(best) + 1 :] if parser.kinds[r] in ARTICLES}
-        if len(within) == 1 and 2 * votes.get(one := within.pop(), 0) >= votes[best]:
-            best = one
-        return " ".join(t for t, _, path in lines if best in path)
+        within = [r for r in range(best + 1, ends[best] + 1) if held[r] and kinds[r] in ARTICLES]
+        if len(within) == 1 and 2 * votes[within[0]] >= votes[best]:
+            best = within[0]
+        return " ".join(t for t, _, region in lines if best <= region <= ends[best])
     if not total:
         return ""
-    inner = lambda path: [r for r in path if parser.kinds[r] != "body"]
     limit = limit_of(smoothed)
     firm = [x and v >= limit for x, v in zip(content, ratios, strict=True)]
-    around = [inner(path) for (_, _, path), x in zip(lines, firm, strict=True) if x]
-    main = max((r for r, v in votes.items() if v >= 0.8 * total and parser.kinds[r] != "body"), default=-1)
-    chosen = {path[-1] for path in around if path} | {main}
-    if around:
-        chosen.add(max(set.intersection(*map(set, around)), default=-1))
+    inner = [-1] * len(kinds)  # the innermost region that isn't the body
+    for r in regions:
+        inner[r] = r if kinds[r] != "body" else inner[parents[r]] if parents[r] >= 0 else -1
+    around = [inner[region] if region >= 0 else -1 for (_, _, region), x in zip(lines, firm, strict=True) if x]
+    main = max((r for r in regions if votes[r] >= 0.8 * total and kinds[r] != "body"), default=-1)
+    chosen = {r for r in around if r >= 0} | {main} - {-1}
+    if around and min(around) >= 0:
+        r, last = min(around), max(around)
+        while r >= 0 and ends[r] < last:
+            r = inner[parents[r]] if parents[r] >= 0 else -1
+        chosen |= {r} - {-1}
+    reach, covered = -1, [False] * (len(kinds) + 1)
+    for r in regions:
+        reach = max(reach, ends[r]) if r in chosen else reach
+        covered[r] = r <= reach
     alone = content if main < 0 else firm
-    kept = [i for i, (x, (_, _, path)) in enumerate(zip(alone, lines, strict=True)) if x or not chosen.isdisjoint(path)]
+    kept = [i for i, (x, (_, _, region)) in enumerate(zip(alone, lines, strict=True)) if x or covered[region]]
     return " ".join(t for t, _, _ in lines[kept[0] : kept[-1] + 1])
 
 

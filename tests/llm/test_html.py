@@ -1,6 +1,7 @@
 """Main text of pages with nested, unclosed and misleading markup."""
 
 import re
+import time
 
 import pytest
 
@@ -31,7 +32,7 @@ def test_main_text(page):
     assert htmltext.extract(page) == TEXT
 
 
-@pytest.mark.parametrize("head", ['<div class="article-header"><h1>Head</h1></div>', '<p class="search-results">Head</p>', '<section class="entry-header">Head</section>', "<header><h1>Head</h1></header>", '<h1 id="share-prices">Head</h1>'])
+@pytest.mark.parametrize("head", ['<div class="article-header"><h1>Head</h1></div>', '<p class="search-results">Head</p>', '<section class="entry-header">Head</section>', "<header><h1>Head</h1></header>", '<h1 id="share-prices">Head</h1>', '<section class="informed-consent">Head</section>', '<h2 class="menu-card">Head</h2>', '<table class="ad-hoc"><tr><td>Head</table>'])
 def test_headings_of_the_article_stay(head):
     assert htmltext.extract(f"<body><article>{head}{P}</article></body>") == f"Head {TEXT}"
 
@@ -56,3 +57,20 @@ def test_plain_pages_equal_a_pattern(spark):
     for i, _, html in rows:
         inner = re.search(r"<article>(.*)</article>", html)[1]
         assert got[i] == " ".join(re.sub(r"<[^>]*>", " ", inner).split())
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-slot-3", "top-ad", "cookie-consent", "main-menu", "nav-menu", "mobile-menu", "adverts", "google-ad-unit", "post-comments", "newsletter-signup"])
+def test_marked_names_go(name):
+    assert htmltext.extract(f'<body><article>{P}<div class="{name}">{JUNK}</div></article></body>') == TEXT
+
+
+@pytest.mark.parametrize("page", ["<div>some words" * 100_000, "<span>a</b>" * 100_000, "<a " * 100_000, "<td><span></div>" * 50_000, "<div>" * 50_000 + "<li>x</li>" * 50_000, "<article>x" * 50_000, "<p><b>" * 50_000, "</div></p>" * 100_000])
+def test_deep_and_broken_pages_take_linear_time(page):
+    begin = time.process_time()
+    htmltext.extract(page)
+    assert time.process_time() - begin < 30
+
+
+def test_an_unfinished_tag_is_no_text():
+    assert htmltext.extract(f"<body><article>{P}</article><p>x</p> 1 < 2 <a href='y") == TEXT
+    assert htmltext.extract("a &lt; b < c") == "a < b < c"
