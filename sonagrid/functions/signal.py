@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import vectors
+
 EPS = float(np.finfo(np.float32).eps)
 
 
@@ -104,19 +108,71 @@ def parse_wav(data: bytes) -> tuple[int, int, np.ndarray]:
     raise ValueError("no data chunk")
 
 
-def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Linear interpolation to another rate."""
-    n = int(round(len(x) * to / rate))
-    return np.interp(np.arange(n) * rate / to, np.arange(len(x)), x) if len(x) else x
-
-
-def decode_wav(content: Column, *, channels: str = "mean", divisor: float = 32768.0, rate: int | None = None, cap: float | None = None) -> Column:
-    """(rate, samples) of WAV bytes: the ``mean`` of channels or the ``first``; resampled to ``rate``, cut to ``cap`` s."""
+@lru_cache(8)
+def sinc_bank(rate: int, to: int, zeros: int = 6, rolloff: float = 0.99) -> tuple[np.ndarray, int]:
+    """A filter for each phase of resampling ``rate`` to ``to`` (in lowest terms), and how far they reach back.
+
+    Each is the ideal low-pass below ``rolloff`` of the lower half rate, at the places of the input samples around an
+    output sample, under a Hann window of ``zeros`` zero crossings to each side.
+    """
+    band = min(rate, to) * rolloff
+    back = math.ceil(zeros * rate / band)
+    at = (np.arange(-back, back + rate) / rate - np.arange(to)[:, None] / to) * band
+    inside = np.clip(at, -zeros, zeros)
+    return np.sinc(inside) * np.cos(np.pi * inside / (2 * zeros)) ** 2 * band / rate, back
+
+
+def resample(x: np.ndarray, rate: int, to: int, block: int = 4096) -> np.ndarray:
+    """``x`` at another rate, by a bank of windowed-sinc filters, one for each phase of the rational rate.
+
+    Output samples of one phase are products of one filter with frames ``rate`` / gcd samples apart. Frames go in blocks
+    of at most ``block``, which overlap by the filter's reach, so memory is bounded by the block and the result.
+    """
+    common = math.gcd(rate, to)
+    rate, to = rate // common, to // common
+    if rate == to or not len(x):
+        return np.asarray(x, float)
+    bank, back = sinc_bank(rate, to)
+    n = -(-len(x) * to // rate)
+    frames = -(-n // to)
+    width = bank.shape[1]
+    out = np.empty(frames * to)
+    for first in range(0, frames, block):
+        count = min(block, frames - first)
+        begin, end = first * rate - back, (first + count - 1) * rate - back + width
+        part = np.zeros(end - begin)
+        lo, hi = max(0, begin), min(len(x), end)
+        if hi > lo:
+            part[lo - begin : hi - begin] = x[lo:hi]
+        shifted = np.lib.stride_tricks.sliding_window_view(part, width)[::rate][:count]
+        out[first * to : (first + count) * to] = (shifted @ bank.T).ravel()
+    return out[:n]
+
+
+def mono(x: np.ndarray) -> np.ndarray:
+    """One channel of samples: the mean over the shorter axis, integers over 32768."""
+    y = np.asarray(x)
+    if y.ndim > 2:
+        raise ValueError(f"samples with {y.ndim} axes")
+    if np.issubdtype(y.dtype, np.integer):
+        y = y / 32768.0
+    if y.ndim == 2:
+        y = (y.T if y.shape[0] > y.shape[1] else y).mean(axis=0)
+    return y.astype(float)
+
+
+def decode_wav(content: Column, *, channels: str = "mean", divisor: float = 32768.0, rate: int | None = None, cap: float | None = None, strict: bool = False) -> Column:
+    """(rate, samples) of WAV bytes: the ``mean`` of channels or the ``first``; resampled to ``rate``, cut to ``cap`` s.
+
+    With ``strict`` another rate is an error instead.
+    """
 
     def one(data: bytes) -> tuple[int, list[float]]:
         own, _, x = parse_wav(data)
         y = (x.mean(axis=0) if channels == "mean" else x[0].astype(float)) / divisor
         if rate and rate != own:
+            if strict:
+                raise ValueError(f"the sample rate is {own}, not {rate}")
             y, own = resample(y, own, rate), rate
         return own, y[: int(cap * own)].tolist() if cap else y.tolist()
 
@@ -127,6 +183,26 @@ def decode_wav(content: Column, *, channels: str = "mean", divisor: float = 3276
     return run(content)
 
 
+def load_samples(samples: Column, *, own: int | None = None, rate: int | None = None) -> Column:
+    """Samples of one or more channels (array of arrays, by channel or by time) as one channel, resampled from ``own`` to ``rate``."""
+
+    @F.pandas_udf("array<double>")
+    def run(c: pd.Series) -> pd.Series:
+        def one(x: np.ndarray) -> list[float]:
+            y = mono(np.stack(x) if len(x) and np.ndim(x[0]) else x)
+            return (resample(y, own, rate) if own and rate and own != rate else y).tolist()
+
+        return c.map(lambda x: None if x is None else one(x))
+
+    return run(samples)
+
+
+def batch_chunks(samples: Column, rate: int, *, cap: float = 90.0, chunk: float = 10.0) -> Column:
+    """The first ``cap`` seconds in chunks of ``chunk`` seconds, the last one filled up from the beginning again."""
+    kept = F.slice(samples, F.lit(1), F.lit(int(cap * rate)))
+    return F.when(F.size(samples) > 0, vectors.circular_chunks(kept, int(chunk * rate)))
+
+
 def mapped(df, fn: Callable, schema: str):
     """A slot for batched inference: ``fn`` takes and gives pandas frames; ids keep their order in a partition."""
     return df.mapInPandas(lambda it: (fn(x) for x in it), schema)

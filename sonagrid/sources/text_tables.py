@@ -108,14 +108,20 @@ def textgrid(spark: SparkSession, path: str) -> DataFrame:
 
 
 def glm(spark: SparkSession, path: str) -> DataFrame:
-    """(word, standard) of token rules 'a => b / ...'."""
-    rows = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(;|\*|$)") & F.col("value").contains("=>"))
-    side = lambda i: F.lower(F.trim(F.regexp_replace(F.split("value", "=>")[i], r"/.*$|[\[\]{}]", "")))
-    return rows.select(side(0).alias("word"), side(1).alias("standard"))
+    """(source, parts, alternatives) of word rules 'a b => c d' or 'a => {b / c d}': arrays of words, and of such arrays.
 
-
-def standardised(words: DataFrame, rules: DataFrame, word: str = "word") -> DataFrame:
-    return words.join(F.broadcast(rules.withColumnRenamed("word", word)), word, "left").withColumn(word, F.coalesce("standard", word)).drop("standard")
+    Rules are in lower case. Lines that are blank or begin with [ * % or ; are none. The right side ends at the first
+    character that no word has, so parts are empty if it begins with a brace; alternatives are what stands in it. Rules
+    that say neither are left out, of rules for the same words the last counts.
+    """
+    rows = lines(spark, path).where(~F.col("value").rlike(r"^\s*([\[*%;]|$)")).select("file", "pos", F.split(F.lower(F.trim("value")), r"\s+=>\s+").alias("f")).where(F.size("f") > 1)
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    plain = words(F.regexp_replace(F.col("f")[1], "[^a-z\\-'_ .].*", ""))
+    braced = F.regexp_extract(F.col("f")[1], r"^\{([^}]*)\}", 1)
+    several = F.filter(F.transform(F.split(braced, "/"), words), lambda a: F.size(a) > 0)
+    rules = rows.select("file", "pos", words(F.col("f")[0]).alias("source"), plain.alias("parts"), F.when(F.size(plain) > 0, F.array(plain)).otherwise(several).alias("alternatives"))
+    rules = rules.where((F.size("source") > 0) & (F.size("alternatives") > 0)).withColumn("_at", F.struct("file", "pos"))
+    return last_wins(rules, ["source"], "_at").select("source", "parts", "alternatives")
 
 
 def cmvn(spark: SparkSession, path: str) -> tuple[list[float], list[float]]:
