@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .alignment_queries import WORDS, reference_words
-from .functions import signal, vectors
+from .functions import chain, signal, vectors
 from .operators import wordmap
 from .queries import long_form, query, table
 from .shared import shared_path, written_lines
@@ -53,6 +53,27 @@ def capped_batch_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_form(waves(spark, sf_dir).select("vec_id", F.flatten(chunks).alias("wave")), "wave")
 
 
+def drawn_sql(seed: str) -> str:
+    return f"('0x' || substr(md5('{seed}|' || vec_id), 1, 15))::BIGINT"
+
+
+def speed_sql(tenths: int) -> str:
+    """``resampled_sql``'s kernel for playing at so many tenths of the speed."""
+    x, band = f"((i - 1) / {tenths}.0::DOUBLE - n / 10.0::DOUBLE) * {min(tenths, 10) * 0.99}::DOUBLE", min(tenths, 10) * 0.99
+    kernel = f"CASE WHEN abs({x}) >= 6 THEN 0 WHEN abs({x}) < 1e-12 THEN 1 ELSE sin(pi() * {x}) / (pi() * {x}) * pow(cos(pi() * {x} / 12), 2) END * {band / tenths}::DOUBLE"
+    return f"[list_sum([e[i] * {kernel} FOR i IN range(1, len(e) + 1)]) FOR n IN range((len(e) * 10 + {tenths - 1}) // {tenths})]"
+
+
+@query(f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, {drawn_sql("speed")} % 3 AS k, {drawn_sql("crop")} AS c FROM embeddings),
+  s AS (SELECT *, CASE k WHEN 0 THEN e WHEN 1 THEN {speed_sql(9)} ELSE {speed_sql(11)} END AS w FROM v), t AS (SELECT *, c % (len(w) - 23) AS start FROM s)
+  SELECT vec_id, (vec_id % 10 + 10 * k)::INT AS label, i::INT AS i, round(w[start + i + 1], 6) + 0.0 AS wave FROM (SELECT *, unnest(range(24)) AS i FROM t)""")
+def training_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as a wave at one of three speeds, each speed a class of its own, cut to 24 samples."""
+    w = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 10).cast("int").alias("label"), vectors.doubles("embedding").alias("wave"))
+    stages = [chain.speed("speed", "vec_id"), chain.speed_class(10), chain.crop("crop", "vec_id", 24)]
+    return long_form(chain.chained(w, stages, "vec_id", "label", "wave"), "wave")
+
+
 ARCHIVED = "SELECT 'utt' || vec_id AS utt_id, (i - 1)::INT AS i, (embedding[i])::DOUBLE AS whole{more} FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)"
 
 
