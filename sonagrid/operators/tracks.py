@@ -20,10 +20,13 @@ def kinds(df: DataFrame, key: list[str]) -> str:
 
 
 def nms(df: DataFrame, key: list[str], box: str, score: str, iou: float = 0.5, top_k: int = -1, candidates: int = 200) -> DataFrame:
-    """(key..., box, score, rank): of the best ``candidates`` boxes of a key those that overlap no better one."""
+    """(key..., box, score, rank): of the best ``candidates`` boxes of a key those that overlap no better one.
+
+    Of boxes with one score the least by coordinates is better.
+    """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(score, ascending=False, kind="stable").head(candidates)
+        g = g.assign(_b=g[box].map(tuple)).sort_values([score, "_b"], ascending=[False, True], kind="stable").head(candidates)
         m = iou_matrix(x := np.stack([np.asarray(b, float) for b in g[box]]), x)
         keep: list[int] = []
         for i in range(len(g)):

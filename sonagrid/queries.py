@@ -8,6 +8,7 @@ Values are rounded to six places, as sums of doubles depend on their order.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -160,9 +161,21 @@ def min_dcf_sweep(spark, sf_dir):
     return rounded(curve.groupBy(F.col("p").alias("p_target")).agg(cost.alias("cost")).withColumn("min_dcf", F.col("cost") / F.least(F.col("p_target"), 1 - F.col("p_target"))), "cost", "min_dcf")
 
 
-@query()
+def horner_sql(coefficients: tuple[float, ...], x: str) -> str:
+    return reduce(lambda total, c: f"(({total}) * {x} + {c!r}::DOUBLE)", coefficients[1:], f"{coefficients[0]!r}::DOUBLE")
+
+
+def probit_sql(p: str) -> str:
+    q, t = f"({p} - 0.5)", f"sqrt(-2 * ln(least({p}, 1 - {p})))"
+    tail = f"{horner_sql(trials.TAILS[0], t)} / {horner_sql(trials.TAILS[1], t)}"
+    return f"CASE WHEN abs({q}) <= 0.5 - {trials.TAIL} THEN {q} * {horner_sql(trials.MIDDLE[0], f'({q} * {q})')} / {horner_sql(trials.MIDDLE[1], f'({q} * {q})')} WHEN {q} < 0 THEN {tail} ELSE -({tail}) END"
+
+
+@query(CURVE + f""", hc AS (SELECT rn, greatest(1e-12, least(1 - 1e-12, fnr))::DOUBLE AS a, greatest(1e-12, least(1 - 1e-12, fpr))::DOUBLE AS b FROM cum)
+  SELECT rn, round({probit_sql("a")}, 5) + 0.0 AS fnr_probit, round({probit_sql("b")}, 5) + 0.0 AS fpr_probit FROM hc""")
 def det_probit(spark, sf_dir):
-    return trials.det_probit(trials.det_curve(scored(spark, sf_dir), "score", "label", "enrol", "test"))
+    curve = trials.det_probit(trials.det_curve(scored(spark, sf_dir), "score", "label", "enrol", "test"))
+    return curve.select("rn", *[(F.round(c, 5) + 0.0).alias(c) for c in ("fnr_probit", "fpr_probit")])
 
 
 @query(SCORED + """ SELECT least(19, floor((score + 1) / 2 * 20))::INT AS bin, round(count(*) * 1.0::DOUBLE / sum(count(*)) OVER (), 6) AS share,
@@ -402,21 +415,48 @@ def speaker_overlap(spark, sf_dir):
     return der.co_occurrence(der_pieces(spark, sf_dir), ["rec"]).withColumn("ov", F.round("ov", 4))
 
 
-@query()
+#: Every one-to-one choice of partners, reference speaker by speaker; of those the one with most shared time.
+MAPPING = """, ov AS (SELECT r.rec, r.spk AS ref, s.spk AS sys, sum(r.ed - r.st) AS ov FROM act r JOIN act s USING (rec, st, ed) WHERE r.src = 'R' AND s.src = 'S' GROUP BY ALL),
+  rs AS (SELECT rec, ref, row_number() OVER (PARTITION BY rec ORDER BY ref) AS k, count(*) OVER (PARTITION BY rec) AS n FROM (SELECT DISTINCT rec, ref FROM ov)),
+  ch AS (SELECT DISTINCT rec, 0::BIGINT AS k, []::VARCHAR[] AS refs, []::VARCHAR[] AS used, []::DOUBLE[] AS times FROM rs
+    UNION ALL SELECT ch.rec, rs.k, CASE WHEN o.sys IS NULL THEN refs ELSE list_append(refs, rs.ref) END, CASE WHEN o.sys IS NULL THEN used ELSE list_append(used, o.sys) END, CASE WHEN o.sys IS NULL THEN times ELSE list_append(times, o.ov) END
+    FROM ch JOIN rs ON rs.rec = ch.rec AND rs.k = ch.k + 1 JOIN (SELECT rec, ref, sys, ov FROM ov UNION ALL SELECT rec, ref, NULL, 0 FROM rs) o ON o.rec = rs.rec AND o.ref = rs.ref AND (o.sys IS NULL OR NOT list_contains(used, o.sys))),
+  bm AS (SELECT ch.rec, arg_max({'refs': refs, 'used': used, 'times': times}, list_sum(times)) AS b FROM ch JOIN (SELECT DISTINCT rec, n FROM rs) USING (rec) WHERE k = n GROUP BY ch.rec),
+  mp AS (SELECT rec, unnest(b.refs) AS ref, unnest(b.used) AS sys, unnest(b.times) AS ov FROM bm)"""
+DER = """, tm AS (SELECT rec, sum((ed - st) * nr) AS scored, sum((ed - st) * greatest(0, nr - ns)) AS miss, sum((ed - st) * greatest(0, ns - nr)) AS fa, sum((ed - st) * least(nr, ns)) AS shared FROM cnt WHERE nr + ns > 0 GROUP BY rec),
+  er AS (SELECT rec, scored, miss, fa, shared - coalesce((SELECT sum(ov) FROM mp WHERE mp.rec = tm.rec), 0) AS error FROM tm), al AS (SELECT * FROM er UNION ALL SELECT NULL, sum(scored), sum(miss), sum(fa), sum(error) FROM er),
+  pc2 AS (SELECT rec, scored, [CASE WHEN scored = 0 THEN CASE WHEN x = 0 THEN 0 ELSE 100 END ELSE 100 * x / scored END FOR x IN [miss, fa, error, miss + fa + error]] AS p FROM al)
+  SELECT rec, round(scored, 4) AS scored, round(p[1], 5) + 0.0 AS ms, round(p[2], 5) + 0.0 AS fa, round(p[3], 5) + 0.0 AS ser, round(p[4], 5) + 0.0 AS der FROM pc2"""
+RECURSIVE = SEG.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def five_places(rates: DataFrame) -> DataFrame:
+    return rates.withColumns({c: F.round(c, 5) + 0.0 for c in ("ms", "fa", "ser", "der")}).withColumn("scored", F.round("scored", 4))
+
+
+@query(RECURSIVE + ATOMS + MAPPING + " SELECT rec, ref, sys, round(ov, 4) AS ov FROM mp")
 def speaker_mapping(spark, sf_dir):
-    return der.best_mapping(der.co_occurrence(der_pieces(spark, sf_dir), ["rec"]), ["rec"])
+    return der.best_mapping(der.co_occurrence(der_pieces(spark, sf_dir), ["rec"]), ["rec"]).withColumn("ov", F.round("ov", 4))
 
 
-@query()
+@query(RECURSIVE + ATOMS + MAPPING + DER)
 def der_by_recording(spark, sf_dir):
     ref, sys = ref_sys(spark, sf_dir)
-    return rounded(der.der(ref, sys, ["rec"]), "scored", "ms", "fa", "ser", "der")
+    return five_places(der.der(ref, sys, ["rec"]))
 
 
-@query()
+#: Time cut at collars too; pieces within collars, or in which two reference intervals are open, aren't scored.
+COLLARED = REFSYS + """, ext AS (SELECT rec, min(st) AS ub, max(ed) AS ue FROM ref GROUP BY rec), cb AS (SELECT rec, b - 0.25 AS st, b + 0.25 AS ed FROM (SELECT rec, st AS b FROM ref UNION ALL SELECT rec, ed FROM ref)),
+  pts AS (SELECT DISTINCT rec, t FROM (SELECT rec, st AS t FROM ref UNION ALL SELECT rec, ed FROM ref UNION ALL SELECT rec, st FROM sys UNION ALL SELECT rec, ed FROM sys UNION ALL SELECT rec, st FROM cb UNION ALL SELECT rec, ed FROM cb) JOIN ext USING (rec) WHERE t BETWEEN ub AND ue),
+  p0 AS (SELECT rec, t AS st, lead(t) OVER (PARTITION BY rec ORDER BY t) AS ed FROM pts QUALIFY ed - st > 1e-8),
+  pc AS (SELECT * FROM p0 a WHERE NOT EXISTS (SELECT 1 FROM cb WHERE cb.rec = a.rec AND cb.st < (a.st + a.ed) / 2 AND cb.ed > (a.st + a.ed) / 2) AND (SELECT count(*) FROM ref r WHERE r.rec = a.rec AND r.st < (a.st + a.ed) / 2 AND r.ed > (a.st + a.ed) / 2) < 2),
+""" + ATOMS[ATOMS.index("  act AS"):]
+
+
+@query(RECURSIVE + COLLARED + MAPPING + DER)
 def der_collar_no_overlap(spark, sf_dir):
     ref, sys = ref_sys(spark, sf_dir)
-    return rounded(der.der(ref, sys, ["rec"], collar=0.25, ignore_overlap=True), "scored", "ms", "fa", "ser", "der")
+    return five_places(der.der(ref, sys, ["rec"], collar=0.25, ignore_overlap=True))
 
 
 @query(SEG + REFSYS + ", e AS (SELECT rec, min(st) AS st, max(ed) AS ed FROM ref GROUP BY rec) SELECT rec, round(st, 6) AS st, round(ed, 6) AS ed FROM e")
@@ -705,12 +745,23 @@ def sentence_split(spark, sf_dir):
     return talk(spark, sf_dir).select("conv_id", "turn", "k", "role", F.col("text").alias("sentence"))
 
 
-@query()
+#: Windows by running sums of sentence lengths: from each start to 96 characters, the next start after 32, the last from the end.
+WINDOWS = TALK.replace("text", "replace(text, chr(10), ' ')").replace("WITH ", "WITH RECURSIVE ", 1) + """, rw AS (SELECT conv_id, list(role ORDER BY turn, k) AS ro, list(sentence ORDER BY turn, k) AS ss FROM s GROUP BY conv_id),
+  cu AS (SELECT *, len(ss) AS n, [coalesce(list_sum([length(x) FOR x IN ss[1:i]]), 0) FOR i IN range(len(ss) + 1)] AS c FROM rw),
+  wn AS (SELECT conv_id, 0::BIGINT AS num, 0::BIGINT AS i FROM cu UNION ALL SELECT conv_id, num + 1, nk FROM (SELECT wn.conv_id, num, list_min([k FOR k IN range(i + 1, n) IF c[k + 2] - c[i + 2] >= 32]) AS nk, c[n + 1] - c[i + 1] AS rest FROM wn JOIN cu USING (conv_id)) WHERE nk IS NOT NULL AND rest >= 96),
+  lw AS (SELECT conv_id, num, i AS a, coalesce(list_min([j FOR j IN range(i, n + 1) IF c[j + 1] - c[i + 1] >= 96]), n) AS b, max(num) OVER (PARTITION BY conv_id) AS last FROM wn JOIN cu USING (conv_id)),
+  ws AS (SELECT conv_id, num AS wno, a, b FROM lw WHERE num < last UNION ALL SELECT conv_id, max(last) + 2, coalesce(list_max([j FOR j IN range(any_value(n)) IF any_value(c)[any_value(n) + 1] - any_value(c)[j + 1] >= 96]), 0), any_value(n) FROM lw JOIN cu USING (conv_id) GROUP BY conv_id),
+  sl AS (SELECT conv_id, wno::INT AS "window", ss[a + 1:b] AS t, ro[a + 1:b] AS r FROM ws JOIN cu USING (conv_id))"""
+
+
+@query(WINDOWS + " SELECT conv_id, \"window\", array_to_string(t, '') AS sentence, len(list_distinct(r)) > 1 AS label FROM sl")
 def dialogue_windows(spark, sf_dir):
     return transcripts.dialogue_windows(talk(spark, sf_dir), "conv_id", "seq", "role", "text")
 
 
-@query()
+@query(WINDOWS + """, cd AS (SELECT *, [x FOR x, i IN r IF list_position(r, x) = i] AS seen FROM sl)
+  SELECT conv_id, "window", array_to_string(t, '') AS sentence, [coalesce(list_sum([length(x) FOR x IN t[1:i - 1]]), 0)::INT FOR i IN range(2, len(t) + 1) IF r[i] <> r[i - 1]] AS change_points,
+    len(list_distinct(r))::INT AS n_speakers, flatten([[(list_position(seen, r[i]) - 1)::INT FOR q IN range(length(t[i]))] FOR i IN range(1, len(t) + 1)]) AS speaker_labels FROM cd""")
 def turn_windows(spark, sf_dir):
     return transcripts.turn_windows(talk(spark, sf_dir), "conv_id", "seq", "role", "text")
 
@@ -939,11 +990,16 @@ def box_iou(spark, sf_dir):
     return rounded(b.join(n, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", scalars.iou(F.col("box"), F.col("other")).alias("iou")), "iou")
 
 
-@query()
+@query("""WITH RECURSIVE b AS (SELECT l_suppkey, l_quantity::DOUBLE AS x, l_tax::DOUBLE * 100 AS y, l_extendedprice::DOUBLE AS score FROM lineitem), o AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, x, y) AS k FROM b QUALIFY k <= 200),
+  g AS (SELECT DISTINCT l_suppkey, 0::BIGINT AS k, []::STRUCT(x DOUBLE, y DOUBLE, score DOUBLE)[] AS kept FROM o UNION ALL SELECT g.l_suppkey, o.k, CASE WHEN len([1 FOR z IN kept IF greatest(0, 10 - abs(z.x - o.x)) * greatest(0, 10 - abs(z.y - o.y)) > 0.5 * (200 - greatest(0, 10 - abs(z.x - o.x)) * greatest(0, 10 - abs(z.y - o.y)))]) = 0
+      THEN list_append(kept, {'x': o.x, 'y': o.y, 'score': o.score}) ELSE kept END FROM g JOIN o ON o.l_suppkey = g.l_suppkey AND o.k = g.k + 1),
+  l AS (SELECT l_suppkey, arg_max(kept, k) AS kept FROM g GROUP BY l_suppkey), u AS (SELECT l_suppkey, unnest(kept) AS z, unnest(range(1, len(kept) + 1))::INT AS rank FROM l)
+  SELECT l_suppkey, rank, round(z.x, 4) AS x, round(z.y, 4) AS y, round(z.score, 2) AS score FROM u""")
 def nms_boxes(spark, sf_dir):
     x, y = F.col("l_quantity"), F.col("l_tax") * 100
     b = table(spark, sf_dir, "lineitem").select("l_suppkey", F.array(x, y, x + 10, y + 10).alias("box"), F.col("l_extendedprice").alias("score"))
-    return tracks.nms(b, ["l_suppkey"], "box", "score")
+    kept = tracks.nms(b, ["l_suppkey"], "box", "score")
+    return kept.select("l_suppkey", "rank", F.round(F.col("box")[0], 4).alias("x"), F.round(F.col("box")[1], 4).alias("y"), F.round("score", 2).alias("score"))
 
 
 @query()
