@@ -26,8 +26,8 @@ PATTERN = (
 NONE = 1 << 62
 #: Chunks and pieces of at most so many characters are remembered, so many of each at once in a worker.
 CACHE_CHARS, CACHE_PIECES = 48, 400_000
-#: Texts that are encoded together, and the most bytes of pieces that are merged together.
-TEXTS, MANY = 512, 64
+#: Texts and bytes of texts that are encoded together, and the most bytes of pieces that are merged together.
+TEXTS, TEXT_BYTES, MANY = 512, 1 << 20, 64
 #: What makes a text unusual: NUL, white space other than spaces and line ends, or two in a row.
 ODD = r"[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|[ \n]\z"
 
@@ -321,6 +321,17 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Begin and length of runs of texts that are encoded together: of ``TEXTS`` at most, ``TEXT_BYTES`` or one text."""
+    through = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
+    begin = 0
+    while begin < len(texts):
+        used = through[begin - 1] if begin else 0
+        end = min(max(int(np.searchsorted(through, used + TEXT_BYTES, "right")), begin + 1), begin + TEXTS, len(texts))
+        yield begin, end - begin
+        begin = end
+
+
 def joined(table: pa.Array, ids: np.ndarray, count: np.ndarray) -> tuple[memoryview, np.ndarray]:
     """The entries of ``ids`` in one buffer, and where in it each text begins; the last place is the end."""
     got = table.take(pa.array(ids))
@@ -347,8 +358,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, keep_ids: bool = False
         c = codec(vocabulary)
         sha = hashlib.sha256
         for whole in batches:
-            for at in range(0, whole.num_rows, TEXTS):
-                batch = whole.slice(at, TEXTS)
+            for at, n in groups(whole.column(1)):
+                batch = whole.slice(at, n)
                 ids, count = c.encode_batch(batch.column(1))
                 text, begin = joined(c.token_text, ids, count)
                 ids_sha = [sha(text[a : max(a, b - 1)]).hexdigest() for a, b in zip(begin[:-1], begin[1:], strict=True)]
