@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,3 +28,32 @@ def augmentation(seed: str, key: Column, probability: float, names: list[str]) -
     """One of ``names`` with equal chances, for a share ``probability`` of keys; null for the rest."""
     some = draw(f"{seed}-whether", key) < int(probability * TOP)
     return F.when(some, F.get(F.array(*[F.lit(n) for n in names]), F.pmod(draw(f"{seed}-which", key), F.lit(len(names))).cast("int")))
+
+
+def crop_set(wave: Column, length: int, whole: int, halves: int, seed: str, *key: Column) -> Column:
+    """A struct of ``whole`` crops of ``length`` samples and ``halves`` of half that, from different places each, in drawn order.
+
+    A wave without room for ``whole`` places gets zeros at its end, as many as make it.
+    """
+    padded = F.concat(wave, F.array_repeat(F.lit(0.0), F.greatest(length - F.size(wave) + whole, F.lit(0))))
+
+    def places(name: str, n: int, size: int) -> Column:
+        # n sorted draws below room - n + 1, each moved on by its rank, are n different places below room
+        room = F.size(padded) - size
+        drawn = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.pmod(draw(f"{seed}-{name}", *key, i), F.greatest(room - n + 1, F.lit(1)).cast("long")))
+        spread = F.transform(F.array_sort(drawn), lambda d, i: (d + i).cast("int"))
+        mixed = F.array_sort(F.transform(spread, lambda p, i: F.struct(draw(f"{seed}-{name}-order", *key, i).alias("o"), p.alias("p"))))
+        return F.transform(mixed, lambda x: F.slice(padded, x["p"] + 1, F.lit(size)))
+
+    return F.struct(places("whole", whole, length).alias("whole"), places("halves", halves, length // 2).alias("halves"))
+
+
+def normal(seed: str, *key: Column) -> Column:
+    """A standard normal number from the seed and the key: Box and Muller's transform of two draws."""
+    u, v = ((draw(f"{seed}-{name}", *key) + 0.5) / float(TOP) for name in ("radius", "angle"))
+    return F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)
+
+
+def dithered(wave: Column, amount: float, seed: str, *key: Column) -> Column:
+    """``wave`` with ``amount`` times normal noise added to each sample."""
+    return wave if not amount else F.transform(wave, lambda x, i: x + amount * normal(seed, *key, i))

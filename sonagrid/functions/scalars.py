@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vectors import let
+
 
 def last_parts(path: Column, n: int) -> Column:
     """The last ``n`` components of a path, joined by slashes; all if there are fewer."""
@@ -91,7 +93,12 @@ def python_round(x: Column, digits: int = 2) -> Column:
 
     The product's own rounding error, from both factors' halves, says on which side of a half it lies.
     """
-    m, split = float(10**digits), float(2**27 + 1)
+    return scaled_round(x, F.lit(float(10**digits))) / float(10**digits)
+
+
+def scaled_round(x: Column, m: Column) -> Column:
+    """``x`` times ``m``, a whole number below 2^53, rounded to a whole number: exact halves go to the even neighbour."""
+    split = float(2**27 + 1)
     a = F.abs(x)
     p = a * m
     ah, mh = a * split - (a * split - a), m * split - (m * split - m)
@@ -100,8 +107,8 @@ def python_round(x: Column, digits: int = 2) -> Column:
     k = F.floor(p).cast("double")
     past = p - k - 0.5
     up = (past > 0) | ((past == 0) & ((lost > 0) | ((lost == 0) & (k % 2 == 1))))
-    size = (k + F.when(up, 1.0).otherwise(0.0)) / m
-    return F.when(p >= float(2**52), x).when(x < 0, -size).otherwise(size)
+    size = k + F.when(up, 1.0).otherwise(0.0)
+    return F.when(p >= float(2**52), x * m).when(x < 0, -size).otherwise(size)
 
 
 def python_text(x: Column, digits: int = 2) -> Column:
@@ -130,3 +137,44 @@ def crop_box(box: Column, scale: float = 0.4) -> Column:
     y, x = (y1 + y2) / 2 + pad, (x1 + x2) / 2 + pad
     edges = {"top": y - s, "bottom": y + s * (1 + 2 * scale), "left": x - s * (1 + scale), "right": x + s * (1 + scale)}
     return F.struct(pad.alias("pad"), *[e.cast("int").alias(name) for name, e in edges.items()])
+
+
+def log_number(value: Column, digits: int = 2) -> Column:
+    """A number as Python's logs show it: with ``digits`` places between 1 and 100, else with an exponent.
+
+    Exponents are those of numbers from 1e-12 to 1e15, and of 0.
+    """
+    ten = lambda n: F.pow(F.lit(10.0), n)
+    size = F.abs(value)
+
+    def written(power: Column) -> Column:
+        n = F.when(power <= digits, scaled_round(size, F.rint(ten(digits - power)))).otherwise(F.rint(size / ten(power - digits)))
+        return let(n, lambda n: spelled(n, power))
+
+    def spelled(n: Column, power: Column) -> Column:
+        over = n >= float(10 ** (digits + 1))
+        mantissa = F.when(over, n / 10).otherwise(n) / float(10**digits)
+        exponent = F.when(size == 0, 0).otherwise(power + over.cast("int")).cast("int")
+        signs = F.when(value < 0, "-").otherwise(""), F.when(exponent < 0, "-").otherwise("+")
+        return F.concat(signs[0], F.format_string(f"%.{digits}f", F.coalesce(mantissa, F.lit(0.0))), F.format_string("e%s%02d", signs[1], F.abs(exponent)))
+
+    exact = lambda near: near + F.when(size >= ten(near + 1), 1).when(size < ten(near), -1).otherwise(0)
+    far = let(F.floor(F.log10(size)), lambda near: let(exact(near), written))
+    return F.when((value > 1) & (value < 100), F.format_string(f"%.{digits}f", python_round(value, digits))).otherwise(far)
+
+
+def seconds(ms: Column) -> Column:
+    return ms / 1000.0
+
+
+def gap_overlap(ref_st: Column, ref_ed: Column, sys_st: Column, sys_ed: Column, gap: float = 0.0) -> Column:
+    """The time that two intervals share if ``gap`` more is granted, in proportion to the reference's time; 0 if none."""
+    shared = F.least(ref_ed, sys_ed) - F.greatest(ref_st, sys_st) + gap
+    return F.when(shared > 0, shared / (1 + gap / F.greatest(ref_ed - ref_st, F.lit(1e-8)))).otherwise(0.0)
+
+
+def frame_box(box: Column, width: Column, height: Column) -> Column:
+    """A box in parts of the frame as whole pixels, held within the frame."""
+    x1, y1, x2, y2 = (F.get(box, F.lit(i)) for i in range(4))
+    at = lambda part, size: F.greatest(F.lit(0), F.least(size, F.floor(part * size))).cast("int")
+    return F.array(at(x1, width), at(y1, height), at(x2, width), at(y2, height))

@@ -52,14 +52,14 @@ def fbank(wav: Column, n_mels: int = 80, sr: int = 16000, mean_norm: bool = True
     return run(wav)
 
 
-def mfcc(wav: Column, n: int = 13, n_mels: int = 26, sr: int = 16000) -> Column:
-    """Cosine transform (orthonormal) of log mel energies."""
+def mfcc(wav: Column, n: int = 13, n_mels: int = 26, sr: int = 16000, fps: float = 25.0) -> Column:
+    """Cosine transform (orthonormal) of log mel energies; windows are as much longer as ``fps`` is below 25 a second."""
     k, m = np.arange(n)[:, None], np.arange(n_mels)[None]
     basis = np.cos(np.pi * k * (2 * m + 1) / (2 * n_mels)) * np.where(k == 0, np.sqrt(1 / n_mels), np.sqrt(2 / n_mels))
 
     @F.pandas_udf("array<array<double>>")
     def run(w: pd.Series) -> pd.Series:
-        return w.map(lambda x: (fbank_matrix(np.asarray(x, float), n_mels, sr, False) @ basis.T).tolist() if x is not None else None)
+        return w.map(lambda x: (fbank_matrix(np.asarray(x, float), n_mels, sr, False, 25 * 25 / fps, 10 * 25 / fps) @ basis.T).tolist() if x is not None else None)
 
     return run(wav)
 

@@ -47,6 +47,14 @@ def utt2spk(df: DataFrame, spk: str, utts: str) -> DataFrame:
     return df.select(F.explode(utts).alias("utt_id"), spk)
 
 
+def joined_strict(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The inner join of two manifests that must have the same keys: a key that one of them lacks is an error in the job."""
+    both = left.withColumn("_l", F.lit(True)).join(right.withColumn("_r", F.lit(True)), key, "full")
+    lost = F.concat(F.lit("a manifest lacks "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    checked = F.when(F.col("_l").isNull() | F.col("_r").isNull(), F.raise_error(lost)).otherwise(F.col(key))
+    return both.withColumn(key, checked).drop("_l", "_r")
+
+
 def segment_table(manifest: DataFrame, speakers: DataFrame, seg_dur: float = 3.0, min_spkdur: float = 0.0, *, random_segment: bool = False) -> DataFrame:
     """Training segments (ID, dur, path, start, stop, spk) of manifest (utt_id, path, dur) and speakers (utt_id, spk_id).
 

@@ -40,6 +40,26 @@ def speaker_types(ref: DataFrame, sys: DataFrame, mapping: DataFrame, key: list[
     return rows.groupBy("ref_type", "sys_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def speaker_type_times(pieces: DataFrame, ref: DataFrame, sys: DataFrame, key: list[str]) -> DataFrame:
+    """(ref_type, sys_type, seconds): the time of reference types against system types, MISS and FALSE ALARM where none.
+
+    ``pieces``: those of ``intervals.atoms``; ``ref`` and ``sys``: key..., speaker, type. In each piece types meet for as
+    many speakers as both have. The time of more speakers of a type than the whole other side has is missed or false. (The
+    evaluation script compares with whichever type of the other side it saw last; with one type a side both agree.)
+    """
+    at = [*key, "st", "ed"]
+    sides = []
+    for side, kinds, other in (("ref", ref, "n_sys"), ("sys", sys, "n_ref")):
+        rows = pieces.select(*at, F.col(other).alias("_other"), F.explode(side).alias("speaker")).join(kinds.select(*key, "speaker", "type"), [*key, "speaker"])
+        sides.append(rows.groupBy(*at, "_other", F.col("type").alias(f"{side}_type")).agg(F.count(F.lit(1)).alias(f"_{side}")))
+    r, s = sides
+    d = F.col("ed") - F.col("st")
+    both = r.drop("_other").join(s.drop("_other"), at).select("ref_type", "sys_type", (F.least("_ref", "_sys") * d).alias("seconds"))
+    missed = r.where("_ref > _other").select("ref_type", F.lit(MISS).alias("sys_type"), ((F.col("_ref") - F.col("_other")) * d).alias("seconds"))
+    false = s.where("_sys > _other").select(F.lit(FALSE_ALARM).alias("ref_type"), "sys_type", ((F.col("_sys") - F.col("_other")) * d).alias("seconds"))
+    return both.union(missed).union(false).groupBy("ref_type", "sys_type").agg(F.sum("seconds").alias("seconds"))
+
+
 def typed_errors(aligned: DataFrame, key: list[str], ref: str, sys: str) -> DataFrame:
     """(key..., ref, del, ins, sub, correct) of an alignment whose sides' labels are ``ref`` and ``sys``, null if missing.
 

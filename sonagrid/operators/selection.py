@@ -82,6 +82,29 @@ def shots(df: DataFrame, frame: str, *, length: int = 50, stride: int = 5) -> Da
     return df.where(F.col(frame) % stride == 0).withColumn("shot", F.floor(F.col(frame) / length))
 
 
+def shots_by_interval(intervals: DataFrame, key: list[str], *, length: int = 50, stride: int = 5, samples: int = 640) -> DataFrame:
+    """(key..., seq, shot, first, frames, detected): the shots of each speech interval (key..., seq, st, ed in samples).
+
+    Frames are ``samples`` long; an interval has those from its start's to its end's. Shots of ``length`` frames begin anew
+    in each interval, what is left at its end is a shot too. ``first`` is the shot's first frame of the recording,
+    ``detected`` are the frames for the detector, every ``stride``-th of the interval.
+    """
+    begin, end = F.floor(F.col("st") / samples), F.floor(F.col("ed") / samples)
+    n = intervals.withColumns({"_b": begin, "_n": end - begin + 1}).where("_n > 0")
+    shot = n.withColumn("shot", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / length).cast("int"))))
+    first, frames = F.col("_b") + F.col("shot") * length, F.least(F.lit(length), F.col("_n") - F.col("shot") * length)
+    every = F.transform(F.sequence(F.lit(0), frames.cast("int") - 1), lambda i: F.struct((F.col("shot") * length + i).alias("at"), (first + i).alias("frame")))
+    seen = F.transform(F.filter(every, lambda x: x["at"] % stride == 0), lambda x: x["frame"])
+    return shot.select(*key, "seq", "shot", first.alias("first"), frames.alias("frames"), seen.alias("detected"))
+
+
+def classes_in_time(df: DataFrame, entity: str, time: str, label: str, classes: tuple[int, ...] = (1, 0, 2)) -> DataFrame:
+    """Rows of the ``classes`` with ``pos``, from 1 within an entity: by time, at equal times in the order of the classes."""
+    rank = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label))
+    kept = df.where(F.col(label).isin(*classes))
+    return kept.withColumn("pos", F.row_number().over(Window.partitionBy(entity).orderBy(time, rank)))
+
+
 def enrolments(lines: DataFrame, value: str = "value") -> DataFrame:
     """(enrol, utt) of lines 'enrol utt1 utt2 ...'; lines without utterances give none."""
     f = F.split(F.trim(F.col(value)), r"\s+")

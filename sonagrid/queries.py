@@ -631,8 +631,22 @@ VECTOR_QUERIES = {
     "angular_margin": (lambda x: F.transform(x, lambda v: scalars.angular_margin(v, 0.2)), "[CASE WHEN y > cos(pi() - 0.2) THEN y * cos(0.2) - sqrt(greatest(0, 1 - y * y)) * sin(0.2) ELSE y - (1 + cos(pi() - 0.2)) END for y in e]"),
     "snr_mix": (lambda x: vectors.mix_at_snr(x, F.reverse(x), F.lit(10.0)), "[(e[i] + pow(10, -0.5) * e[len(e) + 1 - i]) / (list_max([abs(e[j] + pow(10, -0.5) * e[len(e) + 1 - j]) for j in range(1, len(e) + 1)]) + 1e-6) for i in range(1, len(e) + 1)]"),
 }
+def vector_items_query(expression: Callable[[F.Column], F.Column]) -> Callable[[SparkSession, str], DataFrame]:
+    """The expression's whole array for each vector, as rows."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return long_form(voices(spark, sf_dir).select("utt_id", expression(F.col("embedding")).alias("x")), "x")
+
+    return run
+
+
+def vector_items_sql(expression: str) -> str:
+    return f"WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), x AS (SELECT vec_id AS utt_id, {expression} AS x FROM v) SELECT utt_id, i::INT AS i, round(x[i + 1], 6) + 0.0 AS x FROM (SELECT *, unnest(range(len(x))) AS i FROM x)"
+
+
 for _name, (_expression, _sql) in VECTOR_QUERIES.items():
     QUERIES[_name], SQL[_name] = vector_query(_expression), vector_sql(_sql)
+    QUERIES[f"{_name}_items"], SQL[f"{_name}_items"] = vector_items_query(_expression), vector_items_sql(_sql)
 
 
 @query(CENT + """, c AS (SELECT a.i AS i, b.i AS j, covar_samp(a.x, b.x) AS c FROM lg a JOIN lg b USING (vec_id) GROUP BY a.i, b.i)

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars
+from ..operators import labels
 from ..operators.manifests import assert_unique, assert_vocab, last_wins, suffixed
 
 #: The types that an RTTM line may have.
@@ -168,6 +170,45 @@ def vector_lines(df: DataFrame, key: str, emb: str) -> DataFrame:
     return df.select(F.replace(F.col(key).cast("string"), F.lit("/"), F.lit("-")).alias("name"), text.alias("value"))
 
 
+def diarization_json(df: DataFrame) -> DataFrame:
+    """(rec, value): one JSON object for each recording: segid -> (start, stop, speaker), from rec, st, ed, speaker.
+
+    Segment ids have times as Python rounds and writes them to three places.
+    """
+    segid = scalars.python_segment_id(F.col("rec"), F.col("st"), F.col("ed"), 3)
+    entry = F.struct(segid.alias("segid"), F.struct(F.col("st").alias("start"), F.col("ed").alias("stop"), "speaker"))
+    return df.groupBy("rec").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("value"))
+
+
+def diarization_objects(spark: SparkSession, path: str) -> DataFrame:
+    """(segid, start, stop, speaker) of files with one such object to a line."""
+    kind = "map<string,struct<start:double,stop:double,speaker:string>>"
+    return spark.read.text(path).select(F.explode(F.from_json("value", kind)).alias("segid", "s")).select("segid", "s.*")
+
+
+def simple_rttm(spark: SparkSession, path: str) -> DataFrame:
+    """(rec, pos, st, ed, speaker): recordings, times and speakers of RTTM lines, speakers numbered as first seen in their recording."""
+    rows = lines(spark, path).select("pos", fields().alias("f")).where(F.size("f") >= 8)
+    st = F.col("f")[3].cast("double")
+    got = rows.select(F.col("f")[1].alias("rec"), "pos", st.alias("st"), (st + F.col("f")[4].cast("double")).alias("ed"), F.col("f")[7].alias("speaker"))
+    return labels.arrange_labels(got, ["rec"], "pos", "speaker")
+
+
+def wav_or_list(spark: SparkSession, path: str) -> DataFrame:
+    """(path): ``path`` itself if it names a WAV file, else the lines of the list that it is."""
+    if path.endswith(".wav"):
+        return spark.createDataFrame([(path,)], "path string")
+    return spark.read.text(path).select(F.trim("value").alias("path")).where("path <> ''")
+
+
+def table_of(spark: SparkSession, *paths: str) -> DataFrame:
+    """CSV (with header) or JSON lines, which must all be of one kind."""
+    kinds = {p.rstrip("/").rpartition(".")[2] for p in paths}
+    if len(kinds) != 1 or not kinds <= {"csv", "json"}:
+        raise ValueError(f"files of one kind, csv or json, are needed, not {sorted(kinds)}")
+    return spark.read.option("header", True).csv(list(paths)) if kinds == {"csv"} else spark.read.json(list(paths))
+
+
 def segments_json(df: DataFrame) -> DataFrame:
     """One JSON object for each recording: segid -> (file, start, stop), from rec, segid, file, start, stop."""
     entry = F.struct("segid", F.struct("file", "start", "stop"))
