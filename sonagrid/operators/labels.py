@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from . import intervals
 
+#: Centroids of one broadcast array, and how many arrays a row may meet.
+CENTROIDS, CENTROID_ARRAYS = 8192, 64
+
 
 def first_seen(df: DataFrame, key: list[str], order: str, label: str, start: int = 0) -> DataFrame:
     """(key..., label, code): dense numbers of labels in the order in which they appear.
@@ -36,7 +39,7 @@ def sorted_labels(df: DataFrame, key: list[str], label: str) -> DataFrame:
 
 def encode_labels(df: DataFrame, label: str, order: str, *, speed: str | None = None) -> DataFrame:
     """``df`` with ``code``; with ``speed``, an index, each speed gets its own range of codes."""
-    out = df.join(F.broadcast(first_seen(df, [], order, label)), label)
+    out = df.join(first_seen(df, [], order, label), label)  # small label tables are broadcast by their size
     if speed is None:
         return out
     n = df.select(label).distinct().agg(F.count(F.lit(1)).alias("_n"))
@@ -46,15 +49,34 @@ def encode_labels(df: DataFrame, label: str, order: str, *, speed: str | None =
 def nearest_centroid(df: DataFrame, centroids: DataFrame, key: list[str], emb: str = "embedding") -> DataFrame:
     """``df`` with the label of the centroid of its key with the largest cosine (ties: smaller label), and that cosine.
 
-    A key's centroids travel as one array, so each row meets them without multiplying.
+    A key's centroids travel as one array, so each row meets them without multiplying. Without a key all centroids are
+    counted and broadcast in arrays of at most ``CENTROIDS``, which a row meets one after another; more than
+    ``CENTROID_ARRAYS`` of them are an error.
     """
-    unit = centroids.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("label", vectors.l2_normalised(F.col("centroid")).alias("c")))).alias("_cs"))
-    joined = df.join(unit, key) if key else df.crossJoin(F.broadcast(unit))
+    item = F.struct("label", vectors.l2_normalised(F.col("centroid")).alias("c"))
+    collected = lambda df: df.agg(F.array_sort(F.collect_list(item)).alias("_cs"))
+    if key:
+        joined = [df.join(collected(centroids.groupBy(*key)), key)]
+    else:
+        count = centroids.count()
+        arrays = max(1, -(-count // CENTROIDS))
+        if arrays > CENTROID_ARRAYS:
+            raise ValueError(f"{count} centroids are too many to meet every row: give a key")
+        part = lambda k: centroids.where(F.pmod(F.xxhash64("label"), F.lit(arrays)) == k) if arrays > 1 else centroids
+        joined = [collected(part(k)) for k in range(arrays)]
     own = vectors.l2_normalised(F.col(emb))
     scores = vectors.let(own, lambda x: F.transform("_cs", lambda c: F.struct(vectors.dot(x, c["c"]).alias("s"), c["label"].alias("label"))))
-    larger = lambda a, b: F.when(b["s"] > a["s"], b).otherwise(a)
+    larger = lambda a, b: F.when(a.isNull() | (b["s"] > a["s"]) | ((b["s"] == a["s"]) & (b["label"] < a["label"])), b).otherwise(a)
     best = vectors.let(scores, lambda s: F.aggregate(F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))), F.get(s, F.lit(0)), larger))
-    return joined.withColumn("_b", best).withColumns({"nearest": F.col("_b.label"), "cosine": F.col("_b.s")}).drop("_cs", "_b")
+    if key:
+        out = joined[0].withColumn("_b", best).drop("_cs")
+    else:
+        out = df
+        for k, unit in enumerate(joined):
+            met = out.crossJoin(F.broadcast(unit)).withColumn("_n", best).drop("_cs")
+            won = F.col("_n") if not k else F.when(F.col("_n").isNull(), F.col("_b")).otherwise(larger(F.col("_b"), F.col("_n")))
+            out = met.withColumn("_b", won).drop("_n")
+    return out.withColumns({"nearest": F.col("_b.label"), "cosine": F.col("_b.s")}).drop("_b")
 
 
 def absorb_minor(df: DataFrame, key: list[str], label: str = "label", emb: str = "embedding", min_size: int = 4) -> DataFrame:

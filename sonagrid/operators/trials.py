@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from ..shared import stored
 
-#: Bins of a score's range over which running sums are first taken.
-BINS = 4096
+
+#: Runs of ranks in which running maxima are taken first.
+RUNS = 4096
 
 
 def score_trials(trials: DataFrame, enrol: DataFrame, test: DataFrame, *, strict: bool = True) -> DataFrame:
@@ -95,24 +97,24 @@ def soft_labels(vecs: DataFrame, temperature: float = 0.1) -> DataFrame:
     return sums.select("utt_id", (F.col("good") / F.col("all")).alias("p"))
 
 
-def running(df: DataFrame, value: str, sums: dict[str, Column], *tie: str, ascending: bool = True, bins: int = BINS) -> DataFrame:
+def running(df: DataFrame, value: str, sums: dict[str, Column], *tie: str, ascending: bool = True, parts: int | None = None) -> DataFrame:
     """``df`` with running sums, in order of ``value`` then ``tie``, and ``rn``, the row's number, without one global sort.
 
-    Rows are dealt into bins of the value's range; sums of whole bins, at most ``bins`` rows, give each bin its offset,
-    and the rest is a window within the bin. Rows in order: ROWS frames.
+    Rows are dealt by ranges of value and tie, which Spark samples, so crowded and equal values are spread as well, and
+    stored, as their sums and the result must see the same ranges. Sums of whole ranges, a row for each, give each range
+    its offset, and the rest is a window within the range. Rows in order: ROWS frames.
     """
-    span = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    at = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (bins - 1))).otherwise(0)
-    rows = df.crossJoin(F.broadcast(span)).withColumn("_bin", at if ascending else -at).drop("_lo", "_hi")
-    totals = rows.groupBy("_bin").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()], F.count(F.lit(1)).alias("_t_rn"))
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(value).asc() if ascending else F.col(value).desc(), *map(F.col, tie)]
+    named = df.withColumns({f"_v_{k}": c for k, c in sums.items()})
+    rows = stored(named.repartitionByRange(n, *order).withColumn("_bin", F.spark_partition_id()), "ranges")
+    totals = rows.groupBy("_bin").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums], F.count(F.lit(1)).alias("_t_rn"))
     ahead = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_bin", *[F.coalesce(F.sum(f"_t_{n}").over(ahead), F.lit(0)).alias(f"_o_{n}") for n in [*sums, "rn"]])
-    order = F.col(value).asc() if ascending else F.col(value).desc()
-    within = Window.partitionBy("_bin").orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = totals.select("_bin", *[F.coalesce(F.sum(f"_t_{k}").over(ahead), F.lit(0)).alias(f"_o_{k}") for k in [*sums, "rn"]])
+    within = Window.partitionBy("_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.join(F.broadcast(offsets), "_bin")
-    for n, c in [*sums.items(), ("rn", F.lit(1))]:
-        rows = rows.withColumn(n, F.col(f"_o_{n}") + F.sum(c).over(within))
-    return rows.drop("_bin", *[f"_o_{n}" for n in [*sums, "rn"]])
+    out = {k: F.col(f"_o_{k}") + F.sum(f"_v_{k}").over(within) for k in sums} | {"rn": F.col("_o_rn") + F.row_number().over(within)}
+    return rows.withColumns(out).drop("_bin", *[f"_v_{k}" for k in sums], *[f"_o_{k}" for k in [*sums, "rn"]])
 
 
 def det_curve(df: DataFrame, score: str = "score", label: str = "label", *tie: str, weight: str | None = None) -> DataFrame:
@@ -189,13 +191,13 @@ def equalised_weights(df: DataFrame, label: str, parts: list[str], max_tar: floa
 def average_precision(df: DataFrame, score: str, label: str, *tie: str) -> DataFrame:
     """(ap): the area under the precision-recall curve whose precision never rises with recall."""
     rows = running(df.select(F.col(score).alias("score"), *tie, F.col(label).cast("long").alias("y")), "score", {"tp": F.col("y")}, *tie, ascending=False)
-    # precision at a hit is the largest from there on: the reverse running maximum is taken over hits, by bins of rn
+    # precision at a hit is the largest from there on: the reverse running maximum is taken over hits, by runs of rn
     hits = rows.where("y = 1").select("rn", "tp", (F.col("tp") / F.col("rn")).alias("p"))
     n = df.agg(F.sum(F.col(label).cast("long")).alias("nt"), F.count(F.lit(1)).alias("rows"))
-    hits = hits.crossJoin(F.broadcast(n)).withColumn("bin", F.floor((F.col("rn") - 1) * BINS / F.col("rows")))
+    hits = hits.crossJoin(F.broadcast(n)).withColumn("bin", F.floor((F.col("rn") - 1) * RUNS / F.col("rows")))
     tops = hits.groupBy("bin").agg(F.max("p").alias("top"))
-    tops = tops.select("bin", F.max("top").over(Window.orderBy("bin").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
-    best = F.greatest(F.max("p").over(Window.partitionBy("bin").orderBy("rn").rowsBetween(0, Window.unboundedFollowing)), F.col("later"))
+    tops = tops.select("bin", F.max("top").over(Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
+    best = F.greatest(F.max("p").over(Window.partitionBy("bin").orderBy(F.desc("rn")).rowsBetween(Window.unboundedPreceding, 0)), F.col("later"))
     return hits.join(F.broadcast(tops), "bin").withColumn("best", best).agg((F.sum("best") / F.max("nt")).alias("ap"))
 
 

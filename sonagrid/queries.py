@@ -8,6 +8,7 @@ Values are rounded to six places, as sums of doubles depend on their order.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -62,8 +63,14 @@ def voices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("utt_id"), vectors.doubles("embedding").alias("embedding"), "label")
 
 
+#: Whether queries over trials take those of ``whole_trial_list``.
+WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
+
+
 def trial_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(enrol, test, label): different pairs of supplier and quantity, both of which are vec_ids; same label: target."""
+    if WHOLE.get():
+        return whole_trial_list(spark, sf_dir)
     pairs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("enrol"), F.col("l_quantity").cast("long").alias("test")).distinct()
     return with_targets(pairs, voices(spark, sf_dir))
 
