@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from . import intervals
+from . import density, intervals
 
 #: Centroids of one broadcast array, and how many arrays a row may meet.
 CENTROIDS, CENTROID_ARRAYS = 8192, 64
@@ -166,7 +166,7 @@ def spectral(x: np.ndarray, *, low: int = 1, high: int = 10, pval: float = 0.02,
     return k_means(vecs[:, :k], k)
 
 
-METHODS: dict[str, Callable[..., np.ndarray]] = {"ahc": ahc, "spectral": spectral}
+METHODS: dict[str, Callable[..., np.ndarray]] = {"ahc": ahc, "spectral": spectral, "density": density.density}
 
 
 def minor_absorbed(label: np.ndarray, x: np.ndarray, least: int) -> np.ndarray:
