@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vectors
 from .intervals import islands, overlap_join, upto
 
 #: Fixed value: the marks that end a sentence.
@@ -192,35 +193,33 @@ def running_depth(df: DataFrame, key: list[str], time: str, step: str) -> DataFr
 CLAUSE_MARKS = r'[,.!?;:"\-—…、，。！？；：“”‘’]'
 
 
-def pieces_of(text: str, words: list[str]) -> list[dict]:
-    """The parts of ``text`` that belong to ``words``, each with the blanks and marks behind it; none if they don't fit."""
-    out, at, sentence = [], 0, 0
-    for word in words:
-        want, begin, got = word.lower(), at, ""
-        while at < len(text) and len(got) < len(want):
-            got += text[at].lower() if text[at] != " " else ""
-            at += 1
-        if got != want or not want:
-            return []
-        while at < len(text) and (text[at] == " " or text[at] in CLAUSE_MARKS):
-            at += 1
-        out.append({"piece": text[begin:at], "sentence": sentence})
-        sentence += text[at - 1] in CLAUSE_MARKS
-    return out
-
-
 def realigned(df: DataFrame, text: str, raw: str, times: str | None = None) -> DataFrame:
     """A row for each word of ``raw`` (blanks between): its ``idx``, ``piece`` of ``text``, ``sentence`` and, of ``times``, its item.
 
-    ``text`` is the same words with capitals and marks. Rows whose words don't fit the text, or whose times aren't as many
-    as their words, give none; so do nulls. A sentence ends with a piece whose last character is a mark.
+    ``text`` is the same words with capitals and marks. Without blanks and marks both must be equal but for capitals; then
+    running sums of word lengths say at which letter a word begins, and a piece goes from there to the next word's first
+    letter. Rows that don't fit, texts that begin with a mark, words of marks only, or times that aren't as many as the
+    words give none; so do nulls. A sentence ends with a piece whose last character is a mark. Column functions do all of
+    it; a row is an utterance, as its words are one array.
     """
-
-    @F.pandas_udf("array<struct<piece string, sentence int>>")
-    def parts(texts: pd.Series, raws: pd.Series) -> pd.Series:
-        return pd.Series([pieces_of(t, r.split()) if t is not None and r is not None else None for t, r in zip(texts, raws, strict=True)])
-
-    rows = df.withColumn("_p", parts(text, raw))
+    mark = lambda c: F.instr(F.lit(CLAUSE_MARKS), c) > 0
+    bare = lambda c: F.translate(F.lower(c), CLAUSE_MARKS + " ", "")
+    t = F.col(text)
+    words = F.filter(F.split(raw, r"\s+"), lambda w: w != "")
+    letters = F.filter(F.transform(F.split(t, ""), lambda c, i: F.when(~mark(c) & (c != " "), i + 1)), lambda i: i.isNotNull())
+    begins = F.aggregate(words, F.array(F.lit(0)), lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(bare(w)))))
+    fits = (bare(t) == bare(F.array_join(words, ""))) & F.forall(words, lambda w: bare(w) != "") & ~mark(F.substring(F.ltrim(t), 1, 1))
+
+    def piece(at: Column, of: Column, i: Column) -> Column:
+        first = F.when(i == 0, 1).otherwise(F.get(at, F.get(of, i)))
+        return F.substring(t, first, F.coalesce(F.get(at, F.get(of, i + 1)), F.length(t) + 1) - first)
+
+    cut = vectors.let(letters, lambda at: vectors.let(begins, lambda of: F.transform(words, lambda w, i: piece(at, of, i))))
+    # a piece with the number of sentences that ended before it
+    ended = lambda acc: F.when(F.size(acc) == 0, 0).otherwise(F.element_at(acc, -1)["sentence"] + mark(F.substring(F.element_at(acc, -1)["piece"], -1, 1)).cast("int"))
+    none = F.array().cast("array<struct<piece:string,sentence:int>>")
+    counted = F.aggregate(cut, none, lambda acc, p: F.concat(acc, F.array(F.struct(p.alias("piece"), ended(acc).cast("int").alias("sentence")))))
+    rows = df.where(fits).withColumn("_p", counted)
     if times:
         rows = rows.where(F.size("_p") == F.size(times)).withColumn("_p", F.zip_with("_p", times, lambda p, t: F.struct(p["piece"].alias("piece"), p["sentence"].alias("sentence"), t.alias("time"))))
     keep = [c for c in df.columns if c not in (text, raw, times)]
