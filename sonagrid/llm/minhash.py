@@ -22,6 +22,8 @@ BANDS, ROWS = 48, 6
 SKETCH, APART = 256, 60
 #: Members up to which an open group is compared by pair.
 DIRECT = 64
+#: Texts that hold more than this part of all rows are common; there are at most so many.
+COMMON = 1024
 CACHE_WORDS = 100_000
 BLOCK = 256
 
@@ -298,6 +300,20 @@ def alike() -> Column:
     return (100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn")) & (apart <= APART)
 
 
+def with_reps(rows: DataFrame, reps: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles and rep, the smallest doc_id of the text, of each of ``n`` rows (with same, the text's digest).
+
+    Texts with more than one in ``COMMON`` of all rows are fewer than that, so their representatives are broadcast, and a
+    text of very many copies isn't joined in one task; others are joined by digest. Rows without shingles have none.
+    """
+    common = F.broadcast(reps.where(F.col("copies") > n / COMMON).select("same", "rep"))
+    kept = ["doc_id", "n_shingles", "rep"]
+    some = rows.where("n_shingles > 0")
+    rest = some.join(common.drop("rep"), "same", "left_anti").join(reps.where(F.col("copies") <= n / COMMON), "same", "left")
+    none = rows.where("n_shingles = 0").withColumn("rep", F.lit(None).cast("long"))
+    return some.join(common, "same").select(*kept).unionByName(rest.select(*kept)).unionByName(none.select(*kept))
+
+
 def near_duplicates(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The class of each document among near duplicates, one row for each row of ``docs``.
 
@@ -313,16 +329,16 @@ def near_duplicates(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS) ->
     bucket's size.
     """
     base = stored(signatures(docs, bands=bands, rows=rows), "signatures")
-    narrow = base.select("doc_id", "n_shingles", "same")
-    reps = narrow.where("n_shingles > 0 and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"))
-    member = stored(narrow.join(reps, "same", "left").select("doc_id", "n_shingles", "rep"), "members")
+    reps = base.where("n_shingles > 0 and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    reps = stored(reps, "texts")
+    member = stored(with_reps(base.select("doc_id", "n_shingles", "same"), reps, base.count()), "members")
     chosen = base.join(reps.select("same", F.col("rep").alias("doc_id")), ["same", "doc_id"], "left_semi")
     rows_of = chosen.select(F.explode("keys").alias("bucket"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
     shared = rows_of.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("members")).where("least < most")
     plain = stored(rows_of.join(shared.select("bucket", "members"), "bucket").distinct(), "shared")
     about = plain.groupBy("id").agg(F.sum("members").alias("score")).join(chosen.select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"]), "id")
     held = stored(plain.join(about, "id").select("bucket", "id", "n", "members", "score", "sketch"), "buckets")
-    forget(plain, base)
+    forget(plain, base, reps)
     pivots = held.groupBy("bucket").agg(top("n", "sketch")).select("bucket", (-F.col("top.minus")).alias("pivot"), F.col("top.n").alias("pn"), F.col("top.sketch").alias("psketch"))
     pairs = held.alias("h").join(pivots.alias("p"), (F.col("h.bucket") == F.col("p.bucket")) & (F.col("id") != F.col("pivot")) & alike())
     pairs = stored(pairs.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct(), "pairs")

@@ -77,3 +77,29 @@ def test_query_counts_neighbours(spark, odd):
     codes = {r["code"] for r in got}
     for r in got:
         assert r["n_near"] == sum(bin((r["code"] ^ c) & (2**64 - 1)).count("1") <= 3 for c in codes if c != r["code"])
+
+
+def test_bounds_are_searched(spark):
+    from pyspark.sql import functions as F
+
+    from sonagrid.llm import simhash
+
+    for bounds in ([5], [1, 2, 3], [-7, 0, 4, 9, 12, 30, 31], list(range(0, 4095, 3))):
+        values = [-(1 << 63), *bounds[:50], *[b + 1 for b in bounds[:50]], bounds[-1], 10**12]
+        got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").select(simhash.bounds_upto(bounds, F.col("v"))).collect()]
+        assert got == [sum(b <= v for b in bounds) for v in values]
+
+
+def test_common_texts_are_broadcast(spark, monkeypatch):
+    from sonagrid.llm import minhash
+
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[:40])) for i in range(100)] + [(i, " ".join(words[i : i + 30])) for i in range(100, 160)] + [(i, " ".join(words[300:340])) for i in range(160, 164)]
+    rows += [(200, None), (201, ""), (202, " "), (None, " ".join(words[:40]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
+    for common in (2, 10**9):
+        monkeypatch.setattr(minhash, "COMMON", common)
+        got = minhash.near_duplicates(docs).collect()
+        assert len(got) == len(rows) and {r["doc_id"]: r["component_id"] for r in got} == want
+    assert want[99] == 0 and want[163] == 160 and want[200] == 200 and want[None] is None
