@@ -178,3 +178,12 @@ def frame_box(box: Column, width: Column, height: Column) -> Column:
     x1, y1, x2, y2 = (F.get(box, F.lit(i)) for i in range(4))
     at = lambda part, size: F.greatest(F.lit(0), F.least(size, F.floor(part * size))).cast("int")
     return F.array(at(x1, width), at(y1, height), at(x2, width), at(y2, height))
+
+
+def paired_lengths(audio: Column, video: Column) -> Column:
+    """How many of so many audio frames (100 a second) and faces (25 a second) go into active-speaker detection.
+
+    As many as the shorter of both lasts, whole faces' worth of audio at most; halves go to the even number.
+    """
+    length = F.least((audio - audio % 4) / 100.0, video / 25.0)
+    return F.struct(F.rint(length * 100).cast("int").alias("audio"), F.rint(length * 25).cast("int").alias("video"))

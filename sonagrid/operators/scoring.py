@@ -70,6 +70,32 @@ def typed_errors(aligned: DataFrame, key: list[str], ref: str, sys: str) -> Data
     return aligned.groupBy(*key).agg(n(r.isNotNull()).alias("ref"), n(r.isNotNull() & s.isNull()).alias("del"), n(s.isNotNull() & r.isNull()).alias("ins"), n(r != s).alias("sub"), n(r == s).alias("correct"))
 
 
+#: Types and subtypes that named conditions leave out, by what they leave them out of (evaluation or scores)
+#: and what is evaluated (metadata or speakers).
+UNANNOTATED = {"NOSCORE": ["<na>"], "SU": ["unannotated"]}
+CONDITIONS: dict[tuple[str, str], dict[str, dict[str, list[str]]]] = {
+    ("evaluation", "metadata"): {"DEFAULT": {"NOSCORE": ["<na>"], "NO_RT_METADATA": ["<na>"]}},
+    ("scores", "metadata"): {
+        "DEFAULT": {**UNANNOTATED, "LEXEME": ["un-lex"]},
+        "MIN": UNANNOTATED,
+        "FRAG_UNLEX": {**UNANNOTATED, "LEXEME": ["frag", "un-lex"]},
+        "FRAG": {**UNANNOTATED, "LEXEME": ["frag"]},
+        "NONE": {},
+    },
+    ("evaluation", "speakers"): {"DEFAULT": {"NOSCORE": ["<na>"]}},
+    ("scores", "speakers"): {"DEFAULT": {"NOSCORE": ["<na>"], "NON-LEX": ["laugh", "breath", "lipsmack", "cough", "sneeze", "other"]}},
+}
+
+
+def condition(left_out_of: str, of: str, name: str | None = None) -> dict[str, list[str]]:
+    """The named condition's subtypes by type, for ``token_kind``; an unknown name is an error that says which there are."""
+    known = CONDITIONS[left_out_of, of]
+    if (name := name or "DEFAULT") not in known:
+        said = "; ".join(f"{n}: {', '.join(f'{t} {s}' for t, ss in sorted(c.items()) for s in ss) or 'nothing'}" for n, c in sorted(known.items()))
+        raise ValueError(f"no condition {name!r} leaves anything out of {left_out_of} of {of}; there are {said}")
+    return known[name]
+
+
 def token_kind(type_: Column, subtype: Column, excluded: dict[str, list[str]]) -> Column:
     """'LEX' for words that count, 'SEG' for speaker turns, 'NSZ' for types and subtypes that aren't scored, else null.
 

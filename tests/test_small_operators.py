@@ -89,3 +89,15 @@ def test_equal_scores_go_by_coordinates(spark):
     for part in (rows, rows[::-1]):
         got = tracks.nms(spark.createDataFrame(part, "k int, box array<double>, s double"), ["k"], "box", "s").orderBy("rank").collect()
         assert [r["box"][0] for r in got] == [0.0, 10.0]
+
+
+def test_named_conditions():
+    assert scoring.condition("scores", "metadata") == {"NOSCORE": ["<na>"], "SU": ["unannotated"], "LEXEME": ["un-lex"]}
+    assert scoring.condition("scores", "metadata", "NONE") == {}
+    with pytest.raises(ValueError, match="DEFAULT: NON-LEX laugh"):
+        scoring.condition("scores", "speakers", "MIN")
+
+
+def test_lengths_fit_each_other(spark):
+    got = [tuple(r[0]) for r in spark.createDataFrame([(103, 25), (103, 30), (7, 9), (400, 99)], "a int, v int").select(scalars.paired_lengths(F.col("a"), F.col("v"))).collect()]
+    assert got == [(100, 25), (100, 25), (4, 1), (396, 99)]
