@@ -181,10 +181,11 @@ def atoms(uem: DataFrame, ref: DataFrame, sys: DataFrame, key: list[str]) -> Dat
     boundaries at which it begins and ends, so nothing is compared with what it doesn't touch.
     """
     marks = [(uem, "u", F.lit("")), (ref, "r", F.col("speaker")), (sys, "s", F.col("speaker"))]
+    ends = F.explode(F.array(F.struct(F.col("st").alias("t"), F.lit(1).alias("step")), F.struct(F.col("ed").alias("t"), F.lit(-1).alias("step"))))
     events = []
     for rows, kind, speaker in marks:
-        for column, step in (("st", 1), ("ed", -1)):
-            events.append(rows.select(*key, F.col(column).alias("t"), F.lit(kind).alias("kind"), speaker.alias("speaker"), F.lit(step).alias("step")))
+        both = rows.select(*key, F.lit(kind).alias("kind"), speaker.alias("speaker"), ends.alias("e"))
+        events.append(both.select(*key, "e.t", "kind", "speaker", "e.step"))
     every = reduce(DataFrame.union, events).groupBy(*key, "t", "kind", "speaker").agg(F.sum("step").alias("step"))
     deep = every.withColumn("depth", F.sum("step").over(upto([*key, "kind", "speaker"], "t")))
     deep = deep.withColumn("until", F.lead("t").over(keyed([*key, "kind", "speaker"]).orderBy("t")))

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_ROOT: list[str] = []
+_WRITTEN: set[str] = set()
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -20,7 +21,9 @@ def shared_path(spark: SparkSession, label: str) -> str:
         if not _OWN_ROOT:
             _OWN_ROOT.append(tempfile.mkdtemp(prefix="sonagrid-"))
         root = f"file://{_OWN_ROOT[0]}"
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
+    return path
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -35,3 +38,13 @@ def written_lines(lines: DataFrame, label: str) -> str:
     path = shared_path(lines.sparkSession, label)
     lines.select("value").write.text(path)
     return path
+
+
+def purge(spark: SparkSession) -> int:
+    """Delete all paths that this process was given so far, and say how many; results that still read them must be written out before."""
+    paths, hadoop = sorted(_WRITTEN), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        target = hadoop(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _WRITTEN.difference_update(paths)
+    return len(paths)

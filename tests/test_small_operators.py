@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sonagrid.functions import draws, scalars
 from sonagrid.operators import manifests, scoring, selection, tracks, trials
+from sonagrid.shared import purge, stored
 from sonagrid.sources import text_tables
 
 
@@ -101,3 +102,10 @@ def test_named_conditions():
 def test_lengths_fit_each_other(spark):
     got = [tuple(r[0]) for r in spark.createDataFrame([(103, 25), (103, 30), (7, 9), (400, 99)], "a int, v int").select(scalars.paired_lengths(F.col("a"), F.col("v"))).collect()]
     assert got == [(100, 25), (100, 25), (4, 1), (396, 99)]
+
+
+def test_what_was_stored_can_be_deleted(spark):
+    kept = stored(spark.range(5), "x")
+    assert kept.count() == 5 and purge(spark) >= 1 and purge(spark) == 0
+    with pytest.raises(Exception, match="(?i)not.*exist|FAILED_READ_FILE|PATH_NOT_FOUND"):
+        spark.read.schema(kept.schema).parquet(*kept.inputFiles()[:1] or ["/nowhere/at/all"]).count()
