@@ -80,10 +80,13 @@ def sliding_chunks(df: DataFrame, dur: float = 1.5, step: float = 0.75) -> DataF
     return rows.withColumns({"ed": F.least(at + dur, F.col("ed")), "st": at})
 
 
+def chunk_count(dur: Column, seg: float) -> Column:
+    return F.greatest(F.lit(1), F.floor(dur / seg)).cast("int")
+
+
 def fixed_chunks(df: DataFrame, dur: str, seg: float = 3.0) -> DataFrame:
     """``df`` with start and stop of whole chunks of ``seg``; a shorter recording gives one, a remainder none."""
-    n = F.greatest(F.lit(1), F.floor(F.col(dur) / seg)).cast("int")
-    rows = df.withColumn("k", F.explode(F.sequence(F.lit(0), n - 1)))
+    rows = df.withColumn("k", F.explode(F.sequence(F.lit(0), chunk_count(F.col(dur), seg) - 1)))
     return rows.withColumns({"start": F.col("k") * seg, "stop": F.least(F.col("k") * seg + seg, F.col(dur))})
 
 

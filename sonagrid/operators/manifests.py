@@ -58,16 +58,20 @@ def joined_strict(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def segment_table(manifest: DataFrame, speakers: DataFrame, seg_dur: float = 3.0, min_spkdur: float = 0.0, *, random_segment: bool = False) -> DataFrame:
     """Training segments (ID, dur, path, start, stop, spk) of manifest (utt_id, path, dur) and speakers (utt_id, spk_id).
 
-    Only speakers with more than ``min_spkdur`` seconds stay; each chunk counts ``seg_dur``, even a shorter one.
+    Only speakers with more than ``min_spkdur`` seconds stay; each chunk counts ``seg_dur``, even a shorter one. With
+    ``random_segment`` each utterance is one row of its whole length, from which training crops.
     """
-    from .intervals import fixed_chunks
+    from .intervals import chunk_count, fixed_chunks
 
     rows = manifest.join(speakers, "utt_id")
+    # a speaker's time is summed over utterances, before they become chunks, and comes back by a join
+    own = F.col("dur") if random_segment else chunk_count(F.col("dur"), seg_dur) * seg_dur
+    long = rows.groupBy("spk_id").agg(F.sum(own).alias("_all")).where(F.col("_all") > min_spkdur).select("spk_id")
+    rows = rows.join(long, "spk_id")
     if random_segment:
-        rows = rows.withColumns({"start": F.lit(0.0), "stop": F.col("dur"), "_d": F.col("dur")})
+        rows = rows.withColumns({"start": F.lit(0.0), "stop": F.col("dur")})
     else:
-        rows = fixed_chunks(rows, "dur", seg_dur).withColumn("_d", F.lit(seg_dur))
-    rows = rows.withColumn("_all", F.sum("_d").over(Window.partitionBy("spk_id"))).where(F.col("_all") > min_spkdur)
+        rows = fixed_chunks(rows, "dur", seg_dur)
     name = F.concat_ws("_", F.col("utt_id").cast("string"), F.format_string("%.1f", "start"), F.format_string("%.1f", "stop"))
     return rows.select(name.alias("ID"), "dur", "path", "start", "stop", F.col("spk_id").alias("spk"))
 

@@ -234,3 +234,13 @@ def gap_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def active_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes active in a frame: the mean of several windows' counts, to the even neighbour."""
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("frame")).agg(F.rint(F.avg(F.col("l_linenumber") % 4)).cast("int").alias("n"))
+
+
+@query("""WITH m AS (SELECT o_orderkey AS u, o_custkey AS s, o_totalprice::DOUBLE / 10000 AS d FROM orders), a AS (SELECT *, sum(d) OVER (PARTITION BY s) AS al FROM m)
+  SELECT u || '_0.0_' || printf('%.1f', d) AS "ID", round(d, 6) AS dur, 'w/' || u AS path, 0.0::DOUBLE AS start, round(d, 6) AS stop, s AS spk FROM a WHERE al > 60""")
+def random_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as utterances, one row each."""
+    o = table(spark, sf_dir, "orders")
+    m = o.select(F.col("o_orderkey").alias("utt_id"), F.concat(F.lit("w/"), F.col("o_orderkey").cast("string")).alias("path"), (F.col("o_totalprice") / 10000).alias("dur"))
+    s = o.select(F.col("o_orderkey").alias("utt_id"), F.col("o_custkey").alias("spk_id"))
+    return rounded(manifests.segment_table(m, s, 3.0, 60.0, random_segment=True), "dur", "stop")
