@@ -50,6 +50,14 @@ def likeness(a: Column, b: Column) -> Column:
     return F.lit(1.0) - F.bit_count(a.bitwiseXOR(b)) / F.lit(float(BITS))
 
 
+def bounds_upto(bounds: list[int], value: Column) -> Column:
+    """How many of the sorted ``bounds`` are at most ``value``: a binary search, by steps that are powers of two."""
+    held = F.array(*[F.lit(b) for b in bounds])
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    further = lambda at, step: F.when(F.coalesce(F.get(held, at + step - 1) <= value, F.lit(False)), at + step).otherwise(at)
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), further)
+
+
 def runs_of(docs: DataFrame, rows: int = RUN_ROWS, most: int = MOST_RUNS) -> DataFrame:
     """doc_id, text, run, ghost: rows dealt into runs of neighbouring doc_ids, so that order needs no single task.
 
@@ -67,7 +75,7 @@ def runs_of(docs: DataFrame, rows: int = RUN_ROWS, most: int = MOST_RUNS) -> Dat
         bounds = sorted(set(got or []))
     run = F.lit(0)
     if bounds:
-        run = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda x: x <= F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))))
+        run = bounds_upto(bounds, F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))))
     flat = flat.withColumn("run", run)
     tops = sorted((r["run"], r["top"]) for r in flat.groupBy("run").agg(F.max("doc_id").alias("top")).collect())
     ghosts = [(top, tops[(k + 1) % len(tops)][0]) for k, (_, top) in enumerate(tops)]
