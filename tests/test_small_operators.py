@@ -1,6 +1,7 @@
 """Shots, typed times, crops, noise, quantiles and numbers against Python."""
 
 import random
+import time
 from statistics import NormalDist
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sonagrid.functions import draws, scalars
-from sonagrid.operators import manifests, scoring, selection, tracks, trials
+from sonagrid.operators import manifests, scoring, selection, tracks, transcripts, trials
 from sonagrid.shared import purge, stored
 from sonagrid.sources import text_tables
 
@@ -109,3 +110,12 @@ def test_what_was_stored_can_be_deleted(spark):
     assert kept.count() == 5 and purge(spark) >= 1 and purge(spark) == 0
     with pytest.raises(Exception, match="(?i)not.*exist|FAILED_READ_FILE|PATH_NOT_FOUND"):
         spark.read.schema(kept.schema).parquet(*kept.inputFiles()[:1] or ["/nowhere/at/all"]).count()
+
+
+def test_bars_of_a_long_text_cost_its_length(spark):
+    text = "aé𝄞 " * 50_000
+    df = spark.createDataFrame([(0, text, None), (1, text, [0, 1] * 3), (2, "ab", [1, 1, 1]), (3, "", [1]), (4, None, [1])], "k int, text string, labels array<int>")
+    began = time.monotonic()
+    got = {r["k"]: r["t"] for r in df.select("k", transcripts.with_bars(F.col("text"), F.col("labels")).alias("t")).collect()}
+    assert time.monotonic() - began < 20
+    assert got == {0: text, 1: "aé|𝄞 |aé|" + text[6:], 2: "a|b|", 3: "", 4: ""}
