@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import python_round
+
 
 def duplicates(df: DataFrame, *key: str) -> DataFrame:
     """(key..., n) of keys that occur more than once."""
@@ -58,6 +60,7 @@ def joined_strict(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def segment_table(manifest: DataFrame, speakers: DataFrame, seg_dur: float = 3.0, min_spkdur: float = 0.0, *, random_segment: bool = False) -> DataFrame:
     """Training segments (ID, dur, path, start, stop, spk) of manifest (utt_id, path, dur) and speakers (utt_id, spk_id).
 
+    Times in IDs have one place, rounded as Python and C round: by the double's exact value, halves to the even neighbour.
     Only speakers with more than ``min_spkdur`` seconds stay; each chunk counts ``seg_dur``, even a shorter one. With
     ``random_segment`` each utterance is one row of its whole length, from which training crops.
     """
@@ -72,7 +75,7 @@ def segment_table(manifest: DataFrame, speakers: DataFrame, seg_dur: float = 3.0
         rows = rows.withColumns({"start": F.lit(0.0), "stop": F.col("dur")})
     else:
         rows = fixed_chunks(rows, "dur", seg_dur)
-    name = F.concat_ws("_", F.col("utt_id").cast("string"), F.format_string("%.1f", "start"), F.format_string("%.1f", "stop"))
+    name = F.concat_ws("_", F.col("utt_id").cast("string"), *[F.format_string("%.1f", python_round(F.col(t), 1)) for t in ("start", "stop")])
     return rows.select(name.alias("ID"), "dur", "path", "start", "stop", F.col("spk_id").alias("spk"))
 
 

@@ -119,3 +119,13 @@ def test_bars_of_a_long_text_cost_its_length(spark):
     got = {r["k"]: r["t"] for r in df.select("k", transcripts.with_bars(F.col("text"), F.col("labels")).alias("t")).collect()}
     assert time.monotonic() - began < 20
     assert got == {0: text, 1: "aé|𝄞 |aé|" + text[6:], 2: "a|b|", 3: "", 4: ""}
+
+
+def test_times_in_segment_names_are_rounded_as_python_rounds(spark):
+    durs = [12.25, 2.25, 0.15, 0.35, 2.85, 29.75, 19.85, 2.95, 0.0, 1.05]
+    m = spark.createDataFrame([(k, f"w/{k}", d) for k, d in enumerate(durs)], "utt_id long, path string, dur double")
+    s = m.select("utt_id", F.lit(1).alias("spk_id"))
+    got = {r["path"]: r["ID"] for r in manifests.segment_table(m, s, random_segment=True).collect()}
+    assert got == {f"w/{k}": f"{k}_0.0_{d:.1f}" for k, d in enumerate(durs)}
+    got = {r["path"]: r["ID"] for r in manifests.segment_table(m, s, 3.0).where("start = 0").collect()}
+    assert got == {f"w/{k}": f"{k}_0.0_{min(d, 3.0):.1f}" for k, d in enumerate(durs)}
