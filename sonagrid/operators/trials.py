@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import vectors
 from ..shared import stored
@@ -18,24 +22,102 @@ from ..shared import stored
 RUNS = 4096
 
 
-def score_trials(trials: DataFrame, enrol: DataFrame, test: DataFrame, *, strict: bool = True) -> DataFrame:
+def score_trials(trials: DataFrame, enrol: DataFrame, test: DataFrame, *, strict: bool = True, carried: tuple[str, ...] = (), rows: int = 1 << 16, pairs: int = 1 << 22, least: int = 4) -> DataFrame:
     """``trials`` (enrol, test, ...) with the cosine score of their vectors; tables have utt_id and embedding.
 
-    An id that a table lacks is an error, unless not ``strict``: then its trials are left out. Norms are taken once a
-    vector, before the joins.
+    An id that a table lacks is an error, unless not ``strict``: then its trials are left out. Columns of the vectors
+    named in ``carried`` come along as name_enrol and name_test. Trials and vectors are dealt to cells of a block of
+    enrol ids and a block of test ids, each of about ``rows`` vectors at most, so a vector travels once for each block
+    of the other side and not once for each trial. There are at least ``least`` blocks on a side, and enough for
+    ``pairs`` trials a cell; a task holds two blocks and lets its trials pass. ``trials`` is read twice, with ``strict``
+    four times.
     """
-    sides = {}
-    for name, vecs in (("enrol", enrol), ("test", test)):
-        sides[name] = vecs.select(F.col("utt_id").alias(name), F.col("embedding").alias(f"_{name}"), vectors.norm(F.col("embedding")).alias(f"_n_{name}"))
     if strict:
-        for name, side in sides.items():
-            lost = trials.join(side, name, "left_anti").select(name).limit(1).collect()
+        for name, vecs in (("enrol", enrol), ("test", test)):
+            lost = trials.join(vecs.select(F.col("utt_id").alias(name)), name, "left_anti").select(name).limit(1).collect()
             if lost:
                 raise KeyError(f"no {name} vector for {lost[0][0]!r}")
-    both = trials.join(sides["enrol"], "enrol").join(sides["test"], "test")
-    size = F.col("_n_enrol") * F.col("_n_test")
-    score = F.when(size == 0, 0.0).otherwise(vectors.dot(F.col("_enrol"), F.col("_test")) / size)
-    return both.withColumn("score", score).drop("_enrol", "_test", "_n_enrol", "_n_test")
+    spread = math.isqrt(max(0, trials.count() - 1) // pairs) + 1
+    n, m = (max(least, spread, -(-vecs.count() // rows)) for vecs in (enrol, test))
+    block = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
+    own = lambda name, vecs: vecs.where(F.col("utt_id").isNotNull()).select(F.col("utt_id").cast(trials.schema[name].dataType).alias(name), F.struct("embedding", *carried).alias("_v"))
+    lanes = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    parts = [
+        own("enrol", enrol).withColumn("_k", lanes(m)).withColumns({"_cell": block("enrol", n) * m + F.col("_k"), "_side": F.lit(0)}).drop("_k"),
+        own("test", test).withColumn("_k", lanes(n)).withColumns({"_cell": F.col("_k") * m + block("test", m), "_side": F.lit(1)}).drop("_k"),
+        trials.where(F.col("enrol").isNotNull() & F.col("test").isNotNull()).withColumns({"_cell": block("enrol", n) * m + block("test", m), "_side": F.lit(2)}),
+    ]
+    dealt = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), reversed(parts)).repartitionById(n * m, "_cell").sortWithinPartitions("_cell", "_side")
+    kinds = [enrol.schema[c] for c in carried], [test.schema[c] for c in carried]
+    fields = [*trials.schema, *[StructField(f"{f.name}_{side}", f.dataType) for side, of in zip(("enrol", "test"), kinds, strict=True) for f in of], StructField("score", DoubleType())]
+    names = trials.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, sides = None, ([], []), None
+        for batch in batches:
+            cell, side = (batch[c].to_numpy() for c in ("_cell", "_side"))
+            cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(side) != 0)) + 1
+            for lo, hi in itertools.pairwise([0, *cuts.tolist(), batch.num_rows]):
+                if lo == hi:
+                    continue
+                if cell[lo] != at:
+                    at, held, sides = cell[lo], ([], []), None
+                piece = batch.slice(lo, hi - lo)
+                if side[lo] < 2:
+                    held[side[lo]].append((piece[("enrol", "test")[side[lo]]], piece["_v"]))
+                elif held[0] and held[1]:
+                    sides = sides or [Side(of) for of in held]
+                    row, left = sides[0].places(piece["enrol"])
+                    more, right = sides[1].places(piece["test"].take(pa.array(row)))
+                    row, left = row[more], left[more]
+                    score = cosines(sides[0], left, sides[1], right)
+                    along = [s.items[c].take(pa.array(i)) for s, i in zip(sides, (left, right), strict=True) for c in carried]
+                    yield pa.RecordBatch.from_arrays([*[piece[c].take(pa.array(row)) for c in names], *along, score], names=[f.name for f in fields])
+
+    return dealt.mapInArrow(run, StructType(fields))
+
+
+class Side:
+    """The vectors of a block: rows of a matrix in doubles, filled up with zeros, with their sizes and norms."""
+
+    def __init__(self, pieces: list[tuple[pa.Array, pa.StructArray]]):
+        self.ids = pd.Index(pa.concat_arrays([ids for ids, _ in pieces]).to_pandas())
+        of = pa.concat_arrays([v for _, v in pieces])
+        self.items = dict(zip(of.type.names, of.flatten(), strict=True))
+        lists = self.items["embedding"]
+        self.size = lists.value_lengths().fill_null(0).to_numpy()
+        row, flat = np.repeat(np.arange(len(lists)), self.size), lists.flatten()
+        x = np.zeros((len(lists), max(1, self.size.max(initial=0))))
+        x[row, np.arange(len(row)) - np.repeat(np.cumsum(self.size) - self.size, self.size)] = flat.cast(pa.float64()).fill_null(0).to_numpy()
+        self.null = lists.is_null().to_numpy(zero_copy_only=False)
+        self.null[row[flat.is_null().to_numpy(zero_copy_only=False)]] = True
+        self.x, self.norm = x, np.sqrt(in_order(x * x))
+
+    def places(self, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(item of ``ids``, row of the matrix) of all matches."""
+        ids = ids.to_pandas()
+        if self.ids.is_unique:
+            at = self.ids.get_indexer(ids)
+            return np.flatnonzero(at >= 0), at[at >= 0]
+        both = pd.DataFrame({"k": ids.to_numpy(), "i": np.arange(len(ids))}).merge(pd.DataFrame({"k": self.ids.to_numpy(), "j": np.arange(len(self.ids))}), on="k")
+        return both["i"].to_numpy(), both["j"].to_numpy()
+
+
+def in_order(x: np.ndarray) -> np.ndarray:
+    """Sums of rows, item after item as ``vectors.total`` adds them."""
+    out = np.zeros(len(x))
+    for c in range(x.shape[1]):
+        out += x[:, c]
+    return out
+
+
+def cosines(a: Side, i: np.ndarray, b: Side, j: np.ndarray) -> pa.Array:
+    """Cosines of rows ``i`` of ``a`` and ``j`` of ``b``: 0 with a zero vector, null with a null or with unlike sizes."""
+    d = min(a.x.shape[1], b.x.shape[1])
+    size = a.norm[i] * b.norm[j]
+    with np.errstate(all="ignore"):
+        score = np.where(size == 0, 0.0, in_order(a.x[i, :d] * b.x[j, :d]) / size)
+    return pa.array(score, pa.float64(), mask=a.null[i] | b.null[j] | ((size != 0) & (a.size[i] != b.size[j])))
 
 
 def in_blocks(vecs: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, rows: int = 16384, least: int = 4) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from sonagrid import queries, scoring_queries
-from sonagrid.functions import draws, scalars
-from sonagrid.operators import labels, scoring, tracks, transcripts
+from sonagrid.functions import draws, scalars, vectors
+from sonagrid.operators import labels, scoring, tracks, transcripts, trials
 
 NAMES = sorted(n for n, f in queries.queries().items() if f.__module__ == scoring_queries.__name__)
 
@@ -170,3 +170,21 @@ def test_word_deltas(spark):
 def test_crop_box(spark):
     got = spark.createDataFrame([([10.0, 20.0, 30.0, 60.0],), (None,)], "b array<double>").select(scalars.crop_box(F.col("b"), 0.5).alias("c")).select("c.*").collect()
     assert tuple(got[0]) == (40, 60, 120, 30, 90) and got[1]["pad"] is None
+
+
+def test_trials_meet_vectors_in_cells(spark):
+    rng = np.random.default_rng(4)
+    vecs = [(i, [float(x) for x in rng.normal(size=6)], i % 3) for i in range(60)] + [(60, [0.0] * 6, 0), (61, None, 1), (62, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (63, [1.0, 2.0], 2), (64, [], 2), (None, [1.0] * 6, 0), (5, [1.0] * 6, 9)]
+    v = spark.createDataFrame(vecs, "utt_id long, embedding array<double>, of int")
+    t = spark.createDataFrame([(i, j, f"{i}-{j}") for i in range(66) for j in range(66)] + [(None, 1, "x"), (1, None, "y")], "enrol long, test long, said string")
+    got = trials.score_trials(t, v, v, strict=False, carried=("of",), rows=20, least=2)
+    x, y = (v.where("utt_id IS NOT NULL").select(F.col("utt_id").alias(n), F.col("embedding").alias(f"x_{n}"), F.col("of").alias(f"of_{n}")) for n in ("enrol", "test"))
+    want = t.join(x, "enrol").join(y, "test").withColumn("score", vectors.cosine(F.col("x_enrol"), F.col("x_test")))
+    columns = ["enrol", "test", "said", "of_enrol", "of_test", "score"]
+    rows = lambda df: sorted([tuple(r) for r in df.select(*columns).collect()], key=str)
+    assert rows(got) == rows(want) and got.columns == columns
+    # a pair costs its own bytes on the way, and not those of two vectors
+    wide = spark.range(300).select(F.col("id").alias("utt_id"), F.array_repeat(F.rand(1), 500).alias("embedding"))
+    each = spark.range(90_000).select(F.floor(F.col("id") / 300).alias("enrol"), (F.col("id") % 300).alias("test"))
+    plan = trials.score_trials(each, wide, wide, strict=False)
+    assert plan.count() == 90_000 and "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
