@@ -14,6 +14,8 @@ from . import density, intervals
 
 #: Centroids of one broadcast array, and how many arrays a row may meet.
 CENTROIDS, CENTROID_ARRAYS = 8192, 64
+#: Vectors of a recording whose similarities are held as a matrix by spectral clustering.
+DENSE = 1024
 
 
 def first_seen(df: DataFrame, key: list[str], order: str, label: str, start: int = 0) -> DataFrame:
@@ -116,19 +118,35 @@ def cosine_matrix(x: np.ndarray) -> np.ndarray:
 
 
 def ahc(x: np.ndarray, threshold: float = 0.4) -> np.ndarray:
-    """Average linkage on cosine; clusters merge while their mean similarity is at least ``threshold``."""
+    """Average linkage on cosine; clusters merge while their mean similarity is at least ``threshold``.
+
+    Each row keeps its largest similarity and the first place that has it; a merge looks again only at rows whose
+    largest one it took away, so the work is about the square of the vectors.
+    """
     n = len(x)
     sim = cosine_matrix(x)
     np.fill_diagonal(sim, -np.inf)
     size, label = np.ones(n), np.arange(n)
+    at = sim.argmax(axis=1)
+    top = sim[np.arange(n), at]
     while n > 1:
-        i, j = sorted(np.unravel_index(sim.argmax(), sim.shape))
-        if sim[i, j] < threshold:
+        i = int(top.argmax())
+        j = int(at[i])
+        if i == j or top[i] < threshold:
             break
+        i, j = min(i, j), max(i, j)
         row = (sim[i] * size[i] + sim[j] * size[j]) / (size[i] + size[j])
+        row[[i, j]] = -np.inf
         sim[i], sim[:, i] = row, row
-        sim[i, i] = -np.inf
         sim[j], sim[:, j] = -np.inf, -np.inf
+        top[j], at[j] = -np.inf, j
+        again = np.flatnonzero((at == i) | (at == j))
+        again = np.append(again[(again != i) & (again != j)], i)
+        better = (row > top) | ((row == top) & (i < at) & (row > -np.inf))
+        better[again] = False
+        top[better], at[better] = row[better], i
+        at[again] = sim[again].argmax(axis=1)
+        top[again] = sim[again, at[again]]
         size[i] += size[j]
         label[label == j] = i
         n -= 1
@@ -153,8 +171,16 @@ def k_means(x: np.ndarray, k: int, seed: int = 0, rounds: int = 100) -> np.ndarr
 
 
 def spectral(x: np.ndarray, *, low: int = 1, high: int = 10, pval: float = 0.02, least: int = 6, oracle: int | None = None) -> np.ndarray:
-    """Pruned, symmetric cosine graph; its Laplacian's eigengap gives the number of clusters, k-means the labels."""
+    """Pruned, symmetric cosine graph; its Laplacian's eigengap gives the number of clusters, k-means the labels.
+
+    More than ``DENSE`` vectors don't get a matrix: their kept similarities are taken by slabs of rows, and the lowest
+    eigenvectors by iteration.
+    """
     n = len(x)
+    if n > DENSE:
+        from . import graphs
+
+        return graphs.spectral_sparse(*graphs.kept_edges(x, pval, least), n, low=low, high=high, oracle=oracle)
     a = cosine_matrix(x)
     drop = min(int((1 - pval) * n), n - least)
     if drop > 0:

@@ -1,5 +1,8 @@
 """Spectral clustering of sparse graphs against the dense form."""
 
+import time
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -70,3 +73,45 @@ def test_separate_parts_and_no_edges():
     assert np.allclose(values, [0, 0, 0, 2]) and np.allclose(vecs.T @ vecs, np.eye(4))
     assert partition(graphs.spectral_sparse(i, np.array([1, 0, 3, 2, 5, 4]), np.ones(6), 6, oracle=3)) == [0, 0, 1, 1, 2, 2]
     assert graphs.lowest(*graphs.laplacian(i, i, np.ones(6), 6), 6, 2)[0].tolist() == [0, 0]
+
+
+def grouped_vectors(n, parts=3, size=16, noise=0.12, seed=5):
+    rng = np.random.default_rng(seed)
+    of = rng.integers(0, parts, n)
+    return rng.normal(size=(parts, size))[of] + noise * rng.normal(size=(n, size)), of
+
+
+def test_average_linkage_is_as_restated_and_about_square():
+    rng = np.random.default_rng(1)
+    for n in (2, 3, 40, 150):
+        x = rng.normal(size=(n, 4)).round(0 if n == 40 else 6)  # ties among rounded ones
+        u = x / np.where((s := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1, s)
+        sim, size, label = u @ u.T, np.ones(n), np.arange(n)
+        np.fill_diagonal(sim, -np.inf)
+        while True:
+            i, j = sorted(np.unravel_index(sim.argmax(), sim.shape))
+            if sim[i, j] < 0.4:
+                break
+            row = (sim[i] * size[i] + sim[j] * size[j]) / (size[i] + size[j])
+            sim[i], sim[:, i] = row, row
+            sim[i, i], sim[j], sim[:, j] = -np.inf, -np.inf, -np.inf
+            size[i] += size[j]
+            label[label == j] = i
+        assert (labels.ahc(x) == np.unique(label, return_inverse=True)[1]).all()
+    x, of = grouped_vectors(4000)
+    began = time.monotonic()
+    got = labels.ahc(x)
+    assert time.monotonic() - began < 15 and partition(got) == partition(of)
+
+
+def test_long_recordings_are_clustered_without_a_matrix():
+    x, of = grouped_vectors(1600)
+    tracemalloc.start()
+    got = labels.spectral(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert partition(got) == partition(of) and peak < 2.5 * 1600 * 1600 * 8  # a matrix, its places and its eigenvectors are over 3
+    i, j, w = graphs.kept_edges(x, 0.02, 6, size=100)
+    sims = labels.cosine_matrix(x)
+    best = np.argsort(sims, axis=1, kind="stable")[:, -32:]
+    assert (j.reshape(1600, 32) == best).all() and np.allclose(w.reshape(1600, 32), np.take_along_axis(sims, best, 1)) and (i == np.repeat(np.arange(1600), 32)).all()
