@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..shared import stored
 from . import intervals
@@ -50,22 +53,44 @@ def hungarian(gain: np.ndarray) -> list[tuple[int, int]]:
 def best_mapping(pairs: DataFrame, key: list[str], weight: str = "ov") -> DataFrame:
     """(key..., ref, sys, weight): one-to-one pairs with the largest total weight among rows of (key..., ref, sys, weight).
 
-    A key's speakers are few, whatever its length, so its matrix fits a task.
+    A key's speakers are few, whatever its length, so its rows are one array; keys are many, and pass a task in batches.
     """
-    kinds = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in key)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        (r, refs), (c, others) = (pd.factorize(group[x], sort=True) for x in ("ref", "sys"))
-        some = (r >= 0) & (c >= 0)
-        gain = np.zeros((len(refs), len(others)))
-        np.add.at(gain, (r[some], c[some]), group[weight].to_numpy(float)[some])
-        hits = hungarian(gain)
-        out = pd.DataFrame({"ref": [refs[a] for a, _ in hits], "sys": [others[b] for _, b in hits], weight: [gain[a, b] for a, b in hits]})
-        for k in key:
-            out[k] = group[k].iloc[0]
-        return out[[*key, "ref", "sys", weight]]
-
-    return pairs.groupBy(*key).applyInPandas(run, f"{kinds}, ref string, sys string, {weight} double")
+    grouped = pairs.groupBy(*key).agg(F.collect_list(F.struct(F.col("ref").cast("string").alias("ref"), F.col("sys").cast("string").alias("sys"), F.col(weight).cast("double").alias("w"))).alias("_pairs"))
+    mapped = StructType([StructField("ref", StringType()), StructField("sys", StringType()), StructField(weight, DoubleType())])
+    schema = StructType([*[grouped.schema[k] for k in key], *mapped])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["_pairs"]
+            ends, (refs, others, gains) = lists.offsets.to_numpy(), (c.to_pylist() for c in lists.values.flatten())
+            at, out = [], ([], [], [])
+            for k in range(len(lists)):
+                rows = range(ends[k], ends[k + 1])
+                for pair in mapping((refs[r], others[r], gains[r]) for r in rows):
+                    at.append(k)
+                    for column, item in zip(out, pair, strict=True):
+                        column.append(item)
+            kept = [batch[k].take(pa.array(at, pa.int64())) for k in key]
+            kinds = (pa.string(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, t) for c, t in zip(out, kinds, strict=True)]], names=schema.names)
+
+    return grouped.mapInArrow(run, schema)
+
+
+def mapping(rows: Iterable[tuple[str | None, str | None, float | None]]) -> list[tuple[str, str, float]]:
+    """Pairs (ref, sys, sum of weights) of the best assignment; where one side has one speaker it is looked up."""
+    total: dict[tuple[str, str], float] = {}
+    for ref, sys, w in rows:
+        if ref is not None and sys is not None:
+            total[ref, sys] = total.get((ref, sys), 0.0) + w
+    refs, others = (sorted({p[side] for p in total}) for side in (0, 1))
+    if min(len(refs), len(others)) <= 1:
+        best = min(total, key=lambda p: (-total[p], p), default=None)
+        return [(*best, total[best])] if best and total[best] > 0 else []
+    gain = np.zeros((len(refs), len(others)))
+    for (ref, sys), w in total.items():
+        gain[refs.index(ref), others.index(sys)] = w
+    return [(refs[a], others[b], float(gain[a, b])) for a, b in hungarian(gain)]
 
 
 def co_occurrence(pieces: DataFrame, key: list[str]) -> DataFrame:

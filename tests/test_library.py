@@ -246,3 +246,20 @@ def test_queries_equal_sql(spark, name):
     flat = lambda v: float(v) if type(v).__name__ == "Decimal" else v
     want = sorted(repr(tuple(flat(v) for v in r)) for r in got.fetchall())
     assert sorted(repr(tuple(r)) for r in df.select(*names).collect()) == want
+
+
+def test_mapping_of_many_keys_passes_in_batches(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, f"r{a}", f"s{b}", float(w)) for k in range(3000) for a in range(1 + k % 3) for b in range(1 + k % 4) for w in rng.integers(0, 4, 1 + (a + b) % 2)] + [(7, None, "s0", 9.0), (3001, "r0", None, 1.0)]
+    pairs = spark.createDataFrame(rows, "k int, ref string, sys string, ov double")
+    mapped = der.best_mapping(pairs, ["k"])
+    plan = mapped._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan  # no Python call with frames for each key
+    got = {}
+    for r in mapped.collect():
+        got.setdefault(r["k"], {})[r["ref"]] = (r["sys"], r["ov"])
+    for k in range(3000):
+        gain = np.zeros((1 + k % 3, 1 + k % 4))
+        for _, a, b, w in (r for r in rows if r[0] == k and r[1]):
+            gain[int(a[1:]), int(b[1:])] += w
+        assert got.get(k, {}) == {f"r{a}": (f"s{b}", gain[a, b]) for a, b in der.hungarian(gain)}
