@@ -115,3 +115,13 @@ def test_long_recordings_are_clustered_without_a_matrix():
     sims = labels.cosine_matrix(x)
     best = np.argsort(sims, axis=1, kind="stable")[:, -32:]
     assert (j.reshape(1600, 32) == best).all() and np.allclose(w.reshape(1600, 32), np.take_along_axis(sims, best, 1)) and (i == np.repeat(np.arange(1600), 32)).all()
+
+
+def test_a_block_is_sent_alone_and_not_as_a_pair(spark):
+    x = np.random.default_rng(3).normal(size=(90, 4))
+    df = spark.createDataFrame([(0, k, [float(v) for v in row]) for k, row in enumerate(x)], "rec int, utt int, embedding array<double>")
+    graph = graphs.pruned_graph(df, ["rec"], "utt", "embedding", pval=0.2, size=16)
+    assert "Join" not in graph._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r["i"], r["j"]) for r in graphs.edges(graph, ["rec"]).collect())
+    i, j, _ = graphs.kept_edges(x, 0.2, 6)
+    assert got == sorted(zip(i.tolist(), j.tolist(), strict=True))
