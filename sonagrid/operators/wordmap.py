@@ -17,17 +17,20 @@ def hyphen_parts(word: Column) -> Column:
 def rule_hits(words: DataFrame, rules: DataFrame, key: list[str], idx: str = "idx") -> DataFrame:
     """(key..., idx, length, parts, alternatives): where rules (source, parts, alternatives) apply in words (key..., idx, word).
 
-    At a place the longest rule applies; of those that overlap, what begins first, then what begins after its end. Rules
-    meet words by their first word; the words that follow come from a window as long as the longest rule. Only runs of
-    overlapping hits are folded one after another. Without rules there are no hits.
+    At a place the longest rule applies; of those that overlap, what begins first, then what begins after its end. The
+    words from each place on, once for each length that a rule has, meet rules by their whole source, so the work grows
+    with words and lengths and not with the rules that begin alike. Only runs of overlapping hits are folded one after
+    another. Without rules there are no hits.
     """
     by = Window.partitionBy(*key).orderBy(idx)
-    longest = rules.agg(F.max(F.size("source"))).first()[0] or 1
-    ahead = words.select(*key, idx, "word", F.collect_list("word").over(by.rowsBetween(0, longest - 1)).alias("_ahead"))
-    first = rules.groupBy(F.col("source")[0].alias("word")).agg(F.collect_list(F.struct(F.size("source").alias("length"), "source", "parts", "alternatives")).alias("_rules"))
-    fits = F.filter("_rules", lambda r: F.slice("_ahead", F.lit(1), r["length"]) == r["source"])
-    best = F.array_max(F.transform(fits, lambda r: F.struct(r["length"], r["parts"], r["alternatives"])))
-    hits = ahead.join(first, "word").withColumn("_hit", best).where("_hit IS NOT NULL").select(*key, F.struct(F.col(idx).alias("at"), "_hit.*").alias("h"))
+    lengths = sorted(r[0] for r in rules.select(F.size("source")).where("size(source) > 0").distinct().collect()) or [1]
+    ahead = words.select(*key, F.col(idx).alias("at"), "word", F.collect_list("word").over(by.rowsBetween(0, lengths[-1] - 1)).alias("_ahead")).where("word IS NOT NULL")
+    some = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.size("_ahead"))
+    said = ahead.withColumn("length", F.explode(some)).select(*key, "at", "length", F.slice("_ahead", F.lit(1), F.col("length")).alias("source"))
+    of = rules.groupBy("source").agg(F.max(F.struct("parts", "alternatives")).alias("r"))
+    found = said.join(of, "source").select(*key, F.struct("at", "length", "r.parts", "r.alternatives").alias("h"))
+    longest = F.lag("h.at").over(Window.partitionBy(*key).orderBy("h.at", F.desc("h.length")))
+    hits = found.withColumn("_before", longest).where("_before IS NULL OR _before < h.at").drop("_before")
     order = Window.partitionBy(*key).orderBy("h.at")
     reach = F.max(F.col("h.at") + F.col("h.length")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     begins = hits.withColumn("_new", (reach.isNull() | (reach <= F.col("h.at"))).cast("int"))
