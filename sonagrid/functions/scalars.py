@@ -96,6 +96,14 @@ def python_round(x: Column, digits: int = 2) -> Column:
     return scaled_round(x, F.lit(float(10**digits))) / float(10**digits)
 
 
+def sql_round(x: Column, digits: int) -> Column:
+    """``x`` to ``digits`` places as databases in C++ do it: the product with 10^digits, as a double, goes to the nearest whole number.
+
+    Spark's own round goes by the shortest decimals of ``x``, which are another value next to a half.
+    """
+    return F.round(x * float(10**digits)) / float(10**digits)
+
+
 def scaled_round(x: Column, m: Column) -> Column:
     """``x`` times ``m``, a whole number below 2^53, rounded to a whole number: exact halves go to the even neighbour."""
     split = float(2**27 + 1)

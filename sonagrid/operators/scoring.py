@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from . import intervals, regions
 
 MISS, FALSE_ALARM = "MISS", "FALSE ALARM"
@@ -20,7 +21,7 @@ def mapped_pairs(pairs: DataFrame, mapping: DataFrame, key: list[str]) -> DataFr
 def map_lines(rows: DataFrame, file: str, channel: Column) -> DataFrame:
     """Lines 'File,Channel,RefSpeaker,SysSpeaker,isMapped,timeOverlap' (value) of ``mapped_pairs``; the time has four places."""
     said = F.when(F.col("mapped"), "mapped").otherwise("notmapped")
-    return rows.select(F.concat_ws(",", F.col(file).cast("string"), channel, "ref", "sys", said, F.format_string("%.4f", F.round("ov", 4))).alias("value"))
+    return rows.select(F.concat_ws(",", F.col(file).cast("string"), channel, "ref", "sys", said, F.format_string("%.4f", scalars.sql_round(F.col("ov"), 4))).alias("value"))
 
 
 def speaker_types(ref: DataFrame, sys: DataFrame, mapping: DataFrame, key: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 import test_library as library
@@ -97,6 +98,15 @@ def test_speaker_reports(spark):
     assert lines == ["1,1,a,x,mapped,1.2500", "1,1,b,x,notmapped,2.0000"]
 
 
+def test_lines_round_next_to_halves_as_sql(spark):
+    """Sums of time whose shortest decimals and whose product with 10,000 lie on different sides of a half."""
+    times = [3614.6012499999997, 3654.6012499999997, 4272.64705, 4232.64705, 0.00005, 12.34565, 7.0]
+    pairs = spark.createDataFrame([(i, "a", "b", t) for i, t in enumerate(times)], "rec int, ref string, sys string, ov double")
+    lines = scoring.map_lines(scoring.mapped_pairs(pairs, pairs, ["rec"]), "rec", F.lit("1")).collect()
+    want = duckdb.execute("SELECT printf('%.4f', round(unnest(?::DOUBLE[]), 4))", [times]).fetchall()
+    assert [r[0].split(",")[-1] for r in sorted(lines, key=lambda r: int(r[0].split(",")[0]))] == [w[0] for w in want]
+
+
 def test_draws(spark):
     df = spark.createDataFrame([(i, [float(x) for x in range(n)]) for i, n in enumerate([0, 3, 8, 50])] + [(9, None)], "k int, w array<double>")
     got = {r["k"]: r["c"] for r in df.select("k", draws.crop(F.col("w"), 8, draws.draw("s", F.col("k"))).alias("c")).collect()}
