@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from .operators import alignment, performance
 from .queries import SEG, halves, query, table
+from .shared import dealt
 
+#: Characters of conversations in a partition: some 500,000 words.
+TEXT_A_TASK = 3_000_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rec, role, idx, word, at): the words of each conversation, four a second, with a pause after every eighth."""
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("rec"), "role", "turn", F.posexplode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("pos", "word"))
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("rec"), "role", "turn", "text")
+    c = dealt(t, ["rec"], F.length("text"), TEXT_A_TASK).select("rec", "role", "turn", F.posexplode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("pos", "word"))
     w = alignment.placed(c, ["rec"], ["turn", "pos"], "idx")
     return w.select("rec", "role", "idx", "word", (F.col("idx") * 0.25 + F.floor(F.col("idx") / 8) * 0.5).alias("at"))
 

@@ -253,11 +253,11 @@ def word_spans(events: DataFrame, words: DataFrame, key: list[str]) -> DataFrame
     """
     rows = events.withColumn("_e", F.monotonically_increasing_id())
     e = rows.select(*key, F.struct(*events.columns).alias("_x"), F.explode(F.array(F.struct(F.col("st").alias("t"), F.lit(0).alias("phase")), F.struct(F.col("ed").alias("t"), F.lit(2).alias("phase")))).alias("_b"), "_e")
-    e = e.select(*key, "_x", "_e", "_b.t", "_b.phase")
+    e = e.select(*key, F.when(F.col("_b.phase") == 0, F.col("_x")).alias("_x"), "_e", "_b.t", "_b.phase")  # an event passes the sort once, its end without it
     w = words.select(*key, F.col("mid").alias("t"), F.lit(1).alias("phase"))
     seen = F.count_if(F.col("phase") == 1).over(Window.partitionBy(*key).orderBy("t", "phase").rowsBetween(Window.unboundedPreceding, 0))
     counted = e.unionByName(w, allowMissingColumns=True).withColumn("_n", seen).where("phase <> 1")
-    return counted.groupBy(*key, "_e").agg(F.any_value("_x").alias("_x"), F.min("_n").alias("w0"), (F.max("_n") - 1).alias("w1")).select("_x.*", "w0", "w1")
+    return counted.groupBy(*key, "_e").agg(F.any_value("_x", True).alias("_x"), F.min("_n").alias("w0"), (F.max("_n") - 1).alias("w1")).select("_x.*", "w0", "w1")
 
 
 def tagged_words(words: DataFrame, events: DataFrame, key: list[str]) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_ROOT: list[str] = []
 _WRITTEN: set[str] = set()
@@ -40,6 +42,16 @@ def written_lines(lines: DataFrame, label: str) -> str:
     return path
 
 
+def dealt(df: DataFrame, key: list[str], weight: Column, most: int) -> DataFrame:
+    """``df`` by ``key`` in partitions that hold about ``most`` of the sum of ``weight``, which is taken first.
+
+    Spark puts partitions together by their compressed bytes. Where rows become many behind the shuffle, as words of a
+    text do, that makes tasks whose memory grows with the table; partitions of a given number stay as they are.
+    """
+    total = df.agg(F.sum(weight)).first()[0] or 0
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(total / most)), *key)
+
+
 def purge(spark: SparkSession) -> int:
     """Delete all paths that this process was given so far, and say how many; results that still read them must be written out before."""
     paths, hadoop = sorted(_WRITTEN), spark.sparkContext._jvm.org.apache.hadoop.fs.Path

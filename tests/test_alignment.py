@@ -3,8 +3,10 @@
 import random
 
 import pytest
+import test_library as library
 from pyspark.sql import functions as F
 
+from sonagrid import alignment_queries
 from sonagrid.operators import alignment, performance
 
 WORD = "rec int, seq int, speaker string, word string, kind string, st double, ed double"
@@ -113,6 +115,18 @@ def test_spans_hold_ends_and_may_be_empty(spark):
     assert got == {1: (1, 2), 2: (3, 2), 3: (0, -1), 4: (0, 3), 5: (3, 3), 6: (0, -1)}
 
 
+def test_no_task_holds_more_words_for_a_larger_table(spark, monkeypatch):
+    """Words stand in as many partitions as their text asks for, however well they compress, and tags are as in one."""
+    text = spark.read.parquet(f"{library.SF}/conversations.parquet").select("conv_id", F.length("text").alias("n"))
+    total, longest = text.agg(F.sum("n")).first()[0], text.groupBy("conv_id").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
+    want = sorted(map(repr, alignment_queries.words_tagged(spark, library.SF).collect()))
+    monkeypatch.setattr(alignment_queries, "TEXT_A_TASK", 2000)
+    words = alignment_queries.reference_words(spark, library.SF)
+    held = [r["n"] for r in words.groupBy(F.spark_partition_id()).agg(F.sum(F.length("word") + 1).alias("n")).collect()]
+    assert len(held) > total / 2000 / 2 and max(held) < 4 * 2000 + 2 * longest
+    assert sorted(map(repr, alignment_queries.words_tagged(spark, library.SF).collect())) == want
+
+
 def test_nested_and_crossing_tags(spark):
     words = spark.createDataFrame([(1, i, i + 0.5) for i in range(6)], "rec int, idx long, mid double")
     events = [(1, 0, "EDIT", "outer", 0.0, 6.0), (1, 1, "EDIT", "inner", 3.0, 5.0), (1, 2, "EDIT", "crossing", 4.0, 7.0), (1, 3, "FILLER", "f", 1.0, 2.0), (1, 4, "SU", "s", 0.0, 2.9), (1, 5, "IP", "early", 0.2, 0.2), (1, 6, "CB", "none", 0.0, 6.0)]
