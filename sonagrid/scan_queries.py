@@ -18,10 +18,15 @@ def one_file(lines: DataFrame, order: str, label: str) -> str:
     return written_lines(lines.repartitionByRange(1, order).sortWithinPartitions(order), label)
 
 
+def in_parts(lines: DataFrame, order: str, label: str) -> str:
+    """The path of ``lines`` (value, order) in order as parts of one text, by name, so that none is written by one task."""
+    return written_lines(lines.repartitionByRange(order).sortWithinPartitions(order), label)
+
+
 @query("SELECT (row_number() OVER (ORDER BY p_partkey) - 1)::INT AS pos, p_name AS value FROM part")
 def line_list_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("value"))
-    return tt.lines(spark, one_file(p, "p_partkey", "list")).select("pos", "value")
+    return tt.lines(spark, in_parts(p, "p_partkey", "list"), joined=True).select("pos", "value")
 
 
 @query(SEG + "SELECT rec::VARCHAR AS name, round(st::DECIMAL(18, 6), 3)::DOUBLE AS tbeg, label AS spkr FROM seg")
@@ -38,7 +43,7 @@ def simple_rttm_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = segments(spark, sf_dir)
     order = s.select((F.col("rec") * 1_000_000 + F.col("seq")).alias("o"), "rec", "st", "ed", "label")
     said = order.select("o", F.format_string("SPEAKER %s 0 %.3f %.3f <NA> <NA> %s <NA> <NA>", F.col("rec").cast("string"), "st", F.col("ed") - F.col("st"), "label").alias("value"))
-    return tt.simple_rttm(spark, one_file(said, "o", "simple")).select("rec", "st", F.col("speaker").cast("int").alias("speaker"))
+    return tt.simple_rttm(spark, in_parts(said, "o", "simple"), joined=True).select("rec", "st", F.col("speaker").cast("int").alias("speaker"))
 
 
 def little(value: Column, size: int) -> Column:

@@ -15,10 +15,17 @@ from ..operators.manifests import assert_unique, assert_vocab, last_wins, suffix
 RTTM_TYPES = ["SEGMENT", "NOSCORE", "NO_RT_METADATA", "LEXEME", "NON-LEX", "NON-SPEECH", "FILLER", "EDIT", "SU", "IP", "CB", "A/P", "SPEAKER", "SPKR-INFO"]
 
 
-def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, pos, value): lines with their order in a file. Text files are read in splits; positions join both."""
+def lines(spark: SparkSession, path: str | list[str], *, joined: bool = False) -> DataFrame:
+    """(file, pos, value): lines with their order in a file, or with ``joined`` in all files, one after another by name.
+
+    Text files are read in splits. A split's first position is the number of lines in those before it, counted first; so
+    no file passes a task whole.
+    """
     rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"), "value")
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("file").orderBy("_b", "_i")) - 1).drop("_b", "_i")
+    splits = rows.groupBy("file", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
+    before = (Window.orderBy("file", "_b") if joined else Window.partitionBy("file").orderBy("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("file", "_b", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_start"))
+    return rows.join(F.broadcast(starts), ["file", "_b"]).select("file", (F.col("_start") + F.col("_i")).cast("int").alias("pos"), "value")
 
 
 def fields(value: str = "value") -> F.Column:
@@ -186,9 +193,12 @@ def diarization_objects(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.explode(F.from_json("value", kind)).alias("segid", "s")).select("segid", "s.*")
 
 
-def simple_rttm(spark: SparkSession, path: str) -> DataFrame:
-    """(rec, pos, st, ed, speaker): recordings, times and speakers of RTTM lines, speakers numbered as first seen in their recording."""
-    rows = lines(spark, path).select("pos", fields().alias("f")).where(F.size("f") >= 8)
+def simple_rttm(spark: SparkSession, path: str, *, joined: bool = False) -> DataFrame:
+    """(rec, pos, st, ed, speaker): recordings, times and speakers of RTTM lines, speakers numbered as first seen in their recording.
+
+    With ``joined`` the files at ``path`` are parts of one.
+    """
+    rows = lines(spark, path, joined=joined).select("pos", fields().alias("f")).where(F.size("f") >= 8)
     st = F.col("f")[3].cast("double")
     got = rows.select(F.col("f")[1].alias("rec"), "pos", st.alias("st"), (st + F.col("f")[4].cast("double")).alias("ed"), F.col("f")[7].alias("speaker"))
     return labels.arrange_labels(got, ["rec"], "pos", "speaker")
