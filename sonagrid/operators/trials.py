@@ -48,6 +48,9 @@ def score_trials(trials: DataFrame, enrol: DataFrame, test: DataFrame, *, strict
         trials.where(F.col("enrol").isNotNull() & F.col("test").isNotNull()).withColumns({"_cell": block("enrol", n) * m + block("test", m), "_side": F.lit(2)}),
     ]
     dealt = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), reversed(parts)).repartitionById(n * m, "_cell").sortWithinPartitions("_cell", "_side")
+    # a batch's size is asked row by row, and Arrow then goes over all null lists since the last vector; an empty list ends that
+    blank = F.struct(F.array().cast(dealt.schema["_v"].dataType["embedding"].dataType).alias("embedding"), *[F.lit(None).cast(dealt.schema["_v"].dataType[c].dataType).alias(c) for c in carried])
+    dealt = dealt.withColumn("_v", F.coalesce("_v", blank))
     kinds = [enrol.schema[c] for c in carried], [test.schema[c] for c in carried]
     fields = [*trials.schema, *[StructField(f"{f.name}_{side}", f.dataType) for side, of in zip(("enrol", "test"), kinds, strict=True) for f in of], StructField("score", DoubleType())]
     names = trials.columns

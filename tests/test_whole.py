@@ -1,5 +1,7 @@
 """Queries that do the whole job where an older one, whose SQL stays as it is, takes a part."""
 
+import time
+
 import duckdb
 import numpy as np
 import pytest
@@ -66,3 +68,22 @@ def test_frames_at_the_threshold_stay(spark, tmp_path):
     want = sorted(con.execute(__spark_entry__.oracle_sql()["frames_to_segments_whole"]).fetchall())
     of = lambda name: sorted(tuple(r) for r in __spark_entry__.queries()[name](spark, str(tmp_path)).select("rec", "st", "ed").collect())
     assert of("frames_to_segments_whole") == want and of("frames_to_segments") != want
+
+
+def test_large_batches_of_trials_cost_their_rows(spark):
+    """A batch of 100,000 trials: sent with null lists, each row made Arrow go over all before it (about half a minute)."""
+    vecs = spark.range(400).select(F.col("id").alias("utt_id"), F.array(F.col("id") * 1.0, F.lit(1.0)).alias("embedding"))
+    pairs = spark.range(100_000).select((F.col("id") % 400).alias("enrol"), F.floor(F.col("id") / 400).alias("test"))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    trials.score_trials(pairs.limit(10), vecs, vecs, strict=False, least=1).collect()  # starts the workers
+    spark.conf.set(key, "100000")
+    try:
+        began = time.perf_counter()
+        n, s = trials.score_trials(pairs, vecs, vecs, strict=False, least=1).agg(F.count("score"), F.sum("score")).first()
+        took = time.perf_counter() - began
+    finally:
+        spark.conf.set(key, old)
+    x = np.stack([np.arange(400.0), np.ones(400)], axis=1)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert n == 100_000 and s == pytest.approx((u @ u[:250].T).sum(), rel=1e-9) and took < 12
