@@ -20,6 +20,8 @@ from ..shared import stored
 
 #: Runs of ranks in which running maxima are taken first.
 RUNS = 4096
+#: Rows up to which a table of a few sums may be broadcast; with more, the same join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
 def score_trials(trials: DataFrame, enrol: DataFrame, test: DataFrame, *, strict: bool = True, carried: tuple[str, ...] = (), rows: int = 1 << 16, pairs: int = 1 << 22, least: int = 4) -> DataFrame:
@@ -273,6 +275,30 @@ def equalised_weights(df: DataFrame, label: str, parts: list[str], max_tar: floa
     return df.join(n, [*parts, label]).withColumn("weight", F.when(F.col(label) == 1, max_tar).otherwise(max_imp) / F.col("_n")).drop("_n")
 
 
+def balanced(df: DataFrame, sides: list[str], value: str) -> DataFrame:
+    """``df`` with ``value`` divided by its sum over the rows of the same side, for one column of ``sides`` after another.
+
+    Only sums travel: they are made from partial ones and stored, a row with all of its sums for each value of a side, and
+    rows stay where they are as long as these tables are small enough to be broadcast. ``df`` is read once for each of
+    ``sides`` and once for the result.
+    """
+    tables: dict[str, DataFrame] = {}
+
+    def divided(n: int) -> DataFrame:
+        out = df
+        for side, sums in tables.items():
+            out = out.join(sums, F.col(side).eqNullSafe(F.col(f"_of_{side}"))).drop(f"_of_{side}")
+        return out.select(*[c for c in df.columns if c != value], reduce(lambda v, k: v / F.col(f"_s{k}"), range(n), F.col(value)).alias(value))
+
+    for k, side in enumerate(sides):
+        sums = divided(k).groupBy(F.col(side).alias(f"_of_{side}")).agg(F.sum(value).alias(f"_s{k}"))
+        if side in tables:
+            sums = sums.withColumnRenamed(f"_of_{side}", "_of").join(tables[side], F.col("_of").eqNullSafe(F.col(f"_of_{side}"))).drop("_of")
+        sums = stored(sums, "sums")
+        tables[side] = F.broadcast(sums) if sums.count() <= BROADCAST_ROWS else sums
+    return divided(len(sides))
+
+
 def average_precision(df: DataFrame, score: str, label: str, *tie: str) -> DataFrame:
     """(ap): the area under the precision-recall curve whose precision never rises with recall."""
     rows = running(df.select(F.col(score).alias("score"), *tie, F.col(label).cast("long").alias("y")), "score", {"tp": F.col("y")}, *tie, ascending=False)

@@ -87,3 +87,35 @@ def test_large_batches_of_trials_cost_their_rows(spark):
     x = np.stack([np.arange(400.0), np.ones(400)], axis=1)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     assert n == 100_000 and s == pytest.approx((u @ u[:250].T).sum(), rel=1e-9) and took < 12
+
+
+@pytest.mark.parametrize("name", ["sinkhorn_whole", "sinkhorn"])
+def test_balanced_trials_equal_sql(spark, name):
+    library.test_queries_equal_sql(spark, name)
+
+
+def test_sums_travel_and_rows_stay(spark, monkeypatch):
+    """Balanced by sides as numpy does it, nulls a side of their own; rows pass no shuffle while sums are few, else a join."""
+    r = np.random.default_rng(5)
+    q = r.random((7, 9)) + 0.1
+    want = q.copy()
+    for _ in range(3):
+        want = want / want.sum(0)
+        want = want / want.sum(1, keepdims=True)
+    name = lambda i: None if i == 3 else i
+    df = spark.createDataFrame([(name(i), name(j), float(q[i, j])) for i in range(7) for j in range(9)], "r int, c int, q double")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    for most in (1_000_000, 0):
+        spark.conf.set(key, old if most else "-1")
+        monkeypatch.setattr(trials, "BROADCAST_ROWS", most)
+        out = trials.balanced(df, ["c", "r"] * 3, "q")
+        assert out.columns == ["r", "c", "q"]
+        got = {(x["r"], x["c"]): x["q"] for x in out.collect()}
+        assert len(got) == 63 and all(got[name(i), name(j)] == pytest.approx(want[i, j], rel=1e-12) for i in range(7) for j in range(9))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert ("Exchange hashpartitioning" in plan) == (most == 0) and "Window" not in plan
+    spark.conf.set(key, old)
+    monkeypatch.undo()
+    whole = __spark_entry__.queries()["sinkhorn_whole"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in whole and "Window" not in whole
