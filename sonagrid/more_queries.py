@@ -64,7 +64,7 @@ def json_segments_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SCORED_SQL + " SELECT printf('%d %d %d %.5f', enrol, test, label, score) AS value FROM sc")
 def score_lines_five(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tt.score_lines(scored(spark, sf_dir))
+    return tt.score_lines(scored(spark, sf_dir, once=True))
 
 
 @query("SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS place FROM embeddings")
