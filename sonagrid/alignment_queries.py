@@ -11,6 +11,8 @@ from .shared import dealt
 
 #: Characters of conversations in a partition: some 500,000 words.
 TEXT_A_TASK = 3_000_000
+#: Seconds of a cell in which metadata events, of up to 2.25 s, are compared with each other.
+METADATA_CELL = 10.0
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -197,7 +199,7 @@ def metadata_alignment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = middles(reference_words(spark, sf_dir))
     ref, sys = (alignment.word_spans(m, words, ["rec"]) for m in metadata(spark, sf_dir))
     score = lambda r, s: alignment.metadata_pair_score(r, s, gap=0.5, su_extent=2.0)
-    return alignment.align(ref, sys, ["rec", "type"], score, gap=0.5, touching=True)
+    return alignment.align(ref, sys, ["rec", "type"], score, gap=0.5, touching=True, cell=METADATA_CELL)
 
 
 @query(MAPPED + " SELECT rec, type, ref_seq, sys_seq, round(gain, 6) AS score FROM mal")

@@ -7,7 +7,7 @@ import test_library as library
 from pyspark.sql import functions as F
 
 from sonagrid import alignment_queries
-from sonagrid.operators import alignment, performance
+from sonagrid.operators import alignment, intervals, performance
 
 WORD = "rec int, seq int, speaker string, word string, kind string, st double, ed double"
 
@@ -177,3 +177,14 @@ def test_metadata_score(spark):
     got = [r[0] for r in df.select(alignment.metadata_pair_score("a", "b", gap=0.5, su_extent=2.0)).collect()]
     assert got[0] == pytest.approx(1.5 * 1.1 * 1.001 * 2 / 2.5) and got[1] is None and got[2] == pytest.approx((0.25 + 1e-8) * 1.1 * 1e-8 / (1e-8 + 0.5), rel=1e-6)
     assert df.select(F.count("a")).collect()[0][0] == 3
+
+
+def test_metadata_meets_near_events_only(spark, monkeypatch):
+    """The pairs compared are a few for each event, however long conversations are."""
+    seen, join = [], intervals.overlap_join
+    monkeypatch.setattr(intervals, "overlap_join", lambda a, b, key, width, **kw: seen.append((a, b, key, width)) or join(a, b, key, width, **kw))
+    alignment_queries.metadata_alignment_rows(spark, library.SF)
+    ((a, b, key, width),) = seen
+    x, y = (intervals.cells(t, width).groupBy(*key, "cell").agg(F.count(F.lit(1)).alias(n)) for t, n in ((a, "m"), (b, "n")))
+    events, met = a.count(), x.join(y, [*key, "cell"]).agg(F.sum(F.col("m") * F.col("n"))).first()[0]
+    assert events > 100 and met < 10 * events
