@@ -270,8 +270,12 @@ def norm_counts(df: DataFrame, score: str, lo: float, hi: float, n: int, *, weig
 
 
 def equalised_weights(df: DataFrame, label: str, parts: list[str], max_tar: float, max_imp: float) -> DataFrame:
-    """``df`` with weights by which each part's targets add up to ``max_tar`` and its impostors to ``max_imp``."""
-    n = df.groupBy(*parts, label).agg(F.count(F.lit(1)).alias("_n"))
+    """``df`` with weights by which each part's targets add up to ``max_tar`` and its impostors to ``max_imp``.
+
+    Counts are stored, and rows stay where they are as long as these are few enough to be broadcast.
+    """
+    n = stored(df.groupBy(*parts, label).agg(F.count(F.lit(1)).alias("_n")), "counts")
+    n = F.broadcast(n) if n.count() <= BROADCAST_ROWS else n
     return df.join(n, [*parts, label]).withColumn("weight", F.when(F.col(label) == 1, max_tar).otherwise(max_imp) / F.col("_n")).drop("_n")
 
 

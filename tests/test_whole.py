@@ -126,3 +126,18 @@ def test_trials_read_once_are_not_stored(spark, name):
     before = set(shared._WRITTEN)
     library.test_queries_equal_sql(spark, name)
     assert not [p for p in shared._WRITTEN - before if "/trials-" in p]
+
+
+def test_weighed_trials_stay(spark):
+    """Counts come to the trials, which pass no shuffle by part on their way to their weights."""
+    df = spark.createDataFrame([(1, 1), (1, 0), (1, 0), (2, 1), (None, 1)], "p int, y int")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        out = trials.equalised_weights(df, "y", ["p"], 10.0, 100.0)
+        assert sorted(map(tuple, out.collect())) == [(1, 0, 50.0), (1, 0, 50.0), (1, 1, 10.0), (2, 1, 10.0)]
+        assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, old)
+    library.test_queries_equal_sql(spark, "equalized_weights_whole")
