@@ -184,31 +184,34 @@ def soft_labels(vecs: DataFrame, temperature: float = 0.1) -> DataFrame:
     return sums.select("utt_id", (F.col("good") / F.col("all")).alias("p"))
 
 
-def running(df: DataFrame, value: str, sums: dict[str, Column], *tie: str, ascending: bool = True, parts: int | None = None) -> DataFrame:
+def running(df: DataFrame, value: str, sums: dict[str, Column | str], *tie: str, ascending: bool = True, parts: int | None = None) -> DataFrame:
     """``df`` with running sums, in order of ``value`` then ``tie``, and ``rn``, the row's number, without one global sort.
 
     Rows are dealt by ranges of value and tie, which Spark samples, so crowded and equal values are spread as well, and
     stored, as their sums and the result must see the same ranges. Sums of whole ranges, a row for each, give each range
-    its offset, and the rest is a window within the range. Rows in order: ROWS frames.
+    its offset, and the rest is a window within the range. Rows in order: ROWS frames. A sum over a column of ``df`` is given
+    by the column's name, so that it doesn't travel twice.
     """
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(value).asc() if ascending else F.col(value).desc(), *map(F.col, tie)]
-    named = df.withColumns({f"_v_{k}": c for k, c in sums.items()})
+    made = {f"_v_{k}": c for k, c in sums.items() if not isinstance(c, str)}
+    of = {k: c if isinstance(c, str) else f"_v_{k}" for k, c in sums.items()}
+    named = df.withColumns(made)
     rows = stored(named.repartitionByRange(n, *order).withColumn("_bin", F.spark_partition_id()), "ranges")
-    totals = rows.groupBy("_bin").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums], F.count(F.lit(1)).alias("_t_rn"))
+    totals = rows.groupBy("_bin").agg(*[F.sum(c).alias(f"_t_{k}") for k, c in of.items()], F.count(F.lit(1)).alias("_t_rn"))
     ahead = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_bin", *[F.coalesce(F.sum(f"_t_{k}").over(ahead), F.lit(0)).alias(f"_o_{k}") for k in [*sums, "rn"]])
     within = Window.partitionBy("_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.join(F.broadcast(offsets), "_bin")
-    out = {k: F.col(f"_o_{k}") + F.sum(f"_v_{k}").over(within) for k in sums} | {"rn": F.col("_o_rn") + F.row_number().over(within)}
-    return rows.withColumns(out).drop("_bin", *[f"_v_{k}" for k in sums], *[f"_o_{k}" for k in [*sums, "rn"]])
+    out = {k: F.col(f"_o_{k}") + F.sum(c).over(within) for k, c in of.items()} | {"rn": F.col("_o_rn") + F.row_number().over(within)}
+    return rows.withColumns(out).drop("_bin", *made, *[f"_o_{k}" for k in [*sums, "rn"]])
 
 
 def det_curve(df: DataFrame, score: str = "score", label: str = "label", *tie: str, weight: str | None = None) -> DataFrame:
     """(rn, score, fnr, fpr) by rising score; ``label`` is 1 for targets. Weighted with ``weight``."""
     w = F.col(weight) if weight else F.lit(1)
     rows = df.select(F.col(score).alias("score"), *tie, (w * (F.col(label) == 1).cast("int")).alias("_t"), (w * (F.col(label) != 1).cast("int")).alias("_i"))
-    rows = running(rows, "score", {"ct": F.col("_t"), "ci": F.col("_i")}, *tie)
+    rows = running(rows, "score", {"ct": "_t", "ci": "_i"}, *tie)
     all_ = df.agg(F.sum(w * (F.col(label) == 1).cast("int")).alias("nt"), F.sum(w * (F.col(label) != 1).cast("int")).alias("ni"))
     rows = rows.crossJoin(F.broadcast(all_))
     return rows.select("rn", "score", *tie, (F.col("ct").cast("double") / F.nullif("nt", F.lit(0))).alias("fnr"), (1 - F.col("ci").cast("double") / F.nullif("ni", F.lit(0))).alias("fpr"))

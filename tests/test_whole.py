@@ -141,3 +141,12 @@ def test_weighed_trials_stay(spark):
     finally:
         spark.conf.set(key, old)
     library.test_queries_equal_sql(spark, "equalized_weights_whole")
+
+
+@pytest.mark.parametrize("name", ["min_dcf_sweep_whole"])
+def test_summed_columns_travel_once(spark, name, monkeypatch):
+    """What is dealt by ranges and stored there: score, sides, the summed columns and the range."""
+    seen, keep = [], trials.stored
+    monkeypatch.setattr(trials, "stored", lambda df, label: seen.append((label, df.columns)) or keep(df, label))
+    library.test_queries_equal_sql(spark, name)
+    assert [c for label, c in seen if label == "ranges" and "score" in c] == [["score", "enrol", "test", *{"min": ["_t", "_i"], "avg": ["y"]}[name[:3]], "_bin"]]
