@@ -308,7 +308,7 @@ def balanced(df: DataFrame, sides: list[str], value: str) -> DataFrame:
 
 def average_precision(df: DataFrame, score: str, label: str, *tie: str) -> DataFrame:
     """(ap): the area under the precision-recall curve whose precision never rises with recall."""
-    rows = running(df.select(F.col(score).alias("score"), *tie, F.col(label).cast("long").alias("y")), "score", {"tp": F.col("y")}, *tie, ascending=False)
+    rows = running(df.select(F.col(score).alias("score"), *tie, F.col(label).cast("long").alias("y")), "score", {"tp": "y"}, *tie, ascending=False)
     # precision at a hit is the largest from there on: the reverse running maximum is taken over hits, by runs of rn
     hits = rows.where("y = 1").select("rn", "tp", (F.col("tp") / F.col("rn")).alias("p"))
     n = df.agg(F.sum(F.col(label).cast("long")).alias("nt"), F.count(F.lit(1)).alias("rows"))

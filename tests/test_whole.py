@@ -143,7 +143,7 @@ def test_weighed_trials_stay(spark):
     library.test_queries_equal_sql(spark, "equalized_weights_whole")
 
 
-@pytest.mark.parametrize("name", ["min_dcf_sweep_whole"])
+@pytest.mark.parametrize("name", ["min_dcf_sweep_whole", "avg_precision_whole"])
 def test_summed_columns_travel_once(spark, name, monkeypatch):
     """What is dealt by ranges and stored there: score, sides, the summed columns and the range."""
     seen, keep = [], trials.stored
