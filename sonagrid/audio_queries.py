@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .alignment_queries import WORDS, reference_words
@@ -130,8 +130,7 @@ RULES = WORDS + """, nx AS (SELECT rec, idx, word, st, ed, lead(word) OVER (PART
   SELECT rec, idx, part, ps[part + 1] AS word, round(st + part * (ed - st) / len(ps), 6) AS st, round(st + (part + 1) * (ed - st) / len(ps), 6) AS ed, coalesce(CASE WHEN len(alternatives) > 1 THEN array_to_string([array_to_string(a, ' ') FOR a IN alternatives], ' / ') END, '') AS alternatives FROM ex""")
 def words_standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = reference_words(spark, sf_dir).select("rec", "idx", "word", "st", "ed")
-    follows = w.select("rec", (F.col("idx") - 1).alias("idx"), F.col("word").alias("next"))
-    pairs = w.join(follows, ["rec", "idx"]).where((F.col("idx") + F.length("word")) % 7 == 0)
+    pairs = w.withColumn("next", F.lead("word").over(Window.partitionBy("rec").orderBy("idx"))).where("next IS NOT NULL").where((F.col("idx") + F.length("word")) % 7 == 0)
     one = F.array(F.concat_ws("_", "word", "next"))
     two = F.array(F.substring("word", 1, 4), F.substring("word", 5, 100))
     longer = w.where(F.length("word").between(7, 9)).select(F.array("word").alias("source"), two.alias("parts"), F.array(two, F.array("word")).alias("alternatives"))

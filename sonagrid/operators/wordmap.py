@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Hyphenated words that stay whole.
 WHOLE = ("mm-hmm", "uh-huh", "um-hmm")
+#: Rules up to which they are broadcast to the words; with more, both sides are sorted and merged.
+RULES = 10_000
 
 
 def hyphen_parts(word: Column) -> Column:
@@ -20,14 +22,17 @@ def rule_hits(words: DataFrame, rules: DataFrame, key: list[str], idx: str = "id
     At a place the longest rule applies; of those that overlap, what begins first, then what begins after its end. The
     words from each place on, once for each length that a rule has, meet rules by their whole source, so the work grows
     with words and lengths and not with the rules that begin alike. Only runs of overlapping hits are folded one after
-    another. Without rules there are no hits.
+    another. Without rules there are no hits. Spark takes words of exploded texts for as small as their file, so which
+    side may be broadcast isn't left to it.
     """
     by = Window.partitionBy(*key).orderBy(idx)
-    lengths = sorted(r[0] for r in rules.select(F.size("source")).where("size(source) > 0").distinct().collect()) or [1]
+    many = {n: rows for n, rows in rules.groupBy(F.size("source").alias("n")).count().where("n > 0").collect()}
+    lengths = sorted(many) or [1]
     ahead = words.select(*key, F.col(idx).alias("at"), "word", F.collect_list("word").over(by.rowsBetween(0, lengths[-1] - 1)).alias("_ahead")).where("word IS NOT NULL")
     some = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.size("_ahead"))
     said = ahead.withColumn("length", F.explode(some)).select(*key, "at", "length", F.slice("_ahead", F.lit(1), F.col("length")).alias("source"))
     of = rules.groupBy("source").agg(F.max(F.struct("parts", "alternatives")).alias("r"))
+    of = F.broadcast(of) if sum(many.values()) <= RULES else of.hint("merge")
     found = said.join(of, "source").select(*key, F.struct("at", "length", "r.parts", "r.alternatives").alias("h"))
     longest = F.lag("h.at").over(Window.partitionBy(*key).orderBy("h.at", F.desc("h.length")))
     hits = found.withColumn("_before", longest).where("_before IS NULL OR _before < h.at").drop("_before")
@@ -53,7 +58,7 @@ def standardised(words: DataFrame, rules: DataFrame, key: list[str], *, hyphens:
     hits = rule_hits(words, rules, key)
     spread = hits.select(*key, F.col("idx").alias("_at"), "parts", "alternatives", F.posexplode(F.sequence(F.col("idx"), F.col("idx") + F.col("length") - 1)).alias("_k", "idx"))
     ends = Window.partitionBy(*key, F.coalesce("_at", "idx"))
-    held = words.select(*key, "idx", "word", "st", "ed").join(spread, [*key, "idx"], "left").withColumn("_ed", F.max("ed").over(ends)).where("_k IS NULL OR _k = 0")
+    held = words.select(*key, "idx", "word", "st", "ed").join(spread.hint("merge"), [*key, "idx"], "left").withColumn("_ed", F.max("ed").over(ends)).where("_k IS NULL OR _k = 0")
     own = hyphen_parts(F.col("word")) if hyphens else F.array("word")
     ruled = F.when(F.size("parts") > 0, F.col("parts")).otherwise(F.col("alternatives")[0])
     said = held.withColumn("_parts", F.when(F.col("_k").isNotNull(), ruled).otherwise(own))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sonagrid import audio_queries
 from sonagrid.functions import signal
 from sonagrid.operators import wordmap
 from sonagrid.sources import text_tables
@@ -113,6 +114,18 @@ def test_rules_that_begin_alike_cost_no_more(spark):
     assert len(hits) == len(want) and {(r["idx"], r["length"], r["parts"][0]) for r in hits} == want
 
 
+def test_words_are_not_broadcast(spark, monkeypatch):
+    """Spark takes exploded words for as small as their file."""
+    monkeypatch.setattr(wordmap, "RULES", 0, raising=False)
+    got = audio_queries.words_standardised(spark, "/root/testdata/sf0.001")
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().sparkPlan().toString()
+    few = spark.createDataFrame([(["can"], ["could"], [["could"]])], "source array<string>, parts array<string>, alternatives array<array<string>>")
+    words = spark.createDataFrame([("so can can",)], "t string").select(F.lit(1).alias("rec"), F.posexplode(F.split("t", " ")).alias("idx", "word"))
+    for limit in (0, 10):
+        monkeypatch.setattr(wordmap, "RULES", limit)
+        assert [r["idx"] for r in wordmap.rule_hits(words, few, ["rec"]).orderBy("idx").collect()] == [1, 2]
+
+
 def test_without_rules_only_hyphens_split(spark):
     words = spark.createDataFrame([(1, 0, "can-do", 0.0, 1.0), (1, 1, "uh-huh", 1.0, 2.0)], "rec int, idx int, word string, st double, ed double")
     rules = spark.createDataFrame([], "source array<string>, parts array<string>, alternatives array<array<string>>")
