@@ -16,6 +16,10 @@ from . import density, intervals
 CENTROIDS, CENTROID_ARRAYS = 8192, 64
 #: Vectors of a recording whose similarities are held as a matrix by spectral clustering.
 DENSE = 1024
+#: Vectors whose similarities average linkage holds as a matrix, and near clusters that it notes of each row beyond.
+MATRIX, NEAR = 4096, 64
+#: Similarities, or items of vectors, that are held at a time beyond that: 32 MB.
+HELD = 1 << 22
 
 
 def first_seen(df: DataFrame, key: list[str], order: str, label: str, start: int = 0) -> DataFrame:
@@ -121,9 +125,12 @@ def ahc(x: np.ndarray, threshold: float = 0.4) -> np.ndarray:
     """Average linkage on cosine; clusters merge while their mean similarity is at least ``threshold``.
 
     Each row keeps its largest similarity and the first place that has it; a merge looks again only at rows whose
-    largest one it took away, so the work is about the square of the vectors.
+    largest one it took away, so the work is about the square of the vectors. More than ``MATRIX`` vectors don't get a
+    matrix.
     """
     n = len(x)
+    if n > MATRIX:
+        return ahc_means(x, threshold)
     sim = cosine_matrix(x)
     np.fill_diagonal(sim, -np.inf)
     size, label = np.ones(n), np.arange(n)
@@ -153,6 +160,116 @@ def ahc(x: np.ndarray, threshold: float = 0.4) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
+def row_dots(a: np.ndarray, b: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """For each row of ``a`` its products with the rows of ``b`` that its row of ``of`` names."""
+    step = max(1, HELD // max(1, of.shape[1] * a.shape[1]))
+    return np.concatenate([np.einsum("kd,ktd->kt", a[k : k + step], b[of[k : k + step]]) for k in range(0, len(a), step)] or [np.zeros(of.shape)])
+
+
+def ahc_means(x: np.ndarray, threshold: float = 0.4, near: int = NEAR) -> np.ndarray:
+    """``ahc`` in memory that grows with the vectors, not with their square.
+
+    The mean cosine of two clusters is the product of their mean unit vectors. It never rises above the larger of both
+    by a merge, so all pairs that are nearest to each other merge at once as they would one after another; a row notes
+    its ``near`` nearest clusters and a bound for all others, and meets all again only where that bound may be above.
+    Rows without a cluster at ``threshold`` or above are done. Only ties may fall otherwise than by the matrix.
+    """
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    u = x / np.where(norm == 0, 1, norm)
+    # equal vectors merge before all others, but for those without direction
+    equal, seen = threshold < 1 - 1e-9, {}
+    of = np.array([seen.setdefault(v.tobytes() if equal and v.any() else k, len(seen)) for k, v in enumerate(u + 0.0)])
+    first = np.unique(of, return_index=True)[1]
+    n = len(first)
+    size = np.bincount(of, minlength=n).astype(float)
+    mean = np.ascontiguousarray(u[first])
+    into, live = np.arange(n), np.ones(n, bool)
+    below = np.nextafter(threshold, -np.inf)
+    cand, rest = np.full((n, near), -1, np.int32), np.full(n, below)
+    at, top, second = np.zeros(n, int), np.full(n, -np.inf), np.full(n, -np.inf)
+
+    def now(ids: np.ndarray) -> np.ndarray:
+        while ((up := into[ids]) != ids).any():
+            ids = up
+        return ids
+
+    def noted(rows: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> np.ndarray:
+        """Best and second best of the clusters ``ids`` for ``rows``; gives the rows of which others may be nearer."""
+        top[rows] = sims.max(axis=1, initial=-np.inf)
+        at[rows] = np.where(sims == top[rows][:, None], ids, n).min(axis=1, initial=n)
+        second[rows] = np.maximum(np.where(ids == at[rows][:, None], -np.inf, sims).max(axis=1, initial=-np.inf), rest[rows])
+        return rows[(top[rows] < rest[rows]) & (rest[rows] >= threshold)]
+
+    def among(rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.where(ids >= 0, now(np.maximum(ids, 0)), -1)
+        sims = row_dots(mean[rows], mean, ids)
+        sims[(ids < 0) | ~live[ids] | (ids == rows[:, None])] = -np.inf
+        return ids, sims
+
+    def scan(rows: np.ndarray) -> None:
+        """``rows`` meet all clusters that are left."""
+        ids = np.flatnonzero(live)
+        others, step = mean[ids].T, max(1, HELD // max(1, len(ids)))
+        for k in range(0, len(rows), step):
+            part = rows[k : k + step]
+            sims = mean[part] @ others
+            sims[np.arange(len(part)), np.searchsorted(ids, part)] = -np.inf
+            r, c = np.nonzero(sims >= threshold)
+            ends = np.searchsorted(r, np.arange(len(part) + 1))
+            cand[part], rest[part] = -1, below
+            best = np.full((len(part), near), -np.inf)
+            for row in np.flatnonzero(np.diff(ends)):
+                to = c[ends[row] : ends[row + 1]]
+                if len(to) > near:
+                    order = np.argpartition(sims[row, to], len(to) - near - 1)
+                    rest[part[row]] = sims[row, to[order[len(to) - near - 1]]]
+                    to = to[order[len(to) - near :]]
+                cand[part[row], : len(to)], best[row, : len(to)] = ids[to], sims[row, to]
+            noted(part, cand[part], best)
+
+    scan(np.arange(n))
+    while True:
+        live &= top >= threshold
+        left = np.flatnonzero(live)
+        if not len(left):
+            break
+        gone = left[~live[at[left]]]  # rounding: nearer from here than from there
+        if len(gone):
+            scan(gone)
+            continue
+        i = left[(at[at[left]] == left) & (left < at[left])]
+        if not len(i):  # ties only
+            i = left[[top[left].argmax()]]
+        i, j = np.minimum(i, at[i]), np.maximum(i, at[i])
+        a, b = size[i] / (size[i] + size[j]), size[j] / (size[i] + size[j])
+        mean[i] = a[:, None] * mean[i] + b[:, None] * mean[j]
+        size[i] += size[j]
+        into[j], live[j] = i, False
+        rest[i] = a * rest[i] + b * rest[j]
+        touched = np.zeros(n, bool)
+        touched[i], touched[j] = True, True
+        stale = left[touched[at[left]] & ~touched[left]]
+        # a merged row's near clusters are those of both; what is no longer noted bounds the rest
+        ids, sims = among(i, np.concatenate([cand[i], cand[j]], axis=1))
+        order = np.argsort(ids, axis=1, kind="stable")
+        ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+        sims[:, 1:][ids[:, 1:] == ids[:, :-1]] = -np.inf
+        order = np.argsort(-sims, axis=1, kind="stable")
+        ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+        cand[i] = np.where(sims[:, :near] > -np.inf, ids[:, :near], -1)
+        rest[i] = np.maximum(rest[i], sims[:, near])
+        again = [noted(i, ids[:, :near], sims[:, :near])]
+        # what was nearest to others has moved; it stays nearest while no other can be nearer
+        at[stale] = now(at[stale])
+        top[stale] = np.einsum("kd,kd->k", mean[stale], mean[at[stale]])
+        stale = stale[top[stale] < second[stale]]
+        again.append(noted(stale, *among(stale, cand[stale])))
+        again = np.concatenate(again)
+        if len(again):
+            scan(again)
+    return np.unique(now(np.arange(n))[of], return_inverse=True)[1]
+
+
 def k_means(x: np.ndarray, k: int, seed: int = 0, rounds: int = 100) -> np.ndarray:
     """Seeded k-means with spread starts: each next centre is the point farthest from those chosen."""
     rng = np.random.default_rng(seed)
@@ -200,9 +317,14 @@ def minor_absorbed(label: np.ndarray, x: np.ndarray, least: int) -> np.ndarray:
     big = ids[size > least]
     if not len(big):
         return np.zeros(len(x), int)
-    c = np.stack([x[label == i].mean(axis=0) for i in big])
-    near = big[(x @ c.T / np.maximum(np.linalg.norm(c, axis=1), 1e-12)).argmax(axis=1)]
-    return np.where(np.isin(label, big), label, near)
+    order, ends = np.argsort(label, kind="stable"), np.cumsum(size)
+    c = np.stack([x[order[e - s : e]].mean(axis=0) for s, e in zip(size, ends, strict=True) if s > least])
+    norm = np.maximum(np.linalg.norm(c, axis=1), 1e-12)
+    out, minor = label.copy(), np.flatnonzero(~np.isin(label, big))
+    for k in range(0, len(minor), step := max(1, HELD // len(big))):
+        part = minor[k : k + step]
+        out[part] = big[(x[part] @ c.T / norm).argmax(axis=1)]
+    return out
 
 
 def merged_rows(sums: np.ndarray, threshold: float) -> np.ndarray:

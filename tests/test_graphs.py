@@ -104,6 +104,29 @@ def test_average_linkage_is_as_restated_and_about_square():
     assert time.monotonic() - began < 15 and partition(got) == partition(of)
 
 
+def test_average_linkage_of_many_vectors_holds_no_matrix():
+    for seed, near in ((0, 3), (1, 64)):
+        x = np.random.default_rng(seed).normal(size=(900, 6))
+        x[100:130], x[[5, 9]] = x[7], 0
+        for threshold in (0.2, 0.4, 0.8):
+            assert (labels.ahc_means(x, threshold, near) == labels.ahc(x, threshold)).all()
+    x, of = grouped_vectors(5000)
+    tracemalloc.start()
+    got = labels.ahc(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert partition(got) == partition(of) and peak < 5000 * 5000 * 8 * 0.7
+
+
+def test_small_clusters_go_to_the_nearest_large_one():
+    x, of = grouped_vectors(600, noise=0.8)
+    label = np.where(np.arange(600) % 7 == 0, np.arange(600) % 70 + 10, of * 100)
+    big = np.array([0, 100, 200])
+    c = np.stack([x[label == i].mean(axis=0) for i in big])
+    near = big[(x @ c.T / np.linalg.norm(c, axis=1)).argmax(axis=1)]
+    assert (labels.minor_absorbed(label, x, 20) == np.where(np.isin(label, big), label, near)).all()
+
+
 def test_long_recordings_are_clustered_without_a_matrix():
     x, of = grouped_vectors(1600)
     tracemalloc.start()
