@@ -148,3 +148,32 @@ def test_a_block_is_sent_alone_and_not_as_a_pair(spark):
     got = sorted((r["i"], r["j"]) for r in graphs.edges(graph, ["rec"]).collect())
     i, j, _ = graphs.kept_edges(x, 0.2, 6)
     assert got == sorted(zip(i.tolist(), j.tolist(), strict=True))
+
+
+def test_a_block_is_sent_once_for_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "PART", 2, raising=False)
+    monkeypatch.setattr(graphs, "HELD", 700, raising=False)
+    x = np.random.default_rng(4).normal(size=(90, 4)).round(0)  # many equal similarities
+    df = spark.createDataFrame([(r, k, [float(v) for v in row]) for r in (0, 1) for k, row in enumerate(x[: 90 - 37 * r])], "rec int, utt int, embedding array<double>")
+    assert graphs.met_blocks(df, ["rec"], "utt", "embedding", 16).groupBy("rec").count().orderBy("rec").collect() == [(0, 18), (1, 8)]
+    graph = graphs.pruned_graph(df, ["rec"], "utt", "embedding", pval=0.2, size=16)
+    assert graph.selectExpr("max(length(i)) AS most").first()["most"] <= 700 * 0.22 * 4  # as many rows as are held at a time, not a block's
+    for got in (graphs.edges(graph, ["rec"]), graphs.pruned_edges(df, ["rec"], "utt", "embedding", pval=0.2, size=16)):
+        rows = got.collect()
+        for r in (0, 1):
+            u = graphs.unit_rows(x[: 90 - 37 * r], 90 - 37 * r)
+            found = np.array([(e["i"], e["j"], e["w"]) for e in rows if e["rec"] == r])
+            i, j = found[:, 0].astype(int), found[:, 1].astype(int)
+            m = graphs.kept_rows(len(u), 0.2, 6)
+            assert (np.bincount(i) == m).all() and np.allclose(found[:, 2], (u @ u.T)[i, j])
+            best = np.sort(u @ u.T, axis=1)[:, -m:]
+            assert np.allclose(np.sort(found[np.lexsort((found[:, 2], i)), 2].reshape(-1, m), axis=1), best)
+
+
+def test_of_equal_similarities_the_later_stay():
+    sims = np.random.default_rng(2).integers(0, 4, (60, 40)).astype(float)
+    sims[5, 3], sims[6] = np.nan, 1
+    for m in (1, 7, 39, 40):
+        want = np.zeros(sims.shape, bool)
+        np.put_along_axis(want, np.argsort(sims, axis=1, kind="stable")[:, 40 - m :], True, axis=1)
+        assert (graphs.largest(sims, m) == want).all()
