@@ -297,7 +297,7 @@ def spectral(x: np.ndarray, *, low: int = 1, high: int = 10, pval: float = 0.02,
     if n > DENSE:
         from . import graphs
 
-        return graphs.spectral_sparse(*graphs.kept_edges(x, pval, least), n, low=low, high=high, oracle=oracle)
+        return graphs.spectral_labels(*graphs.near_laplacian(*graphs.kept_places(x, pval, least)), n, low=low, high=high, oracle=oracle)
     a = cosine_matrix(x)
     drop = min(int((1 - pval) * n), n - least)
     if drop > 0:

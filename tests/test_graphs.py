@@ -177,3 +177,37 @@ def test_of_equal_similarities_the_later_stay():
         want = np.zeros(sims.shape, bool)
         np.put_along_axis(want, np.argsort(sims, axis=1, kind="stable")[:, 40 - m :], True, axis=1)
         assert (graphs.largest(sims, m) == want).all()
+
+
+def test_kept_places_are_the_graph_of_kept_edges(monkeypatch):
+    x = np.random.default_rng(8).normal(size=(300, 8))
+    x[50:60] = x[3]
+    x[70] = 0
+    dense = graphs.laplacian(*graphs.kept_edges(x, 0.05, 6), 300)[0](np.eye(300))
+    for kept, held in ((1 << 20, 1 << 22), (10, 900)):  # in memory, and a few rows at a time in a file
+        monkeypatch.setattr(graphs, "KEPT", kept)
+        monkeypatch.setattr(graphs, "HELD", held)
+        near, w = graphs.kept_places(x, 0.05, 6)
+        assert isinstance(near, np.memmap) == (kept == 10)
+        times, bound, degree = graphs.near_laplacian(near, w)
+        assert np.allclose(times(np.eye(300)), dense) and np.allclose(degree, np.diag(dense)) and bound == 2 * degree.max()
+
+
+def test_few_products_give_the_lowest_vectors(monkeypatch):
+    """A product goes over all edges, so they are most of the time."""
+    x, of = grouped_vectors(3000, noise=0.8)
+    products, lowest = [], graphs.lowest
+
+    def counted(times, *rest, **how):
+        return lowest(lambda v: (products.append(v.shape[1]), times(v))[1], *rest, **how)
+
+    monkeypatch.setattr(graphs, "lowest", counted)
+    got = labels.spectral(x)
+    i, j, w = graphs.kept_edges(x, 0.02, 6)
+    a = np.zeros((3000, 3000))
+    a[i, j] = w
+    a = (a + a.T) / 2
+    np.fill_diagonal(a, 0)
+    values, vecs = np.linalg.eigh(np.diag(np.abs(a).sum(axis=1)) - a)
+    k = 1 + int(np.argmax(np.diff(values[:11])))
+    assert partition(got) == partition(labels.k_means(vecs[:, :k], k)) and sum(products) < 600
