@@ -211,3 +211,19 @@ def test_few_products_give_the_lowest_vectors(monkeypatch):
     values, vecs = np.linalg.eigh(np.diag(np.abs(a).sum(axis=1)) - a)
     k = 1 + int(np.argmax(np.diff(values[:11])))
     assert partition(got) == partition(labels.k_means(vecs[:, :k], k)) and sum(products) < 600
+
+
+def test_edges_travel_as_places_of_about_a_byte(spark):
+    x = np.sort(np.random.default_rng(1).choice(100_000, 2000, replace=False))
+    assert (graphs.places(graphs.gaps(x)) == x).all() and len(graphs.gaps(x)) < 1.3 * len(x)
+    for some in ([0], [255], [254, 510, 70_000], []):
+        assert graphs.places(graphs.gaps(np.array(some, np.int64))).tolist() == some
+    v = blobs(300, 3, 5)
+    df = spark.createDataFrame([(k % 2 or None, 299 - k, [float(z) for z in row]) for k, row in enumerate(v)], "rec int, utt int, embedding array<double>")
+    found = graphs.cluster_spectral(df, ["rec"], "utt", "embedding", size=64)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "near" in plan and "Join" not in plan  # no similarities beside the places
+    got = found.orderBy("utt").collect()
+    for rec in (None, 1):
+        want = partition(labels.spectral(v[1 if rec else 0 :: 2][::-1]))
+        assert partition(r["label"] for r in got if r["rec"] == rec) == want
