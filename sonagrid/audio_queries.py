@@ -130,11 +130,13 @@ RULES = WORDS + """, nx AS (SELECT rec, idx, word, st, ed, lead(word) OVER (PART
   SELECT rec, idx, part, ps[part + 1] AS word, round(st + part * (ed - st) / len(ps), 6) AS st, round(st + (part + 1) * (ed - st) / len(ps), 6) AS ed, coalesce(CASE WHEN len(alternatives) > 1 THEN array_to_string([array_to_string(a, ' ') FOR a IN alternatives], ' / ') END, '') AS alternatives FROM ex""")
 def words_standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = reference_words(spark, sf_dir).select("rec", "idx", "word", "st", "ed")
-    pairs = w.withColumn("next", F.lead("word").over(Window.partitionBy("rec").orderBy("idx"))).where("next IS NOT NULL").where((F.col("idx") + F.length("word")) % 7 == 0)
+    follows = w.withColumn("next", F.lead("word").over(Window.partitionBy("rec").orderBy("idx")))
+    # words are made distinct, not the longer rules made of them
+    pairs = follows.where("next IS NOT NULL").where((F.col("idx") + F.length("word")) % 7 == 0).select("word", "next").distinct()
     one = F.array(F.concat_ws("_", "word", "next"))
     two = F.array(F.substring("word", 1, 4), F.substring("word", 5, 100))
-    longer = w.where(F.length("word").between(7, 9)).select(F.array("word").alias("source"), two.alias("parts"), F.array(two, F.array("word")).alias("alternatives"))
-    rules = pairs.select(F.array("word", "next").alias("source"), one.alias("parts"), F.array(one).alias("alternatives")).unionByName(longer).distinct()
+    longer = w.where(F.length("word").between(7, 9)).select("word").distinct().select(F.array("word").alias("source"), two.alias("parts"), F.array(two, F.array("word")).alias("alternatives"))
+    rules = pairs.select(F.array("word", "next").alias("source"), one.alias("parts"), F.array(one).alias("alternatives")).unionByName(longer)
     out = wordmap.standardised(w, rules, ["rec"])
     lattice = F.array_join(F.transform("alternatives", lambda a: F.array_join(a, " ")), " / ")
     return out.select("rec", "idx", "part", "word", F.round("st", 6).alias("st"), F.round("ed", 6).alias("ed"), F.coalesce(lattice, F.lit("")).alias("alternatives"))

@@ -25,8 +25,17 @@ def rule_hits(words: DataFrame, rules: DataFrame, key: list[str], idx: str = "id
     another. Without rules there are no hits. Spark takes words of exploded texts for as small as their file, so which
     side may be broadcast isn't left to it.
     """
+    return hits_of(words, rules, rule_lengths(rules), key, idx)
+
+
+def rule_lengths(rules: DataFrame) -> dict[int, int]:
+    """How many rules there are of each length."""
+    return {n: rows for n, rows in rules.groupBy(F.size("source").alias("n")).count().where("n > 0").collect()}
+
+
+def hits_of(words: DataFrame, rules: DataFrame, many: dict[int, int], key: list[str], idx: str) -> DataFrame:
+    """``rule_hits`` for rules of which ``rule_lengths`` is ``many``."""
     by = Window.partitionBy(*key).orderBy(idx)
-    many = {n: rows for n, rows in rules.groupBy(F.size("source").alias("n")).count().where("n > 0").collect()}
     lengths = sorted(many) or [1]
     ahead = words.select(*key, F.col(idx).alias("at"), "word", F.collect_list("word").over(by.rowsBetween(0, lengths[-1] - 1)).alias("_ahead")).where("word IS NOT NULL")
     some = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.size("_ahead"))
@@ -55,10 +64,14 @@ def standardised(words: DataFrame, rules: DataFrame, key: list[str], *, hyphens:
     A hit with several alternatives gives the first one's parts and all of them in ``alternatives``, a lattice of what
     may be said there. Words without hit are cut at their last inner hyphen, if ``hyphens``, or stay.
     """
-    hits = rule_hits(words, rules, key)
-    spread = hits.select(*key, F.col("idx").alias("_at"), "parts", "alternatives", F.posexplode(F.sequence(F.col("idx"), F.col("idx") + F.col("length") - 1)).alias("_k", "idx"))
-    ends = Window.partitionBy(*key, F.coalesce("_at", "idx"))
-    held = words.select(*key, "idx", "word", "st", "ed").join(spread.hint("merge"), [*key, "idx"], "left").withColumn("_ed", F.max("ed").over(ends)).where("_k IS NULL OR _k = 0")
+    many = rule_lengths(rules)
+    hits = hits_of(words, rules, many, key, "idx")
+    spread = hits.select(*key, "length", "parts", "alternatives", F.posexplode(F.sequence(F.col("idx"), F.col("idx") + F.col("length") - 1)).alias("_k", "idx"))
+    # the ends of the words from each on, so that no window by hit has to follow the join
+    ends = F.collect_list(F.struct("ed")).over(Window.partitionBy(*key).orderBy("idx").rowsBetween(0, max(many, default=1) - 1))
+    ahead = words.select(*key, "idx", "word", "st", "ed", ends.alias("_ends"))
+    latest = F.when(F.col("_k").isNull(), F.col("ed")).otherwise(F.array_max(F.slice("_ends", F.lit(1), F.col("length"))["ed"]))
+    held = ahead.join(spread.hint("merge"), [*key, "idx"], "left").where("_k IS NULL OR _k = 0").withColumn("_ed", latest)
     own = hyphen_parts(F.col("word")) if hyphens else F.array("word")
     ruled = F.when(F.size("parts") > 0, F.col("parts")).otherwise(F.col("alternatives")[0])
     said = held.withColumn("_parts", F.when(F.col("_k").isNotNull(), ruled).otherwise(own))

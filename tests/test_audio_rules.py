@@ -126,6 +126,16 @@ def test_words_are_not_broadcast(spark, monkeypatch):
         assert [r["idx"] for r in wordmap.rule_hits(words, few, ["rec"]).orderBy("idx").collect()] == [1, 2]
 
 
+def test_no_shuffle_by_hit_follows_the_join(spark):
+    """A hit ends with the latest of its words' ends, of which some may be null."""
+    words = spark.createDataFrame([(1, 0, "a", 0.0, 1.0), (1, 1, "b", 1.0, None), (1, 2, "c", 2.0, 2.5), (1, 3, "a", 3.0, 4.0)], "rec int, idx int, word string, st double, ed double")
+    rules = spark.createDataFrame([(["a", "b", "c"], ["x", "y"], [["x", "y"]])], "source array<string>, parts array<string>, alternatives array<array<string>>")
+    got = wordmap.standardised(words, rules, ["rec"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("SortMergeJoin")[0]
+    assert [tuple(r)[1:6] for r in got.orderBy("idx", "part").collect()] == [(0, 0, "x", 0.0, 1.25), (0, 1, "y", 1.25, 2.5), (3, 0, "a", 3.0, 4.0)]
+
+
 def test_without_rules_only_hyphens_split(spark):
     words = spark.createDataFrame([(1, 0, "can-do", 0.0, 1.0), (1, 1, "uh-huh", 1.0, 2.0)], "rec int, idx int, word string, st double, ed double")
     rules = spark.createDataFrame([], "source array<string>, parts array<string>, alternatives array<array<string>>")
